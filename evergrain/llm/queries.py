@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, media, mixing, quality, sharding
+from . import bpe, exact_dedup, licenses, media, mixing, quality, sharding, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeated_words(_documents(spark, sf_dir))
+    return found.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents have no paths of their own: source, thousand and hundred of the id stand for directories, and the first
     document of each hundred of ids (id divisible by 100) stands for its directory's licence file."""
@@ -61,6 +66,7 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_bpe": op4_bpe,
     "op5_media": op5_media,
