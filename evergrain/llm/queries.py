@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, media, mixing, quality, sharding, substring_dedup
+from . import bpe, exact_dedup, licenses, media, mixing, quality, sharding, substring_dedup, suffix_array
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(_documents(spark, sf_dir))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_array.remove_repeated_bytes(_documents(spark, sf_dir))
+    return found.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_license_scan": op3_license_scan,
@@ -74,6 +79,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_shards": op9_shards,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLES = {
