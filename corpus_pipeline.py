@@ -1,6 +1,71 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline over documents: reject poor texts, drop exact and near copies, mix sources, encode.
+
+Each stage takes what its predecessor kept; run() writes each stage's rows as Parquet in the shared folder and reads them again
+for the next, so a lost executor costs a stage at most.
+"""
+
 from __future__ import annotations
 
-STAGES: list = []
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from evergrain.llm import bpe, exact_dedup, mixing, ngram_join, quality
+from evergrain.llm.common import written
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: of equal texts the one with the smallest id stays."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: of documents linked by word n-grams the one with the smallest id stays.
+
+    Stages on word shingles take five words and a similarity of 0.8.
+    """
+    return ngram_join.one_of_each(docs, n=5, similarity=(4, 5))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: token ids of every document (one row for each time that it is in the mix) and the text they decode to."""
+    return bpe.encode_decode(docs, VOCABULARY)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("reject_poor", reject_poor),
+    ("drop_copies", drop_copies),
+    ("drop_near_copies", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"pipeline-{name}", compression="zstd")
+    return docs
+
+
+#: The classifier and the mix cannot be stated in SQL; the stages are tested against plain versions.
+ORACLE_SQL = None
+
+QUERIES = {"pipeline": run}
 ORACLES: dict[str, str] = {}
