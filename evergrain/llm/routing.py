@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,9 @@ OCCURRENCE = np.dtype([("key", "u8"), ("doc", "i8"), ("twin", "i8"), ("start", "
 KEY = np.dtype([("key", "u8")])
 SPAN = np.dtype([("doc", "i8"), ("twin", "i8"), ("start", "u4"), ("count", "u4")])
 
+#: Bits of an anchor that are sent; the bits above choose its bucket. Two anchors that look alike by this cost work, never a result.
+KEY_BITS = 40
+
 #: A resolver: (texts of runs, smallest document of each, windows in each) -> for each text the windows that repeat, as bools.
 Resolver = Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
 
@@ -137,7 +141,7 @@ def _shared(occ: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _bucket_of(key: np.ndarray, n: int) -> np.ndarray:
-    return ((key >> U64(16)) % U64(n)).astype(np.int64)
+    return (_mixed(key) % U64(n)).astype(np.int64)
 
 
 def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
@@ -160,8 +164,9 @@ def pack(data: np.ndarray) -> bytes:
         column = np.ascontiguousarray(data[name]).astype(data.dtype[name])
         low = column.min() if len(column) else column.dtype.type(0)
         above = (column - low).view(f"u{column.itemsize}")
-        size = next((k for k in (1, 2, 4) if not len(above) or int(above.max()) < 1 << (8 * k)), 8)
-        out += [np.array([low]).astype(column.dtype).tobytes(), bytes([size]), above.astype(f"u{size}").tobytes()]
+        size = max(1, (int(above.max()).bit_length() + 7) // 8) if len(above) else 1
+        wide = above.astype("<u8").view("u1").reshape(-1, 8)
+        out += [np.array([low]).astype(column.dtype).tobytes(), bytes([size]), wide[:, :size].tobytes()]
     return b"".join(out)
 
 
@@ -174,9 +179,10 @@ def unpack(packed: bytes, dtype: np.dtype, at: int = 0) -> tuple[np.ndarray, int
         low = np.frombuffer(packed, dtype[name], 1, at)[0]
         at += dtype[name].itemsize
         size = packed[at]
-        above = np.frombuffer(packed, f"u{size}", n, at + 1)
+        wide = np.zeros((n, 8), "u1")
+        wide[:, :size] = np.frombuffer(packed, "u1", n * size, at + 1).reshape(n, size)
         at += 1 + n * size
-        out[name] = above.astype(f"u{dtype[name].itemsize}").view(dtype[name]) + low
+        out[name] = wide.view("<u8").ravel().astype(f"u{dtype[name].itemsize}").view(dtype[name]) + low
     return out, at
 
 
@@ -203,9 +209,12 @@ def _find_runs(units: Units, n: int) -> Callable[[Iterator[pd.DataFrame]], Itera
         occ = np.concatenate(held)
         occ = occ[np.argsort(occ["key"], kind="stable")]
         here = _shared(occ, np.zeros(0, U64))
-        alone, known = occ[~here], occ[here]
-        keys = known[_group_starts(known["key"])][["key"]].astype(KEY)
-        return _frame(_dealt(0, _bucket_of(alone["key"], n), alone) + _dealt(1, doc_bucket(known["doc"], n), known) + _dealt(2, _bucket_of(keys["key"], n), keys))
+        above = ((occ["key"] >> U64(KEY_BITS)) % U64(n)).astype(np.int64)
+        occ["key"] &= U64((1 << KEY_BITS) - 1)
+        known = occ[here]
+        firsts = _group_starts(known["key"])
+        keys = known[firsts][["key"]].astype(KEY)
+        return _frame(_dealt(0, above[~here], occ[~here]) + _dealt(1, doc_bucket(known["doc"], n), known) + _dealt(2, above[here][firsts], keys))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -276,7 +285,7 @@ def _take_texts(units: Units, n: int) -> Callable[[pd.DataFrame, pd.DataFrame],
             part = order[a:b]
             cuts = [variants[k] for k in part]
             sizes = np.fromiter(map(len, cuts), "u4", len(cuts))
-            rows.append((int(bucket[part[0]]), 0, pack(sent[part]) + sizes.tobytes() + b"".join(cuts)))
+            rows.append((int(bucket[part[0]]), 0, pack(sent[part]) + sizes.tobytes() + zstandard.compress(b"".join(cuts), 3)))
         return _frame(rows)
 
     return run
@@ -285,9 +294,9 @@ def _take_texts(units: Units, n: int) -> Callable[[pd.DataFrame, pd.DataFrame],
 def _read_runs(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
     occ, at = unpack(packed, OCCURRENCE)
     lengths = np.frombuffer(packed, "u4", len(occ), at)
-    at += 4 * len(occ)
-    ends = (at + np.cumsum(lengths, dtype=np.int64)).tolist()
-    return occ, [packed[a:b] for a, b in zip([at, *ends[:-1]], ends, strict=True)]
+    text = zstandard.decompress(packed[at + 4 * len(occ) :])
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    return occ, [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _resolve(units: Units, resolver: Resolver, n: int, block: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
