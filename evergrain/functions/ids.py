@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NUL = "\u0000"
 
@@ -31,13 +32,13 @@ def _canonical(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")  # type: ignore[call-overload]
+@F.pandas_udf(StringType())  # type: ignore[call-overload]
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON text with sorted keys, no spaces and ASCII escapes; null where it is no JSON."""
     return text.map(_canonical)
 
 
-@F.pandas_udf("string")  # type: ignore[call-overload]
+@F.pandas_udf(StringType())  # type: ignore[call-overload]
 def event_header_json(ts: pd.Series, kind: pd.Series, writer: pd.Series, session_id: pd.Series, body_hash: pd.Series, prev_hash: pd.Series) -> pd.Series:
     """Canonical JSON of the hashed part of an event."""
     names = ("ts", "kind", "writer", "session_id", "body_hash", "prev_hash")

@@ -122,6 +122,11 @@ def _names(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return F.array_compact(F.array(*[F.when(_has(text, p), F.lit(n)) for n, p in rules]))
 
 
+def _once(value: Column, rule) -> Column:
+    """rule(value), with value worked out once however often the rule looks at it."""
+    return F.element_at(F.transform(F.array(value), rule), 1)
+
+
 def redact_secrets(text: Column) -> Column:
     for pattern, put in REDACTIONS:
         text = F.regexp_replace(text, pattern, put)
@@ -237,7 +242,10 @@ def sanitize(text: Column) -> Column:
 
 def is_process_chatter(text: Column) -> Column:
     """Acknowledgements, heartbeats and narration of next steps, unless a verified result with a judgement stands beside them."""
-    target = sanitize(text)
+    return _once(sanitize(text), _chatter)
+
+
+def _chatter(target: Column) -> Column:
     verified = _has(target, VERIFIED) & _has(target, CONCRETE)
     judged = _has(target, JUDGMENT)
     n_intents = F.regexp_count(target, F.lit(_u(INTENT)))

@@ -29,7 +29,7 @@ class OpsRules:
 
 
 def age_days(ts: Column, now: Column) -> Column:
-    return F.greatest((F.unix_micros(now) - F.unix_micros(ts)) / 86_400_000_000.0, F.lit(0.0))
+    return F.greatest((F.unix_micros(now) - F.unix_micros(ts.cast("timestamp"))) / 86_400_000_000.0, F.lit(0.0))
 
 
 def promote_score(quality: Column, updated: Column, served: Column, useful: Column, scope: Column, now: Column, decay_days: int = 30) -> Column:

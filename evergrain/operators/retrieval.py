@@ -21,7 +21,7 @@ FEEDBACK = {"helpful": 2.0, "used": 1.0, "irrelevant": -1.5, "ignored": -0.5, "h
 
 def top(df: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query_id",), name: str = "rank") -> DataFrame:
     """The first k rows of each query, numbered."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(name) <= k)
 
 
 def inventory(beliefs: DataFrame, context: ScopeContext, target: str, cross_scope: bool = False) -> DataFrame:
@@ -41,11 +41,14 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], doc_id:
     size of the shuffle follows the matches and not the corpus.
     """
     asked = queries.select("query_id", F.explode(T.fts_terms(F.col("query"))).alias("term"))
-    length = sum((F.size(T.terms(F.col(f))) * F.lit(w) for f, w in fields.items()), F.lit(0.0))
-    measured = docs.withColumn("__len", length)
+    # each field is cut into terms once, below the explode
+    measured = docs
+    for f in fields:
+        measured = measured.withColumn(f"__{f}", T.terms(F.col(f)))
+    measured = measured.withColumn("__len", sum((F.size(f"__{f}") * F.lit(w) for f, w in fields.items()), F.lit(0.0)))
     stats = measured.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("__len").alias("avg_len"))
-    gate = eligible if eligible is not None else F.lit(True)
-    parts = [measured.select(doc_id, "__len", gate.alias("__ok"), F.explode(T.terms(F.col(f))).alias("term"), F.lit(w).alias("w")) for f, w in fields.items()]
+    measured = measured.withColumn("__ok", eligible if eligible is not None else F.lit(True))
+    parts = [measured.select(doc_id, "__len", "__ok", F.explode(f"__{f}").alias("term"), F.lit(w).alias("w")) for f, w in fields.items()]
     postings = parts[0]
     for p in parts[1:]:
         postings = postings.unionByName(p)
@@ -94,12 +97,13 @@ def fuse(lexical: DataFrame, dense: DataFrame, id_col: str) -> DataFrame:
 
 def recency(ts: Column, now: Column) -> Column:
     days = F.greatest((F.unix_micros(now) - F.unix_micros(F.try_to_timestamp(ts))) / 86_400_000_000.0, F.lit(0.0))
-    return F.coalesce(F.exp(-days / 365.0), F.lit(0.0))
+    return F.when(F.try_to_timestamp(ts).isNull(), F.lit(0.0)).otherwise(F.exp(-days / 365.0))
 
 
 def source_quality(attributes: Column) -> Column:
     raw = F.coalesce(F.get_json_object(attributes, "$.source_quality"), F.get_json_object(attributes, "$.quality_score"))
-    return F.coalesce(F.least(F.greatest(raw.try_cast("double"), F.lit(0.0)), F.lit(1.0)), F.lit(0.75))
+    number = F.coalesce(raw.try_cast("double"), F.lit(0.75))
+    return F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0))
 
 
 def prior(weight: Column, confidence: Column, quality: Column, recent: Column) -> Column:
@@ -152,14 +156,17 @@ def feedback_scores(uses: DataFrame, items: DataFrame) -> DataFrame:
     return mean.select("object_id", F.greatest(F.least(F.col("mean") * 0.006, F.lit(0.018)), F.lit(-0.03)).alias("feedback_boost"))
 
 
-def lexical_relevance(query: Column, body: Column) -> Column:
-    """Share of the query's terms that occur, and share of the body's terms that are such."""
-    wanted, found = T.meaningful_terms(query), T.terms(body)
+def relevance_of(wanted: Column, found: Column) -> Column:
+    """Share of the wanted terms (a set) that occur, and share of the found terms (a list) that are such."""
     both = F.array_intersect(wanted, found)
     density = F.size(F.filter(found, lambda t: F.array_contains(both, t))) / F.greatest(F.size(found), F.lit(1))
     return F.when(F.size(both) > 0, F.size(both) / F.size(wanted) + density).otherwise(F.lit(0.0))
 
 
+def lexical_relevance(query: Column, body: Column) -> Column:
+    return relevance_of(T.meaningful_terms(query), T.terms(body))
+
+
 def legacy_score(query: Column, body: Column, weight: Column, confidence: Column, pinned: Column) -> Column:
     return (
         lexical_relevance(query, body) * weight * F.coalesce(confidence, F.lit(0.5))
@@ -171,19 +178,18 @@ def contradictions(visible: DataFrame, queries: DataFrame, limit: int = 12, most
     """Pairs of visible beliefs that share two terms and differ in negation, best first, per query.
 
     visible: belief_id, body, scope_weight, confidence and the order column `pos`. As the rule has it, `most` rows that share a term
-    with the query (all, where none does) are compared, so a query meets 19,900 pairs at most; pairs come from an equi-join
-    on shared terms, not from a cross join.
+    with the query (all, where none does) are compared, so a query meets 19,900 pairs at most, whatever the number of beliefs.
     """
     rows = visible.select("belief_id", "pos", "scope_weight", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), T.meaningful_terms(F.col("body")).alias("words"), T.has_negation(F.col("body")).alias("negated"))
     asked = queries.select("query_id", T.meaningful_terms(F.col("query")).alias("wanted"))
     hits = asked.select("query_id", F.explode("wanted").alias("t")).join(rows.select("belief_id", F.explode("words").alias("t")), "t").select("query_id", "belief_id").distinct()
     chosen = hits.join(rows, "belief_id").join(asked, "query_id")
     chosen = top(chosen, most, F.asc("pos"), name="nth")
-    left = chosen.select("query_id", "wanted", F.explode("words").alias("t"), *[F.col(c).alias(f"a_{c}") for c in ("belief_id", "nth", "scope_weight", "confidence", "words", "negated")])
-    right = chosen.select("query_id", F.explode("words").alias("t"), *[F.col(c).alias(f"b_{c}") for c in ("belief_id", "nth", "scope_weight", "confidence", "words", "negated")])
-    pairs = left.join(right, ["query_id", "t"]).where("a_nth < b_nth and a_negated <> b_negated")
-    keys = [c for c in pairs.columns if c != "t"]
-    pairs = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= 2")
+    names = ("belief_id", "nth", "scope_weight", "confidence", "words", "negated")
+    left = chosen.select("query_id", "wanted", *[F.col(c).alias(f"a_{c}") for c in names])
+    right = chosen.select("query_id", *[F.col(c).alias(f"b_{c}") for c in names])
+    pairs = left.join(right, "query_id").where("a_nth < b_nth and a_negated <> b_negated")
+    pairs = pairs.withColumn("n_shared", F.size(F.array_intersect("a_words", "b_words"))).where("n_shared >= 2")
     over = F.size(F.array_intersect("wanted", F.array_union("a_words", "b_words"))) / F.greatest(F.size("wanted"), F.lit(1))
     dense = F.col("n_shared") / F.greatest(F.least(F.size("a_words"), F.size("b_words")), F.lit(1))
     score = (1 + over + dense) * F.least("a_scope_weight", "b_scope_weight") * F.least("a_confidence", "b_confidence")
@@ -215,22 +221,23 @@ def rare_term_gate(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame
     where the query has three or more.
     """
     words = docs.select("path", F.explode(T.meaningful_terms(F.col("text"))).alias("term"))
-    asked = queries.select("query_id", "query", F.explode(T.meaningful_terms(F.col("query"))).alias("term"))
+    cut_queries = queries.select("query_id", T.meaningful_terms(F.col("query")).alias("wanted"))
+    asked = cut_queries.select("query_id", "wanted", F.explode("wanted").alias("term"))
     df = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     counted = asked.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    by_query = Window.partitionBy("query_id")
-    counted = counted.withColumn("present", F.sum((F.col("df") > 0).cast("int")).over(by_query)).withColumn("n_terms", F.count(F.lit(1)).over(by_query))
-    pool = counted.where((F.col("present") < 3) | (F.col("df") > 0))
+    present = F.sum((F.col("df") > 0).cast("int")).over(Window.partitionBy("query_id"))
+    pool = counted.withColumn("present", present).where((F.col("present") < 3) | (F.col("df") > 0))
     rarest = top(pool, 2, F.asc("df"), F.asc("term"), name="nth")
-    files = rarest.join(words, "term").select("query_id", "query", "n_terms", "path").distinct()
+    files = rarest.join(words, "term").select("query_id", "wanted", "path").distinct()
     parts = F.filter(F.transform(F.split("text", r"\n\s*\n"), T.strip), lambda p: p != "")
     cut = docs.select("path", F.posexplode(parts).alias("nth", "para")).withColumn("next", F.lead("para").over(Window.partitionBy("path").orderBy("nth")))
     heading = F.col("para").rlike(r"^#{1,4}\s")
     chunk = F.when(heading & F.col("next").isNotNull(), F.concat_ws("\n\n", "para", "next")).when(~heading, F.col("para"))
-    chunks = cut.select("path", "nth", chunk.alias("chunk")).where("chunk is not null and length(chunk) between 60 and 20000")
+    # terms are cut once for each chunk, before it meets its queries
+    chunks = cut.select("path", "nth", chunk.alias("chunk")).where("chunk is not null and length(chunk) between 60 and 20000").withColumn("found", T.terms(F.col("chunk")))
     found = files.join(chunks, "path")
-    overlap = F.size(F.array_intersect(T.meaningful_terms(F.col("query")), T.meaningful_terms(F.col("chunk"))))
-    found = found.where(overlap >= F.when(F.col("n_terms") >= 3, 2).otherwise(1)).withColumn("score", lexical_relevance(F.col("query"), F.col("chunk")))
+    overlap = F.size(F.array_intersect("wanted", "found"))
+    found = found.where(overlap >= F.when(F.size("wanted") >= 3, 2).otherwise(1)).withColumn("score", relevance_of(F.col("wanted"), F.col("found")))
     best = top(found, 1, F.desc("score"), F.asc("nth"), by=("query_id", "path"), name="__one").drop("__one")
     best = best.withColumn("snippet", F.substring(T.redact_secrets(F.col("chunk")), 1, 1200)).where(F.size(T.injections(F.col("snippet"))) == 0)
     return top(best, limit, F.desc("score"), F.asc("path")).withColumn("merged_score", F.greatest(F.lit(0.7), 0.95 - (F.col("rank") - 1) * 0.03))

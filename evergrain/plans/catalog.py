@@ -2,6 +2,563 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from evergrain.functions import scope as S
+from evergrain.functions import text as T
+from evergrain.operators import factory, feedback, fold, log, ops, retrieval
+from evergrain.session import table
+from evergrain.streaming import streams
+
+from . import views as V
+
 FLAGSHIP = "bm25_topk"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+CONTEXT = S.ScopeContext(project="src1", repo="src4", client="src2")
+
+
+def now():
+    return F.to_timestamp(F.lit(V.NOW))
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+IDS = "('global:doctrine','project:src1','repo:src4','client:src2')"
+WEIGHT = f"CASE WHEN scope_type='global' THEN 1.0 WHEN scope_type='legacy_unscoped' THEN {{unscoped}} WHEN scope_id IN {IDS} THEN 1.25 WHEN visibility IN ('confidential','secret') OR scope_type='client' THEN 0.0 ELSE {{other}} END"
+WORDS = r"regexp_extract_all(lower(coalesce({0},'')), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}-]{{2,}}')"
+STOP = "[" + ",".join(f"'{w}'" for w in T.FTS_STOPWORDS) + "]"
+MEANING_STOP = "[" + ",".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(T.STOP_TERMS + T.NEGATIONS)) + "]"
+
+# ---- scope and delivery -------------------------------------------------------------------------------------------
+
+
+@query("scope_weight", f"""WITH {V.BELIEFS_SQL}
+    SELECT belief_id, {WEIGHT.format(unscoped='0.0', other='0.0')}::DOUBLE AS own_weight, {WEIGHT.format(unscoped='0.05', other='0.15')}::DOUBLE AS cross_weight FROM beliefs""")
+def scope_weight(spark, sf_dir):
+    return V.beliefs(spark, sf_dir).select("belief_id", S.scope_weight(CONTEXT).alias("own_weight"), S.scope_weight(CONTEXT, True).alias("cross_weight"))
+
+
+@query("egress_reason_counts", f"""WITH {V.BELIEFS_SQL}, t AS (SELECT *, {WEIGHT.format(unscoped='0.05', other='0.15')} AS w, egress_policy='hosted_ok' AND visibility NOT IN ('confidential','secret') AND scope_type<>'client' AS host FROM beliefs)
+    SELECT 'local_model' AS target, CASE WHEN w=0 THEN false ELSE egress_policy<>'prohibited' END AS allowed, CASE WHEN w=0 THEN 'scope_mismatch' ELSE 'allowed_local' END AS reason, count(*) AS n FROM t GROUP BY ALL
+    UNION ALL SELECT 'hosted_model', CASE WHEN w=0 THEN false ELSE host END, CASE WHEN w=0 THEN 'scope_mismatch' WHEN host THEN 'allowed_hosted' ELSE 'egress_policy:'||egress_policy||';visibility:'||visibility END, count(*) FROM t GROUP BY ALL
+    UNION ALL SELECT 'human_export', CASE WHEN w=0 THEN false ELSE egress_policy IN ('hosted_ok','approval_required') END, CASE WHEN w=0 THEN 'scope_mismatch' WHEN egress_policy IN ('hosted_ok','approval_required') THEN 'allowed_export' ELSE 'egress_policy:'||egress_policy END, count(*) FROM t GROUP BY ALL""")
+def egress_reason_counts(spark, sf_dir):
+    b = V.beliefs(spark, sf_dir)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), S.egress(CONTEXT, t, True).alias("e")) for t in ("local_model", "hosted_model", "human_export")]))
+    return b.select(each.alias("x")).groupBy(F.col("x.target").alias("target"), F.col("x.e.allowed").alias("allowed"), F.col("x.e.reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("serving_inventory", f"""WITH {V.BELIEFS_SQL}, t AS (SELECT scope_type='global' OR scope_id IN {IDS} AS s, egress_policy<>'prohibited' AS d FROM beliefs)
+    SELECT count(*) FILTER (NOT s) AS excluded_scope_count, count(*) FILTER (s AND NOT d) AS excluded_delivery_count, count(*) FILTER (s AND d) AS eligible_count FROM t""")
+def serving_inventory(spark, sf_dir):
+    return retrieval.inventory(V.beliefs(spark, sf_dir), CONTEXT, "local_model")
+
+
+@query("restrictive_scope", """SELECT source, CASE min(doc_id % 4) WHEN 0 THEN 'private' WHEN 1 THEN 'workspace' WHEN 2 THEN 'project' ELSE 'public' END AS privacy_scope FROM documents GROUP BY source""")
+def restrictive_scope(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", V.pick(F.col("doc_id") % 4, "private", "workspace", "project", "public").alias("p"))
+    return d.groupBy("source").agg(S.most_restrictive(F.col("p")).alias("privacy_scope"))
+
+
+# ---- retrieval ----------------------------------------------------------------------------------------------------
+
+BM25_SQL = f"""WITH {V.BELIEFS_SQL},
+    q0 AS (SELECT item_id AS query_id, {WORDS.format('text')} AS w FROM benchmark),
+    q1 AS (SELECT query_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM q0),
+    q2 AS (SELECT query_id, term, min(pos) AS pos FROM q1 WHERE NOT list_contains({STOP}, term) GROUP BY ALL),
+    q AS (SELECT query_id, term FROM q2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 24),
+    d AS (SELECT belief_id, scope_type='global' OR scope_id IN {IDS} AS ok, {WORDS.format('body')} AS w FROM beliefs),
+    s AS (SELECT count(*) AS n, avg(len(w)) AS al FROM d),
+    p AS (SELECT belief_id, ok, len(w) AS l, unnest(w) AS term FROM d),
+    tf AS (SELECT belief_id, ok, l, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    sc AS (SELECT query_id, belief_id, round(sum(greatest(ln((n-df+0.5)/(df+0.5)),1e-6)*tf*2.2/(tf+1.2*(0.25+0.75*l/al))),6) AS score
+           FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN s WHERE ok GROUP BY ALL)"""
+
+
+@query("bm25_topk", BM25_SQL + " SELECT query_id, belief_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, belief_id) AS rank FROM sc QUALIFY rank <= 10")
+def bm25_topk(spark, sf_dir):
+    found = retrieval.bm25(V.beliefs(spark, sf_dir), V.benchmark_queries(spark, sf_dir), {"body": 1.0}, "belief_id", S.scope_gate(CONTEXT))
+    found = found.withColumn("score", F.round("score", 6))
+    return retrieval.top(found, 10, F.desc("score"), F.asc("belief_id"))
+
+
+@query("cosine_topk", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 20 = 0),
+    p AS (SELECT query_id, vec_id, round(list_dot_product(e, qe)/(sqrt(list_dot_product(e,e))*sqrt(list_dot_product(qe,qe))), 6) AS similarity FROM v CROSS JOIN q)
+    SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p QUALIFY rank <= 5""")
+def cosine_topk(spark, sf_dir):
+    """Queries are the rows whose id is divisible by 20, as the rule for searches has it, against all rows."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    unit = e.select("vec_id", retrieval.normalised(F.col("embedding")).alias("v"))
+    asked = q.select("query_id", retrieval.normalised(F.col("vector")).alias("q"))
+    pairs = unit.join(asked, F.lit(True)).select("query_id", "vec_id", F.round(retrieval.dot(F.col("v"), F.col("q")), 6).alias("similarity"))
+    return retrieval.top(pairs, 5, F.desc("similarity"), F.asc("vec_id"))
+
+
+@query("legacy_relevance_topk", f"""WITH {V.BELIEFS_SQL},
+    q AS (SELECT item_id AS query_id, list_filter(list_distinct({WORDS.format('text')}), lambda x: NOT list_contains({MEANING_STOP}, x)) AS qw FROM benchmark),
+    qt AS (SELECT query_id, unnest(qw) AS term FROM q),
+    d AS (SELECT belief_id, confidence, pinned, {WORDS.format('body')} AS w FROM beliefs), p AS (SELECT belief_id, unnest(w) AS term FROM d),
+    m AS (SELECT query_id, belief_id, count(*) AS hits, count(DISTINCT term) AS n FROM qt JOIN p USING (term) GROUP BY ALL),
+    sc AS (SELECT query_id, belief_id, round((n/len(qw) + hits/len(w)) * confidence * CASE WHEN pinned THEN 1.1 ELSE 1.0 END, 6) AS score FROM m JOIN q USING (query_id) JOIN d USING (belief_id))
+    SELECT query_id, belief_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, belief_id) AS rank FROM sc QUALIFY rank <= 5""")
+def legacy_relevance_topk(spark, sf_dir):
+    """Coverage and density, from postings of the queries' terms only."""
+    b = V.beliefs(spark, sf_dir)
+    asked = V.benchmark_queries(spark, sf_dir).select("query_id", T.meaningful_terms(F.col("query")).alias("qw"))
+    words = b.select("belief_id", "confidence", "pinned", T.terms(F.col("body")).alias("w")).withColumn("n_words", F.size("w"))
+    docs = words.select("belief_id", "confidence", "pinned", "n_words", F.explode("w").alias("term"))
+    hits = asked.select("query_id", F.size("qw").alias("n_terms"), F.explode("qw").alias("term")).join(docs, "term")
+    found = hits.groupBy("query_id", "belief_id", "confidence", "pinned", "n_words", "n_terms").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("term").alias("n"))
+    score = (F.col("n") / F.col("n_terms") + F.col("hits") / F.col("n_words")) * F.col("confidence") * F.when(F.col("pinned"), 1.1).otherwise(1.0)
+    return retrieval.top(found.select("query_id", "belief_id", F.round(score, 6).alias("score")), 5, F.desc("score"), F.asc("belief_id"))
+
+
+@query("rrf_fusion", BM25_SQL + """, lx AS (SELECT query_id, belief_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, belief_id) AS lr FROM sc QUALIFY lr <= 120),
+    dn AS (SELECT item_id AS query_id, doc_id AS belief_id, 0.9 - (doc_id % 100)/100.0 AS c FROM benchmark JOIN documents ON documents.doc_id % 40 = item_id % 40),
+    dr AS (SELECT query_id, belief_id, c, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, belief_id) AS r FROM dn), de AS (SELECT * FROM dr WHERE c >= 0.15 AND r <= 120),
+    f AS (SELECT coalesce(lx.query_id, de.query_id) AS query_id, coalesce(lx.belief_id, de.belief_id) AS belief_id, round(coalesce(1.0/(60+lr),0)+coalesce(c/(60+r),0),8) AS rrf FROM lx FULL JOIN de ON lx.query_id=de.query_id AND lx.belief_id=de.belief_id)
+    SELECT query_id, belief_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, belief_id) AS rank FROM f QUALIFY rank <= 10""")
+def rrf_fusion(spark, sf_dir):
+    """Lexical ranks fused with a stand-in for a dense index: each query is near the documents of its residue."""
+    q = V.benchmark_queries(spark, sf_dir)
+    found = retrieval.bm25(V.beliefs(spark, sf_dir), q, {"body": 1.0}, "belief_id", S.scope_gate(CONTEXT)).withColumn("score", F.round("score", 6))
+    lexical = retrieval.top(found, 120, F.desc("score"), F.asc("belief_id"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("belief_id"), (0.9 - (F.col("doc_id") % 100) / 100.0).alias("similarity"), (F.col("doc_id") % 40).alias("k"))
+    dense = retrieval.top(q.select("query_id", (F.col("query_id") % 40).alias("k")).join(d, "k"), 120, F.desc("similarity"), F.asc("belief_id"))
+    fused = retrieval.fuse(lexical, dense, "belief_id").select("query_id", "belief_id", F.round("rrf", 8).alias("rrf"))
+    return retrieval.top(fused, 10, F.desc("rrf"), F.asc("belief_id"))
+
+
+@query("content_dedupe_topk", r"""WITH t AS (SELECT lang AS query_id, doc_id AS belief_id, n_chars / 1000.0 AS score, sha256(array_to_string(regexp_extract_all(lower(coalesce(text,'')), '[\p{L}\p{M}\p{N}\p{Pc}-]+'), ' ')) AS content_key FROM documents),
+    f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_id, content_key ORDER BY score DESC, belief_id) = 1)
+    SELECT query_id, belief_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, belief_id) AS rank FROM f QUALIFY rank <= 25""")
+def content_dedupe_topk(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("belief_id"), (F.col("n_chars") / 1000.0).alias("score"), "text")
+    return retrieval.dedupe_topk(d, 25, "text", "belief_id").select("query_id", "belief_id", "score", "rank")
+
+
+@query("hybrid_prior", f"""WITH {V.BELIEFS_SQL}, t AS (SELECT belief_id, confidence, {WEIGHT.format(unscoped='0.05', other='0.15')} AS w FROM beliefs)
+    SELECT belief_id, round(w*(0.85+0.15*confidence)*(0.85+0.15*0.75)*0.99, 6) AS prior FROM t""")
+def hybrid_prior(spark, sf_dir):
+    b = V.beliefs(spark, sf_dir)
+    return b.select("belief_id", F.round(retrieval.prior(S.scope_weight(CONTEXT, True), F.col("confidence"), retrieval.source_quality(F.lit("{}")), F.lit(0.0)), 6).alias("prior"))
+
+
+@query("char_budget_prefix", """WITH t AS (SELECT lang, doc_id, n_chars, sum(n_chars+1) OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS used, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS nth FROM documents)
+    SELECT lang, doc_id, used::BIGINT AS used FROM t WHERE used <= 20000 OR nth = 1""")
+def char_budget_prefix(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
+    return retrieval.budget_prefix(d, "lang", "doc_id", F.col("n_chars"), 20000).select("lang", "doc_id", "used")
+
+
+@query("token_estimate", "SELECT source, sum(greatest(length(text) // 4, 1))::BIGINT AS tokens FROM documents GROUP BY source")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query("contradiction_pairs")
+def contradiction_pairs(spark, sf_dir):
+    b = V.beliefs(spark, sf_dir).where(S.scope_gate(CONTEXT))
+    visible = b.withColumn("scope_weight", S.scope_weight(CONTEXT)).withColumn("pos", F.col("belief_id"))
+    body = F.when(F.col("belief_id") % 2 == 0, F.concat(F.lit("not "), "body")).otherwise(F.col("body"))
+    return retrieval.contradictions(visible.withColumn("body", body), V.benchmark_queries(spark, sf_dir))
+
+
+@query("rare_term_gate")
+def rare_term_gate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return retrieval.rare_term_gate(docs, V.benchmark_queries(spark, sf_dir), 5).select("query_id", "path", "rank", "merged_score")
+
+
+@query("catalog_stubs", r"""WITH t AS (SELECT page_id, regexp_replace(url, '^https?:/', '') AS p FROM pages) SELECT page_id, length(p)<=320 AND regexp_matches(p, '\.[A-Za-z0-9]{1,8}(\s|$)') AND regexp_matches(p, '^/\S+$') AS stub FROM t""")
+def catalog_stubs(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?:/", "").alias("p"))
+    return p.select("page_id", T.is_catalog_stub(F.regexp_replace("p", "^/", "/private/")).alias("stub"))
+
+
+# ---- text ---------------------------------------------------------------------------------------------------------
+
+KEY = r"substring(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), 1, 160)"
+
+
+@query("claim_key_dups", f"""WITH t AS (SELECT doc_id, {KEY.format('text')} AS key FROM documents) SELECT key, count(*) AS n, min(doc_id) AS first_id FROM t GROUP BY key HAVING count(*) > 1""")
+def claim_key_dups(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", T.claim_key(F.col("text")).alias("key"))
+    return d.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("title_summary", r"""SELECT doc_id, substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 600) AS summary FROM documents""")
+def title_summary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.summary_of(F.col("text")).alias("summary"))
+
+
+@query("entropy_runs", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{40,}')) AS n_runs FROM documents""")
+def entropy_runs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("([A-Za-z0-9+/=_-]{40,})"), 1)).cast("long").alias("n_runs"))
+
+
+@query("entropy_spans")
+def entropy_spans(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.entropy_spans(F.col("text")).alias("spans")).where("size(spans) > 0")
+
+
+@query("leak_names")
+def leak_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.secret_leaks(F.col("text")), ",").alias("leaks"), F.array_join(T.injections(F.col("text")), ",").alias("injections"))
+
+
+@query("redaction_counts", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n_mails FROM documents""")
+def redaction_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"), 1)).cast("long").alias("n_mails"))
+
+
+@query("sanitized_lengths")
+def sanitized_lengths(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("clean", T.sanitize(F.col("text")))
+    return d.select("doc_id", F.length("clean").alias("n_clean"), (T.sanitize(F.col("clean")) == F.col("clean")).alias("stable"))
+
+
+@query("scrub_reason_counts")
+def scrub_reason_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.explode(T.scrub_reasons(F.col("text"), F.col("text"), F.lit("sft"))).alias("reason"))
+    return d.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("correction_scores", r"""SELECT conv_id, turn, 0.0::DOUBLE + CASE WHEN regexp_matches(text, '(?i)\bactually\b') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\b(instead|rather)\b') THEN 0.3 ELSE 0 END AS score FROM conversations WHERE NOT regexp_matches(lower(text), '(^|[^a-z])(wrong|incorrect|not|no|nope|never|stop|don.?t|fix|redo|correct|should|supposed|revert|undo|mistake|it.?s|you|try|do|that|actually|instead|rather)([^a-z]|$)')""")
+def correction_scores(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where(~F.lower("text").rlike(r"(^|[^a-z])(wrong|incorrect|not|no|nope|never|stop|don.?t|fix|redo|correct|should|supposed|revert|undo|mistake|it.?s|you|try|do|that|actually|instead|rather)([^a-z]|$)"))
+    return c.select("conv_id", "turn", T.correction_score(F.col("text")).alias("score"))
+
+
+@query("stable_ids", "SELECT doc_id, 'doc_' || substring(sha256(source || chr(0) || lang || chr(0)), 1, 16) AS id, sha256(text) AS content_hash FROM documents")
+def stable_ids(spark, sf_dir):
+    from evergrain.functions.ids import content_hash, stable_id
+
+    return table(spark, sf_dir, "documents").select("doc_id", stable_id("doc", F.col("source"), F.col("lang")).alias("id"), content_hash(F.col("text")).alias("content_hash"))
+
+
+# ---- event log ----------------------------------------------------------------------------------------------------
+
+KINDS = "CASE event_type WHEN 'click' THEN 'evidence_recorded' WHEN 'view' THEN 'compilation_proposed' WHEN 'purchase' THEN 'compilation_decided' WHEN 'error' THEN 'correction_recorded' ELSE 'tombstone_recorded' END"
+
+
+@query("event_kind_digest", f"SELECT {KINDS} AS kind, count(*) AS n_events, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_ts FROM events GROUP BY 1")
+def event_kind_digest(spark, sf_dir):
+    return log.digest(V.event_log(spark, sf_dir))
+
+
+@query("writer_health", f"""WITH e AS (SELECT 'w'||(user_id%5) AS writer, 's'||user_id AS session_id, {KINDS} AS kind, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_id FROM events)
+    SELECT writer, max(ts) AS last_write, max(ts) FILTER (kind IN ('evidence_recorded','correction_recorded')) AS last_useful_write,
+    arg_max(kind, (ts, event_id)) FILTER (kind IN ('evidence_recorded','correction_recorded')) AS last_useful_kind, count(DISTINCT session_id) AS n_sessions, count(*) AS n_events, count(*) FILTER (kind IN ('evidence_recorded','correction_recorded')) AS n_useful FROM e GROUP BY writer""")
+def writer_health(spark, sf_dir):
+    return log.writer_health(V.event_log(spark, sf_dir), ["evidence_recorded", "correction_recorded"])
+
+
+@query("chain_link_lag", "SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events")
+def chain_link_lag(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return log.chain_lag(e, F.col("user_id"), "event_id", "event_id").select("event_id", "user_id", "previous")
+
+
+@query("proposal_decisions", """WITH p AS (SELECT event_id, user_id, last_value(CASE WHEN event_type='view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS prop, event_type, ts FROM events),
+    d AS (SELECT prop, max(event_id) AS dec FROM p WHERE event_type='purchase' AND prop IS NOT NULL GROUP BY prop)
+    SELECT 'evt_'||event_id AS proposal_id, 'bel_'||user_id AS belief_id, CASE WHEN dec IS NULL THEN 'pending' ELSE 'decided' END AS state, CASE WHEN dec IS NOT NULL THEN 'approve' END AS decision FROM p LEFT JOIN d ON p.event_id=d.prop WHERE event_type='view'""")
+def proposal_decisions(spark, sf_dir):
+    return log.proposals(V.event_log(spark, sf_dir)).select("proposal_id", "belief_id", "state", "decision")
+
+
+FOLD_SQL = """WITH p AS (SELECT event_id, user_id, event_type, round(value/1000, 3) AS conf, last_value(CASE WHEN event_type='view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS prop, ts FROM events {where}),
+    a AS (SELECT user_id, event_id AS at, prop FROM p WHERE event_type='purchase' AND prop IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC)=1),
+    b AS (SELECT a.*, v.conf FROM a JOIN p v ON v.event_id=a.prop),
+    c AS (SELECT b.user_id, b.at, b.prop, b.conf,
+        coalesce(bool_or(p.event_type='signup'), false) AS buried, max(p.event_id) FILTER (p.event_type='signup') AS last_tomb,
+        max(p.event_id) FILTER (p.event_type='error' AND p.event_id%2=1 AND (p.event_id>b.prop OR (p.event_id%3=0))) AS last_wrong,
+        coalesce(bool_or(p.event_type='error' AND p.event_id%2=0 AND (p.event_id>b.prop OR p.event_id%3=0)), false) AS demoted FROM b LEFT JOIN p USING (user_id) GROUP BY ALL)
+    SELECT 'bel_'||user_id AS belief_id, 'v'||prop AS body, CASE WHEN last_tomb IS NULL AND last_wrong IS NULL THEN 'current' WHEN coalesce(last_tomb,-1) > coalesce(last_wrong,-1) THEN 'tombstoned' ELSE 'retracted' END AS status,
+    last_tomb IS NULL AND last_wrong IS NULL AS serve, round(CASE WHEN demoted THEN least(CASE WHEN conf=0 THEN 0.5 ELSE conf END, 0.4) ELSE conf END, 6) AS confidence FROM c"""
+
+
+@query("belief_fold", FOLD_SQL.format(where=""))
+def belief_fold(spark, sf_dir):
+    return fold.fold(V.event_log(spark, sf_dir)).select("belief_id", "body", "status", "serve", F.round("confidence", 6).alias("confidence"))
+
+
+@query("belief_fold_asof", FOLD_SQL.format(where="WHERE strftime(ts, '%Y-%m-%dT%H:%M:%S') <= '2024-01-15T00:00:00'"))
+def belief_fold_asof(spark, sf_dir):
+    return fold.fold(V.event_log(spark, sf_dir), at_ts="2024-01-15T00:00:00").select("belief_id", "body", "status", "serve", F.round("confidence", 6).alias("confidence"))
+
+
+@query("hard_blocked", "SELECT DISTINCT 'bel_'||user_id AS target_id FROM events WHERE event_type='error' AND event_id%3=0")
+def hard_blocked(spark, sf_dir):
+    return log.hard_blocked(V.event_log(spark, sf_dir))
+
+
+@query("tumbling_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events FROM events GROUP BY ALL")
+def tumbling_counts(spark, sf_dir):
+    return streams.tumbling(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour")
+
+
+@query("idle_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM s GROUP BY user_id, k""")
+def idle_sessions(spark, sf_dir):
+    return streams.idle_sessions(table(spark, sf_dir, "events"), "ts", "user_id")
+
+
+@query("sliding_7d_errors", """WITH e AS (SELECT user_id, ts FROM events WHERE event_type='error'), w AS (SELECT user_id, unnest(generate_series(0, 6)) AS k, ts FROM e)
+    SELECT date_trunc('day', ts) - k * INTERVAL 1 DAY AS window_start, user_id, count(*) AS n_events FROM w GROUP BY ALL HAVING count(*) >= 2""")
+def sliding_7d_errors(spark, sf_dir):
+    return streams.sliding(table(spark, sf_dir, "events").where("event_type = 'error'"), "ts", "user_id", "7 days", "1 day").where("n_events >= 2")
+
+
+@query("first_event_24h", """WITH r AS (SELECT event_id AS retrieval_id, user_id, ts FROM events WHERE event_type='purchase'), x AS (SELECT retrieval_id, e.event_id FROM r JOIN events e ON e.user_id=r.user_id AND e.ts > r.ts AND e.ts <= r.ts + INTERVAL 24 HOUR WHERE e.event_type IN ('click','error') QUALIFY row_number() OVER (PARTITION BY retrieval_id ORDER BY e.ts, e.event_id)=1)
+    SELECT retrieval_id, event_id AS event_seq FROM x""")
+def first_event_24h(spark, sf_dir):
+    """Only the session rule applies: no served id is named by later events."""
+    e = table(spark, sf_dir, "events")
+    uses = e.where("event_type = 'purchase'").select(F.col("event_id").alias("retrieval_id"), F.col("ts").alias("served_at"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.array(F.lit("none")).alias("served_ids"), F.lit("served").alias("outcome"), F.lit(None).cast("string").alias("feedback_source"))
+    rows = V.event_log(spark, sf_dir).join(e.select(F.col("event_id").alias("event_seq"), F.col("ts").alias("exact")), "event_seq").withColumn("ts", F.col("exact"))
+    return feedback.first_event_after(uses, rows, V.NOW, look=1_000_000).select("retrieval_id", "event_seq")
+
+
+@query("decayed_label_fold", f"""WITH s AS (SELECT user_id AS knowledge_id, CASE WHEN event_type IN ('purchase','signup') THEN 1 WHEN event_type='error' THEN -1 ELSE 0 END AS sg, 0.1 + (event_id % 9)/10.0 AS w, pow(0.5, epoch(TIMESTAMP '{V.NOW}' - ts)/86400/2000) AS d FROM events),
+    g AS (SELECT knowledge_id, sum(sg*w*d) AS score, sum(w*d) AS mass, count(*) AS n, max(w) FILTER (sg=-1 AND w>=0.9-1e-12) AS hard FROM s GROUP BY 1)
+    SELECT knowledge_id, CASE WHEN hard IS NOT NULL THEN 'bad' WHEN mass>=0.6 AND score/mass>=0.35 THEN 'good' WHEN mass>=0.6 AND score/mass<=-0.35 THEN 'bad' ELSE 'neutral' END AS label,
+    round(CASE WHEN hard IS NOT NULL THEN least(0.95,hard) ELSE least(0.95, abs(score)/mass*(n/(n+1))) END, 6) AS confidence FROM g""")
+def decayed_label_fold(spark, sf_dir):
+    rules = feedback.LabelRules(half_life_days=2000.0, hard_bad=0.9 - 1e-12)
+    return feedback.fold_labels(V.signals(spark, sf_dir), now(), rules).select("knowledge_id", "label", F.round("confidence", 6).alias("confidence"))
+
+
+@query("failure_streak", """WITH t AS (SELECT user_id, min(CASE WHEN event_type='error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS u FROM events) SELECT user_id, sum(u)::BIGINT AS streak FROM t GROUP BY user_id""")
+def failure_streak(spark, sf_dir):
+    return ops.failure_streaks(table(spark, sf_dir, "events"), "user_id", F.col("event_id"), F.col("event_type") == "error")
+
+
+# ---- factory ------------------------------------------------------------------------------------------------------
+
+
+@query("sft_segments", """WITH c AS (SELECT *, sum(CASE WHEN role='user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS seg FROM conversations)
+    SELECT conv_id::VARCHAR AS session_id, min(turn) AS trigger_idx, max(turn) FILTER (role='assistant' AND length(trim(text)) >= 80) AS target_idx FROM c WHERE seg > 0 GROUP BY conv_id, seg HAVING max(turn) FILTER (role='assistant' AND length(trim(text)) >= 80) IS NOT NULL""")
+def sft_segments(spark, sf_dir):
+    return factory.exchanges(V.turns(spark, sf_dir)).select("session_id", "trigger_idx", "target_idx")
+
+
+@query("sft_context")
+def sft_context(spark, sf_dir):
+    t = V.turns(spark, sf_dir)
+    return factory.context_windows(t, factory.exchanges(t)).select("session_id", "target_idx", "n_context", "context_chars")
+
+
+@query("sft_labels")
+def sft_labels(spark, sf_dir):
+    t = V.turns(spark, sf_dir)
+    outcomes = t.select("session_id").distinct().select("session_id", (F.col("session_id").cast("long") % 5 == 0).alias("good"), (F.col("session_id").cast("long") % 7 == 0).alias("bad"))
+    return factory.label_exchanges(factory.exchanges(t), t, outcomes).select("session_id", "target_idx", "label", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("next_user_turn", "SELECT conv_id::VARCHAR AS session_id, turn AS turn_idx, min(CASE WHEN role='user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_user FROM conversations")
+def next_user_turn(spark, sf_dir):
+    return factory.next_user_turn(V.turns(spark, sf_dir)).select("session_id", "turn_idx", "next_user")
+
+
+@query("prev_assistant_k", "SELECT conv_id::VARCHAR AS session_id, turn AS turn_idx, max(CASE WHEN role='assistant' AND trim(text)<>'' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS previous_assistant FROM conversations")
+def prev_assistant_k(spark, sf_dir):
+    return factory.previous_assistant(V.turns(spark, sf_dir)).select("session_id", "turn_idx", "previous_assistant")
+
+
+@query("collapsed_turns", """WITH t AS (SELECT conv_id, turn, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS new FROM conversations) SELECT conv_id::VARCHAR AS session_id, sum(new)::BIGINT AS n_turns FROM t GROUP BY conv_id""")
+def collapsed_turns(spark, sf_dir):
+    return factory.collapse(V.turns(spark, sf_dir)).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_turns"))
+
+
+@query("persona_pairs")
+def persona_pairs(spark, sf_dir):
+    return factory.persona_pairs(V.turns(spark, sf_dir)).select("session_id", "turn_idx", F.length("prompt").alias("n_prompt"), F.length("voice").alias("n_voice"))
+
+
+@query("preference_pairs")
+def preference_pairs(spark, sf_dir):
+    """User turns get a stated correction or praise by their index, so that the walk has something to find."""
+    t = V.turns(spark, sf_dir)
+    said = F.when((F.col("role") == "user") & (F.col("turn_idx") % 4 == 2), F.concat(F.lit("that's wrong, not what i asked: "), "text")).otherwise(F.col("text"))
+    return factory.preference_pairs(t.withColumn("text", said)).select("session_id", "gate", "request_idx", "rejected_idx", "correction_idx", "chosen_idx")
+
+
+@query("near_dup_first_wins", f"""WITH t AS (SELECT doc_id, source, {KEY.format('text')} AS key FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY doc_id) AS nth FROM t) SELECT doc_id, source, key, nth = 1 AS first FROM f""")
+def near_dup_first_wins(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", T.claim_key(F.col("text")).alias("key"))
+    return d.withColumn("first", F.row_number().over(Window.partitionBy("source", "key").orderBy("doc_id")) == 1)
+
+
+@query("store_gate")
+def store_gate(spark, sf_dir):
+    e = V.examples(spark, sf_dir).select("dataset", F.col("text").alias("target"), F.col("text").alias("example"), F.col("id").alias("pos"))
+    return factory.store_gate(e).select("dataset", "pos", F.array_join("reasons", ",").alias("reasons"), "state")
+
+
+PRIO = "CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 3 END"
+DATASET = "CASE doc_id % 3 WHEN 0 THEN 'sft' WHEN 1 THEN 'dpo' ELSE 'persona' END"
+
+
+@query("pack_select", f"""WITH t AS (SELECT doc_id AS id, {DATASET} AS dataset, {PRIO} AS p FROM documents WHERE doc_id % 4 <> 0),
+    r AS (SELECT id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY p, sha256('pack:'||dataset||':'||id)) AS selection_rank FROM t)
+    SELECT * FROM r WHERE selection_rank <= CASE dataset WHEN 'sft' THEN 60 WHEN 'dpo' THEN 20 ELSE 30 END""")
+def pack_select(spark, sf_dir):
+    return factory.select_pack(V.examples(spark, sf_dir), "pack", {"sft": 60, "dpo": 20, "persona": 30}).select("id", "dataset", F.col("selection_rank").cast("long").alias("selection_rank"))
+
+
+@query("train_valid_split", f"""WITH t AS (SELECT doc_id AS id, {DATASET} AS dataset FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY sha256('split:'||id), id) AS nth, count(*) OVER (PARTITION BY dataset) AS n FROM t)
+    SELECT id, dataset, CASE WHEN nth <= least(50, n // 10) THEN 'valid' ELSE 'train' END AS split FROM r""")
+def train_valid_split(spark, sf_dir):
+    return factory.split_validation(V.examples(spark, sf_dir).select("id", "dataset"), "split")
+
+
+@query("label_scope_rollup", f"""WITH t AS (SELECT {DATASET} AS dataset, CASE WHEN quality=1 THEN 'good' WHEN quality=0 THEN 'bad' ELSE 'neutral' END AS quality_label FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT dataset, quality_label, count(*) AS n FROM t GROUP BY ROLLUP (dataset, quality_label)""")
+def label_scope_rollup(spark, sf_dir):
+    return V.examples(spark, sf_dir).rollup("dataset", "quality_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("iso_week_growth", "SELECT isoyear(ts) AS iso_year, weekofyear(ts) AS iso_week, event_type, count(*) AS n FROM events GROUP BY ALL")
+def iso_week_growth(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.extract(F.lit("YEAROFWEEK"), "ts").cast("long").alias("iso_year"), F.weekofyear("ts").cast("long").alias("iso_week"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("blind_side_parity", "SELECT item_id, CASE WHEN list_contains(['0','2','4','6','8','a','c','e'], right(sha256('blind:'||item_id), 1)) THEN 'a' ELSE 'b' END AS side FROM benchmark")
+def blind_side_parity(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", factory.blind_side(F.col("item_id"), "blind").alias("side"))
+
+
+@query("exportable", f"""SELECT doc_id AS id, {DATASET} AS dataset FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id % 4 <> 0 AND (doc_id % 10)/10.0 >= 0.5 AND doc_id % 3 <> 2""")
+def exportable(spark, sf_dir):
+    e = V.examples(spark, sf_dir).withColumn("occurred_at", F.lit(None).cast("string")).withColumn("example_json", F.lit("{}"))
+    return factory.exportable(e, min_grade=0.5).select("id", "dataset")
+
+
+@query("blind_scores", """WITH r AS (SELECT item_id, CASE item_id%3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'tie' END AS w, CASE item_id%2 WHEN 0 THEN 'a' ELSE 'b' END AS c FROM benchmark)
+    SELECT count(*) FILTER (w<>'tie' AND w=c) AS wins, count(*) FILTER (w<>'tie' AND w<>c) AS losses, count(*) FILTER (w='tie') AS ties, round(count(*) FILTER (w<>'tie' AND w=c)/count(*) FILTER (w<>'tie'), 6) AS win_rate FROM r""")
+def blind_scores(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    return factory.blind_scores(b.select(F.col("item_id").alias("eval_id"), V.pick(F.col("item_id") % 3, "a", "b", "tie").alias("winner")), b.select(F.col("item_id").alias("eval_id"), V.pick(F.col("item_id") % 2, "a", "b").alias("candidate_side")))
+
+
+# ---- operations ---------------------------------------------------------------------------------------------------
+
+USES_SQL = "u AS (SELECT l_orderkey AS k, count(*) AS served, count(*) FILTER (l_returnflag='A') AS useful FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 3 <> 1 GROUP BY 1)"
+
+
+@query("ttl_prune", f"""WITH {USES_SQL}, r AS (SELECT o_orderkey AS knowledge_id, CASE WHEN o_orderdate < TIMESTAMP '{V.NOW}' - INTERVAL 30 DAY AND served IS NULL THEN 'ttl_unreferenced' WHEN o_orderdate < TIMESTAMP '{V.NOW}' - INTERVAL 14 DAY AND served > 0 AND useful = 0 THEN 'ttl_served_without_usefulness' END AS reason
+    FROM orders LEFT JOIN u ON k=o_orderkey WHERE o_orderkey % 3 <> 2) SELECT * FROM r WHERE reason IS NOT NULL""")
+def ttl_prune(spark, sf_dir):
+    return ops.prune(V.knowledge(spark, sf_dir), V.uses(spark, sf_dir), now())
+
+
+@query("archive_unreferenced", "SELECT o_orderkey AS knowledge_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 3 <> 1) ORDER BY o_orderdate, o_orderkey LIMIT 500")
+def archive_unreferenced(spark, sf_dir):
+    return ops.unreferenced(V.knowledge(spark, sf_dir), V.uses(spark, sf_dir), 500).select("knowledge_id")
+
+
+@query("promote_score_topk", f"""WITH {USES_SQL} SELECT o_orderkey AS knowledge_id, round(0.4*(o_orderkey%10)/10.0 + 0.25*pow(0.5, epoch(TIMESTAMP '{V.NOW}' - o_orderdate)/86400/3000) + 0.2*coalesce(useful,0)/greatest(1,coalesce(served,0)) + 0.15*(o_orderkey%4)/3.0, 6) AS score FROM orders LEFT JOIN u ON k=o_orderkey ORDER BY score DESC, knowledge_id DESC LIMIT 40""")
+def promote_score_topk(spark, sf_dir):
+    rows = V.knowledge(spark, sf_dir).join(ops.use_counts(V.uses(spark, sf_dir)), "knowledge_id", "left")
+    score = ops.promote_score(F.col("quality_confidence"), F.col("updated_at"), F.col("served"), F.col("useful"), F.col("privacy_scope"), now(), 3000)
+    return rows.select("knowledge_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), F.desc("knowledge_id")).limit(40)
+
+
+@query("heal_conflicts", """WITH v AS (SELECT p_partkey AS id, p_brand AS s, p_type AS p, p_size AS n, (p_partkey%10)/10.0 AS c FROM part), g AS (SELECT s, p, arg_max(id, (c, id)) AS w FROM v GROUP BY s, p HAVING count(*)>1 AND max(n)-min(n) > 0)
+    SELECT id AS knowledge_id, w AS superseded_by FROM v JOIN g USING (s, p) WHERE id <> w""")
+def heal_conflicts(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("knowledge_id"), F.col("p_brand").alias("subject"), F.col("p_type").alias("predicate"), F.lit(None).cast("string").alias("project"), F.col("p_size").cast("double").alias("value_numeric"),
+                                            F.lit(None).cast("string").alias("value_text"), F.lit(None).cast("boolean").alias("value_bool"), ((F.col("p_partkey") % 10) / 10.0).alias("confidence"), F.lit("x").alias("updated_at"))
+    return ops.heal_conflicts(p).select("knowledge_id", "superseded_by")
+
+
+@query("family_summary", """WITH r AS (SELECT p_brand AS family, CASE p_partkey%5 WHEN 0 THEN 'kept' WHEN 1 THEN 'failed' WHEN 2 THEN 'reverted' WHEN 3 THEN 'needs_review' ELSE 'skipped' END AS d, CASE p_partkey%4 WHEN 0 THEN 'approach' WHEN 1 THEN 'infra' WHEN 2 THEN 'approach' ELSE 'other' END AS fc, p_size AS delta FROM part),
+    g AS (SELECT family, count(*) AS attempts, count(*) FILTER (d='kept') AS kept, count(*) FILTER (d='failed') AS failed, count(*) FILTER (d='reverted') AS reverted, count(*) FILTER (d='failed' AND fc='approach') AS approach_failures, count(*) FILTER (d='failed' AND fc='infra') AS blocking_failures, round(avg(delta),3) AS mean_delta FROM r GROUP BY 1)
+    SELECT family, attempts, kept, failed, reverted, approach_failures, blocking_failures, mean_delta, CASE WHEN blocking_failures>0 THEN 'blocked' WHEN attempts>=3 AND kept=0 AND approach_failures>=2 THEN 'exhausted' WHEN kept>=2 THEN 'promising' WHEN kept=1 THEN 'needs_more_evidence' ELSE 'unclear' END AS status FROM g""")
+def family_summary(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    rows = p.select(F.col("p_brand").alias("experiment_family"), V.pick(k % 5, "kept", "failed", "reverted", "needs_review", "skipped").alias("decision"), V.pick(k % 4, "approach", "infra", "approach", "other").alias("failure_class"),
+                    F.lit(False).alias("forced"), F.lit("higher_is_better").alias("direction"), F.lit(False).alias("passed"), F.col("p_size").cast("string").alias("delta_value"), F.lit(0).alias("guardrail_failures"))
+    return ops.family_summary(rows).select("family", "attempts", "kept", "failed", "reverted", "approach_failures", "blocking_failures", "mean_delta", "status")
+
+
+@query("tripwire_flags")
+def tripwire_flags(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    k = d.select(F.col("doc_id").alias("knowledge_id"), F.col("text").alias("body"), (F.col("doc_id") % 3 == 0).alias("prescriptive"), F.lit("doc").alias("type"), (F.col("doc_id") % 2 == 0).alias("inject"))
+    e = table(spark, sf_dir, "events")
+    uses = e.select(F.col("user_id").alias("knowledge_id"), F.when(F.col("event_type") == "error", "harmful").otherwise("used").alias("outcome"), F.col("ts").alias("served_at"))
+    links = e.select(F.col("user_id").alias("knowledge_id"), F.col("event_id").alias("evidence_id"), F.when(F.col("event_type") == "signup", "contradicts").otherwise("supports").alias("relation"), F.col("ts").alias("created_at"))
+    ev = e.select(F.col("event_id").alias("evidence_id"), F.col("props").alias("claim"), F.lit("local").alias("source_type"), F.lit("clean").alias("injection_scan_status"), F.when(F.col("event_type") == "purchase", "passed").otherwise("unknown").alias("verifier_status"))
+    sig = e.select(F.col("user_id").alias("knowledge_id"), F.lit("user_thanks").alias("kind"), F.when(F.col("event_type") == "purchase", "good").otherwise("neutral").alias("polarity"))
+    blocked = e.where("event_type = 'error' and event_id % 97 = 0").select(F.col("user_id").alias("target_id")).distinct()
+    return ops.tripwires(k, uses, links, ev, sig, blocked, F.to_timestamp(F.lit("2024-01-20 00:00:00")))
+
+
+@query("knowledge_counts_sets", """SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""")
+def knowledge_counts_sets(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.groupingSets([[F.col("o_orderstatus")], [F.col("o_orderpriority")], []], "o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("feedback_scores", """WITH y AS (SELECT l_orderkey*10+l_linenumber AS rid, l_orderkey AS object_id, CASE l_returnflag WHEN 'R' THEN -4.0::DOUBLE WHEN 'A' THEN 1.0 END AS p FROM lineitem), x AS (SELECT a.object_id, b.p FROM y a JOIN y b USING (rid)), g AS (SELECT object_id, avg(p) AS m FROM x GROUP BY 1) SELECT object_id, round(greatest(least(m*0.006, 0.018), -0.03), 6) AS feedback_boost FROM g WHERE m IS NOT NULL""")
+def feedback_scores(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    rid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    uses = li.select(rid.alias("retrieval_id"), F.when(F.col("l_returnflag") == "R", "harmful").when(F.col("l_returnflag") == "A", "used").otherwise("served").alias("outcome"))
+    found = retrieval.feedback_scores(uses, li.select(rid.alias("retrieval_id"), F.col("l_orderkey").alias("object_id")))
+    return found.select("object_id", F.round("feedback_boost", 6).alias("feedback_boost"))
+
+
+# ---- the relational surface that Spark gives natively -------------------------------------------------------------
+
+
+@query("rel_join_agg", """SELECT n_name, count(DISTINCT c_custkey) AS n_customers, round(sum(o_totalprice), 2) AS total FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN orders ON o_custkey=c_custkey GROUP BY n_name""")
+def rel_join_agg(spark, sf_dir):
+    c, n, o = (table(spark, sf_dir, t) for t in ("customer", "nation", "orders"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return rows.groupBy("n_name").agg(F.count_distinct("c_custkey").alias("n_customers"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("rel_anti_semi", """SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_orderstatus='F') AS has_f FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')""")
+def rel_anti_semi(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    rows = c.join(o, c.c_custkey == o.o_custkey, "left_semi").join(o.where("o_orderpriority like '1%'"), c.c_custkey == o.o_custkey, "left_anti")
+    done = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).distinct().withColumn("f", F.lit(True))
+    return rows.join(done, F.col("c_custkey") == F.col("k"), "left").select("c_custkey", F.coalesce("f", F.lit(False)).alias("has_f"))
+
+
+@query("rel_set_ops", """(SELECT l_partkey AS k FROM lineitem WHERE l_returnflag='R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag='A') EXCEPT SELECT p_partkey FROM part WHERE p_size < 10""")
+def rel_set_ops(spark, sf_dir):
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    k = lambda f: li.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k"))
+    return k("R").intersect(k("A")).exceptAll(p.where("p_size < 10").select(F.col("p_partkey").alias("k")))
+
+
+@query("rel_pricing_summary", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice*(1-l_discount)),2) AS revenue, round(avg(l_discount),6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def rel_pricing_summary(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@query("rel_window_frames", """SELECT o_orderkey, rank() OVER w AS r, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def rel_window_frames(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.rank().over(w).cast("long").alias("r"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("moving"))
