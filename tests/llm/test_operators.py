@@ -1,0 +1,325 @@
+"""The corpus operators against plain versions, on small tables with nulls, empty texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evergrain.llm import bpe, exact_dedup, licenses, media, mixing, ngram_join, quality, sharding, substring_dedup, suffix_array
+from evergrain.llm.components import components
+from evergrain.llm.routing import SPAN, doc_bucket, pack, unpack
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+tokenizers = pytest.importorskip("tokenizers")
+DOCS = "doc_id long, text string, source string, lang string, norm string, digest string, bucket int, shard int, size int"
+
+
+def corpus(seed=3, n=60):
+    """Near copies, copies, shared passages, nulls, empty texts, white space, long words."""
+    rnd = random.Random(seed)
+    words = [f"w{k}" for k in range(60)]
+    base = [rnd.choice(words) for _ in range(260)]
+    texts = [None, "", "  \n ", "a", "a b", "A  b", "x" * 400, "x" * 400]
+    for _ in range(n - len(texts)):
+        a = rnd.randrange(200)
+        t = base[a : a + rnd.randrange(0, 120)] + [rnd.choice(words) for _ in range(rnd.randrange(40))]
+        for _ in range(rnd.randrange(3)):
+            if t:
+                t[rnd.randrange(len(t))] = rnd.choice(words)
+        texts.append(rnd.choice([" ", "  ", "\n"]).join(t))
+        if rnd.random() < 0.2:
+            texts.append(texts[-1])
+    rnd.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(d, t, f"s{(d or 0) % 3}" if (d or 0) % 7 else None, "en", "n", "d", 1, 2, 3) for d, t in rows], DOCS).repartition(3)
+
+
+def brute_repeats(rows, unit, width):
+    cut = {d: (t or "").encode().split() if unit == "words" else [bytes([b]) for b in (t or "").encode()] for d, t in rows}
+    first = {}
+    for d, u in cut.items():
+        for i in range(len(u) - width + 1):
+            key = tuple(u[i : i + width])
+            first[key] = min(first.get(key, d), d)
+    out = {}
+    for d, u in cut.items():
+        gone = [False] * len(u)
+        for i in range(len(u) - width + 1):
+            if first[tuple(u[i : i + width])] < d:
+                gone[i : i + width] = [True] * width
+        kept = (b" " if unit == "words" else b"").join(x for x, g in zip(u, gone) if not g)
+        out[d] = (len(u), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), kept)
+    return out
+
+
+@pytest.mark.parametrize(("unit", "remove", "width", "gram"), [("words", substring_dedup.remove_repeated_words, 50, 12), ("words", substring_dedup.remove_repeated_words, 8, 3), ("bytes", suffix_array.remove_repeated_bytes, 50, 20)])
+def test_repeats(spark, unit, remove, width, gram):
+    rows = corpus()
+    got = remove(frame(spark, rows), width=width, gram=gram).collect()
+    assert {r["doc_id"]: (r["n_units"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == brute_repeats(rows, unit, width)
+
+
+def test_repeats_null_and_repeated_ids(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    got = remove_rows(spark, [(None, long), (5, long), (5, long), (5, long + " z"), (6, long), (None, None)])
+    assert sorted(got, key=str) == sorted([(None, 60, 0), (5, 60, 0), (5, 60, 0), (5, 61, 0), (6, 60, 60), (None, 0, 0)], key=str)
+    assert remove_rows(spark, []) == []
+
+
+def remove_rows(spark, rows):
+    found = substring_dedup.remove_repeated_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    return [(r["doc_id"], r["n_units"], r["n_removed"]) for r in found.collect()]
+
+
+def test_longest_matches_and_suffix_order():
+    rnd = np.random.default_rng(1)
+    for _ in range(60):
+        n = int(rnd.integers(1, 60))
+        s = rnd.integers(1, 4, n)
+        assert suffix_array.difference_cover_order(s).tolist() == sorted(range(n), key=lambda k: s[k:].tolist())
+        label = rnd.integers(0, 4, n)
+        ended = np.concatenate([s, [9]])
+        got = substring_dedup.longest_matches(ended, np.concatenate([label, [0]]))
+        for i in range(n):
+            best = 0
+            for j in range(n):
+                if label[j] < label[i]:
+                    k = 0
+                    while max(i, j) + k < n and s[i + k] == s[j + k]:
+                        k += 1
+                    best = max(best, k)
+            assert got[i] == best
+
+
+def test_packing_and_buckets(spark):
+    data = np.zeros(5, SPAN)
+    data["doc"], data["twin"], data["start"], data["count"] = [-5, 2**60, 0, 7, 7], [1, -1, 0, 3, 2**62], [0, 1, 2, 3, 2**31], 4
+    assert (unpack(pack(data), SPAN)[0] == data).all() and len(unpack(pack(data[:0]), SPAN)[0]) == 0
+    ids = [0, 1, -7, 2**62]
+    want = [r["b"] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(F.pmod(F.xxhash64("id"), F.lit(13)).alias("b")).collect()]
+    assert doc_bucket(np.array(ids), 13).tolist() == want
+
+
+def shingle_set(text, n):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def brute_components(rows, n, part, whole):
+    sets, up = {d: shingle_set(t, n) for d, t in rows}, {d: d for d, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and whole * both >= part * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def near_rows():
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    texts = ["", None, "a", "A", "a b"]
+    for m, n, edits in [(25, 120, 3), (12, 60, 2), (12, 300, 9), (3, 20, 1)]:
+        base = [rnd.choice(words) for _ in range(n)]
+        for _ in range(m):
+            t = list(base)
+            for _ in range(rnd.randint(0, edits)):
+                t[rnd.randrange(n)] = rnd.choice(words)
+            texts.append(" ".join(t))
+    rnd.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize(("n", "similarity", "block"), [(3, (9, 10), 1000), (5, (4, 5), 5)])
+def test_ngram_components(spark, n, similarity, block):
+    rows = near_rows()
+    got = ngram_join.ngram_components(frame(spark, rows), n=n, similarity=similarity, block=block).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, n, *similarity)
+
+
+@pytest.mark.parametrize("similarity", [(9, 10), (4, 5)])
+def test_signs_lose_no_link(similarity):
+    part, whole = similarity
+    rnd = np.random.default_rng(2)
+    for _ in range(1500):
+        a = np.unique(rnd.integers(0, 2**63, int(rnd.integers(1, 300))).astype(np.uint64))
+        k = int(rnd.integers(0, len(a) * (whole - part) // part + 2))
+        drop = min(len(a) - 1, int(rnd.integers(0, k + 1)))
+        b = np.unique(np.concatenate([rnd.permutation(a)[drop:], rnd.integers(0, 2**63, k - drop if k > drop else 0).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if whole * both >= part * (len(a) + len(b) - both):
+            assert len(np.intersect1d(ngram_join.signs(a, similarity), ngram_join.signs(b, similarity)))
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(1, 2), (3, 2), (5, 4), (6, 6), (9, 3), (2, 1)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in components(links).collect()} == {(2, 1), (3, 1), (9, 1), (5, 4)}
+
+
+@pytest.mark.parametrize("nibbles", [64, 1])
+def test_exact_duplicates(spark, nibbles):
+    rows = corpus(7, 40) + [(3, "again"), (3, "again"), (None, "again"), (None, "alone")]
+    got = exact_dedup.exact_duplicates(frame(spark, rows), digest_nibbles=nibbles).collect()
+    norm = lambda t: __import__("re").sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(norm(t), []).append(d)
+    want = sorted((str(d), str(min((x for x in groups[norm(t)] if x is not None), default=None)), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for d, t in rows)
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == want
+    assert sum(r["kept"] for r in got) == len(groups)
+    assert sorted(exact_dedup.drop_duplicates(frame(spark, rows)).columns) == sorted(frame(spark, rows).columns)
+    assert exact_dedup.drop_duplicates(frame(spark, rows)).count() == len(groups)
+
+
+def test_byte_shards(spark):
+    rows = corpus(9, 120) + [(None, "z"), (1, "z"), (1, "z")]
+    got = sharding.byte_shards(frame(spark, rows), 4).collect()
+    assert len(got) == len(rows) and {r["law"] for r in got} == {"bytes"} and all(r["grown_shard"] is None for r in got)
+    assert sorted((r["size"], r["text_crc32"]) for r in got) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in rows)
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(4)]
+    assert max(sizes) - min(sizes) < 0.25 * sum(sizes) / 4
+    for s in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    hot = sharding.byte_shards(frame(spark, [(k, "same text") for k in range(90)] + [(k, str(k)) for k in range(90, 180)]), 4).collect()
+    sizes = [sum(r["size"] for r in hot if r["shard"] == s) for s in range(4)]
+    assert max(sizes) - min(sizes) <= 30
+    assert sharding.byte_shards(frame(spark, []), 4).count() == 0
+
+
+def brute_targets(sizes, share=1.5, most=2.0, weights=(3, 1, 2)):
+    keys = sorted(sizes, key=lambda k: (k is None, (k or "").encode()))
+    weight = {k: weights[i % 3] for i, k in enumerate(keys)}
+    target, left, open_ = {}, share * sum(sizes.values()), set(keys)
+    while open_:
+        level = left / sum(weight[k] for k in open_)
+        full = {k for k in open_ if weight[k] * level > most * sizes[k]}
+        if not full:
+            return target | {k: weight[k] * level for k in open_}
+        for k in full:
+            target[k] = most * sizes[k]
+            left -= target[k]
+        open_ -= full
+    return target
+
+
+def test_mix(spark):
+    rows = corpus(11, 150)
+    df = frame(spark, rows)
+    got = mixing.mix(df, block=4, shard_rows=10).collect()
+    again = mixing.mix(df.repartition(5), block=4, shard_rows=10).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    sizes, taken = {}, {}
+    for r in got:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    targets = brute_targets(sizes)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - targets[r["source"]]) < 1e-6 * max(1, targets[r["source"]])
+    for s in sizes:
+        assert abs(taken[s] - targets[s]) <= 4 * 10
+    assert mixing.mix(frame(spark, [])).count() == 0
+    copies = mixing.mixed_documents(df, block=4, shard_rows=10)
+    assert copies.columns == df.columns and copies.count() > 0
+
+
+def test_apportionment_is_highest_quotients(spark):
+    rnd = random.Random(1)
+    votes = {k: rnd.randint(1, 1000) for k in range(9)}
+    parties = spark.createDataFrame([(k, float(v)) for k, v in votes.items()], "party long, votes double")
+    for seats in (1, 7, 100):
+        won = {k: 0 for k in votes}
+        for _ in range(seats):
+            k = max(votes, key=lambda k: (votes[k] / (2 * won[k] + 1), -k))
+            won[k] += 1
+        got = mixing.apportion(parties, F.lit(seats).cast("long"), [], "votes").collect()
+        assert {r["party"]: r["won"] for r in got} == won
+
+
+def test_bpe(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ref = tokenizers.Tokenizer.from_file(path)
+    texts = ["", None, "a<|endoftext|>b", "  two  spaces \n x", "naïve 漢字 😀 'll I'm 123abc!!", "x" * 5000, "\t\r\n", "a b", "same", "same"]
+    texts += [t for _, t in corpus(2, 30)]
+    got = bpe.encode_decode(frame(spark, list(enumerate(texts))), path).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = ref.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["decoded"] == ref.decode(ids, skip_special_tokens=False)
+
+
+def test_media(spark):
+    texts = ["", None, "abc", "é" * 300, "abc", "z" * 192]
+    got = {r["doc_id"]: r for r in media.store_media(frame(spark, list(enumerate(texts)))).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert bytes(got[k]["payload"]) == raw.ljust(max(192, -(-len(raw) // 192) * 192)) and got[k]["n_bytes"] == len(raw)
+    assert got[2]["media"] == got[4]["media"] and got[2]["feature"] == got[4]["feature"]
+    broken = bytearray(got[3]["media"])
+    broken[60] ^= 1
+    with pytest.raises(media.BadMedia):
+        media.decode_png(bytes(broken))
+
+
+def test_png_filters_and_channels():
+    rnd = np.random.default_rng(0)
+    for channels in (1, 2, 3, 4):
+        image = rnd.integers(0, 256, (7, 5, channels)).astype(np.uint8)
+        assert (media.decode_png(media.encode_png(image)) == image).all()
+    want = rnd.integers(0, 256, (6, 12)).astype(int)  # the filters as the format defines them, three bytes a pixel
+    rows = np.zeros((6, 13), np.uint8)
+    for y in range(6):
+        rows[y, 0] = kind = y % 5
+        for x in range(12):
+            a, b = want[y, x - 3] if x > 2 else 0, want[y - 1, x] if y else 0
+            c = want[y - 1, x - 3] if x > 2 and y else 0
+            near = min((a, b, c), key=lambda v: (abs(a + b - c - v), [a, b, c].index(v)))
+            rows[y, 1 + x] = (want[y, x] - [0, a, b, (a + b) // 2, near][kind]) % 256
+    assert (media._unfilter(rows, 3) == want).all()
+
+
+def test_quality(spark):
+    rnd = random.Random(4)
+    rows = [(k, " ".join(f"w{rnd.randrange(200)}" for _ in range(60)) if k % 4 else "SPAM!! " * 40) for k in range(400)] + [(None, None), (900, ""), (900, "")]
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(400)] + [(None, 1, 0), (901, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.quality_scores(frame(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    tested = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 400 and r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    assert len(tested) > 40 and all(r["predicted"] == int(r["doc_id"] % 4 > 0) for r in tested)
+    assert quality.keep_good(frame(spark, rows), labels).where("text like 'SPAM%'").count() == 0
+    assert {r["score"] for r in quality.quality_scores(frame(spark, rows), labels.limit(0)).collect()} == {0.5}
+
+
+def test_licenses(spark):
+    files = [
+        (1, "a/LICENSE", "Released under the MIT License.\nmore"), (2, "a/b/x.py", "# nothing here"), (3, "a/b/c/LICENSE.txt", "Licensed under the Apache License, Version 2.0."),
+        (4, "a/b/c/y.py", None), (5, "a/b/c/z.py", "text\nLicensed under CC BY-NC 4.0.\n"), (6, "top.py", "print"), (7, None, ""), (8, "q/r/s.py", "the license of the and version"),
+    ]
+    df = spark.createDataFrame([(d, p, t, "x") for d, p, t in files], "doc_id long, path string, text string, license string")
+    got = {r["doc_id"]: (r["own_license"], r["license"], r["inherited_from"]) for r in licenses.scan_licenses(df, F.col("path")).collect()}
+    assert got == {
+        1: ("MIT", "MIT", None), 2: (None, "MIT", "a"), 3: ("Apache-2.0", "Apache-2.0", None), 4: (None, "Apache-2.0", "a/b/c"),
+        5: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 6: (None, None, None), 7: (None, None, None), 8: (None, None, None),
+    }
+    shapes = licenses.Templates(licenses.TEMPLATES, {"the": 50, "license": 5}, 100, 0.6)
+    loose = licenses.Templates(licenses.TEMPLATES, {"the": 50, "license": 5}, 100, 0.6)
+    loose.needed = loose.vocabulary
+    rnd = random.Random(1)
+    for _ in range(500):
+        line = " ".join(rnd.choice(sorted(shapes.vocabulary) + ["zzz"]) for _ in range(rnd.randrange(1, 14)))
+        assert shapes.closest(line) == loose.closest(line)
