@@ -239,7 +239,8 @@ def rare_term_gate(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame
     overlap = F.size(F.array_intersect("wanted", "found"))
     found = found.where(overlap >= F.when(F.size("wanted") >= 3, 2).otherwise(1)).withColumn("score", relevance_of(F.col("wanted"), F.col("found")))
     best = top(found, 1, F.desc("score"), F.asc("nth"), by=("query_id", "path"), name="__one").drop("__one")
-    best = best.withColumn("snippet", F.substring(T.redact_secrets(F.col("chunk")), 1, 1200)).where(F.size(T.injections(F.col("snippet"))) == 0)
+    shown = F.element_at(F.transform(F.array(F.substring(T.redact_secrets(F.col("chunk")), 1, 1200)), lambda s: F.struct(s.alias("snippet"), F.size(T.injections(s)).alias("n_bad"))), 1)
+    best = best.withColumn("shown", shown).where("shown.n_bad = 0").withColumn("snippet", F.col("shown.snippet"))
     return top(best, limit, F.desc("score"), F.asc("path")).withColumn("merged_score", F.greatest(F.lit(0.7), 0.95 - (F.col("rank") - 1) * 0.03))
 
 
