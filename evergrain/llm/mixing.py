@@ -96,7 +96,7 @@ def mix(
 
     pick = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
     order = F.xxhash64(F.lit(seed + 1), "doc_id", "text_hash")
-    dealt = sized.join(F.broadcast(quotas), "key").withColumn("party", F.pmod(pick, F.col("n_shards"))).withColumn("order", order)
+    dealt = sized.join(quotas, "key").withColumn("party", F.pmod(pick, F.col("n_shards"))).withColumn("order", order)
     shards = dealt.groupBy("key", "party").agg(F.sum("size").cast("double").alias("shard_size"), F.first("quota").alias("source_quota"))
     won = apportion(shards, F.col("source_quota"), ["key"], "shard_size").select("key", "party", "shard_size", F.col("won").alias("shard_quota"))
     stream = Window.partitionBy("key", "party").orderBy("order", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
