@@ -242,17 +242,19 @@ def link_cluster(nodes: list[int], sets: list[np.ndarray], similarity: tuple[int
     weight = np.bincount(index.owner, weights=shared, minlength=len(sets))
     order = np.argsort(-weight, kind="stable").tolist()
     largest = -1
-    for k in order:
-        if groups.root(k) == largest:
-            continue
-        asked.add(k)
-        for other in index.search(sets[k], lambda x, k=k: groups.root(x) == groups.root(k)):
-            a, b = groups.root(k), groups.root(other)
-            if groups.join(k, other):
-                size[min(a, b)] = size[a] + size[b]
-        if largest < 0 or size[groups.root(k)] > size[groups.root(largest)]:
-            largest = groups.root(k)
-        largest = groups.root(largest)
+    # a set skipped in a component that another one overtakes is asked later: in the end all outside the largest have been
+    while left := [k for k in order if k not in asked and groups.root(k) != largest]:
+        for k in left:
+            if groups.root(k) == largest:
+                continue
+            asked.add(k)
+            for other in index.search(sets[k], lambda x, k=k: groups.root(x) == groups.root(k)):
+                a, b = groups.root(k), groups.root(other)
+                if groups.join(k, other):
+                    size[min(a, b)] = size[a] + size[b]
+            if largest < 0 or size[groups.root(k)] > size[groups.root(largest)]:
+                largest = groups.root(k)
+            largest = groups.root(largest)
     least: dict[int, int] = {}
     for k in ids:
         r = groups.root(k)

@@ -150,6 +150,25 @@ def test_ngram_components(spark, n, similarity, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, n, *similarity)
 
 
+def test_link_cluster_asks_sets_of_an_overtaken_component():
+    rnd = np.random.default_rng(0)
+    core, extra = np.split(rnd.permutation(np.unique(rnd.integers(0, 2**63, 130).astype(np.uint64)))[:121], [95])
+    x = np.r_[core, extra[:10]]
+    k2 = np.r_[core, extra[15:21]]
+    sets = [np.sort(t) for t in (np.r_[x, extra[10:15]], x, k2, k2[1:], core)]  # k1, x, k2, y2, y1: only x and y1 link the two
+    assert ngram_join.link_cluster(list(range(5)), sets) == [(k, 0) for k in range(1, 5)]
+    for seed in range(200):  # chains of near copies
+        rnd = np.random.default_rng(seed)
+        pool = np.unique(rnd.integers(0, 2**63, 80).astype(np.uint64))
+        chain = [pool[:40]]
+        for _ in range(12):
+            last = chain[int(rnd.integers(len(chain)))]
+            chain.append(np.unique(np.r_[rnd.permutation(last)[: len(last) - int(rnd.integers(0, 4))], rnd.choice(pool, int(rnd.integers(0, 4)))]))
+        rows = [(k, " ".join(map(str, t.tolist()))) for k, t in enumerate(chain)]
+        want = {d: r for d, (_, r) in brute_components(rows, 1, 9, 10).items() if d != r}
+        assert dict(ngram_join.link_cluster(list(range(len(chain))), chain)) == want
+
+
 @pytest.mark.parametrize("similarity", [(9, 10), (4, 5)])
 def test_signs_lose_no_link(similarity):
     part, whole = similarity
