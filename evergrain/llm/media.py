@@ -129,11 +129,15 @@ def _cosines() -> np.ndarray:
 
 
 def cosine_hash(samples: np.ndarray) -> str:
-    """64 bits as hex: which of the 8 x 8 lowest frequencies of the 32 x 32 grey image lie over their median."""
-    grey = samples.mean(axis=2)
-    height, width = grey.shape
+    """64 bits as hex: which of the 8 x 8 lowest frequencies of the 32 x 32 grey image lie over their median.
+
+    Each of the 32 x 32 is the mean of all samples of its cell; on a side of fewer than 32 pixels cells repeat them.
+    """
+    height, width, channels = samples.shape
     tall, wide = (np.arange(SIDE) * height) // SIDE, (np.arange(SIDE) * width) // SIDE
-    small = grey[tall][:, wide]
+    high, broad = (np.maximum(1, np.diff(np.r_[at, n])) for at, n in ((tall, height), (wide, width)))
+    columns = np.add.reduceat(samples.reshape(height, -1), tall, axis=0, dtype=np.int64).reshape(SIDE, width, channels).sum(axis=2)
+    small = np.add.reduceat(columns, wide, axis=1) / (np.outer(high, broad) * channels)
     low = np.round(_cosines() @ small @ _cosines().T, 6).ravel()
     return np.packbits(low > np.median(low[1:])).tobytes().hex()
 

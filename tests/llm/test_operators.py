@@ -294,6 +294,23 @@ def test_media(spark):
         media.decode_png(bytes(broken))
 
 
+@pytest.mark.parametrize(("height", "width", "channels"), [(1, 64, 3), (5, 7, 1), (32, 32, 3), (33, 64, 3), (100, 64, 3), (697, 64, 4)])
+def test_feature_takes_every_pixel(height, width, channels):
+    rnd = np.random.default_rng(height)
+    image = rnd.integers(0, 256, (height, width, channels)).astype(np.uint8)
+    side, low = media.SIDE, media.LOW
+    edges = lambda k, n: slice(k * n // side, max((k + 1) * n // side, k * n // side + 1))
+    small = np.array([[image[edges(y, height), edges(x, width)].mean() for x in range(side)] for y in range(side)])
+    wave = np.array([[np.cos(np.pi * (2 * x + 1) * k / (2 * side)) for x in range(side)] for k in range(low)])
+    found = np.round(wave @ small @ wave.T, 6).ravel()
+    assert media.cosine_hash(image) == np.packbits(found > np.median(found[1:])).tobytes().hex()
+    if height > side:  # what differs only between the corners of the cells
+        other = 255 - image
+        tall, wide = np.arange(side) * height // side, np.arange(side) * width // side
+        other[np.ix_(tall, wide)] = image[np.ix_(tall, wide)]
+        assert media.cosine_hash(other) != media.cosine_hash(image)
+
+
 def test_png_filters_and_channels():
     rnd = np.random.default_rng(0)
     for channels in (1, 2, 3, 4):
