@@ -255,6 +255,7 @@ def _take_texts(units: Units, n: int) -> Callable[[pd.DataFrame, pd.DataFrame],
         if not len(occ):
             return _frame([])
         occ = occ[np.lexsort((occ["start"], occ["twin"], occ["doc"]))]
+        docs = docs[docs["known"]]  # a null id stands as 0 here and must not hide the text of document 0
         texts = {(d, t): x for d, t, x in zip(docs["doc"], docs["twin"], docs["text"], strict=True)}
         at = np.flatnonzero(np.r_[True, (occ["doc"][1:] != occ["doc"][:-1]) | (occ["twin"][1:] != occ["twin"][:-1])])
         seen: dict[tuple[int, bytes], int] = {}  # a text of an anchor -> its entry, that of the smallest document

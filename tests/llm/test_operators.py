@@ -72,6 +72,17 @@ def test_repeats_null_and_repeated_ids(spark):
     assert remove_rows(spark, []) == []
 
 
+@pytest.mark.parametrize(("unit", "remove"), [("words", substring_dedup.remove_repeated_words), ("bytes", suffix_array.remove_repeated_bytes)])
+@pytest.mark.parametrize("nameless", ["x", " ".join(f"v{k}" for k in range(90))])
+def test_repeats_null_id_beside_document_0(spark, unit, remove, nameless):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(0, "a b " + long), (3, long[:-1] + "z"), (5, "c d " + long)]
+    df = spark.createDataFrame([(None, nameless), rows[0], (None, nameless), *rows[1:]], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove(df).collect()}
+    assert got.pop(None) == (len(nameless.split() if unit == "words" else nameless), 0, 0, nameless.encode())
+    assert got == brute_repeats(rows, unit, 50)
+
+
 def remove_rows(spark, rows):
     found = substring_dedup.remove_repeated_words(spark.createDataFrame(rows, "doc_id long, text string"))
     return [(r["doc_id"], r["n_units"], r["n_removed"]) for r in found.collect()]
