@@ -1,8 +1,8 @@
 """Licence scans: sparse TF-IDF cosine of text lines to licence templates, and inheritance along directories.
 
-Each line of a file is a sparse vector over the templates' words; every other word is a dimension of its own with the weight
+Each line of a file, and each run of lines as a notice may be wrapped, is a sparse vector over the templates' words; every other word is a dimension of its own with the weight
 of an unseen word, so a long line about other things stays far from all templates. Document frequencies
-are counted over all lines of all files. A file's licence is that of its closest line. A file without one inherits the licence
+are counted over all lines of all files. A file's licence is that of its closest run of lines. A file without one inherits the licence
 of the nearest directory above it that holds a licence file, found by a join on paths.
 """
 
@@ -27,9 +27,9 @@ TEMPLATES = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3",),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "GNU General Public License Version 2, June 1991"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "GNU General Public License Version 3, 29 June 2007"),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3", "GNU Lesser General Public License Version 3, 29 June 2007"),
     "MIT": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
 }
@@ -50,6 +50,8 @@ class Templates:
         self.vocabulary = {t for notices in templates.values() for n in notices for t in terms(n)}
         self.idf = {t: self._idf(frequency.get(t, 0), n_lines) for t in self.vocabulary}
         self.unseen = self._idf(0, n_lines)
+        #: A notice of n words is wrapped over n lines at most.
+        self.most_lines = max((len(TERM.findall(n.lower())) for notices in templates.values() for n in notices), default=1)
         self.vectors: list[tuple[str, dict[str, float]]] = []
         #: Words of which a line needs one at least: what is left of a template without them lies under the threshold.
         self.needed: set[str] = set()
@@ -72,7 +74,31 @@ class Templates:
 
     def closest(self, line: str) -> tuple[float, str] | None:
         """The best (cosine, licence) at or over the threshold; ties go to the first name."""
-        found = terms(line)
+        return self._closest(terms(line))
+
+    def closest_run(self, text: str) -> tuple[float, str] | None:
+        """closest() over all runs of up to most_lines lines, those without words left out; ties go to the first and shortest run."""
+        lines = [found for line in text.split("\n") if (found := terms(line))]
+        wanted = [not self.needed.isdisjoint(found) for found in lines]
+        known = [not self.vocabulary.isdisjoint(found) for found in lines]
+        best, last = None, -1
+        ahead = [k for k, hit in enumerate(wanted) if hit]
+        for k in ahead:
+            # runs whose first line with a needed word is k; at their ends stand lines with a template's word: others only add length
+            for first in range(max(last + 1, k - self.most_lines + 1), k + 1):
+                if not known[first]:
+                    continue
+                joined: Counter = Counter()
+                for end in range(first, min(len(lines), first + self.most_lines)):
+                    joined.update(lines[end])
+                    if end >= k and known[end]:
+                        found = self._closest(joined)
+                        if found and (best is None or found[0] > best[0] + 1e-12):
+                            best = found
+            last = k
+        return best
+
+    def _closest(self, found: Counter) -> tuple[float, str] | None:
         if self.needed.isdisjoint(found):
             return None
         norm = math.sqrt(sum((n * self.idf.get(t, self.unseen)) ** 2 for t, n in found.items()))
@@ -107,9 +133,10 @@ def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_c
                   templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
     """doc_id, path, own_license, own_score, license, inherited_from for every row.
 
-    own_license is the template closest to any line of the whole text, from cosine `threshold` on; own_score is that cosine (0
-    without one). license is it, or what the nearest directory above has: the licence of the licence file in it with the
-    highest score (ties: the first licence by name). inherited_from is that directory, null where nothing is inherited. A
+    own_license is the template closest to any line or run of lines of the whole text, from cosine `threshold` on; own_score is that
+    cosine (0 without one). license is it, or what the nearest directory above has: the licence of the licence file in it with the
+    highest score (ties: the first licence by name). inherited_from is that directory, null where nothing is inherited; it is empty
+    for the root of relative paths and "/" for that of absolute ones. A
     licence file is one that is_licence_file marks (by default its name says so) and that has a licence. Null texts are
     empty, a null path has no directories, repeated rows are scored one by one, a licence nobody states is null. An
     empty table gives an empty result.
@@ -125,10 +152,7 @@ def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_c
             for text in batch["text"]:
                 lower, best = text.lower(), (0.0, None)
                 if any(t in lower for t in shapes.needed):
-                    for line in text.split("\n"):
-                        found = shapes.closest(line)
-                        if found and found[0] > best[0] + 1e-12:
-                            best = found
+                    best = shapes.closest_run(text) or best
                 names.append(best[1])
                 scores.append(best[0])
             out = batch.drop(columns="text")
@@ -138,14 +162,15 @@ def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_c
     scored = rows.mapInPandas(run, f"doc_id {kind}, path string, is_file boolean, own_license string, own_score double")
     scored = written(scored, "license-scores", compression="zstd")
 
-    directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    directory = F.when(F.col("path").rlike("^/[^/]*$"), "/").otherwise(F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     best = F.struct(-F.col("own_score"), F.col("own_license"))
-    held = scored.where("is_file and own_license is not null and path like '%/%'").groupBy(directory.alias("directory")).agg(F.min_by("own_license", best).alias("held"))
+    held = scored.where("is_file and own_license is not null and path is not null").groupBy(directory.alias("directory")).agg(F.min_by("own_license", best).alias("held"))
     held = written(held, "license-directories")
-    # the directories above a path: its first 1, 2, ... parts
+    # the directories above a path: its root and its first 1, 2, ... parts
     parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
-    folders = scored.where("own_license is null and path like '%/%'").select(directory.alias("folder"), above.alias("above")).distinct()
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
+    above = F.transform(above, lambda d: F.when((d == "") & F.col("path").startswith("/"), "/").otherwise(d))
+    folders = scored.where("own_license is null and path is not null").select(directory.alias("folder"), above.alias("above")).distinct()
     steps = folders.select("folder", F.posexplode("above").alias("depth", "directory"))
     nearest = steps.join(held, "directory").groupBy("folder").agg(F.max_by(F.struct("directory", "held"), "depth").alias("from"))
     nearest = written(nearest, "license-nearest")

@@ -370,3 +370,31 @@ def test_licenses(spark):
     for _ in range(500):
         line = " ".join(rnd.choice(sorted(shapes.vocabulary) + ["zzz"]) for _ in range(rnd.randrange(1, 14)))
         assert shapes.closest(line) == loose.closest(line)
+
+
+def test_licenses_at_the_root_and_over_lines(spark):
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version {}\n\n Everyone is permitted to copy"
+    files = [
+        (1, "LICENSE", "Released under the MIT License."), (2, "src/a.py", ""), (3, "top.py", "x"), (4, "/abs/b.py", ""), (5, None, ""), (6, "lib/COPYING", gpl.format("3, 29 June 2007")), (7, "lib/x/y.py", ""),
+        (8, "old/COPYING", gpl.format("2, June 1991")), (9, "old/z.py", ""), (10, "/LICENSE", "Licensed under CC BY 4.0"), (11, "w.py", "# Licensed under the\n# Apache License,\n#\n# Version 2.0\nimport os"),
+    ]
+    files += [(k, f"v/{k}.txt", "version 2 of 2\nthe gnu general public license") for k in range(20, 40)]  # a common 2 favours GPL-2.0 by the heading alone
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["own_license"], r["license"], r["inherited_from"]) for r in licenses.scan_licenses(df, F.col("path")).collect()}
+    assert {k: got[k] for k in range(1, 12)} == {
+        1: ("MIT", "MIT", None), 2: (None, "MIT", ""), 3: (None, "MIT", ""), 4: (None, "CC-BY-4.0", "/"), 5: (None, None, None), 6: ("GPL-3.0", "GPL-3.0", None), 7: (None, "GPL-3.0", "lib"),
+        8: ("GPL-2.0", "GPL-2.0", None), 9: (None, "GPL-2.0", "old"), 10: ("CC-BY-4.0", "CC-BY-4.0", None), 11: ("Apache-2.0", "Apache-2.0", None),
+    }
+
+
+def test_license_runs_by_brute_force():
+    shapes = licenses.Templates(licenses.TEMPLATES, {"the": 50, "license": 5, "version": 9}, 100, 0.6)
+    rnd = random.Random(2)
+    names = sorted(shapes.vocabulary) + ["zzz"] * 20
+    for _ in range(60):
+        lines = [" ".join(rnd.choice(names) for _ in range(rnd.randrange(4))) for _ in range(rnd.randrange(30))]
+        notice = rnd.choice([n for notices in licenses.TEMPLATES.values() for n in notices]).split()
+        lines[3:3] = [" ".join(notice[k : k + 3]) for k in range(0, len(notice), 3)]
+        full = [x for x in lines if licenses.terms(x)]
+        best = max((shapes.closest(" ".join(full[i:j])) or (0, "") for i in range(len(full)) for j in range(i + 1, min(len(full), i + shapes.most_lines) + 1)), key=lambda x: x[0])
+        assert abs(shapes.closest_run("\n".join(lines))[0] - best[0]) < 1e-9
