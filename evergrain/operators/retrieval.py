@@ -178,12 +178,16 @@ def contradictions(visible: DataFrame, queries: DataFrame, limit: int = 12, most
     """Pairs of visible beliefs that share two terms and differ in negation, best first, per query.
 
     visible: belief_id, body, scope_weight, confidence and the order column `pos`. As the rule has it, `most` rows that share a term
-    with the query (all, where none does) are compared, so a query meets 19,900 pairs at most, whatever the number of beliefs.
+    with the query (the first of all, where none does) are compared, so a query meets 19,900 pairs at most, whatever the number of beliefs.
     """
     rows = visible.select("belief_id", "pos", "scope_weight", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), T.meaningful_terms(F.col("body")).alias("words"), T.has_negation(F.col("body")).alias("negated"))
     asked = queries.select("query_id", T.meaningful_terms(F.col("query")).alias("wanted"))
     hits = asked.select("query_id", F.explode("wanted").alias("t")).join(rows.select("belief_id", F.explode("words").alias("t")), "t").select("query_id", "belief_id").distinct()
     chosen = hits.join(rows, "belief_id").join(asked, "query_id")
+    # a query that no row shares a term with takes the first of all rows: one set of `most`
+    first = rows.orderBy("pos").limit(most)
+    lost = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    chosen = chosen.unionByName(lost.crossJoin(F.broadcast(first)))
     chosen = top(chosen, most, F.asc("pos"), name="nth")
     names = ("belief_id", "nth", "scope_weight", "confidence", "words", "negated")
     left = chosen.select("query_id", "wanted", *[F.col(c).alias(f"a_{c}") for c in names])

@@ -118,6 +118,29 @@ def test_retrieval_pieces(spark):
     assert (found["belief_id"], found["other_belief_id"], found["n_shared"]) == ("a", "b", 3)
 
 
+def test_contradictions_by_brute_force(spark):
+    bodies = ["The worker never uses port nine", "The worker uses port nine", "Nightly backups cannot skip the worker port", "Backups skip the worker port", "Blue fox runs nine miles", "Blue fox never runs nine miles", ""]
+    rows = [(f"b{k}", 10 - k, 1.0 - k / 20, None if k == 2 else 0.9 - k / 10, t) for k, t in enumerate(bodies)]
+    asked = [(1, "worker port"), (2, "zebra quartz"), (3, "is it the"), (4, ""), (5, "fox")]  # 2 to 4 share no term with any row
+    cut = lambda t: [w for w in t.lower().split()]
+    words = lambda t: set(cut(t)) - {"the", "uses", "never", "cannot", "is", "it"}
+    for most in (3, 5, 200):
+        want = {}
+        for q, text in asked:
+            seen = sorted(rows, key=lambda r: r[1])
+            seen = ([r for r in seen if words(r[4]) & words(text)] or seen)[:most]
+            for i, a in enumerate(seen):
+                for b in seen[i + 1 :]:
+                    wa, wb = words(a[4]), words(b[4])
+                    if len(wa & wb) >= 2 and bool({"never", "cannot"} & set(cut(a[4]))) != bool({"never", "cannot"} & set(cut(b[4]))):
+                        value = 1 + len(words(text) & (wa | wb)) / max(1, len(words(text))) + len(wa & wb) / min(len(wa), len(wb))
+                        want[q, a[0], b[0]] = round(value * min(a[2], b[2]) * min(0.5 if r is None else r for r in (a[3], b[3])), 5)
+        df = spark.createDataFrame(rows, "belief_id string, pos long, scope_weight double, confidence double, body string")
+        got = retrieval.contradictions(df, spark.createDataFrame(asked, "query_id long, query string"), limit=99, most=most).collect()
+        assert {(r["query_id"], r["belief_id"], r["other_belief_id"]): round(r["score"], 5) for r in got} == want
+        assert {2, 3, 4} <= {q for q, _, _ in want}
+
+
 def test_ops(spark):
     runs = spark.createDataFrame([("x", k, k in (3, 4)) for k in range(5)] + [("y", 0, True), ("y", 1, False)], "job string, at long, failed boolean")
     assert {r["job"]: r["streak"] for r in ops.failure_streaks(runs, "job", F.col("at"), F.col("failed")).collect()} == {"x": 2, "y": 0}
