@@ -244,6 +244,12 @@ def correction_scores(spark, sf_dir):
     return c.select("conv_id", "turn", T.correction_score(F.col("text")).alias("score"))
 
 
+@query("correction_scores_all")
+def correction_scores_all(spark, sf_dir):
+    """Every turn with all twelve cues, the cap and the praise rule; the SQL of correction_scores leaves turns with cue words out."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.correction_score(F.col("text")).alias("score"))
+
+
 @query("stable_ids", "SELECT doc_id, 'doc_' || substring(sha256(source || chr(0) || lang || chr(0)), 1, 16) AS id, sha256(text) AS content_hash FROM documents")
 def stable_ids(spark, sf_dir):
     from evergrain.functions.ids import content_hash, stable_id

@@ -1,6 +1,7 @@
 """Registered queries against their DuckDB SQL at the smallest scale; the rest of the library without the corpus subpackage."""
 
 import os
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -43,6 +44,26 @@ def test_runs(spark, name):
     assert len(catalog.QUERIES[name](spark, SMALL).columns) > 1
 
 
+def test_correction_scores_of_every_turn(spark, tmp_path):
+    cues = {
+        r"\b(wrong|incorrect|not right|not correct)\b": 0.6, r"\b(that'?s not|not what i|didn'?t (ask|want)|that isn'?t)\b": 0.5, r"\b(should( not| n'?t)? be|shouldn'?t|supposed to be|misunderstood)\b": 0.4,
+        r"\b(revert|undo|roll ?back|the mistake|you broke)\b": 0.4, r"\bactually\b": 0.3, r"\b(instead|rather)\b": 0.3, r"\b(don'?t|do not|stop|never|no longer)\b": 0.3, r"\b(fix|redo|try again|correct(ion)?)\b": 0.3,
+        r"^\s*(no,|nope\b|no\b)": 0.3, r"\bit'?s (actually|not|really|supposed|meant to be)\b": 0.3, r"\byou (said|wrote|put|typed|had|called it|listed|meant)\b": 0.3, r"\bshould (say|read|use|return|point|have|go|include|match|show)\b": 0.4,
+    }
+    praise = r"\b(thanks|thank you|thx|perfect|great|nice|love it|ship it|beautiful|lgtm|awesome|exactly right|looks good|works|wonderful)\b"
+
+    def plain(text):
+        hits = [w for cue, w in cues.items() if re.search(cue, text or "", re.I)]
+        return 0.0 if re.search(praise, text or "", re.I) and max(hits, default=0) < 0.5 else round(min(1.0, sum(hits)), 6)
+
+    texts = [None, "", "that's wrong", "No, it's not what I asked, you wrote x, it should say y", "thanks, actually perfect", "great, but not right", "actually", "use b instead", "misunderstood", "please undo", "do not stop", "try again"]
+    texts += [x for (x,) in duckdb.sql(f"select text from '{SMALL}/conversations.parquet'").fetchall()]
+    pd.DataFrame({"conv_id": range(len(texts)), "turn": 0, "text": texts}).to_parquet(tmp_path / "conversations.parquet")
+    want = {k: plain(x) for k, x in enumerate(texts)}
+    got = [(r["conv_id"], round(r["score"], 6)) for r in catalog.QUERIES["correction_scores_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and dict(got) == want and len(set(want.values())) > 4
+
+
 def test_entry_without_corpus_subpackage(tmp_path):
     root = Path(__file__).resolve().parents[1]
     (tmp_path / "evergrain").mkdir()
