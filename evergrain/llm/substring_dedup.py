@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 
 from .routing import Units, remove_repeats
 
-DEPTH = 6  # names of 2 ** 0 to 2 ** 6 words
+DEPTH = 6  # names of 2 ** 0 to 2 ** 6 words at least; wider windows take more
 
 
-def _names(words: np.ndarray) -> list[np.ndarray]:
+def _names(words: np.ndarray, depth: int) -> list[np.ndarray]:
     """For each power of two the rank of the string of so many words from each place on."""
     out, at = [words], words
-    for k in range(DEPTH):
+    for k in range(depth):
         shifted = np.zeros(len(at), np.int64)
         shifted[: -(1 << k)] = at[1 << k :] + 1
         _, at = np.unique(at * (int(at.max()) + 2) + shifted, return_inverse=True)
@@ -30,9 +30,9 @@ def _names(words: np.ndarray) -> list[np.ndarray]:
 
 
 def _common(names: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of the suffixes at x and y, up to 127 words."""
+    """Length of the common prefix of the suffixes at x and y, up to 2 ** len(names) - 1 words."""
     n, length = len(names[0]), np.zeros(len(x), np.int64)
-    for k in range(DEPTH, -1, -1):
+    for k in range(len(names) - 1, -1, -1):
         a, b = x + length, y + length
         inside = (a < n) & (b < n)
         same = np.zeros(len(x), bool)
@@ -69,9 +69,9 @@ def _nearest_smaller(label: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.where(found, length, 0)
 
 
-def longest_matches(words: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """For each place the longest match (up to 127) of what starts there with a place of a smaller label."""
-    names = _names(words)
+def longest_matches(words: np.ndarray, label: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """For each place the longest match (up to 2 ** (depth + 1) - 1) of what starts there with a place of a smaller label."""
+    names = _names(words, depth)
     order = np.argsort(names[-1], kind="stable")
     common = np.zeros(len(order), np.int64)
     common[1:] = _common(names, order[:-1], order[1:])
@@ -116,6 +116,8 @@ def parse(matches: np.ndarray, begin: np.ndarray, windows: np.ndarray, width: in
 def factor_blocks(width: int):
     """The resolver for routing: texts, their smallest documents and window counts -> the windows that repeat."""
 
+    depth = max(DEPTH, (width - 1).bit_length())  # 2 ** depth words are a window at least
+
     def resolve(texts: list[bytes], labels: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
         words = [t.split() for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -125,7 +127,7 @@ def factor_blocks(width: int):
         codes[ends] = codes.max() + 1 + np.arange(len(ends))  # every text ends with a sign of its own
         begin = ends - sizes
         _, rank = np.unique(labels, return_inverse=True)
-        matches = longest_matches(codes, np.repeat(rank, sizes + 1))
+        matches = longest_matches(codes, np.repeat(rank, sizes + 1), depth)
         flags = parse(matches, begin, counts, width)
         return [flags[b : b + c] for b, c in zip(begin.tolist(), counts.tolist(), strict=True)]
 

@@ -65,6 +65,18 @@ def test_repeats(spark, unit, remove, width, gram):
     assert {r["doc_id"]: (r["n_units"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == brute_repeats(rows, unit, width)
 
 
+@pytest.mark.parametrize("width", [64, 65, 90, 130, 300])
+def test_repeats_of_wide_windows(spark, width):
+    rnd = random.Random(width)
+    base = [f"w{rnd.randrange(40)}" for _ in range(700)]
+    rows = []
+    for d in range(12):
+        a, own = rnd.randrange(300), [f"v{rnd.randrange(9)}" for _ in range(5)]
+        rows.append((d, " ".join(own + base[a : a + rnd.randrange(100, 400)])))
+    got = substring_dedup.remove_repeated_words(frame(spark, rows), width=width, gram=12).collect()
+    assert {r["doc_id"]: (r["n_units"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == brute_repeats(rows, "words", width)
+
+
 def test_repeats_null_and_repeated_ids(spark):
     long = " ".join(f"w{k}" for k in range(60))
     got = remove_rows(spark, [(None, long), (5, long), (5, long), (5, long + " z"), (6, long), (None, None)])
