@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import n_words, text_of, written
 
 WEIGHTS = (3, 1, 2)
-#: Quotients looked at on either side of a party's exact share; all lower ones are won, all higher ones lost.
+#: Quotients looked at on either side of a party's exact share; lower ones count as won, higher ones as lost, which many small parties can belie.
 REACH = 12
 
 
