@@ -1,11 +1,17 @@
 """Jaccard join of word n-gram sets by T-occurrence search (DivideSkip), as connected components of the links.
 
-Two sets with a similarity of at least 9/10 differ in few shingles: if the shingles are dealt to one part more than that by
-their hash, one part at least is the same in both. Sets that share a part are brought into one cluster, which loses no
-link; nearly all clusters are true groups. Each cluster, in blocks of bounded size, is an inverted index. A set is searched
-in it by T-occurrence: its short lists are merged on a heap, what the merge finds often enough is looked up in its long lists by
-binary probes, and what reaches the required overlap is linked. Components need no more than the sets outside the
-largest component of a cluster as queries: any link between components has an end there.
+Which sets are searched together is settled by rare evidence, without losing a link:
+
+1. A set of n shingles that is linked with another has at most D = n - ceil(similarity * n) shingles which the other
+   lacks. Tasks send a share of their shingles, chosen by hash, to buckets, which find those that two documents have. A
+   set with more than D shingles that no other document has is linked with nothing and is done.
+2. The sets that are left order their shingles by document frequency among them, rarest first. Two linked sets
+   share one of their first D + 1 (the prefix filter), so sets that meet in such a shingle come into one cluster.
+3. Each cluster, in blocks of bounded size, is an inverted index. A set is searched in it by T-occurrence: its short
+   lists are merged on a heap, what the merge finds often enough is looked up in its long lists by binary probes, and
+   what reaches the required overlap is linked. Components need no more than the sets outside the largest component of
+   a cluster as queries: any link between components has an end there. Of a cluster with several blocks a query goes
+   only to those that hold one of its first shingles.
 """
 
 from __future__ import annotations
@@ -18,23 +24,31 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_width, text_of, written
 from .components import components
-from .routing import U64, _bucket_of, _dealt, _frame, _mixed, _powers, _unpack, word_units
+from .routing import KEY_BITS, PACKED, U64, _dealt, _frame, _group_starts, _mixed, _powers, _unpack, doc_bucket, word_units
 
 #: Least similarity as a fraction: 100 * intersection >= 90 * union.
 SIMILARITY = (9, 10)
-#: Growth of the size classes that share a number of parts.
-GROWTH = 1.6
+#: Sets of fewer shingles send all of them, larger ones a share that is this many times D.
+SMALL = 200
+SPREAD = 2.5
 #: Sets in a block; clusters of more are searched in several blocks. First queries of such a cluster.
 BLOCK = 1000
 HUBS = 8
-FLUSH = 1 << 20
-SIGN = np.dtype([("key", "u8"), ("doc", "i8")])
+#: Shingles that a task holds before it sends them, and buckets for each shuffle partition.
+FLUSH = 1 << 19
+FINER = 4
+PLACE = np.dtype([("key", "u8"), ("doc", "i8")])
+KEY = np.dtype([("key", "u8")])
+COUNT = np.dtype([("doc", "i8"), ("n", "i8")])
+NEED = np.dtype([("doc", "i8"), ("size", "i8"), ("need", "i8")])
 PAIR = np.dtype([("a", "i8"), ("b", "i8")])
+#: Needed by a set that is no candidate: it is empty, or equal to another that stands for it.
+NEVER = 1 << 40
 
 
 def shingles(raw: bytes, n: int = 3) -> np.ndarray:
@@ -44,89 +58,81 @@ def shingles(raw: bytes, n: int = 3) -> np.ndarray:
         return np.zeros(0, U64)
     k = min(n, len(starts))
     data = np.frombuffer(body, np.uint8)
-    up, down = _powers(1 << max(22, len(data).bit_length()))
+    up, down = _powers(1 << len(data).bit_length())
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(up[: len(data)] * (data + U64(1)), out=sums[1:])
     begin, end = starts[: len(starts) - k + 1], ends[k - 1 :]
     return np.unique(_mixed(_mixed((sums[end] - sums[begin]) * down[begin]) ^ (end - begin).astype(U64)))
 
 
-def size_classes(n: int, similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int, int]]:
-    """(class, parts, parts to spare) for a set of n shingles: for pairs in which it is the smaller set, and the larger."""
+def missing(n: int, similarity: tuple[int, int] = SIMILARITY) -> int:
+    """How many of its n shingles a set may have that a set it is linked with lacks."""
     part, whole = similarity
-    out = []
-    k = max(0, int(math.log(max(1, n)) / math.log(GROWTH)) - 2)
-    while True:
-        low, high = int(GROWTH**k), int(GROWTH ** (k + 1))
-        if low > n:
-            return out
-        if high > low and n <= (high - 1) * whole // part:
-            differ = (high - 1 + (high - 1) * whole // part) * (whole - part) // (part + whole)
-            spare = differ // 50 + 1 if differ else 0
-            out.append((k, differ + 1 + spare, spare))
-        k += 1
-
-
-def signs(tokens: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
-    """A hash for each part of the set in each of its classes.
-
-    There are a few parts more than shingles by which two linked sets can differ, so several parts agree. Parts of one
-    shingle or none say little and are left out, unless there are more of them than the parts to spare.
+    return n - -(-part * n // whole)
+
+
+def _evidence(n: int, words: int, similarity: tuple[int, int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per task: shingles of the sets it met, one document for equal sets; links of the others to it; what each set needs.
+
+    Kinds of rows: 0 shingles with their document, 1 shingles of documents that do not count them, 2 shingles that two
+    documents of the task have; 3 shared shingles of a document, 4 what it needs, 5 links.
     """
-    found = []
-    for k, parts, spare in size_classes(len(tokens), similarity):
-        where = (tokens >> U64(20)) % U64(parts)
-        order = np.argsort(where, kind="stable")
-        counts = np.bincount(where.astype(np.int64), minlength=parts)
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(_mixed(tokens[order]), dtype=U64)])
-        ends = np.cumsum(counts)
-        total = sums[ends] - sums[ends - counts]
-        sign = _mixed(total + U64(k * 0x9E3779B97F4A7C15 % (1 << 64)) + np.arange(parts, dtype=U64) * U64(0xD6E8FEB86659FD93) + counts.astype(U64))
-        strong = counts > 1
-        found.append(sign if (~strong).sum() > spare else sign[strong])
-    return np.concatenate(found) if found else np.zeros(0, U64)
-
-
-def _sign_tables(n: int, words: int, similarity: tuple[int, int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per task: signs of the sets it met, one document for equal sets; links of the others to it; set sizes."""
+    part, whole = similarity
+    every = max(1, int(1 / (SPREAD * max(0.01, 1 - part / whole))))
+    key_bits = U64((1 << KEY_BITS) - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first: dict[bytes, int] = {}
-        held: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
+        owners: list[tuple[int, int, bool]] = []  # document, shingles sent, all of them count
         links: list[tuple[int, int]] = []
         size = 0
 
         def send() -> pd.DataFrame:
-            sent = np.concatenate(held) if held else np.zeros(0, SIGN)
+            keys = np.concatenate(tokens) if tokens else np.zeros(0, U64)
+            sent, docs = [o[1] for o in owners], np.array([o[0] for o in owners], np.int64)
+            doc = np.repeat(docs, sent)
+            counted = np.repeat(np.array([o[2] for o in owners], bool), sent) | ((keys >> U64(8)) % U64(every) == 0)
+            order = np.argsort(keys, kind="stable")
+            keys, doc, counted = keys[order], doc[order], counted[order]
+            at = _group_starts(keys)
+            long = np.diff(np.r_[at, len(keys)])
+            two = np.repeat(np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at), long) if len(at) else np.zeros(0, bool)
+            met, times = np.unique(doc[two & counted], return_counts=True)
+            bucket = ((keys >> U64(KEY_BITS)) % U64(n)).astype(np.int64)
+            rows = []
+            for kind, chosen in ((0, ~two & counted), (1, ~two & ~counted)):
+                rows += _dealt(kind, bucket[chosen], _array(PLACE, keys[chosen] & key_bits, doc[chosen]))
+            known = at[two[at]] if len(at) else at
+            rows += _dealt(2, bucket[known], _array(KEY, keys[known] & key_bits))
+            rows += _dealt(3, doc_bucket(met, n), _array(COUNT, met, times))
             pairs = np.array(links, np.int64).reshape(-1, 2)
-            linked = np.empty(len(pairs), PAIR)
-            linked["a"], linked["b"] = pairs[:, 0], pairs[:, 1]
-            spread = _mixed(linked["a"].view(U64))
-            return _frame(_dealt(0, _bucket_of(sent["key"], n), sent) + _dealt(1, _bucket_of(spread, n), linked))
+            rows += _dealt(5, doc_bucket(pairs[:, 0], n), _array(PAIR, pairs[:, 0], pairs[:, 1]))
+            return _frame(rows)
 
         for batch in batches:
-            sizes = []
+            needs: list[tuple[int, int, int]] = []
             for doc, text in zip(batch["doc"].tolist(), batch["text"], strict=True):
-                tokens = shingles(text.encode("utf-8", "replace"), words)
-                sizes.append((doc, len(tokens)))
-                if not len(tokens):
+                own = shingles(text.encode("utf-8", "replace"), words)
+                k = len(own)
+                same = first.setdefault(own.tobytes() if k < 4 else _digest(own), doc) if k else doc
+                if not k or same != doc:
+                    needs.append((doc, k, NEVER))
+                    if k:
+                        links.append((doc, same))
                     continue
-                same = first.setdefault(tokens.tobytes() if len(tokens) < 4 else _digest(tokens), doc)
-                if same != doc:
-                    links.append((doc, same))
-                    continue
-                sign = signs(tokens, similarity)
-                part = np.empty(len(sign), SIGN)
-                part["key"], part["doc"] = sign, doc
-                held.append(part)
-                size += len(part)
-            counted = np.array(sizes, np.int64).reshape(-1, 2)
-            table = np.empty(len(counted), PAIR)
-            table["a"], table["b"] = counted[:, 0], counted[:, 1]
-            yield _frame(_dealt(2, _bucket_of(_mixed(table["a"].view(U64)), n), table))
+                chosen = (own >> U64(8)) % U64(every) == 0
+                n_counted = k if k < SMALL else int(chosen.sum())
+                sent = own if k * part < SMALL * whole else own[chosen]
+                needs.append((doc, k, n_counted - missing(k, similarity)))
+                owners.append((doc, len(sent), k < SMALL))
+                tokens.append(sent)
+                size += len(sent)
+            table = np.array(needs, np.int64).reshape(-1, 3)
+            yield _frame(_dealt(4, doc_bucket(table[:, 0], n), _array(NEED, *table.T)))
             if size >= FLUSH:
                 yield send()
-                first, held, links, size = {}, [], [], 0
+                first, tokens, owners, links, size = {}, [], [], [], 0
         yield send()
 
     return run
@@ -169,20 +175,44 @@ def _rows(kind: int, a, b) -> pd.DataFrame:
     return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)})
 
 
-def _near(group: pd.DataFrame) -> pd.DataFrame:
-    """Documents that share a sign, as a forest (kind 0); links (1) and sizes (2) pass through."""
-    sign = _unpack(group, 0, SIGN)
-    sign = sign[np.lexsort((sign["doc"], sign["key"]))]
-    at = np.flatnonzero(np.r_[True, sign["key"][1:] != sign["key"][:-1]]) if len(sign) else np.zeros(0, np.int64)
-    least = np.repeat(sign["doc"][at], np.diff(np.r_[at, len(sign)])) if len(at) else sign["doc"]
-    pairs = np.unique(np.stack([sign["doc"], least], axis=1)[sign["doc"] != least], axis=0) if len(sign) else np.zeros((0, 2), np.int64)
-    groups = Groups()
-    for x, y in pairs.tolist():
-        groups.join(x, y)
-    forest = [(x, groups.root(x)) for x in groups.up]
-    forest = [(x, y) for x, y in forest if x != y]
-    links, sizes = _unpack(group, 1, PAIR), _unpack(group, 2, PAIR)
-    return pd.concat([_rows(0, [x for x, _ in forest], [y for _, y in forest]), _rows(1, links["a"], links["b"]), _rows(2, sizes["a"], sizes["b"])])
+def _array(dtype: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns[0]), dtype)
+    for name, column in zip(dtype.names or (), columns, strict=True):
+        out[name] = column
+    return out
+
+
+def _met(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Shingles of a bucket that two documents have, as counts of their documents."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        counting, other = _unpack(group, 0, PLACE), _unpack(group, 1, PLACE)
+        known = np.unique(_unpack(group, 2, KEY)["key"])
+        counts = np.repeat([True, False], [len(counting), len(other)])
+        both = np.concatenate([counting, other])
+        order = np.argsort(both["key"], kind="stable")
+        both, counts = both[order], counts[order]
+        at = _group_starts(both["key"])
+        if not len(at):
+            return _frame([])
+        two = np.minimum.reduceat(both["doc"], at) != np.maximum.reduceat(both["doc"], at)
+        two |= np.isin(both["key"][at], known)
+        chosen = np.repeat(two, np.diff(np.r_[at, len(both)])) & counts
+        doc, times = np.unique(both["doc"][chosen], return_counts=True)
+        return _frame(_dealt(3, doc_bucket(doc, n), _array(COUNT, doc, times)))
+
+    return run
+
+
+def _left(group: pd.DataFrame) -> pd.DataFrame:
+    """Documents that may be linked (kind 0), links of equal sets (1), set sizes (2)."""
+    need, met, links = _unpack(group, 4, NEED), _unpack(group, 3, COUNT), _unpack(group, 5, PAIR)
+    need = need[np.argsort(need["doc"], kind="stable")]
+    docs = np.unique(need["doc"])
+    have = np.zeros(len(docs), np.int64)
+    np.add.at(have, np.searchsorted(docs, met["doc"]), met["n"])
+    enough = np.unique(need["doc"][have[np.searchsorted(docs, need["doc"])] >= need["need"]])
+    return pd.concat([_rows(0, enough, enough), _rows(1, links["a"], links["b"]), _rows(2, need["doc"], need["size"])])
 
 
 class Index:
@@ -262,23 +292,38 @@ def link_cluster(nodes: list[int], sets: list[np.ndarray], similarity: tuple[int
     return [(nodes[k], least[groups.root(k)]) for k in ids if nodes[k] != least[groups.root(k)]]
 
 
-TOKENS = "bucket int, cluster long, block int, n_blocks int, node long, tokens binary"
-
-
-def _tokens_of(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _sets_of(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t.encode("utf-8", "replace"), words).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({c: batch[c] for c in ("bucket", "cluster", "block", "n_blocks", "node")} | {"tokens": sets})
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                sets = [shingles(t.encode("utf-8", "replace"), words) for t in part["text"]]
+                yield pd.DataFrame({"node": part["node"], "n": [len(x) for x in sets], "tokens": [x.view(np.int64) for x in sets]})
 
     return run
 
 
+def _first_shingles(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(node, token): the first D + 1 shingles of each set by document frequency, without those that no other set has.
+
+    A set with more than D of the latter is left out. Counts combine on the map side; a shingle that very many sets have
+    is a skewed key of the join, which splits, and never stands in one group.
+    """
+    part, whole = similarity
+    tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    need = F.ceil(F.col("n") * part / whole)
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    shared = F.count(F.lit(1)).over(Window.partitionBy("node"))
+    ranked = tokens.join(often, "token").select("node", "token", "n", nth.alias("nth"), shared.alias("shared"))
+    return ranked.where((F.col("shared") >= need) & (F.col("nth") <= F.col("shared") - need + 1)).select("node", "token")
+
+
 def _link_bucket(similarity: tuple[int, int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         for _, part in group.groupby("cluster"):
-            out += link_cluster(part["node"].tolist(), [np.frombuffer(t, U64) for t in part["tokens"]], similarity)
+            out += link_cluster(part["node"].tolist(), [t.view(U64) for t in part["tokens"]], similarity)
         return _rows(1, [x for x, _ in out], [y for _, y in out])
 
     return run
@@ -289,12 +334,12 @@ def _search_block(similarity: tuple[int, int]) -> Callable[[pd.DataFrame, pd.Dat
 
     def run(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         nodes = block["node"].tolist()
-        index, out = Index([np.frombuffer(t, U64) for t in block["tokens"]], similarity), []
+        index, out = Index([t.view(U64) for t in block["tokens"]], similarity), []
         groups = Groups()
         number = {node: k for k, node in enumerate(nodes)}
         for node, tokens in sorted(zip(queries["node"].tolist(), queries["tokens"], strict=True)):
             own = number.setdefault(node, len(number))
-            for k in index.search(np.frombuffer(tokens, U64), lambda x, own=own: groups.root(x) == groups.root(own)):
+            for k in index.search(tokens.view(U64), lambda x, own=own: groups.root(x) == groups.root(own)):
                 if groups.join(own, k):
                     out.append((node, nodes[k]))
         return _rows(1, [x for x, _ in out], [y for _, y in out])
@@ -302,16 +347,22 @@ def _search_block(similarity: tuple[int, int]) -> Callable[[pd.DataFrame, pd.Dat
     return run
 
 
-def _search_large(tokens: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Links of clusters with several blocks: a few hubs against all blocks, then all sets outside the largest component."""
-    blocks = tokens.select("cluster", "block").distinct()
+def _search_large(tokens: DataFrame, first: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links of clusters with several blocks: a few hubs first, then all sets outside the largest component.
+
+    A query meets only the blocks that hold one of its first shingles, so it is sent no oftener than it has partners.
+    """
+    first = first.join(tokens.select("node", "cluster", "block"), "node")
+    held = first.select("token", "cluster", "block").distinct()
 
     def asked(queries: DataFrame) -> DataFrame:
-        sent = queries.select(*[F.col(c).alias(c) for c in ("cluster", "node", "tokens")]).join(blocks, "cluster")  # names of their own
-        sent = sent.select(*[F.col(c).alias(c) for c in ("cluster", "block", "node", "tokens")])
+        goes = first.join(queries.select("node").distinct(), "node", "left_semi").select("node", "token", "cluster")
+        goes = goes.join(held, ["token", "cluster"]).select("node", "cluster", "block").distinct()
+        sent = goes.join(queries.select(*[F.col(c).alias(c) for c in ("node", "tokens")]), "node")
+        sent = sent.select(*[F.col(c).alias(c) for c in ("cluster", "block", "node", "tokens")])  # names of their own
         return tokens.groupBy("cluster", "block").cogroup(sent.groupBy("cluster", "block")).applyInPandas(_search_block(similarity), ROWS)
 
-    by_hash = F.row_number().over(_window("cluster", "block", F.xxhash64("node")))
+    by_hash = F.row_number().over(Window.partitionBy("cluster", "block").orderBy(F.xxhash64("node")))
     hubs = tokens.withColumn("__nth", by_hash).where(f"__nth = 1 and block < {HUBS}")
     links = written(asked(hubs), "hub-links")
     roots = components(links, name="hub-components")
@@ -323,12 +374,6 @@ def _search_large(tokens: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return links.unionByName(written(asked(rest), "rest-links"))
 
 
-def _window(*keys):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys[:-1]).orderBy(keys[-1])
-
-
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, similarity: tuple[int, int] = SIMILARITY,
                      block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
@@ -339,29 +384,34 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id are one document with several texts: they share a component. A null id links with nothing and its component is null. Ids
     are whole numbers. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
+    width = shuffle_width(docs.sparkSession) * FINER
     named = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
     known = named.where("doc is not null")
-    signed = known.mapInPandas(_sign_tables(width, n, similarity), "bucket int, kind int, packed binary")
-    near = written(signed.groupBy("bucket").applyInPandas(_near, ROWS), "near", compression="zstd")
-
-    clusters = components(near.where("kind = 0"), name="clusters")
+    evidence = written(known.mapInPandas(_evidence(width, n, similarity), PACKED), "evidence")
+    met = evidence.where("kind < 3").groupBy("bucket").applyInPandas(_met(width), PACKED)
+    judged = written(evidence.where("kind >= 3").unionByName(met).groupBy("bucket").applyInPandas(_left, ROWS), "judged", compression="zstd")
+
+    # a merge join at every size: the sets that are left grow with the input, and their shingles are made in one pass
+    texts = known.withColumnRenamed("doc", "node").join(judged.where("kind = 0").select(F.col("a").alias("node")).hint("merge"), "node")
+    sets = written(texts.mapInPandas(_sets_of(n), "node long, n long, tokens array<long>"), "sets")
+    first = written(_first_shingles(sets, similarity), "first-shingles", compression="zstd")
+    least = first.groupBy("token").agg(F.min("node").alias("least"))
+    met_in = first.join(least, "token").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+    clusters = components(met_in, name="clusters")
     members = clusters.select("node", F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
     counted = clusters.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("n_sets")).withColumnRenamed("root", "cluster")
     members = members.join(counted, "cluster").withColumn("n_blocks", F.ceil(F.col("n_sets") / block).cast("int"))
     members = written(members, "members").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     members = members.withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(width)).cast("int"))
-    # a merge join at every size: the members grow with the input, and their tokens are made in one pass
-    texts = known.withColumnRenamed("doc", "node").join(members.hint("merge"), "node").select("bucket", "cluster", "block", "node", "n_blocks", "text")
-    tokens = written(texts.mapInPandas(_tokens_of(n), TOKENS), "tokens")
+    tokens = members.join(sets.select("node", "tokens"), "node")
     links = tokens.where("n_blocks = 1").groupBy("bucket").applyInPandas(_link_bucket(similarity), ROWS)
-    links = written(links.unionByName(near.where("kind = 1")), "links")
-    large = tokens.where("n_blocks > 1")
-    if not large.isEmpty():
-        links = links.unionByName(_search_large(large, similarity))
+    links = written(links.unionByName(judged.where("kind = 1")), "links")
+    if not members.where("n_blocks > 1").isEmpty():
+        large = written(tokens.where("n_blocks > 1"), "large-clusters")
+        links = links.unionByName(_search_large(large, first, similarity))
     roots = components(links, name="linked")
-    sized = near.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
+    sized = judged.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     found = sized.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     if named.where("doc is null").isEmpty():
         return found

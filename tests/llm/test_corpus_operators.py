@@ -192,18 +192,37 @@ def test_link_cluster_asks_sets_of_an_overtaken_component():
         assert dict(ngram_join.link_cluster(list(range(len(chain))), chain)) == want
 
 
-@pytest.mark.parametrize("similarity", [(9, 10), (4, 5)])
-def test_signs_lose_no_link(similarity):
+@pytest.mark.parametrize(("similarity", "block"), [((9, 10), 1000), ((4, 5), 1000), ((4, 5), 6), ((1, 2), 1000)])
+def test_ngram_components_at_the_edge(spark, similarity, block):
+    """Sets of 1 to 900 shingles and copies of them whose similarity lies around the bound, among passages that many share."""
     part, whole = similarity
-    rnd = np.random.default_rng(2)
-    for _ in range(1500):
-        a = np.unique(rnd.integers(0, 2**63, int(rnd.integers(1, 300))).astype(np.uint64))
-        k = int(rnd.integers(0, len(a) * (whole - part) // part + 2))
-        drop = min(len(a) - 1, int(rnd.integers(0, k + 1)))
-        b = np.unique(np.concatenate([rnd.permutation(a)[drop:], rnd.integers(0, 2**63, k - drop if k > drop else 0).astype(np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        if whole * both >= part * (len(a) + len(b) - both):
-            assert len(np.intersect1d(ngram_join.signs(a, similarity), ngram_join.signs(b, similarity)))
+    rnd = random.Random(part)
+    passage = [f"p{k}" for k in range(300)]
+    rows = [(0, None), (1, ""), (2, "one"), (3, "One")]
+    for g in range(45):
+        n = rnd.choice([1, 2, 3, 7, 30, 120, 190, 210, 240, 500, 900])
+        base = [f"g{g}w{k}" for k in range(n)]
+        if rnd.random() < 0.5:
+            at = rnd.randrange(n)
+            base[at:at] = passage[: rnd.randrange(1, 300)]
+        for _ in range(rnd.randrange(1, 6)):
+            t = list(base)
+            for _ in range(rnd.randrange(0, max(2, int(1.3 * len(t) * (whole - part) / whole / 3)))):
+                t[rnd.randrange(len(t))] = f"e{rnd.randrange(10**9)}"
+            rows.append((len(rows), " ".join(t)))
+    got = ngram_join.ngram_components(frame(spark, rows), similarity=similarity, block=block).collect()
+    want = brute_components(rows, 3, part, whole)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert 20 < len({c for _, c in want.values()}) < len(rows) - 20
+
+
+def test_ngram_components_of_odd_tables(spark):
+    assert ngram_join.ngram_components(frame(spark, [])).collect() == []
+    long = " ".join(f"w{k}" for k in range(400))
+    rows = [(None, long), (None, None), (7, long), (7, "other words of its own"), (9, long + " end"), (4, "other words of its own"), (1, "x " * 60_000), (2, "X\n" * 70_000)]
+    got = ngram_join.ngram_components(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted(
+        [(None, 398, None), (None, 0, None), (7, 398, 4), (7, 3, 4), (9, 399, 4), (4, 3, 4), (1, 1, 1), (2, 1, 1)], key=str)
 
 
 def test_components(spark):
@@ -292,6 +311,82 @@ def test_apportionment_is_highest_quotients(spark):
         assert {r["party"]: r["won"] for r in got} == won
 
 
+@pytest.mark.parametrize("votes", [[1000.0] + [0.49] * 60, [300.0, 300.0] + [1.5] * 90, [5.0] * 40, [0.0, 0.0, 7.0], [3.0, 9.0, 15.0, 1.0]])
+def test_apportionment_of_many_small_parties(spark, votes):
+    parties = spark.createDataFrame(list(enumerate(votes)), "party long, votes double")
+    for seats in (0, 3, 50, 1029):
+        won = [0] * len(votes)
+        for _ in range(seats):
+            k = max(range(len(votes)), key=lambda k: (votes[k] / (2 * won[k] + 1), -k))
+            won[k] += 1
+        got = mixing.apportion(parties, F.lit(seats).cast("long"), [], "votes").collect()
+        assert [w for _, w in sorted((r["party"], r["won"]) for r in got)] == won
+    both = parties.withColumn("g", F.lit("a")).unionByName(parties.withColumn("g", F.lit("b")))
+    got = mixing.apportion(both, F.when(F.col("g") == "a", 3).otherwise(50).cast("long"), ["g"], "votes").collect()
+    assert sum(r["won"] for r in got if r["g"] == "a") == 3 and sum(r["won"] for r in got if r["g"] == "b") == 50
+
+
+def test_mixed_documents_repeat_what_the_mix_takes(spark):
+    rows = corpus(5, 90) + [(3, "again and again"), (3, "again and again"), (3, "another text of this id"), (None, "no id here")]
+    df = frame(spark, rows)
+    taken = {}
+    for r in mixing._mixed_rows(df, block=4, shard_rows=10).collect():
+        if r["size"]:
+            key = (r["doc_id"], r["text_hash"])
+            taken[key] = taken.get(key, 0) + int(np.floor(r["taken"] / r["size"] + 0.5))
+    hashed = mixing.mixed_documents(df, block=4, shard_rows=10).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    got = {}
+    for r in hashed:
+        got[r["doc_id"], r["h"]] = got.get((r["doc_id"], r["h"]), 0) + 1
+    assert got == {k: n for k, n in taken.items() if n}
+    assert mixing.mixed_documents(frame(spark, [])).count() == 0
+
+
+def test_shards_keep_groups_whole(spark):
+    rnd = random.Random(4)
+    rows = [(k, f"own text number {k} " * rnd.randrange(1, 5)) for k in range(600)]
+    for g, n in enumerate([75, 60, 60, 30, 12, 12, 3]):  # of one shard in eight's bytes: up to most of it
+        rows += [(len(rows) + k, f"shared text {g} " * 6) for k in range(n)]
+    got = sharding.byte_shards(frame(spark, rows), 8).collect()
+    where = {}
+    for r in got:
+        where.setdefault(r["text_sha256"], set()).add(r["shard"])
+    assert all(len(s) == 1 for s in where.values())
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(sizes) - min(sizes) < 0.05 * sum(sizes) / 8
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    rows += [(len(rows) + k, "one group larger than any shard") for k in range(3000)]  # only this one is cut
+    got = sharding.byte_shards(frame(spark, rows), 8).collect()
+    where = {}
+    for r in got:
+        where.setdefault(r["text_sha256"], set()).add(r["shard"])
+    assert sum(len(s) > 1 for s in where.values()) == 1
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(sizes) - min(sizes) < 0.05 * sum(sizes) / 8
+
+
+def test_levels_take_later_batches(spark):
+    rows = [(k, t) for k, t in corpus(13, 60)]
+    first, second = [r for r in rows if r[0] % 2], [r for r in rows if r[0] % 2 == 0] + [(500, "only here"), (501, "only  here"), (None, None)]
+    old, new = frame(spark, first), frame(spark, second)
+    level = exact_dedup.compact(exact_dedup.flush(old))
+    kept = exact_dedup.drop_duplicates(old)
+    norm = lambda t: __import__("re").sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    left, merged = exact_dedup.add_batch(level, kept, new)
+    before = {norm(t) for _, t in first}
+    want = {}
+    for d, t in second:
+        if norm(t) not in before:
+            want.setdefault(norm(t), []).append(d)
+    assert left.columns == new.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(min(x for x in ids if x is not None) for ids in want.values())
+    everything = exact_dedup.compact(exact_dedup.flush(old.unionByName(new)))
+    show = lambda f: sorted((r["digest"], str(r["first"]["doc_id"]), r["group_size"]) for r in f.collect())
+    assert show(merged) == show(everything)
+    assert exact_dedup.exact_duplicates(frame(spark, [])).count() == 0
+
+
 def test_bpe(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     ref = tokenizers.Tokenizer.from_file(path)
