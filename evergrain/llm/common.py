@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Runs of ASCII white space, and of everything else, as Java and RE2 patterns.
@@ -33,7 +33,16 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evergrain/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path  # type: ignore[attr-defined]
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what written() stored, once later tables hold all that is wanted of it."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -47,3 +56,21 @@ def text_of(col: str = "text") -> Column:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], name: str) -> DataFrame:
+    """df with a column for each of sums: its sum over the rows before, in the order given, which tells all rows apart.
+
+    The rows are dealt to ranges of the order and written with their range's number; the totals of the ranges, a row each,
+    are summed in one task, and the rows of a range by a window of that range only.
+    """
+    width = shuffle_width(df.sparkSession)
+    dealt = df.select("*", *[c.alias(f"__{k}") for k, c in sums.items()]).repartitionByRange(width, *order)
+    dealt = written(dealt.withColumn("__range", F.spark_partition_id()), name, compression="zstd")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__range").agg(*[F.sum(f"__{k}").alias(k) for k in sums])
+    starts = totals.select("__range", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__upto_{k}") for k in sums])
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.join(F.broadcast(starts), "__range")  # a row a shuffle partition
+    out = [(F.col(f"__upto_{k}") + F.coalesce(F.sum(f"__{k}").over(inside), F.lit(0))).alias(k) for k in sums]
+    return summed.select(*df.columns, *out)
