@@ -18,8 +18,8 @@ def content_hash(text: Column) -> Column:
 
 
 def stable_id(prefix: str, *parts: Column, length: int = 16) -> Column:
-    """prefix_ and the first hex digits of SHA-256 over the parts, each followed by NUL."""
-    ended = [x for p in parts for x in (p.cast("string"), F.lit(NUL))]
+    """prefix_ and the first hex digits of SHA-256 over the parts, each followed by NUL; a null part is empty."""
+    ended = [x for p in parts for x in (F.coalesce(p.cast("string"), F.lit("")), F.lit(NUL))]
     return F.concat(F.lit(prefix + "_"), F.substring(content_hash(F.concat(*ended)), 1, length))
 
 

@@ -118,8 +118,19 @@ def _has(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(_u(pattern)), F.lit(False))
 
 
+#: What a text must hold for a slow pattern to match at all. Texts without it skip the pattern; no result changes.
+SECRET_WORD = r"(?i)key|token|secret|passw|credential|authorization"
+NEEDED = {
+    "openai_key": r"sk-", "github_token": r"gh[pi]", "slack_token": r"xox", "bearer_token": r"(?i)bearer", "jwt": r"eyJ", "private_key": r"-----BEGIN ",
+    "json_quoted_secret": SECRET_WORD, "assigned_secret": SECRET_WORD, "ignore_previous": r"(?i)instruction|prompt|context|rule|direction",
+    "role_hijack": r"(?i)you are now|act as|pretend|from now|instruction|system|disregard", "tool_coax": r"(?i)following|execute this|tool|curl|-rf|send",
+    "exfil_link": r"(?i)https?://", "prompt_leak_probe": r"(?i)above|prompt|instruction|rule",
+}
+
+
 def _names(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    return F.array_compact(F.array(*[F.when(_has(text, p), F.lit(n)) for n, p in rules]))
+    found = lambda name, pattern: _has(text, pattern) if name not in NEEDED else F.coalesce(text.rlike(NEEDED[name]), F.lit(False)) & _has(text, pattern)
+    return F.array_compact(F.array(*[F.when(found(n, p), F.lit(n)) for n, p in rules]))
 
 
 def _once(value: Column, rule) -> Column:
@@ -128,9 +139,18 @@ def _once(value: Column, rule) -> Column:
 
 
 def redact_secrets(text: Column) -> Column:
+    return _once(text, _redacted)
+
+
+def _redacted(text: Column) -> Column:
+    fixed, named = text, text
+    for pattern, put in REDACTIONS:
+        if SECRET_KEY not in pattern:
+            fixed = F.regexp_replace(fixed, pattern, put)
+    # the last three rules need a secret's name, which few texts hold
     for pattern, put in REDACTIONS:
-        text = F.regexp_replace(text, pattern, put)
-    return text
+        named = F.regexp_replace(named, pattern, put)
+    return F.when(text.rlike(SECRET_WORD), named).otherwise(fixed)
 
 
 def secret_leaks(text: Column) -> Column:

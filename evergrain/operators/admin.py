@@ -21,6 +21,43 @@ def admit(knowledge: DataFrame, links: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).withColumn("inject", F.coalesce(inject, F.lit(False))).drop("backed")
 
 
+#: Fixed value: scopes that a listing shows.
+PUBLIC_SCOPES = ("workspace", "project", "public")
+
+
+def filtered(rows: DataFrame, project: str | None = None, path: str | None = None, kind: str | None = None, status: str | None = None, tags: dict[str, str] | None = None) -> DataFrame:
+    """Search rows under the caller's filters: project, path prefix, type, status, and values in the JSON of loop_tags."""
+    for column, value in (("project", project), ("type", kind), ("status", status)):
+        if value:
+            rows = rows.where(F.col(column) == value)
+    if path:
+        rows = rows.where(F.col("path").startswith(path))
+    for name, value in (tags or {}).items():
+        rows = rows.where(F.get_json_object("loop_tags", f"$.{name}") == value)
+    return rows
+
+
+def current_knowledge(knowledge: DataFrame, project: str | None = None, scopes: tuple[str, ...] = PUBLIC_SCOPES, kind: str | None = None, inject_only: bool = False, limit: int = 20) -> DataFrame:
+    """The listing of current rows that are not quarantined, of a project or of none: injected first, then by score, confidence, time and id."""
+    rows = knowledge.where((F.col("status") == "current") & F.col("quarantine_reason").isNull())
+    rows = rows.where(F.col("privacy_scope").isin(*scopes)) if scopes else rows
+    rows = rows.where((F.col("project") == project) | F.col("project").isNull()) if project else rows
+    rows = rows.where(F.col("type") == kind) if kind else rows
+    rows = rows.where("inject") if inject_only else rows
+    return rows.orderBy(F.desc("inject"), F.desc(F.coalesce("promote_score", F.lit(-1.0))), F.desc(F.coalesce("confidence", F.lit(0.0))), F.desc("updated_at"), F.asc("knowledge_id")).limit(limit)
+
+
+SUMMARY = ("type", "status", "gate", "risk", "confidence", "inject", "project", "privacy_scope", "updated_at")
+
+
+def knowledge_summary(knowledge: DataFrame) -> DataFrame:
+    """knowledge_id and a summary as JSON: what all types have, then subject, predicate and value of values, or slug, title and kind of the others."""
+    common = [F.col(c) for c in SUMMARY if c in knowledge.columns]
+    value = F.coalesce(F.col("value_text"), F.col("value_numeric").cast("string"), F.col("value_bool").cast("string")).alias("value")
+    typed = F.when(F.col("type") == "value", F.to_json(F.struct(*common, "subject", "predicate", value, "target_value"))).otherwise(F.to_json(F.struct(*common, "slug", "title", "body_uri", "doc_kind")))
+    return knowledge.select("knowledge_id", typed.alias("summary"))
+
+
 def set_status(knowledge: DataFrame, ids: list[str], status: str, reason: str) -> DataFrame:
     """Reject or mark stale: named rows get the status and its reason, and are no longer injected."""
     named = F.col("knowledge_id").isin(*ids)

@@ -80,10 +80,12 @@ def exchanges(turns: DataFrame, min_chars: int = 80) -> DataFrame:
 def context_windows(turns: DataFrame, targets: DataFrame, max_turns: int = 12, max_chars: int = 16000) -> DataFrame:
     """The last turns before each target that the model sees: max_turns at most, the oldest dropped until max_chars hold."""
     seen = turns.where("role in ('user', 'assistant') and not (role = 'user' and kind = 'injected')").withColumn("clean", T.sanitize(F.col("text"))).where("clean <> ''")
-    # numbered once per session; a target's context is a range of those numbers, not a self-join of the session
+    # numbered once per session; a target's context is a range of those numbers, found in one pass over the session
     seen = seen.withColumn("nth", F.row_number().over(_session())).select("session_id", "turn_idx", "role", "clean", "nth")
-    last = targets.select("session_id", "target_idx").join(seen.select("session_id", "turn_idx", "nth"), "session_id").where("turn_idx < target_idx")
-    last = last.groupBy("session_id", "target_idx").agg(F.max("nth").alias("upto"))
+    marks = targets.select("session_id", F.col("target_idx").alias("turn_idx"), F.lit(None).cast("int").alias("nth"), F.lit(0).alias("__kind"))
+    both = marks.unionByName(seen.select("session_id", "turn_idx", "nth", F.lit(1).alias("__kind")))
+    before = Window.partitionBy("session_id").orderBy("turn_idx", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = both.withColumn("upto", F.max("nth").over(before)).where("__kind = 0 and upto is not null").select("session_id", F.col("turn_idx").alias("target_idx"), "upto")
     wanted = last.select("session_id", "target_idx", "upto", F.explode(F.sequence(F.greatest(F.lit(1), F.col("upto") - (max_turns - 1)), F.col("upto"))).alias("nth"))
     rows = wanted.join(seen, ["session_id", "nth"])
     back = Window.partitionBy("session_id", "target_idx").orderBy(F.desc("nth"))
@@ -94,8 +96,11 @@ def context_windows(turns: DataFrame, targets: DataFrame, max_turns: int = 12, m
 
 def label_exchanges(found: DataFrame, turns: DataFrame, outcomes: DataFrame, threshold: float = 0.6, min_calls: int = 5) -> DataFrame:
     """label, confidence, reasons by precedence. outcomes: session_id, good, bad (retrieval outcomes of the session)."""
-    asks = turns.where("role = 'user' and kind <> 'injected'").select("session_id", F.col("turn_idx").alias("next_idx"), T.sanitize(F.col("text")).alias("follow"))
-    follow = found.select("session_id", "target_idx").join(asks, "session_id").where("next_idx > target_idx").groupBy("session_id", "target_idx").agg(F.min_by("follow", "next_idx").alias("follow"))
+    # the next turn that a person wrote, in one pass from the session's end
+    asks = turns.where("role = 'user' and kind <> 'injected'").select("session_id", "turn_idx", T.sanitize(F.col("text")).alias("said"), F.lit(0).alias("__kind"))
+    marks = found.select("session_id", F.col("target_idx").alias("turn_idx"), F.lit(None).cast("string").alias("said"), F.lit(1).alias("__kind"))
+    after = Window.partitionBy("session_id").orderBy(F.desc("turn_idx"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, -1)
+    follow = asks.unionByName(marks).withColumn("follow", F.last("said", ignorenulls=True).over(after)).where("__kind = 1").select("session_id", F.col("turn_idx").alias("target_idx"), "follow")
     rows = found.join(follow, ["session_id", "target_idx"], "left").join(outcomes, "session_id", "left")
     good, bad = F.coalesce("good", F.lit(False)), F.coalesce("bad", F.lit(False))
     score = T.correction_score(F.col("follow"))
@@ -325,6 +330,25 @@ def blind_scores(ratings: DataFrame, key: DataFrame) -> DataFrame:
     return found.withColumn("win_rate", F.round(F.col("wins") / F.when(F.col("wins") + F.col("losses") > 0, F.col("wins") + F.col("losses")), 6))
 
 
+def blind_dimensions(ratings: DataFrame, key: DataFrame) -> DataFrame:
+    """dimension, role, mean (3 digits) of scores from 1 to 5. ratings: eval_id, side, dimension, score; key: eval_id, candidate_side."""
+    role = F.when(F.col("side") == F.col("candidate_side"), "candidate").otherwise("reference")
+    rows = ratings.join(key, "eval_id").where(F.col("score").between(1, 5) & F.col("side").isin("a", "b"))
+    return rows.groupBy("dimension", role.alias("role")).agg(F.round(F.avg("score"), 3).alias("mean"))
+
+
+def blind_order(answers: DataFrame, seed: str) -> DataFrame:
+    """answers (eval_id, source) with the label, a, b, ..., under which each is shown: the order of a seeded hash."""
+    nth = F.row_number().over(Window.partitionBy("eval_id").orderBy(seeded_hash(seed, F.col("eval_id"), F.col("source"))))
+    return answers.withColumn("label", F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), nth, F.lit(1)))
+
+
+def ranking_dimensions(scores: DataFrame, shown: DataFrame) -> DataFrame:
+    """source, dimension, mean (4 digits). scores: eval_id, label, dimension, score; shown: blind_order()."""
+    rows = scores.join(shown.select("eval_id", "label", "source"), ["eval_id", "label"])
+    return rows.groupBy("source", "dimension").agg(F.round(F.avg("score"), 4).alias("mean"))
+
+
 def ranking_scores(rankings: DataFrame) -> DataFrame:
     """candidate, first places, mean rank. rankings: eval_id, ranking (array of candidates, best first)."""
     rows = rankings.select("eval_id", F.posexplode("ranking").alias("pos", "candidate"))

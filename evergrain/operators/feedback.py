@@ -67,25 +67,74 @@ def union_signals(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["signal_id"])
 
 
+#: What an outcome of a serving, a verifier's result, a gate rule, a commitment or a scheduled run counts as.
+RETRIEVAL_VOTES = {
+    "improved": ("good", 0.5), "helpful": ("good", 0.4), "used": ("good", 0.4), "harmful": ("bad", 0.9), "failed": ("bad", 0.6),
+    "irrelevant": ("neutral", 0.2), "ignored": ("neutral", 0.1),
+}
+VERIFIER_VOTES = {"passed": ("good", 0.5), "failed": ("bad", 0.6)}
+COMMITMENT_VOTES = {k: ("good", 0.5) for k in ("completed", "fulfilled", "done", "kept")} | {k: ("bad", 0.5) for k in ("expired", "missed", "broken", "failed")}
+RUN_VOTES = {k: ("good", 0.3) for k in ("ok", "success", "completed")} | {k: ("bad", 0.5) for k in ("error", "failed", "failure")}
+GATE_RULES = ("GATE", "CORRECTION")
+VIOLATION_WEIGHT = 0.7
+
+
+def _voted(rows: DataFrame, by: Column, votes: dict[str, tuple[str, float]]) -> DataFrame:
+    """rows whose value has a vote, with it as __polarity and __weight."""
+    polarity, weight = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for value, (p, w) in votes.items():
+        polarity, weight = F.when(by == value, p).otherwise(polarity), F.when(by == value, w).otherwise(weight)
+    return rows.withColumn("__polarity", polarity).withColumn("__weight", weight).where("__polarity is not null")
+
+
 def retrieval_signals(uses: DataFrame) -> DataFrame:
-    """Outcomes of servings as signals on what was served."""
-    polarity = F.when(F.col("outcome").isin("helpful", "improved", "used"), "good").when(F.col("outcome").isin("harmful", "failed", "irrelevant"), "bad").otherwise("neutral")
-    weight = F.when(F.col("outcome").isin("harmful", "failed"), 0.9).when(F.col("outcome").isin("helpful", "improved"), 0.7).otherwise(0.4)
-    rows = uses.where("outcome <> 'served'").withColumn("kid", F.explode("served_ids"))
-    return signal(rows, F.concat(F.lit("retrieval_"), F.col("outcome")), polarity, weight, "retrieval", F.col("retrieval_id"), F.col("kid"), F.col("served_at"))
+    """Outcomes of servings as signals on what was served; an outcome without a vote gives none."""
+    rows = _voted(uses, F.col("outcome"), RETRIEVAL_VOTES).withColumn("kid", F.explode("served_ids")).where("kid is not null")
+    return signal(rows, F.lit("retrieval_feedback"), F.col("__polarity"), F.col("__weight"), "retrieval", F.concat(F.lit("retrieval_uses:"), F.col("retrieval_id").cast("string")), F.col("kid"), F.col("served_at"))
 
 
 def correction_signals(log: DataFrame) -> DataFrame:
-    """Hard corrections as bad signals of full weight, soft ones of half."""
-    rows = log.where("kind = 'correction_recorded'").withColumn("op", F.get_json_object("body_json", "$.op")).withColumn("hard", F.coalesce(F.get_json_object("body_json", "$.hard").isin("true", "1"), F.lit(False)))
-    bad = F.col("op").isin("mark_wrong", "retract", "demote")
-    return signal(rows, F.concat(F.lit("correction_"), F.col("op")), F.when(bad, "bad").otherwise("neutral"), F.when(F.col("hard"), 1.0).otherwise(0.5), "event", F.col("id"), F.get_json_object("body_json", "$.target_id"), F.col("ts"))
+    """Hard corrections of knowledge or beliefs as bad signals of full weight; soft ones and other layers give none."""
+    at = lambda name: F.get_json_object("body_json", f"$.{name}")
+    hard = log.where("kind = 'correction_recorded'").where(at("hard").isin("true", "1") & at("target_layer").isin("knowledge", "belief"))
+    return signal(hard, F.lit("hard_correction_event"), F.lit("bad"), F.lit(1.0), "events", F.concat(F.lit("brain_events:"), F.col("event_seq").cast("string")), at("target_id"), F.col("ts"))
+
+
+def verifier_signals(evidence: DataFrame, links: DataFrame) -> DataFrame:
+    """Passed and failed verifiers as signals on what the evidence is linked to."""
+    rows = _voted(evidence.select("evidence_id", "verifier_status"), F.col("verifier_status"), VERIFIER_VOTES).join(links.select("evidence_id", "knowledge_id"), "evidence_id")
+    return signal(rows, F.lit("verifier_result"), F.col("__polarity"), F.col("__weight"), "events", F.concat(F.lit("evidence:"), F.col("evidence_id").cast("string")), F.col("knowledge_id"), F.lit(None).cast("string"))
 
 
 def learning_signals(learnings: DataFrame) -> DataFrame:
-    """Ledger rows weigh confidence * min(1, 0.5 + 0.1 * recurrence)."""
-    weight = F.col("confidence") * F.least(F.lit(1.0), 0.5 + 0.1 * F.col("recurrence"))
-    return signal(learnings, F.lit("learning"), F.when(F.col("positive"), "good").otherwise("bad"), weight, "learning", F.col("learning_id").cast("string"), F.col("knowledge_id"), F.col("occurred_at"))
+    """Active gate and correction rules as bad signals that weigh confidence (0.6) * min(1, 0.5 + 0.1 * recurrence (1)).
+
+    learnings: learning_id, rule_type, status, confidence, recurrence.
+    """
+    rows = learnings.where(F.upper("rule_type").isin(*GATE_RULES) & F.lower(F.coalesce("status", F.lit("active"))).isin("active", ""))
+    weight = F.coalesce("confidence", F.lit(0.6)) * F.least(F.lit(1.0), 0.5 + 0.1 * F.coalesce("recurrence", F.lit(1)))
+    ref = F.concat(F.lit("learnings:"), F.col("learning_id").cast("string"))
+    return signal(rows, F.lit("learning_gate_rule"), F.lit("bad"), weight, "learning_db", ref, F.lit(None).cast("string"), F.lit(None).cast("string"))
+
+
+def violation_signals(violations: DataFrame) -> DataFrame:
+    """Gate violations (violation_id) as bad signals."""
+    ref = F.concat(F.lit("gate_violations:"), F.col("violation_id").cast("string"))
+    return signal(violations, F.lit("gate_violation"), F.lit("bad"), F.lit(VIOLATION_WEIGHT), "learning_db", ref, F.lit(None).cast("string"), F.lit(None).cast("string"))
+
+
+def commitment_signals(commitments: DataFrame) -> DataFrame:
+    """Ended commitments (commitment_id, status, updated_at) as signals."""
+    rows = _voted(commitments, F.lower("status"), COMMITMENT_VOTES)
+    ref = F.concat(F.lit("commitment:"), F.col("commitment_id").cast("string"))
+    return signal(rows, F.lit("commitment_outcome"), F.col("__polarity"), F.col("__weight"), "commitments", ref, F.lit(None).cast("string"), F.col("updated_at"))
+
+
+def run_signals(runs: DataFrame) -> DataFrame:
+    """Scheduled runs (job_id, status, delivered, updated_at) as signals; one that went well counts only where it was delivered."""
+    rows = _voted(runs, F.lower("status"), RUN_VOTES).where((F.col("__polarity") == "bad") | F.coalesce("delivered", F.lit(True)))
+    ref = F.concat(F.lit("cron:"), F.col("job_id").cast("string"), F.lit(":"), F.coalesce(F.col("updated_at").cast("string"), F.lit("")))
+    return signal(rows, F.lit("cron_run"), F.col("__polarity"), F.col("__weight"), "cron", ref, F.lit(None).cast("string"), F.col("updated_at"))
 
 
 def fold_labels(signals: DataFrame, now: Column, rules: LabelRules = LabelRules(), key: str = "knowledge_id") -> DataFrame:  # noqa: B008

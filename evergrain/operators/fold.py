@@ -1,7 +1,7 @@
 """Folding the log into current beliefs, in event order per belief: approvals reset, constraints are replayed.
 
-Every event that can touch a belief is routed to its canonical id, then each belief is folded on its own
-(applyInPandas; the events of one belief fit a task). Point-in-time and incremental folds use the same step.
+Every event that can touch a belief is routed to its canonical id. A full or point-in-time fold is a pair of aggregations;
+fold_events() is the same rule as a step from one state to the next, for folds that go on from stored beliefs.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,15 +94,72 @@ def fold_events(belief_id: str, events: Iterable[dict], state: dict | None = Non
     return state
 
 
-def fold(log: DataFrame, at_ts: str | None = None, aliases: DataFrame | None = None, replay: bool = True) -> DataFrame:
-    """Current beliefs after all events (or those up to at_ts)."""
-    columns = [c.split(" ")[0] for c in BELIEF.split(", ")]
+SCOPE = "scope_type string, scope_id string, visibility string, egress_policy string"
+PAYLOAD = f"decision string, edited_body string, target_layer string, op string, body string, hard string, mode string, approved_by string, scope struct<{SCOPE.replace(' string', ': string')}>"
+PROPOSAL = f"body string, confidence double, evidence_ids array<string>, belief_type string, scope struct<{SCOPE.replace(' string', ': string')}>"
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        done = fold_events(str(key[0]), group.to_dict("records"), replay=replay)
-        return pd.DataFrame([] if done is None else [done], columns=columns)
 
-    return routed(scan(log, at_ts=at_ts), aliases).where("canonical is not null").groupBy("canonical").applyInPandas(run, BELIEF)
+def fold(log: DataFrame, at_ts: str | None = None, aliases: DataFrame | None = None, replay: bool = True) -> DataFrame:
+    """Current beliefs after all events (or those up to at_ts).
+
+    An approval resets the belief, so its last one settles what it holds, and of the other events only those count that come
+    after it or, with replay, restrict it from before. What they do is the latest of its kind in order of event_seq:
+    aggregates by belief, which combine on the map side, so a belief with very many events is no single task.
+    """
+    return fold_routed(routed(scan(log, at_ts=at_ts), aliases), replay)
+
+
+def advance(log: DataFrame, stored: DataFrame, cursor: tuple[int, str] | None, aliases: DataFrame | None = None) -> DataFrame:
+    """Current beliefs from stored ones and the events after the cursor (event_seq, event_hash) that they were folded up to.
+
+    Only beliefs that a later event touches are folded anew, from their own histories. Where there is no cursor, or the log no longer has that
+    event with that hash, everything is.
+    """
+    if cursor is None or log.where((F.col("event_seq") == cursor[0]) & (F.col("event_hash") == cursor[1])).isEmpty():
+        return fold(log, aliases=aliases)
+    events = routed(log, aliases)
+    touched = events.where((F.col("event_seq") > cursor[0]) & F.col("canonical").isNotNull()).select("canonical").distinct()
+    again = fold_routed(events.join(touched, "canonical", "left_semi"))
+    rest = stored.join(touched, stored["belief_id"] == touched["canonical"], "left_anti")
+    return rest.select(again.columns).unionByName(again)
+
+
+def fold_routed(events: DataFrame, replay: bool = True) -> DataFrame:
+    """fold() of events that routed() has brought to their beliefs."""
+    events = events.where("canonical is not null").withColumn("p", F.from_json("payload", PAYLOAD))
+    approved = events.where("kind = 'compilation_decided' and p.decision in ('approve', 'edit')")
+    last = approved.groupBy("canonical").agg(F.max_by(F.struct("event_seq", "id", "ts", "proposal", "proposal_seq", "p.edited_body"), "event_seq").alias("a"))
+
+    held = events.where("kind <> 'compilation_decided'").join(last.select("canonical", F.col("a.event_seq").alias("at"), F.col("a.proposal_seq").alias("since")), "canonical")
+    after, op, kind = F.col("event_seq") > F.col("at"), F.col("p.op"), F.col("kind")
+    strict = F.coalesce(F.col("p.hard").isin("true", "1"), F.lit(False)) & op.isin(*STRICT)
+    before = (F.col("event_seq") > F.col("since")) | strict if replay else F.lit(False)
+    fixes = (kind == "correction_recorded") & F.col("p.target_layer").isin("knowledge", "belief") & (after | before)
+    buries = (kind == "tombstone_recorded") & (after | F.lit(replay))
+    moves = (kind == "scope_promoted") & after & (F.coalesce("p.approved_by", F.lit("")) != "")
+    held = held.select("canonical", "id", "p", "event_seq", *[F.coalesce(c, F.lit(False)).alias(n) for c, n in ((fixes, "fixes"), (buries, "buries"), (moves, "moves"))])
+    held = held.where("fixes or buries or moves")
+    shreds = F.col("buries") & (F.col("p.mode") == "shred")
+    edits = F.col("fixes") & F.col("p.op").isin("edit", "reframe") & (F.coalesce("p.body", F.lit("")) != "")
+    ends = F.when(F.col("buries"), "tombstoned").when(F.col("fixes") & F.col("p.op").isin("mark_wrong", "retract"), "retracted")
+    latest = lambda value, when: F.max_by(value, F.when(when, F.col("event_seq")))
+    any_ = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    state = held.groupBy("canonical").agg(
+        latest(ends, ends.isNotNull()).alias("ended"), latest(F.when(shreds, SHREDDED).otherwise(F.col("p.body")), shreds | edits).alias("text"),
+        any_(F.col("fixes") & (F.col("p.op") == "pin")).alias("pinned"), any_(F.col("fixes") & (F.col("p.op") == "demote")).alias("demoted"),
+        any_(shreds).alias("shredded"), latest(F.struct("p.scope"), F.col("moves")).alias("moved"), F.max_by("id", "event_seq").alias("last_id"),
+    )
+    rows = last.join(state, "canonical", "left").withColumn("q", F.from_json("a.proposal", PROPOSAL))
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    unset = F.coalesce(F.when(F.col("q.confidence") != 0, F.col("q.confidence")), F.lit(0.5))  # 0 counts as unset
+    scope = lambda c: F.when(F.col("moved").isNotNull(), F.col(f"moved.scope.{c}")).otherwise(F.col(f"q.scope.{c}")).alias(c)
+    return rows.select(
+        F.col("canonical").alias("belief_id"), F.coalesce("text", given("a.edited_body"), given("q.body"), F.lit("")).alias("body"),
+        F.coalesce("ended", F.lit("current")).alias("status"), F.col("ended").isNull().alias("serve"), F.coalesce("pinned", F.lit(False)).alias("pinned"),
+        F.when(F.col("demoted"), F.least(unset, F.lit(0.4))).otherwise(F.col("q.confidence")).alias("confidence"), *[scope(c.split(" ")[0]) for c in SCOPE.split(", ")],
+        F.when(F.col("shredded") | F.col("q.evidence_ids").isNull(), F.array().cast("array<string>")).otherwise(F.col("q.evidence_ids")).alias("evidence_ids"), F.col("q.belief_type").alias("belief_type"),
+        F.col("a.id").alias("approved_event_id"), F.coalesce("last_id", "a.id").alias("last_event_id"), F.col("a.ts").alias("last_compiled_at"),
+    )
 
 
 def fold_evidence(log: DataFrame) -> DataFrame:

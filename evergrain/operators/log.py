@@ -46,19 +46,28 @@ def verify_chain(log: DataFrame, first_prev: str | None = None) -> DataFrame:
 
 
 def append(log_head: tuple[int, str | None], events: list[dict]) -> list[dict]:
-    """Rows of new events after the head (event_seq, event_hash). Sequential by nature: each hash needs the one before."""
+    """Rows of new events after the head (event_seq, event_hash). Sequential by nature: each hash needs the one before.
+
+    A decision whose body has proposal_of (a belief) instead of proposal_event_id decides that belief's last proposal among
+    the new events. A batch of writes, so the caller bounds it.
+    """
     import hashlib
 
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     canon = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
     seq, prev = log_head
-    rows = []
+    rows, proposed = [], {}
     for e in events:
         seq += 1
-        text = canon(e["body"])
+        made = dict(e["body"])
+        if e["kind"] == "compilation_decided" and "proposal_of" in made:
+            made["proposal_event_id"] = proposed[made.pop("proposal_of")]
+        text = canon(made)
         head = {"ts": e["ts"], "kind": e["kind"], "writer": e["writer"], "session_id": e.get("session_id"), "body_hash": sha(text), "prev_hash": prev}
         hashed = sha(canon(head))
         named = "evt_" + sha(e["kind"] + "\0" + hashed + "\0")[:16]
+        if e["kind"] == "compilation_proposed":
+            proposed[made.get("belief_id")] = named
         rows.append(head | {"event_seq": seq, "id": named, "body_json": text, "event_hash": hashed})
         prev = hashed
     return rows

@@ -12,6 +12,7 @@ from evergrain.functions.scope import privacy_rank
 
 USEFUL = ("improved", "helpful", "used")
 APPROVALS = ("user_approval", "user_thanks")
+PINNED = ("human", "human_bootstrap")
 THIRD_PARTY = ("web", "email", "external")
 
 
@@ -43,32 +44,47 @@ def use_counts(uses: DataFrame, key: str = "knowledge_id") -> DataFrame:
     return uses.groupBy(key).agg(F.count(F.lit(1)).alias("served"), F.sum(F.col("outcome").isin(*USEFUL).cast("long")).alias("useful"))
 
 
+def flagged_texts(rows: DataFrame, text: Column, name: str = "dirty") -> DataFrame:
+    """rows with whether the text has an injection or a leak; each text is scanned once, wherever the flag is used."""
+    bad = F.explode(F.array((F.size(T.injections(text)) > 0) | (F.size(T.secret_leaks(text)) > 0)))
+    return rows.select("*", bad.alias(name))
+
+
 def evidence_flags(links: DataFrame, evidence: DataFrame) -> DataFrame:
-    """knowledge_id, passed, dirty: a verifier passed some evidence; some claim has an injection or a leak."""
-    bad = (F.size(T.injections(F.col("claim"))) > 0) | (F.size(T.secret_leaks(F.col("claim"))) > 0)
-    return links.join(evidence, "evidence_id").groupBy("knowledge_id").agg(
-        F.max(F.col("verifier_status") == "passed").alias("passed"), F.max(bad).alias("dirty"),
-        F.max(F.col("source_type").isin(*THIRD_PARTY) & (F.col("injection_scan_status") == "flagged")).alias("flagged"),
-    )
+    """knowledge_id, passed, dirty, flagged: a verifier passed some evidence; some claim has an injection or a leak; some third-party evidence is flagged.
+
+    Claims are scanned once for each piece of evidence, before it meets its links.
+    """
+    scored = flagged_texts(evidence.select("evidence_id", "claim", "verifier_status", "source_type", "injection_scan_status"), F.coalesce("claim", F.lit("")))
+    scored = scored.select("evidence_id", "dirty", (F.col("verifier_status") == "passed").alias("passed"), (F.col("source_type").isin(*THIRD_PARTY) & (F.col("injection_scan_status") == "flagged")).alias("flagged"))
+    return links.select("knowledge_id", "evidence_id").join(scored, "evidence_id").groupBy("knowledge_id").agg(F.max("passed").alias("passed"), F.max("dirty").alias("dirty"), F.max("flagged").alias("flagged"))
 
 
 def promote(knowledge: DataFrame, uses: DataFrame, links: DataFrame, evidence: DataFrame, signals: DataFrame, now: Column, rules: OpsRules = OpsRules()) -> DataFrame:  # noqa: B008
-    """knowledge_id, promote_score, inject: eligible rows by score and id, both descending, within the row and character budgets."""
+    """knowledge_id, promote_score, eligible, inject: the best max_injected eligible rows, less what does not fit into max_chars.
+
+    Ranked by score and id, both descending. While the rendered rows are too long the one with the lowest score (ties: the
+    smallest id) goes, but for rows that a person put there (origin), which stay. What a row takes is its body.
+    """
     flags = evidence_flags(links, evidence)
     approved = signals.where(F.col("kind").isin(*APPROVALS) & (F.col("polarity") == "good")).select("knowledge_id").distinct().withColumn("approved", F.lit(True))
-    rows = knowledge.join(use_counts(uses), "knowledge_id", "left").join(flags, "knowledge_id", "left").join(approved, "knowledge_id", "left")
+    rows = knowledge if "origin" in knowledge.columns else knowledge.withColumn("origin", F.lit(None).cast("string"))
+    rows = flagged_texts(rows, F.coalesce("body", F.lit("")), "body_dirty")
+    rows = rows.join(use_counts(uses), "knowledge_id", "left").join(flags, "knowledge_id", "left").join(approved, "knowledge_id", "left")
     is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
     normal = (F.col("quality_label") == "good") & (F.coalesce("quality_confidence", F.lit(0.0)) >= rules.min_confidence)
     boot = (F.coalesce("confidence", F.lit(0.0)) >= rules.bootstrap_confidence) & is_("passed")
-    clean = (F.size(T.injections(F.col("body"))) == 0) & (F.size(T.secret_leaks(F.col("body"))) == 0) & ~is_("dirty")
+    clean = ~F.col("body_dirty") & ~is_("dirty")
     risky = is_("prescriptive") | (F.col("type") == "capability") | F.coalesce(F.col("risk").isin("high", "critical"), F.lit(False))
     ok = (F.col("status") == "current") & F.col("quarantine_reason").isNull() & F.coalesce(normal | boot, F.lit(False)) & clean & (~risky | is_("passed") | is_("approved"))
     score = promote_score(F.col("quality_confidence"), F.to_timestamp("updated_at"), F.col("served"), F.col("useful"), F.col("privacy_scope"), now, rules.decay_days)
     scored = rows.withColumn("promote_score", score).withColumn("eligible", ok)
-    # the budget keeps a bounded head of the ranking, so only that head is numbered in one place
+    # the budget looks at max_injected rows, so only they are numbered in one place
     head = scored.where("eligible").orderBy(F.desc("promote_score"), F.desc("knowledge_id")).limit(rules.max_injected)
-    w = Window.orderBy(F.desc("promote_score"), F.desc("knowledge_id")).rowsBetween(Window.unboundedPreceding, 0)
-    kept = head.withColumn("chars", F.sum(F.length("body")).over(w)).where(F.col("chars") <= rules.max_chars).select("knowledge_id", F.lit(True).alias("inject"))
+    pinned = F.coalesce(F.col("origin").isin(*PINNED), F.lit(False))
+    # from the highest score down: pinned rows first, others as long as they and all better ones fit
+    w = Window.orderBy(F.desc(pinned), F.desc("promote_score"), F.desc("knowledge_id")).rowsBetween(Window.unboundedPreceding, 0)
+    kept = head.withColumn("chars", F.sum(F.length("body")).over(w)).where(pinned | (F.col("chars") <= rules.max_chars)).select("knowledge_id", F.lit(True).alias("inject"))
     return scored.join(F.broadcast(kept), "knowledge_id", "left").select("knowledge_id", "promote_score", "eligible", is_("inject").alias("inject"))
 
 
@@ -86,19 +102,21 @@ def tripwires(knowledge: DataFrame, uses: DataFrame, links: DataFrame, evidence:
     thrash = thrash.groupBy("knowledge_id").agg(F.count(F.lit(1)).alias("n_thrash"))
     approved = signals.where(F.col("kind").isin(*APPROVALS) & (F.col("polarity") == "good")).select("knowledge_id").distinct().withColumn("approved", F.lit(True))
     hard = blocked.select(F.col("target_id").alias("knowledge_id")).withColumn("hard", F.lit(True))
-    rows = knowledge
+    text = F.concat_ws("\n", F.coalesce("body", F.lit("")), F.coalesce("title", F.lit("")) if "title" in knowledge.columns else F.lit(""))
+    scan = F.explode(F.array(F.struct((F.size(T.injections(text)) > 0).alias("injected"), (F.size(T.secret_leaks(text)) > 0).alias("leaks"))))
+    rows = knowledge.select("*", scan.alias("scan"))  # each text once, before the joins
     for part in (spikes, thrash, approved, hard, evidence_flags(links, evidence)):
         rows = rows.join(part, "knowledge_id", "left")
     is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
     fired = F.coalesce(
-        F.when((F.size(T.injections(F.col("body"))) > 0) | is_("flagged"), "injection_suspected"),
-        F.when(F.size(T.secret_leaks(F.col("body"))) > 0, "secret_leak"),
+        F.when(F.col("scan.injected") | is_("flagged"), "injection_suspected"),
+        F.when(F.col("scan.leaks"), "secret_leak"),
         F.when(F.col("n_bad") >= rules.bad_feedback_count, "bad_feedback_spike"),
         F.when(is_("hard"), "hard_correction"),
         F.when(F.col("n_thrash") >= rules.thrash_count, "contradiction_thrash"),
         F.when((is_("prescriptive") | (F.col("type") == "capability")) & is_("inject") & ~is_("passed") & ~is_("approved"), "prescriptive_unverified_serving"),
     )
-    return rows.withColumn("tripwire", fired).where("tripwire is not null").select("knowledge_id", "tripwire")
+    return rows.select("knowledge_id", fired.alias("tripwire")).where("tripwire is not null")
 
 
 def after_cursor(rows: DataFrame, ts_col: str, id_col: str, ts: str, last_id: str) -> DataFrame:
@@ -121,17 +139,20 @@ def unreferenced(knowledge: DataFrame, uses: DataFrame, batch: int) -> DataFrame
 
 
 def heal_conflicts(values: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Conflicting current values of a key: winner by confidence, time and id; the others are superseded by it.
+    """Conflicting current values of a key: winner by confidence, then time, then smallest id; the others are superseded by it.
 
     values: knowledge_id, subject, predicate, project, value_numeric, value_text, value_bool, confidence, updated_at.
     """
-    key = [F.col("subject"), F.col("predicate"), F.coalesce("project", F.lit("")).alias("project")]
+    key = ["subject", "predicate", "project"]
+    sure = F.coalesce("confidence", F.lit(0.0))
+    rows = values.withColumn("project", F.coalesce("project", F.lit("")))
     spread = F.max("value_numeric") - F.min("value_numeric")
     conflict = (F.count(F.lit(1)) > 1) & (F.coalesce(spread > threshold, F.lit(False)) | (F.count_distinct("value_text") > 1) | (F.count_distinct("value_bool") > 1))
-    best = F.max_by("knowledge_id", F.struct(F.coalesce("confidence", F.lit(0.0)), "updated_at", "knowledge_id"))
-    groups = values.groupBy(*key).agg(best.alias("winner"), conflict.alias("conflict")).where("conflict")
-    rows = values.withColumn("project", F.coalesce("project", F.lit(""))).join(groups, ["subject", "predicate", "project"])
-    return rows.where("knowledge_id <> winner").select("knowledge_id", F.col("winner").alias("superseded_by"), "subject", "predicate", "project")
+    groups = rows.groupBy(*key).agg(F.max(F.struct(sure.alias("sure"), "updated_at")).alias("best"), conflict.alias("conflict")).where("conflict").drop("conflict")
+    joined = rows.join(groups, key)
+    tops = joined.where((sure == F.col("best.sure")) & F.col("updated_at").eqNullSafe(F.col("best.updated_at")))
+    winners = tops.groupBy(*key).agg(F.min("knowledge_id").alias("winner"))
+    return joined.join(winners, key).where("knowledge_id <> winner").select("knowledge_id", F.col("winner").alias("superseded_by"), *key)
 
 
 def family_summary(results: DataFrame) -> DataFrame:

@@ -100,3 +100,17 @@ def teacher_request(evidence: DataFrame, most: int = 20) -> DataFrame:
 
     rows = evidence.where(hosted_ok()).orderBy("evidence_id").limit(most)
     return rows.select("evidence_id", T.redact_secrets(F.col("body")).alias("body")).withColumn("payload_hash", content_hash(F.col("body")))
+
+
+def egress_audit(included: DataFrame, rejected: DataFrame, target: str, context_json: str, query: str, ts: str) -> DataFrame:
+    """The audit row of a delivery: counts and hashes of what was included (belief_id, payload_hash) and rejected (belief_id, reason), and its id.
+
+    The payload hash is over the included rows' hashes in order of their ids, folded from an order-free digest of each, so no task holds them all.
+    """
+    sums = lambda rows, *cols: rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(F.substring(F.sha2(F.concat_ws("|", *cols), 256), 1, 15), 16, 10).cast("long")).alias("x"))
+    a = sums(included, F.col("belief_id").cast("string"), F.col("payload_hash")).select(F.col("n").alias("n_included"), F.coalesce("x", F.lit(0)).alias("included_digest"))
+    b = sums(rejected, F.col("belief_id").cast("string"), F.col("reason")).select(F.col("n").alias("n_rejected"), F.coalesce("x", F.lit(0)).alias("rejected_digest"))
+    row = a.crossJoin(F.broadcast(b))  # one row each
+    payload = F.sha2(F.concat_ws("|", F.col("included_digest").cast("string"), F.col("n_included").cast("string")), 256)
+    row = row.withColumn("payload_hash", payload).withColumn("target", F.lit(target)).withColumn("context_json", F.lit(context_json)).withColumn("query", F.lit(query)).withColumn("ts", F.lit(ts))
+    return row.withColumn("audit_id", stable_id("egress", F.col("target"), F.col("context_json"), F.col("query"), F.col("payload_hash"), F.col("ts")))

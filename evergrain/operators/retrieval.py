@@ -6,6 +6,8 @@ computed once, and per-query top-k is a window limit that Spark prunes before th
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ RRF_K = 60
 MIN_COSINE = 0.15
 FEEDBACK = {"helpful": 2.0, "used": 1.0, "irrelevant": -1.5, "ignored": -0.5, "harmful": -4.0}
 
+#: Vectors, and queries, in a block of cosine_topk().
+BLOCK_ROWS = 20_000
+
 
 def top(df: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query_id",), name: str = "rank") -> DataFrame:
     """The first k rows of each query, numbered."""
@@ -72,18 +77,42 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, id, similarity, rank. queries (query_id, vector) are the stated set, met by all vectors block by block: they are
-    sent to the vectors, so they are few by contract (checked against BROADCAST_QUERIES)."""
-    unit = vectors.select(id_col, normalised(F.col(vector_col)).alias("__v"))
-    asked = queries.select("query_id", normalised(F.col("vector")).alias("__q"))
-    if len(asked.limit(BROADCAST_QUERIES + 1).select("query_id").collect()) <= BROADCAST_QUERIES:
-        asked = F.broadcast(asked)
-    pairs = unit.join(asked, F.lit(True)).select("query_id", id_col, dot(F.col("__v"), F.col("__q")).alias("similarity"))
-    return top(pairs, k, F.desc("similarity"), F.asc(id_col))
-
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int | None = None, block: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, id, similarity, rank: exact neighbours of a stated query set (query_id, vector) among all vectors.
 
-BROADCAST_QUERIES = 4096
+    Vectors and queries are dealt into blocks, every block of queries meets every block of vectors in a matrix product, and
+    only its best k go on. Equal similarities (after rounding to `digits`, where given) go by id. A zero vector is similar to nothing (0).
+    """
+    n_blocks = max(1, -(-vectors.count() // block))
+    n_asked = max(1, -(-queries.count() // block))
+    held = vectors.select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).alias("vector_block"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).alias("query_block"), "query_id", F.col("vector").cast("array<double>").alias("q"))
+    # each side goes to the blocks of the other: rows times blocks, not rows times rows
+    left = held.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).withColumn("query_block", F.col("query_block").cast("long"))
+    right = asked.withColumn("vector_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("vector_block", F.col("vector_block").cast("long"))
+    query_type, id_type = asked.schema["query_id"].dataType.simpleString(), held.schema["id"].dataType.simpleString()
+
+    def unit(rows) -> np.ndarray:
+        m = np.array(rows.tolist(), float).reshape(len(rows), -1)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(vectors) and len(queries):
+            vectors = vectors.sort_values("id", kind="stable")
+            ids, m = vectors["id"].to_numpy(), unit(vectors["v"])
+            for at in range(0, len(queries), 256):
+                part = queries.iloc[at : at + 256]
+                found = unit(part["q"]) @ m.T
+                found = found if digits is None else np.round(found, digits)
+                best = np.argsort(-found, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), best.shape[1]), "id": ids[best].ravel(), "similarity": np.take_along_axis(found, best, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+
+    keys = ("vector_block", "query_block")
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"query_id {query_type}, id {id_type}, similarity double")
+    return top(pairs.withColumnRenamed("id", id_col), k, F.desc("similarity"), F.asc(id_col))
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, id_col: str) -> DataFrame:
@@ -117,13 +146,17 @@ def exact_boost(query: Column, body: Column, belief_id: Column) -> Column:
     return inside + F.when(F.lower(query).contains(F.lower(belief_id.cast("string"))), 1.0).otherwise(0.0)
 
 
-def hybrid(beliefs: DataFrame, queries: DataFrame, dense: DataFrame | None, context: ScopeContext, now: Column, feedback: DataFrame | None = None,
-           target: str = "local_model", cross_scope: bool = False, limit: int = 12) -> DataFrame:
-    """The ranked answer: query_id, belief_id, score, rank, components. Equal contents count once, the best first."""
+def hybrid_candidates(beliefs: DataFrame, queries: DataFrame, dense: DataFrame | None, context: ScopeContext, now: Column, feedback: DataFrame | None = None,
+                      target: str = "local_model", cross_scope: bool = False, limit: int = 12, digits: int | None = None) -> DataFrame:
+    """Scored candidates of each query before equal contents are joined: the fused best of both lists with priors, feedback and exact boosts.
+
+    digits rounds scores before they are ranked, so that equal documents stay equal whatever the order of summation.
+    """
     many = max(limit * 10, 120)
+    exact = lambda c: c if digits is None else F.round(c, digits)
     serving = beliefs.where("serve and status = 'current'")
     gate = scope_gate(context, cross_scope) & delivery_gate(target)
-    scored = bm25(serving, queries, {"kind": 0.25, "title": 5.0, "body": 1.0}, "belief_id", gate)
+    scored = bm25(serving, queries, {"kind": 0.25, "title": 5.0, "body": 1.0}, "belief_id", gate).withColumn("score", exact(F.col("score")))
     scored = scored.join(serving.select("belief_id", "pinned", "last_compiled_at"), "belief_id")
     lexical = top(scored, many, F.desc("score"), F.desc("pinned"), F.desc("last_compiled_at"), F.asc("belief_id"))
     empty = lexical.where("false").withColumn("similarity", F.lit(0.0))
@@ -136,7 +169,36 @@ def hybrid(beliefs: DataFrame, queries: DataFrame, dense: DataFrame | None, cont
         boost = F.coalesce("feedback_boost", F.lit(0.0))
     ranked = prior(F.col("scope_weight"), F.col("confidence"), source_quality(F.col("attributes")), recency(F.col("last_compiled_at"), now))
     score = F.col("rrf") * ranked * (1 + boost) * (1 + exact_boost(F.col("query"), F.col("body"), F.col("belief_id")))
-    return dedupe_topk(rows.withColumn("score", score), limit, "body", "belief_id")
+    return rows.withColumn("score", exact(score))
+
+
+def hybrid(beliefs: DataFrame, queries: DataFrame, dense: DataFrame | None, context: ScopeContext, now: Column, limit: int = 12, **options) -> DataFrame:
+    """The ranked answer: query_id, belief_id, score, rank, components. Equal contents count once, the best first."""
+    return dedupe_topk(hybrid_candidates(beliefs, queries, dense, context, now, limit=limit, **options), limit, "body", "belief_id")
+
+
+def hybrid_counters(candidates: DataFrame, answer: DataFrame, queries: DataFrame, inventory_row: DataFrame, has_dense: bool) -> DataFrame:
+    """The envelope of each query's answer: mode, candidates by list, what deduplication and the limit left out, and the inventory's counts."""
+    found = candidates.groupBy("query_id").agg(F.count("lexical_rank").alias("lexical_candidates"), F.count("dense_rank").alias("dense_candidates"), F.count(F.lit(1)).alias("n"))
+    kept = answer.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_items"))
+    rows = queries.select("query_id").join(found, "query_id", "left").join(kept, "query_id", "left").na.fill(0)
+    rows = rows.withColumn("deduplicated_candidates", F.col("n") - F.col("n_items")).drop("n")
+    return rows.withColumn("mode", F.lit("hybrid_rrf" if has_dense else "lexical")).crossJoin(F.broadcast(inventory_row))  # one row
+
+
+def merge_results(existing: DataFrame, files: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """query_id, belief_id, score, source, rank: scored beliefs, then repository files, then search hits, each object once, by score.
+
+    existing: query_id, belief_id, score; files: query_id, belief_id, rank (from 1); found: query_id, belief_id, rank (from 1), relevance. A
+    file's score is 0.95 less 0.03 a rank, 0.7 at least; a hit's 0.6 less 0.02 a rank, 0.21 at least, from a relevance of 0.4 on.
+    """
+    parts = [existing.select("query_id", "belief_id", F.col("score").cast("double").alias("score"), F.lit("event_core").alias("source"), F.lit(0).alias("__list"))]
+    parts.append(files.select("query_id", "belief_id", F.greatest(F.lit(0.7), 0.95 - (F.col("rank") - 1) * 0.03).alias("score"), F.lit("repo_files").alias("source"), F.lit(1).alias("__list")))
+    hits = found.where("relevance >= 0.4")
+    parts.append(hits.select("query_id", "belief_id", F.greatest(F.lit(0.21), 0.6 - (F.col("rank") - 1) * 0.02).alias("score"), F.lit("fts_repo_fallback").alias("source"), F.lit(2).alias("__list")))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    once = rows.groupBy("query_id", "belief_id").agg(F.min_by(F.struct("score", "source"), "__list").alias("x")).select("query_id", "belief_id", F.round("x.score", 6).alias("score"), F.col("x.source").alias("source"))
+    return top(once, limit, F.desc("score"), F.asc("belief_id"))
 
 
 def dedupe_topk(scored: DataFrame, limit: int, text_col: str, id_col: str) -> DataFrame:
@@ -167,6 +229,28 @@ def lexical_relevance(query: Column, body: Column) -> Column:
     return relevance_of(T.meaningful_terms(query), T.terms(body))
 
 
+def lexical_hits(docs: DataFrame, queries: DataFrame, id_col: str = "belief_id", text_col: str = "body") -> DataFrame:
+    """query_id, id, relevance of every document that shares a meaningful term with a query: lexical_relevance() from postings.
+
+    Only the queries' terms are kept of the documents, and each is counted in its document before it meets the queries.
+    """
+    asked = queries.select("query_id", T.meaningful_terms(F.col("query")).alias("wanted"))
+    asked = asked.select("query_id", F.size("wanted").alias("n_terms"), F.explode("wanted").alias("term"))
+    cut = docs.select(id_col, F.explode(F.array(T.terms(F.col(text_col)))).alias("found"))
+    postings = cut.select(id_col, F.size("found").alias("n_words"), F.explode("found").alias("term"))
+    postings = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy(id_col, "n_words", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = asked.join(postings, "term").groupBy("query_id", id_col, "n_words", "n_terms").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("hits"))
+    return hits.select("query_id", id_col, (F.col("n") / F.col("n_terms") + F.col("hits") / F.col("n_words")).alias("relevance"))
+
+
+def legacy_search(beliefs: DataFrame, queries: DataFrame, weight: Column, limit: int, digits: int = 6) -> DataFrame:
+    """query_id, belief_id, score, rank: relevance * scope weight * confidence, pinned rows 1.1 times, catalogue stubs 0.15 times."""
+    found = lexical_hits(beliefs, queries)
+    factor = weight * F.coalesce("confidence", F.lit(0.5)) * F.when(F.col("pinned"), 1.1).otherwise(1.0) * F.when(T.is_catalog_stub(F.col("body")), 0.15).otherwise(1.0)
+    rows = found.join(beliefs.select("belief_id", F.explode(F.array(factor)).alias("factor")), "belief_id").withColumn("score", F.round(F.col("relevance") * F.col("factor"), digits))
+    return top(rows.select("query_id", "belief_id", "score"), limit, F.desc("score"), F.asc("belief_id"))
+
+
 def legacy_score(query: Column, body: Column, weight: Column, confidence: Column, pinned: Column) -> Column:
     return (
         lexical_relevance(query, body) * weight * F.coalesce(confidence, F.lit(0.5))

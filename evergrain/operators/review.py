@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evergrain.functions import text as T
 from evergrain.functions.ids import stable_id
 
 # Fixed values
-CUES = (
-    ("user_approval", r"(?i)\b(approved?|go ahead|ship it|lgtm|looks good)\b", "good", 0.7),
-    ("user_thanks", r"(?i)\b(thanks|thank you|thx)\b", "good", 0.5),
-    ("tests_passed", r"(?i)\b(tests? passed|all (?:tests|checks) pass(?:ed)?)\b", "good", 0.5),
-    ("tests_failed", r"(?i)\b(tests? failed|\d+ failed)\b", "bad", 0.5),
-    ("deployed", r"(?i)\b(deployed|shipped)\b", "good", 0.4),
-    ("deploy_failed", r"(?i)\bdeploy(?:ment)? failed\b", "bad", 0.6),
-    ("reverted", r"(?i)\b(revert(?:ed)?|rolled back)\b", "bad", 0.5),
+APPROVAL = r"(?i)\b(yes|approved|lgtm|go ahead|do it|please do|sounds good|proceed)\b"
+TEST_PASS = r"(\d+)\s+passed"
+TEST_FAIL = r"FAILED|AssertionError|✕|\b\d+\s+failed\b"
+DEPLOY_OK = r"(?i)(deploy(ment)?\s+(succeeded|successful|complete)|fly deploy.*(success|complete)|CI (passed|green)|✓ Deployed)"
+DEPLOY_FAIL = r"(?i)(deploy(ment)?\s+failed|fly deploy.*fail|CI (failed|red)|release_command failed)"
+REVERT = r"(?i)(git revert|git reset --hard|rolling back|reverting)"
+PASSIVE_WAIT = (
+    r"\b(wait|waiting|waits|hold|holding|holds|stand(?:ing)? by|park(?:ed|ing)?|block(?:ed|ing)?|pause[ds]?)\b.{0,80}"
+    r"\b(monitor|notif(?:y|ication|ies)|callback|ping|land(?:s|ed|ing)?|complete[sd]?|completion|arriv(?:e|es|al)|resolve[sd]?|finish(?:es|ed)?|come[s]? back|return[s]?)\b",
+    r"\bwaiting on the monitor\b",
+    r"\bstanding by\b",
+    r"\bi'?ll hold here\b",
+    r"\bno further action is useful until\b",
+    r"\blet the monitor notify me\b",
+    r"\bwaiting for the monitor\b",
 )
-PASSIVE_WAIT = r"(?i)\b(?:waiting for|i'?ll wait|will wait|standing by|once (?:it|they|that) (?:finishes?|completes?)|check back|monitoring (?:the|for))\b"
 
 
 def settled(turns: DataFrame, now: str, minutes: int = 30) -> DataFrame:
@@ -33,30 +39,65 @@ def unseen(sessions: DataFrame, watermarks: DataFrame) -> DataFrame:
     return sessions.join(watermarks.select("session_id", "fingerprint"), ["session_id", "fingerprint"], "left_anti")
 
 
-def turn_signals(turns: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """One signal for each rule that a turn fires: cues, corrections by people, tool errors."""
-    person = (F.col("role") == "user") & (F.col("kind") != "injected")
-    score = T.correction_score(F.col("text"))
+def turn_signals(turns: DataFrame, threshold: float = 0.6, author_weight: Column | None = None) -> DataFrame:
+    """session_id, turn_idx, kind, polarity, weight, signal_id: one row for each rule that a turn fires.
+
+    A user's correction counts where an answer stands within three turns before it; a turn that is none may be thanks. An
+    approval follows an answer directly. Test and deployment results are read from tool turns, reverts from any turn. The
+    weights of what users say are multiplied by author_weight.
+    """
+    w = Window.partitionBy("session_id").orderBy("turn_idx")
+    answered = F.coalesce(F.max(F.col("role") == "assistant").over(w.rowsBetween(-3, -1)), F.lit(False))
+    rows = turns.withColumn("__answered", answered).withColumn("__before", F.lag("role").over(w)).where("text <> ''")
+    has = lambda p: F.col("text").rlike("(?U)" + p)
+    user, tool = F.col("role") == "user", F.col("role") == "tool"
+    times = F.lit(1.0) if author_weight is None else author_weight
     struct = lambda kind, polarity, weight: F.struct(F.lit(kind).alias("kind"), F.lit(polarity).alias("polarity"), weight.alias("weight"))
-    rules = [F.when(F.col("text").rlike(p) & (person if kind.startswith("user_") else F.lit(True)), struct(kind, polarity, F.lit(w))) for kind, p, polarity, w in CUES]
-    rules.append(F.when(person & (score >= threshold), struct("user_correction", "bad", score)))
-    rules.append(F.when(F.col("tool_error"), struct("tool_error", "bad", F.lit(0.3))))
-    found = turns.select("session_id", "turn_idx", F.explode(F.array_compact(F.array(*rules))).alias("s")).select("session_id", "turn_idx", "s.*")
+    corrects = user & (T.correction_score(F.col("text")) >= threshold) & F.col("__answered")
+    rules = [
+        F.when(corrects, struct("user_correction", "bad", 0.8 * times)).when(user & T.is_affirmation(F.col("text")), struct("user_thanks", "good", 0.6 * times)),
+        F.when(user & has(APPROVAL) & (F.col("__before") == "assistant"), struct("user_approval", "good", 0.5 * times)),
+        F.when(tool & has(TEST_PASS), struct("test_pass", "good", F.lit(0.4))),
+        F.when(tool & has(TEST_FAIL), struct("test_fail", "bad", F.lit(0.6))),
+        F.when(tool & has(DEPLOY_OK), struct("deploy_success", "good", F.lit(0.6))),
+        F.when(tool & has(DEPLOY_FAIL), struct("deploy_failure", "bad", F.lit(0.6))),
+        F.when(has(REVERT), struct("revert", "bad", F.lit(0.7))),
+    ]
+    found = rows.select("session_id", "turn_idx", F.explode(F.array_compact(F.array(*rules))).alias("s")).select("session_id", "turn_idx", "s.*")
     return found.withColumn("signal_id", stable_id("sig", F.col("session_id"), F.col("turn_idx"), F.col("kind")))
 
 
-def session_outcomes(turns: DataFrame, min_calls: int = 5) -> DataFrame:
-    """Per session: tool calls, whether an error was recovered from, ended in success, or is a novel workflow."""
-    first_error = F.min(F.when(F.col("tool_error"), F.col("turn_idx")))
-    last_error = F.max(F.when(F.col("tool_error"), F.col("turn_idx")))
-    last_clean = F.max(F.when((F.col("role") == "tool") & ~F.col("tool_error"), F.col("turn_idx")))
+def session_outcomes(turns: DataFrame, min_calls: int = 5, corrected: DataFrame | None = None) -> DataFrame:
+    """Per session: tool results, whether it recovered from an error, and whether its task closed in success.
+
+    Recovered: a clean result after the first error, and none of the last is one. Success: min_calls clean results, the last result
+    clean, no correction by the user. corrected: session_id of sessions with a correction.
+    """
+    tool = F.col("role") == "tool"
+    clean, bad = F.when(tool & ~F.col("tool_error"), F.col("turn_idx")), F.when(tool & F.col("tool_error"), F.col("turn_idx"))
     found = turns.groupBy("session_id").agg(
-        F.sum("n_tool_calls").alias("n_tool_calls"), first_error.alias("first_error"), last_error.alias("last_error"), last_clean.alias("last_clean"),
+        F.count(clean).alias("n_clean"), F.count(bad).alias("n_errors"), F.min(bad).alias("first_error"), F.max(bad).alias("last_error"), F.max(clean).alias("last_clean"),
         F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn_idx"))).alias("last_answer"), F.max_by("text", F.when(F.col("role") == "user", -F.col("turn_idx"))).alias("first_request"),
     )
-    recovered = F.col("first_error").isNotNull() & (F.col("last_clean") > F.col("last_error"))
-    success = (F.col("n_tool_calls") >= min_calls) & (F.col("first_error").isNull() | recovered)
-    return found.withColumn("recovered", F.coalesce(recovered, F.lit(False))).withColumn("success", F.coalesce(success, F.lit(False)))
+    ends_bad = F.coalesce(F.col("last_error") > F.coalesce("last_clean", F.lit(-1)), F.lit(False))
+    recovered = (F.col("n_errors") > 0) & (F.col("n_clean") > 0) & ~ends_bad & (F.col("last_clean") > F.col("first_error"))
+    if corrected is None:
+        found = found.withColumn("__corrected", F.lit(False))
+    else:
+        found = found.join(corrected.select("session_id").distinct().withColumn("__corrected", F.lit(True)), "session_id", "left")
+    success = (F.col("n_clean") >= min_calls) & ~ends_bad & ~F.coalesce("__corrected", F.lit(False))
+    return found.withColumn("recovered", F.coalesce(recovered, F.lit(False))).withColumn("success", success).drop("__corrected")
+
+
+def outcome_signals(outcomes: DataFrame, known: DataFrame) -> DataFrame:
+    """session_id, kind, polarity, weight: recoveries, closeouts in success, and workflows of three clean results in sessions not known before."""
+    rows = outcomes.join(known.select("session_id").distinct().withColumn("__known", F.lit(True)), "session_id", "left")
+    struct = lambda kind, polarity, weight: F.struct(F.lit(kind).alias("kind"), F.lit(polarity).alias("polarity"), F.lit(weight).alias("weight"))
+    rules = F.array_compact(F.array(
+        F.when(F.col("recovered"), struct("error_recovery", "good", 0.6)), F.when(F.col("success"), struct("task_closeout_success", "good", 0.7)),
+        F.when((F.col("n_clean") >= 3) & F.col("__known").isNull(), struct("novel_workflow", "neutral", 0.2)),
+    ))
+    return rows.select("session_id", F.explode(rules).alias("s")).select("session_id", "s.*")
 
 
 def candidates(outcomes: DataFrame, known_keys: DataFrame) -> DataFrame:
@@ -70,7 +111,8 @@ def candidates(outcomes: DataFrame, known_keys: DataFrame) -> DataFrame:
 def passive_waits(turns: DataFrame) -> DataFrame:
     """Sessions whose last turn is an answer that waits for something."""
     last = turns.groupBy("session_id").agg(F.max_by(F.struct("role", "text", "ts"), "turn_idx").alias("t"))
-    return last.where((F.col("t.role") == "assistant") & F.col("t.text").rlike(PASSIVE_WAIT)).select("session_id", F.col("t.ts").alias("seen_at"))
+    waits = F.col("t.text").rlike("(?iU)" + "|".join(PASSIVE_WAIT))
+    return last.where((F.col("t.role") == "assistant") & waits).select("session_id", F.col("t.ts").alias("seen_at"))
 
 
 def pending_calls(records: DataFrame) -> DataFrame:

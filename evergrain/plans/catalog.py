@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evergrain.functions import scope as S
@@ -14,32 +12,9 @@ from evergrain.session import table
 from evergrain.streaming import streams
 
 from . import views as V
+from .registry import CONTEXT, IDS, MEANING_STOP, ORACLES, QUERIES, STOP, WEIGHT, WORDS, now, query, sql_names, sql_score
 
 FLAGSHIP = "bm25_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-CONTEXT = S.ScopeContext(project="src1", repo="src4", client="src2")
-
-
-def now():
-    return F.to_timestamp(F.lit(V.NOW))
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return add
-
-
-IDS = "('global:doctrine','project:src1','repo:src4','client:src2')"
-WEIGHT = f"CASE WHEN scope_type='global' THEN 1.0 WHEN scope_type='legacy_unscoped' THEN {{unscoped}} WHEN scope_id IN {IDS} THEN 1.25 WHEN visibility IN ('confidential','secret') OR scope_type='client' THEN 0.0 ELSE {{other}} END"
-WORDS = r"regexp_extract_all(lower(coalesce({0},'')), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}-]{{2,}}')"
-STOP = "[" + ",".join(f"'{w}'" for w in T.FTS_STOPWORDS) + "]"
-MEANING_STOP = "[" + ",".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(T.STOP_TERMS + T.NEGATIONS)) + "]"
 
 # ---- scope and delivery -------------------------------------------------------------------------------------------
 
@@ -102,10 +77,7 @@ def cosine_topk(spark, sf_dir):
     """Queries are the rows whose id is divisible by 20, as the rule for searches has it, against all rows."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    unit = e.select("vec_id", retrieval.normalised(F.col("embedding")).alias("v"))
-    asked = q.select("query_id", retrieval.normalised(F.col("vector")).alias("q"))
-    pairs = unit.join(asked, F.lit(True)).select("query_id", "vec_id", F.round(retrieval.dot(F.col("v"), F.col("q")), 6).alias("similarity"))
-    return retrieval.top(pairs, 5, F.desc("similarity"), F.asc("vec_id"))
+    return retrieval.cosine_topk(e, q, 5, digits=6)
 
 
 @query("legacy_relevance_topk", f"""WITH {V.BELIEFS_SQL},
@@ -117,14 +89,7 @@ def cosine_topk(spark, sf_dir):
     SELECT query_id, belief_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, belief_id) AS rank FROM sc QUALIFY rank <= 5""")
 def legacy_relevance_topk(spark, sf_dir):
     """Coverage and density, from postings of the queries' terms only."""
-    b = V.beliefs(spark, sf_dir)
-    asked = V.benchmark_queries(spark, sf_dir).select("query_id", T.meaningful_terms(F.col("query")).alias("qw"))
-    words = b.select("belief_id", "confidence", "pinned", T.terms(F.col("body")).alias("w")).withColumn("n_words", F.size("w"))
-    docs = words.select("belief_id", "confidence", "pinned", "n_words", F.explode("w").alias("term"))
-    hits = asked.select("query_id", F.size("qw").alias("n_terms"), F.explode("qw").alias("term")).join(docs, "term")
-    found = hits.groupBy("query_id", "belief_id", "confidence", "pinned", "n_words", "n_terms").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("term").alias("n"))
-    score = (F.col("n") / F.col("n_terms") + F.col("hits") / F.col("n_words")) * F.col("confidence") * F.when(F.col("pinned"), 1.1).otherwise(1.0)
-    return retrieval.top(found.select("query_id", "belief_id", F.round(score, 6).alias("score")), 5, F.desc("score"), F.asc("belief_id"))
+    return retrieval.legacy_search(V.beliefs(spark, sf_dir), V.benchmark_queries(spark, sf_dir), F.lit(1.0), 5)
 
 
 @query("rrf_fusion", BM25_SQL + """, lx AS (SELECT query_id, belief_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, belief_id) AS lr FROM sc QUALIFY lr <= 120),
@@ -216,7 +181,7 @@ def entropy_spans(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.entropy_spans(F.col("text")).alias("spans")).where("size(spans) > 0")
 
 
-@query("leak_names")
+@query("leak_names", f"SELECT doc_id, array_to_string({sql_names('text', T.LEAKS)}, ',') AS leaks, array_to_string({sql_names('text', T.INJECTIONS)}, ',') AS injections FROM documents")
 def leak_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.secret_leaks(F.col("text")), ",").alias("leaks"), F.array_join(T.injections(F.col("text")), ",").alias("injections"))
 
@@ -244,10 +209,10 @@ def correction_scores(spark, sf_dir):
     return c.select("conv_id", "turn", T.correction_score(F.col("text")).alias("score"))
 
 
-@query("correction_scores_all")
+@query("correction_scores_all", f"SELECT conv_id, turn, round({sql_score('text')}, 6) AS score FROM conversations")
 def correction_scores_all(spark, sf_dir):
     """Every turn with all twelve cues, the cap and the praise rule; the SQL of correction_scores leaves turns with cue words out."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.correction_score(F.col("text")).alias("score"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(T.correction_score(F.col("text")), 6).alias("score"))
 
 
 @query("stable_ids", "SELECT doc_id, 'doc_' || substring(sha256(source || chr(0) || lang || chr(0)), 1, 16) AS id, sha256(text) AS content_hash FROM documents")
@@ -487,7 +452,7 @@ def promote_score_topk(spark, sf_dir):
     return rows.select("knowledge_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), F.desc("knowledge_id")).limit(40)
 
 
-@query("heal_conflicts", """WITH v AS (SELECT p_partkey AS id, p_brand AS s, p_type AS p, p_size AS n, (p_partkey%10)/10.0 AS c FROM part), g AS (SELECT s, p, arg_max(id, (c, id)) AS w FROM v GROUP BY s, p HAVING count(*)>1 AND max(n)-min(n) > 0)
+@query("heal_conflicts", """WITH v AS (SELECT p_partkey AS id, p_brand AS s, p_type AS p, p_size AS n, (p_partkey%10)/10.0 AS c FROM part), g AS (SELECT s, p, arg_max(id, (c, -id)) AS w FROM v GROUP BY s, p HAVING count(*)>1 AND max(n)-min(n) > 0)
     SELECT id AS knowledge_id, w AS superseded_by FROM v JOIN g USING (s, p) WHERE id <> w""")
 def heal_conflicts(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("knowledge_id"), F.col("p_brand").alias("subject"), F.col("p_type").alias("predicate"), F.lit(None).cast("string").alias("project"), F.col("p_size").cast("double").alias("value_numeric"),
@@ -568,3 +533,6 @@ def rel_pricing_summary(spark, sf_dir):
 def rel_window_frames(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.rank().over(w).cast("long").alias("r"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("moving"))
+
+
+from . import queries_factory, queries_log, queries_ops, queries_retrieval, queries_text  # noqa: E402, F401  they register themselves

@@ -83,6 +83,54 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def varied_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a log in which every operation occurs, of fifty beliefs for each user."""
+    from pyspark.sql import Window
+
+    k, kind = F.col("event_id"), F.col("event_type")
+    e = table(spark, sf_dir, "events").withColumn("b", F.col("user_id") * 50 + k % 50)
+    text = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    seen = F.last(F.when(kind == "view", k), ignorenulls=True).over(Window.partitionBy("b").orderBy("event_id"))
+    e = e.withColumn("proposal", seen).withColumn("belief", text("bel_", F.col("b")))
+    scope = lambda name: F.struct(F.lit("project").alias("scope_type"), name.alias("scope_id"), F.lit("internal").alias("visibility"), F.lit("local_only").alias("egress_policy")).alias("scope")
+    decision = F.when(k % 7 == 0, "reject").when(k % 5 == 0, "edit").otherwise("approve")
+    body = (
+        F.when(kind == "click", F.to_json(F.struct(text("evd_", k).alias("evidence_id"), F.lit("seen").alias("body"))))
+        .when(kind == "view", F.to_json(F.struct(F.col("belief").alias("belief_id"), text("v", k).alias("body"), F.round(F.col("value") / 1000, 3).alias("confidence"), F.array(text("evd_", k)).alias("evidence_ids"), scope(F.lit("global:doctrine")))))
+        .when(kind == "purchase", F.to_json(F.struct(text("evt_", F.col("proposal")).alias("proposal_event_id"), decision.alias("decision"), F.when(decision == "edit", text("x", k)).alias("edited_body"))))
+        .when(kind == "error", F.to_json(F.struct(F.lit("belief").alias("target_layer"), F.col("belief").alias("target_id"), pick(k % 6, "edit", "pin", "demote", "mark_wrong", "reframe", "retract").alias("op"), text("e", k).alias("body"), (k % 4 == 0).alias("hard"))))
+        .when(k % 3 == 0, F.to_json(F.struct(F.col("belief").alias("target"), F.when(k % 2 == 0, "shred").otherwise("hide").alias("mode"))))
+        .otherwise(F.to_json(F.struct(F.col("belief").alias("belief_id"), F.when(k % 5 != 0, "someone").alias("approved_by"), scope(text("project:", k)))))
+    )
+    named = F.when(kind == "click", "evidence_recorded").when(kind == "view", "compilation_proposed").when(kind == "purchase", "compilation_decided").when(kind == "error", "correction_recorded")
+    return e.select(k.alias("event_seq"), text("evt_", k).alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.coalesce(named, F.when(k % 3 == 0, "tombstone_recorded").otherwise("scope_promoted")).alias("kind"), F.lit("w").alias("writer"), F.lit("s").alias("session_id"), body.alias("body_json"))
+
+
+def plain_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as turns whose texts need no cleaning: users ask, thank, approve or correct, every fifth answer is a tool's result."""
+    c, t = table(spark, sf_dir, "conversations"), F.col("turn")
+    k = F.col("conv_id") * 7 + t * 3
+    n = t.cast("string")
+    asked = pick(k % 6, "thanks, that is perfect", F.concat(F.lit("that's wrong, not what i asked "), n), F.concat(F.lit("please list item "), n), "yes, go ahead", F.concat(F.lit("what about part "), n), F.lit("rolling back the change"))
+    result = pick(k % 5, "12 passed", "3 failed", "deployment succeeded", "error: no such file", "done")
+    answer = F.concat(F.lit("answer "), n, F.lit(" "), F.repeat(F.lit("lorem ipsum "), (k % 13 + 1).cast("int")), F.lit("end"))
+    tool = (F.col("role") == "assistant") & (k % 5 == 4)
+    role = F.when(tool, "tool").otherwise(F.col("role"))
+    return c.select(
+        F.col("conv_id").cast("string").alias("session_id"), t.alias("turn_idx"), role.alias("role"), F.when(role == "user", "bare").otherwise("").alias("kind"),
+        F.when(role == "user", asked).when(tool, result).otherwise(answer).alias("text"), F.lit(None).cast("string").alias("ts"), (tool & (k % 3 == 0)).alias("tool_error"),
+        F.when(role == "assistant", F.col("conv_id") % 3).otherwise(0).cast("long").alias("n_tool_calls"), F.when(role == "user", F.concat(F.lit("u"), (F.col("conv_id") % 4).cast("string"))).alias("authored_by"), ((role == "user") & (F.col("conv_id") % 2 == 0)).alias("sender_verified"),
+    )
+
+
+PLAIN_TURNS_SQL = """k AS (SELECT conv_id, turn, role, conv_id*7 + turn*3 AS k FROM conversations),
+    r AS (SELECT *, CASE WHEN role='assistant' AND k%5=4 THEN 'tool' ELSE role END AS who FROM k),
+    turns AS (SELECT conv_id::VARCHAR AS session_id, turn AS turn_idx, who AS role, k, CASE who
+        WHEN 'user' THEN CASE k%6 WHEN 0 THEN 'thanks, that is perfect' WHEN 1 THEN 'that''s wrong, not what i asked '||turn WHEN 2 THEN 'please list item '||turn WHEN 3 THEN 'yes, go ahead' WHEN 4 THEN 'what about part '||turn ELSE 'rolling back the change' END
+        WHEN 'tool' THEN CASE k%5 WHEN 0 THEN '12 passed' WHEN 1 THEN '3 failed' WHEN 2 THEN 'deployment succeeded' WHEN 3 THEN 'error: no such file' ELSE 'done' END
+        ELSE 'answer '||turn||' '||repeat('lorem ipsum ', k%13+1)||'end' END AS text, who='tool' AND k%3=0 AS tool_error, CASE WHEN who='assistant' THEN conv_id%3 ELSE 0 END AS n_tool_calls, who='user' AND conv_id%2=0 AS sender_verified FROM r)"""
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as votes on users."""
     e = table(spark, sf_dir, "events")

@@ -52,7 +52,11 @@ def changed_sources(files: DataFrame, beliefs: DataFrame) -> DataFrame:
 
 
 def import_events(files: DataFrame) -> DataFrame:
-    """The three events of each import (evidence, proposal, approval) as unsequenced rows: kind, ref, body."""
+    """The three events of each import (evidence, proposal, approval) as unsequenced rows: path, step, kind, body_json.
+
+    The approval names its proposal by belief (proposal_of), since a proposal has no id before it stands in the log; log.append()
+    puts the id there.
+    """
     evidence_id, belief_id = stable_id("evd", F.col("body")), stable_id("bel", F.col("path"))
     body = lambda *cols: F.to_json(F.struct(*cols))
     made = F.array(

@@ -52,6 +52,70 @@ def test_fold_semantics(spark):
     assert fold.fold(df).first()["status"] == "current"  # a soft correction from before the proposal does not last
 
 
+def test_native_fold_equals_the_step_by_step_fold(spark):
+    rnd = random.Random(7)
+    rows, proposals = [], {}
+    scope = lambda k: {"scope_type": "project", "scope_id": f"project:{k}", "visibility": "internal", "egress_policy": "local_only"}
+    for seq in range(700):
+        b = f"b{rnd.randrange(30)}"
+        kind = rnd.choice(["compilation_proposed", "compilation_decided", "correction_recorded", "tombstone_recorded", "scope_promoted", "evidence_recorded"])
+        if kind == "compilation_proposed":
+            proposals.setdefault(b, []).append(f"e{seq}")
+            body = {"belief_id": b, "body": rnd.choice(["", f"t{seq}"]), "confidence": rnd.choice([None, 0.0, 0.3, 0.9]), "evidence_ids": rnd.choice([None, [], ["x", "y"]]), "belief_type": rnd.choice([None, "rule"]), "scope": rnd.choice([None, scope(seq)])}
+        elif kind == "compilation_decided":
+            body = {"proposal_event_id": rnd.choice(proposals.get(b) or ["none"]), "decision": rnd.choice(["approve", "approve", "edit", "reject", "shadow"]), "edited_body": rnd.choice([None, "", f"edited {seq}"])}
+        elif kind == "correction_recorded":
+            body = {"target_layer": rnd.choice(["belief", "knowledge", "evidence"]), "target_id": b, "op": rnd.choice(["edit", "reframe", "pin", "demote", "mark_wrong", "retract", "other"]), "body": rnd.choice([None, "", f"c{seq}"]), "hard": rnd.choice([True, False, None])}
+        elif kind == "tombstone_recorded":
+            if rnd.random() < 0.7:
+                continue
+            body = {"target": b, "mode": rnd.choice(["hide", "shred"])}
+        elif kind == "scope_promoted":
+            body = {"belief_id": b, "approved_by": rnd.choice([None, "", "me"]), "scope": scope(seq)}
+        else:
+            body = {"evidence_id": "x", "body": "y"}
+        rows.append((seq, f"e{seq}", f"t{seq:04d}", kind, "w", None, json.dumps(body), None, None, f"h{seq}"))
+    df = spark.createDataFrame(rows, LOG)
+    for replay in (True, False):
+        groups = {}
+        for r in fold.routed(df).collect():
+            groups.setdefault(r["canonical"], []).append(r.asDict())
+        want = {b: fold.fold_events(b, g, replay=replay) for b, g in groups.items() if b is not None}
+        want = {b: w for b, w in want.items() if w is not None}
+        got = {r["belief_id"]: r.asDict() for r in fold.fold(df, replay=replay).collect()}
+        assert got == want and len(want) > 15
+    at = df.where("event_seq <= 350")
+    for cursor in ((350, "h350"), (350, "other"), None):
+        stored = fold.fold(at)
+        row = at.orderBy(F.desc("event_seq")).first()
+        cursor = cursor and ((row["event_seq"], row["event_hash"]) if cursor[1] == "h350" else cursor)
+        assert {r["belief_id"]: r for r in fold.advance(df, stored, cursor).collect()} == {r["belief_id"]: r for r in fold.fold(df).collect()}
+
+
+def test_imports_become_beliefs(spark):
+    notes = spark.createDataFrame([("a.md", "first note"), ("b.md", "second note")], "path string, body string")
+    made = sorted(files.import_events(notes).collect(), key=lambda r: (r["path"], r["step"]))
+    rows = log.append((0, None), [{"ts": "t", "writer": "w", "kind": r["kind"], "body": json.loads(r["body_json"])} for r in made])
+    names = [c.split(" ")[0] for c in LOG.split(", ")]
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], LOG)
+    assert log.verify_chain(df).count() == 0
+    assert sorted(r["body"] for r in fold.fold(df).collect()) == ["first note", "second note"]
+
+
+def test_signals_without_an_object_stay_apart(spark):
+    got = feedback.violation_signals(spark.createDataFrame([(1,), (2,), (2,)], "violation_id long")).collect()
+    assert len(got) == 2 and all(r["signal_id"] and r["weight"] == 0.7 for r in got)
+
+
+def test_promotion_budget_spares_pinned_rows(spark):
+    cols = "knowledge_id long, body string, status string, quarantine_reason string, quality_label string, quality_confidence double, confidence double, prescriptive boolean, type string, risk string, updated_at string, privacy_scope string, origin string"
+    rows = [(k, "x" * 40, "current", None, "good", 0.6 + k / 100, 0.5, False, "doc", "low", "2026-01-01", "public", "human" if k == 0 else None) for k in range(6)]
+    empty = lambda schema: spark.createDataFrame([], schema)
+    found = ops.promote(spark.createDataFrame(rows, cols), empty("knowledge_id long, outcome string"), empty("knowledge_id long, evidence_id long"), empty("evidence_id long, claim string, verifier_status string, source_type string, injection_scan_status string"),
+                        empty("knowledge_id long, kind string, polarity string"), F.to_timestamp(F.lit("2026-01-01")), ops.OpsRules(max_chars=125))
+    assert sorted(r["knowledge_id"] for r in found.where("inject").collect()) == [0, 4, 5]
+
+
 def test_incremental_fold_equals_full_fold():
     rnd = random.Random(1337)
     for _ in range(40):

@@ -7,13 +7,19 @@ TURNS = "session_id string, turn_idx long, role string, kind string, text string
 
 
 def test_review(spark):
-    rows = [("a", 0, "user", "bare", "please deploy", "t", False, 0), ("a", 1, "assistant", "", "doing", "t", False, 6), ("a", 2, "tool", "", "failed", "t", True, 0), ("a", 3, "tool", "", "ok", "t", False, 0), ("a", 4, "assistant", "", "Deployed; all checks pass", "t", False, 0), ("a", 5, "user", "bare", "thanks", "t", False, 0)]
+    rows = [("a", 0, "user", "bare", "please deploy", "t", False, 0), ("a", 1, "assistant", "", "doing", "t", False, 6), ("a", 2, "tool", "", "FAILED: exit", "t", True, 0), ("a", 3, "tool", "", "deployment succeeded, 12 passed", "t", False, 0),
+            ("a", 4, "assistant", "", "Deployed; I am reverting nothing", "t", False, 0), ("a", 5, "user", "bare", "yes, thanks", "t", False, 0), ("a", 6, "user", "bare", "that's wrong", "t", False, 0), ("a", 7, "user", "bare", "go ahead", "t", False, 0)]
     df = spark.createDataFrame(rows, TURNS)
-    assert sorted((r["turn_idx"], r["kind"]) for r in review.turn_signals(df).collect()) == [(2, "tool_error"), (4, "deployed"), (4, "tests_passed"), (5, "user_thanks")]
-    got = review.session_outcomes(df).first()
-    assert (got["recovered"], got["success"], got["first_request"]) == (True, True, "please deploy")
+    got = sorted((r["turn_idx"], r["kind"], r["weight"]) for r in review.turn_signals(df).collect())
+    assert got == [(2, "test_fail", 0.6), (3, "deploy_success", 0.6), (3, "test_pass", 0.4), (4, "revert", 0.7), (5, "user_approval", 0.5), (5, "user_thanks", 0.6), (6, "user_correction", 0.8)]  # no approval right after a user
+    out = review.session_outcomes(df, min_calls=1)
+    row = out.first()
+    assert (row["recovered"], row["success"], row["n_clean"], row["first_request"]) == (True, True, 1, "please deploy")
+    corrected = review.turn_signals(df).where("kind = 'user_correction'")
+    assert not review.session_outcomes(df, 1, corrected).first()["success"]
+    assert [r["kind"] for r in review.outcome_signals(out, df.where("false").select("session_id")).collect()] == ["error_recovery", "task_closeout_success"]
     known = spark.createDataFrame([("nothing",)], "claim_key string")
-    assert [(r["kind"], r["title"]) for r in review.candidates(review.session_outcomes(df), known).collect()] == [("recovery", "please deploy")]
+    assert [(r["kind"], r["title"]) for r in review.candidates(out, known).collect()] == [("recovery", "please deploy")]
 
 
 def test_packet(spark):
