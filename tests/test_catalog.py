@@ -73,3 +73,9 @@ def test_entry_without_corpus_subpackage(tmp_path):
     (tmp_path / "__spark_entry__.py").symlink_to(root / "__spark_entry__.py")
     code = f"import sys; sys.path.insert(0, {str(tmp_path)!r}); exec(open({str(tmp_path / '__spark_entry__.py')!r}).read().replace('from __future__ import annotations', '')); q = queries(); assert 'bm25_topk' in q and not any(k.startswith('op1') for k in q), list(q); assert set(oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_entry_without_what_the_corpus_subpackage_imports():
+    root = Path(__file__).resolve().parents[1]
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and 'pipeline' not in q and not any(k.startswith('op1') for k in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
