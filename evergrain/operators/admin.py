@@ -138,3 +138,31 @@ def fallback_reason(meta: dict | None, event_head: str, model: str, dims: int, q
     if meta.get("dimensions") != dims:
         return "dimension_mismatch"
     return None if query.strip() else "empty_query"
+
+
+def search_scopes(hits: DataFrame, knowledge: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Search hits (doc_id, rank) with the scope of the knowledge or evidence behind them, in listing order.
+
+    Hits on history files, and on documents that no person, harvest or loop put there and that are not injected, come last. knowledge: doc_id, type, origin,
+    inject, privacy_scope; evidence: doc_id, source_type, privacy_scope.
+    """
+    k = knowledge.select("doc_id", "type", "origin", "inject", F.col("privacy_scope").alias("k_scope"))
+    e = evidence.select("doc_id", "source_type", F.col("privacy_scope").alias("e_scope"))
+    rows = hits.join(k, "doc_id", "left").join(e, "doc_id", "left")
+    plain = (F.col("type") == "doc") & ~F.coalesce("origin", F.lit("")).isin("human", "harvest", "loop") & ~F.coalesce("inject", F.lit(False))
+    later = F.coalesce(F.col("source_type").endswith("_history_file"), F.lit(False)) | F.coalesce(plain, F.lit(False))
+    return rows.select("doc_id", "rank", F.coalesce("k_scope", "e_scope").alias("scope"), later.cast("int").alias("tier"))
+
+
+def linked_rows(knowledge: DataFrame, evidence: DataFrame, edges: DataFrame) -> DataFrame:
+    """knowledge and evidence rows that an edge joins and that both pass their own filters, which are applied before."""
+    return edges.join(knowledge, "knowledge_id").join(evidence, "evidence_id")
+
+
+def migration_rows(knowledge: DataFrame, links: DataFrame) -> DataFrame:
+    """Old rows with their links gathered in order: knowledge_id, links (evidence_id, relation), and a digest of both, to be compared with the new store's."""
+    gathered = links.groupBy("knowledge_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "relation"))).alias("links"))
+    rows = knowledge.join(gathered, "knowledge_id", "left")
+    none = F.from_json(F.lit("[]"), gathered.schema["links"].dataType)
+    rows = rows.withColumn("links", F.coalesce("links", none))
+    return rows.withColumn("row_digest", F.sha2(F.to_json(F.struct(*[F.col(c) for c in knowledge.columns], "links")), 256))

@@ -397,3 +397,57 @@ def apply_model(rows: DataFrame, call, schema: str) -> DataFrame:
             yield call(batch)
 
     return rows.mapInPandas(run, schema)
+
+
+def mine_all(turns: DataFrame) -> dict[str, DataFrame]:
+    """Exchanges, preference pairs and voice of the same turns, each under its dataset's name. Persist turns before, where parsing them is dear."""
+    return {"sft": exchanges(turns), "dpo": gated_pairs(preference_pairs(turns)), "persona": persona_pairs(turns)}
+
+
+def founder_sessions(lines: DataFrame, turns: DataFrame, names: list[str]) -> DataFrame:
+    """Turns of sessions to mine again, whatever their watermark: those in which one of the named people writes.
+
+    lines (session_id, line) are raw transcript lines: the cheap look that goes before the authors of parsed turns. names is the operator's short list.
+    """
+    named = F.lit(False)
+    for name in names:
+        named = named | F.col("line").contains(name)
+    maybe = lines.where(named).select("session_id").distinct()
+    sure = turns.join(maybe, "session_id", "left_semi").where(F.col("authored_by").isin(*names)).select("session_id").distinct()
+    return turns.join(sure, "session_id", "left_semi")
+
+
+def held_out(examples: DataFrame, n: int, seed: str) -> DataFrame:
+    """The n examples kept for evaluation: those that no pack selected first, then by seeded hash of the id. examples: id, content_hash, train_selected."""
+    order = [F.coalesce("train_selected", F.lit(False)).cast("int"), seeded_hash(seed, F.col("id")), F.col("id")]
+    return examples.orderBy(*order).limit(n)
+
+
+def without_held_out(examples: DataFrame, held: DataFrame) -> DataFrame:
+    """Examples none of whose content is held out, under whatever id."""
+    return examples.join(held.select("content_hash").distinct(), "content_hash", "left_anti")
+
+
+def trimmed_chats(messages: DataFrame, most: int = 1600, least_answer: int = 80) -> DataFrame:
+    """id, n_kept, prompt_chars, trimmed, usable: prompts that drop their oldest messages until `most` characters hold, one message at least.
+
+    messages: id, pos, role, content. A chat is usable when it ends in an answer of least_answer characters, has a prompt, and that fits.
+    """
+    last = Window.partitionBy("id").orderBy(F.desc("pos"))
+    rows = messages.withColumn("back", F.row_number().over(last)).withColumn("n", F.length(F.coalesce("content", F.lit(""))))
+    prompt = rows.where("back > 1").withColumn("used", F.sum("n").over(last.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = prompt.where((F.col("used") <= most) | (F.col("back") == 2))
+    sums = kept.groupBy("id").agg(F.count(F.lit(1)).alias("n_kept"), F.sum("n").alias("prompt_chars"))
+    ends = rows.where("back = 1").select("id", ((F.col("role") == "assistant") & (F.length(F.trim("content")) >= least_answer)).alias("ends_well"))
+    sizes = messages.groupBy("id").agg(F.count(F.lit(1)).alias("n_all"))
+    joined = sizes.join(ends, "id").join(sums, "id", "left").na.fill(0, ["n_kept", "prompt_chars"])
+    usable = F.col("ends_well") & (F.col("n_all") >= 2) & (F.col("prompt_chars") <= most)
+    return joined.select("id", "n_kept", "prompt_chars", (F.col("n_kept") < F.col("n_all") - 1).alias("trimmed"), F.coalesce(usable, F.lit(False)).alias("usable"))
+
+
+def training_result(metrics: DataFrame, pack: DataFrame, model: str, ts: str) -> DataFrame:
+    """One row that records a training run: its pack's rows and digest, and the last of each metric. metrics: step, name, value."""
+    last = metrics.groupBy("name").agg(F.max_by("value", "step").alias("value"))
+    shown = last.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("metrics"))  # a row a metric
+    packed = pack.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64("content_hash")).alias("pack_digest"))
+    return packed.crossJoin(F.broadcast(shown)).withColumn("model", F.lit(model)).withColumn("ts", F.lit(ts))  # one row each

@@ -199,3 +199,38 @@ def resolve_aliases(ids: DataFrame, objects: DataFrame, aliases: DataFrame) -> D
     old = objects.select(F.expr("substring(object_id, 8)").alias("id"), F.col("object_id").alias("old")).where("old like 'legacy:%'")
     joined = ids.join(own, "id", "left").join(named, "id", "left").join(old, "id", "left")
     return joined.select("id", F.coalesce("own", "named", F.when(F.col("id").startswith("know_"), F.col("old")), "id").alias("canonical_id"))
+
+
+#: How far a status restricts a belief; statuses that an imported row may have.
+RESTRICTIVENESS = {"current": 0, "candidate": 1, "superseded": 2, "stale": 3, "archived": 4, "retracted": 5, "tombstoned": 6}
+IMPORTED = ("candidate", "current", "superseded", "stale", "archived")
+
+
+def merge_imports(beliefs: DataFrame, imports: DataFrame, corrections: DataFrame) -> DataFrame:
+    """belief_id, body, status, serve, pinned, confidence, evidence_ids of beliefs and imported old rows together.
+
+    imports: belief_id, body, status, confidence, origin, inject, evidence_ids. An old row under the id of a belief keeps the belief's body, pin and
+    confidence (its own where there is none), takes the more restrictive status, and adds its evidence; any other becomes a belief of its own. Imported
+    rows are never served. corrections (target_id, op: mark_wrong, retract, demote, pin or tombstone) that were
+    recorded before the import hold on imported rows.
+    """
+    allowed = F.col("status").isin(*IMPORTED)
+    rows = imports.select(
+        "belief_id", F.coalesce("body", F.lit("")).alias("new_body"), F.when(allowed, F.col("status")).otherwise("candidate").alias("new_status"), F.col("confidence").alias("new_confidence"),
+        F.coalesce((F.col("origin") == "human") & F.col("inject"), F.lit(False)).alias("new_pinned"), F.col("evidence_ids").alias("new_evidence"), F.lit(True).alias("imported"),
+    )
+    held = corrections.groupBy("target_id").agg(F.collect_set("op").alias("ops"))  # a handful of operations
+    both = beliefs.select("belief_id", "body", "status", "serve", "pinned", "confidence", "evidence_ids").join(rows, "belief_id", "full_outer")
+    both = both.join(held.withColumnRenamed("target_id", "belief_id"), "belief_id", "left")
+    rank = lambda c: F.coalesce(F.create_map(*[F.lit(x) for pair in RESTRICTIVENESS.items() for x in pair])[F.col(c)], F.lit(1))
+    merged = F.when(F.col("new_status").isNull() | (rank("status") >= rank("new_status")), F.col("status")).otherwise(F.col("new_status"))
+    status = F.coalesce(F.when(F.col("status").isNull(), F.col("new_status")).otherwise(merged), F.lit("candidate"))
+    has = lambda *names: F.coalesce(F.col("imported"), F.lit(False)) & F.coalesce(F.arrays_overlap("ops", F.array(*map(F.lit, names))), F.lit(False))
+    status = F.when(has("tombstone"), "tombstoned").when(has("mark_wrong", "retract"), "retracted").otherwise(status)
+    sure = F.coalesce("confidence", "new_confidence")
+    none = F.array().cast("array<string>")
+    return both.select(
+        "belief_id", F.coalesce("body", "new_body").alias("body"), status.alias("status"), (F.coalesce("serve", F.lit(False)) & F.col("imported").isNull()).alias("serve"),
+        (F.coalesce("pinned", "new_pinned", F.lit(False)) | has("pin")).alias("pinned"), F.when(has("demote"), F.least(F.coalesce(F.when(sure != 0, sure), F.lit(0.5)), F.lit(0.4))).otherwise(sure).alias("confidence"),
+        F.array_distinct(F.concat(F.coalesce("evidence_ids", none), F.coalesce("new_evidence", none))).alias("evidence_ids"),
+    )

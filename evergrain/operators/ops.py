@@ -266,3 +266,22 @@ def consolidate(evidence: DataFrame, by: str, order: str, text: str, most: int =
 
 def spend_today(runs: DataFrame, day: str) -> DataFrame:
     return runs.where(F.substring("ts", 1, 10) == day).agg(F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"))
+
+
+def digest_message(findings: DataFrame, most: int = 3900, backlog: bool = False) -> DataFrame:
+    """One row: the message of a run's findings (fingerprint, block, seen_at) within `most` characters, and how many it holds.
+
+    Blocks follow each other in order of time while what they need, with a line for the rest, fits; the first always does.
+    """
+    total = findings.agg(F.count(F.lit(1)).alias("total"))
+    head = findings.orderBy("seen_at", "fingerprint").limit(most)  # a block has one character at least
+    w = Window.orderBy("seen_at", "fingerprint")
+    rows = head.withColumn("nth", F.row_number().over(w)).withColumn("used", F.sum(F.length("block") + 2).over(w.rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(total))
+    title = F.concat(F.col("total").cast("string"), F.lit(" stalled agent(s)" + (" (backlog on first run)" if backlog else "") + ":"))
+    footer = lambda n: F.concat(F.lit("\n\n… +"), n.cast("string"), F.lit(" more (next digest)"))
+    rest = F.col("total") - F.col("nth")
+    size = F.length(title) + F.col("used") + F.when(rest > 0, F.length(footer(rest)) - 1).otherwise(0)
+    rows = rows.withColumn("fits", (size <= most) | (F.col("nth") == 1)).withColumn("open", F.min(F.col("fits").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    kept = rows.where("open").groupBy("total").agg(F.count(F.lit(1)).alias("n_included"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "block"))), lambda x: x["block"]), "\n\n").alias("blocks"))
+    left = F.col("total") - F.col("n_included")
+    return kept.select(F.concat(title, F.lit("\n\n"), "blocks", F.when(left > 0, footer(left)).otherwise("")).alias("message"), "n_included")

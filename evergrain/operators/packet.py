@@ -114,3 +114,10 @@ def egress_audit(included: DataFrame, rejected: DataFrame, target: str, context_
     payload = F.sha2(F.concat_ws("|", F.col("included_digest").cast("string"), F.col("n_included").cast("string")), 256)
     row = row.withColumn("payload_hash", payload).withColumn("target", F.lit(target)).withColumn("context_json", F.lit(context_json)).withColumn("query", F.lit(query)).withColumn("ts", F.lit(ts))
     return row.withColumn("audit_id", stable_id("egress", F.col("target"), F.col("context_json"), F.col("query"), F.col("payload_hash"), F.col("ts")))
+
+
+def handles_by_id(handles: DataFrame) -> DataFrame:
+    """Handles of a packet once each: at the place where an id came first, with what it said last. handles: query_id, pos, id and more."""
+    rest = [c for c in handles.columns if c not in ("query_id", "id", "pos")]
+    found = handles.groupBy("query_id", "id").agg(F.min("pos").alias("pos"), F.max_by(F.struct(*rest), "pos").alias("last"))
+    return found.select("query_id", "id", "pos", "last.*")

@@ -138,3 +138,40 @@ def eval_id_differences(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("eval_id"))
     found = factory.id_set_differences(a=b, b=b.where("eval_id % 3 <> 0"), c=b.where("eval_id % 4 <> 0"))
     return found.select("eval_id", F.array_join("have", ",").alias("have"))
+
+
+# ---- pilots ---------------------------------------------------------------------------------------------------------
+
+
+@query("held_out_examples", "SELECT doc_id AS id FROM documents ORDER BY (doc_id % 3 = 0)::INT, sha256('pilot:'||doc_id), doc_id LIMIT 40")
+def held_out_examples(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"), (F.col("doc_id") % 3 == 0).alias("train_selected"))
+    return factory.held_out(rows, 40, "pilot").select("id")
+
+
+@query("training_without_held_out", """WITH h AS (SELECT sha256(text) AS c FROM documents ORDER BY (doc_id % 3 = 0)::INT, sha256('pilot:'||doc_id), doc_id LIMIT 40) SELECT doc_id AS id FROM documents WHERE sha256(text) NOT IN (SELECT c FROM h)""")
+def training_without_held_out(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"), (F.col("doc_id") % 3 == 0).alias("train_selected"))
+    return factory.without_held_out(rows, factory.held_out(rows, 40, "pilot")).select("id")
+
+
+@query("trimmed_chats", f"""WITH {V.PLAIN_TURNS_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_idx DESC) AS back, count(*) OVER (PARTITION BY session_id) AS n_all FROM turns),
+    p AS (SELECT *, sum(length(text)) OVER (PARTITION BY session_id ORDER BY turn_idx DESC) AS used FROM b WHERE back > 1), kept AS (SELECT session_id, count(*) AS n_kept, sum(length(text))::BIGINT AS prompt_chars FROM p WHERE used <= 300 OR back = 2 GROUP BY 1)
+    SELECT b.session_id AS id, coalesce(n_kept, 0) AS n_kept, coalesce(prompt_chars, 0) AS prompt_chars, coalesce(n_kept, 0) < n_all - 1 AS trimmed, role='assistant' AND length(trim(text)) >= 80 AND n_all >= 2 AND coalesce(prompt_chars, 0) <= 300 AS usable FROM b LEFT JOIN kept USING (session_id) WHERE back = 1""")
+def trimmed_chats(spark, sf_dir):
+    t = V.plain_turns(spark, sf_dir).select(F.col("session_id").alias("id"), F.col("turn_idx").alias("pos"), "role", F.col("text").alias("content"))
+    return factory.trimmed_chats(t, 300).select("id", "n_kept", "prompt_chars", "trimmed", "usable")
+
+
+@query("founder_session_turns", """SELECT conv_id::VARCHAR AS session_id, count(*) AS n FROM conversations WHERE conv_id % 4 = 2 AND conv_id IN (SELECT conv_id FROM conversations WHERE role='user') GROUP BY 1""")
+def founder_session_turns(spark, sf_dir):
+    t = V.turns(spark, sf_dir)
+    lines = t.select("session_id", F.concat(F.lit("from "), F.coalesce("authored_by", F.lit("-"))).alias("line"))
+    return factory.founder_sessions(lines, t, ["u2"]).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("training_results", """WITH m AS (SELECT event_type AS name, arg_max(value, event_id) AS v FROM events GROUP BY 1) SELECT (SELECT count(*) FROM documents) AS n_rows, 'base' AS model, (SELECT v FROM m WHERE name='click') AS last_click, (SELECT v FROM m WHERE name='view') AS last_view""")
+def training_results(spark, sf_dir):
+    metrics = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("name"), "value")
+    found = factory.training_result(metrics, table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_hash")), "base", "t")
+    return found.select("n_rows", "model", F.col("metrics")["click"].alias("last_click"), F.col("metrics")["view"].alias("last_view"))

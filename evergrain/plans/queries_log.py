@@ -118,6 +118,33 @@ def scan_after_cursor(spark, sf_dir):
     return log.scan(V.event_log(spark, sf_dir), 100, "2024-01-20T00:00:00").groupBy(named[F.col("kind")].alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("imported_beliefs", """WITH b AS (SELECT c_custkey AS k, 'body '||c_custkey AS body, CASE c_custkey%4 WHEN 0 THEN 'current' WHEN 1 THEN 'retracted' WHEN 2 THEN 'current' ELSE 'tombstoned' END AS st, c_custkey%6=0 AS pin, CASE WHEN c_custkey%5<>0 THEN (c_custkey%10)/10.0 END AS conf FROM customer WHERE c_custkey%3<>0),
+    i AS (SELECT c_custkey AS k, 'old '||c_custkey AS body, CASE c_custkey%4 WHEN 0 THEN 'current' WHEN 1 THEN 'stale' WHEN 2 THEN 'archived' ELSE 'candidate' END AS st, c_custkey%7=0 AS pin, 0.7 AS conf FROM customer WHERE c_custkey%2=0),
+    j AS (SELECT coalesce(b.k, i.k) AS k, coalesce(b.body, i.body) AS body, b.st AS bs, i.st AS ist, coalesce(b.pin, i.pin, false) AS pin, coalesce(b.conf, i.conf) AS conf, i.k IS NOT NULL AS imp FROM b FULL JOIN i ON b.k = i.k),
+    r AS (SELECT *, CASE WHEN imp AND k%11=0 THEN 'tombstoned' WHEN imp AND k%13=0 THEN 'retracted' WHEN bs IS NULL THEN ist WHEN ist IS NULL THEN bs
+        WHEN list_position(['current','candidate','superseded','stale','archived','retracted','tombstoned'], bs) >= list_position(['current','candidate','superseded','stale','archived','retracted','tombstoned'], ist) THEN bs ELSE ist END AS status FROM j)
+    SELECT 'bel_'||k AS belief_id, body, status, k%3<>0 AND k%4 IN (0,2) AND NOT imp AS serve, pin AS pinned, round(CASE WHEN imp AND k%17=0 THEN least(CASE WHEN conf=0 THEN 0.5 ELSE conf END, 0.4) ELSE conf END, 6)::DOUBLE AS confidence FROM r""")
+def imported_beliefs(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    name = F.concat(F.lit("bel_"), k.cast("string"))
+    evidence = F.array(F.concat(F.lit("e"), k.cast("string")))
+    beliefs = c.where(k % 3 != 0).select(name.alias("belief_id"), F.concat(F.lit("body "), k.cast("string")).alias("body"), V.pick(k % 4, "current", "retracted", "current", "tombstoned").alias("status"), (k % 2 == 0).alias("serve"), (k % 6 == 0).alias("pinned"), F.when(k % 5 != 0, (k % 10) / 10.0).alias("confidence"), evidence.alias("evidence_ids"))
+    old = c.where(k % 2 == 0).select(name.alias("belief_id"), F.concat(F.lit("old "), k.cast("string")).alias("body"), V.pick(k % 4, "current", "stale", "archived", "unheard of").alias("status"), F.lit(0.7).alias("confidence"), F.when(k % 7 == 0, "human").alias("origin"), F.lit(True).alias("inject"), evidence.alias("evidence_ids"))
+    fixes = c.where((k % 11 == 0) | (k % 13 == 0) | (k % 17 == 0)).select(name.alias("target_id"), F.explode(F.array_compact(F.array(F.when(k % 11 == 0, F.lit("tombstone")), F.when(k % 13 == 0, F.lit("retract")), F.when(k % 17 == 0, F.lit("demote"))))).alias("op"))
+    return fold.merge_imports(beliefs, old, fixes).select("belief_id", "body", "status", "serve", "pinned", F.round("confidence", 6).alias("confidence"))
+
+
+@query("first_event_that_names", f"""WITH r AS (SELECT event_id AS rid, user_id, ts FROM events WHERE event_type='purchase'),
+    x AS (SELECT rid, e.event_id, e.event_type, row_number() OVER (PARTITION BY rid ORDER BY e.ts, e.event_id) AS nth FROM r JOIN events e ON e.user_id = r.user_id AND e.event_type IN ('view','error','signup') AND e.ts > r.ts AND e.ts <= r.ts + INTERVAL 24 HOUR)
+    SELECT rid AS retrieval_id, CASE WHEN event_type='error' AND (event_id%2=1 OR event_id%3=0) THEN 'harmful' ELSE 'used' END AS outcome, CASE WHEN event_type='error' AND (event_id%2=1 OR event_id%3=0) THEN 'inferred_exact_correction' ELSE 'inferred_exact_reference' END AS feedback_source, event_id AS event_seq FROM x WHERE nth = 1""")
+def first_event_that_names(spark, sf_dir):
+    """No session matches: only what a later event's body names decides."""
+    e = table(spark, sf_dir, "events")
+    uses = e.where("event_type = 'purchase'").select(F.col("event_id").alias("retrieval_id"), F.col("ts").alias("served_at"), F.lit("elsewhere").alias("session_id"), F.array(F.lit("none"), F.concat(F.lit("bel_"), F.col("user_id").cast("string"))).alias("served_ids"), F.lit("served").alias("outcome"), F.lit(None).cast("string").alias("feedback_source"))
+    rows = V.event_log(spark, sf_dir).join(e.select(F.col("event_id").alias("event_seq"), F.col("ts").alias("exact")), "event_seq").withColumn("ts", F.col("exact"))
+    return feedback.first_event_after(uses, rows, V.NOW).select("retrieval_id", "outcome", "feedback_source", "event_seq")
+
+
 # ---- feedback -----------------------------------------------------------------------------------------------------
 
 OUTCOME = "CASE (l_orderkey + l_linenumber) % 8 WHEN 0 THEN 'improved' WHEN 1 THEN 'helpful' WHEN 2 THEN 'used' WHEN 3 THEN 'harmful' WHEN 4 THEN 'failed' WHEN 5 THEN 'irrelevant' WHEN 6 THEN 'ignored' ELSE 'served' END"

@@ -214,3 +214,13 @@ def grades_and_calibration(spark, sf_dir):
     counts = graded.agg(F.count_if(F.col("grade_state") == "graded").alias("graded"), F.count_if(F.col("grade_state") == "error").alias("errors"))
     found = review.calibrate(graded.where("grade_state = 'graded'"), o.select(k.alias("id"), (k % 2 == 0).alias("accept")))
     return counts.crossJoin(F.broadcast(found.select(F.round("agreement", 6).alias("agreement"))))  # one row each
+
+
+@query("stall_digest", """WITH f AS (SELECT o_orderkey AS k, 'agent ' || o_orderkey || ' waits since ' || strftime(o_orderdate, '%Y-%m-%d') AS b, o_orderdate AS d FROM orders WHERE o_orderkey % 7 = 0),
+    r AS (SELECT *, row_number() OVER (ORDER BY d, k) AS nth, count(*) OVER () AS total, sum(length(b) + 2) OVER (ORDER BY d, k ROWS UNBOUNDED PRECEDING) AS used FROM f),
+    z AS (SELECT *, length(total || ' stalled agent(s):') + used + CASE WHEN total - nth > 0 THEN length('… +' || (total - nth) || ' more (next digest)') + 1 ELSE 0 END AS size FROM r), k AS (SELECT * FROM z WHERE size <= 3900 OR nth = 1)
+    SELECT any_value(total) || ' stalled agent(s):' || chr(10) || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY nth) || CASE WHEN any_value(total) > count(*) THEN chr(10) || chr(10) || '… +' || (any_value(total) - count(*)) || ' more (next digest)' ELSE '' END AS message, count(*) AS n_included FROM k""")
+def stall_digest(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
+    block = F.concat(F.lit("agent "), F.col("o_orderkey").cast("string"), F.lit(" waits since "), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return ops.digest_message(o.select(F.col("o_orderkey").alias("fingerprint"), block.alias("block"), F.col("o_orderdate").alias("seen_at")))

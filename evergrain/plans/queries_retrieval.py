@@ -217,3 +217,35 @@ def egress_audit_row(spark, sf_dir):
     b = V.beliefs(spark, sf_dir).withColumn("e", S.egress(CONTEXT, "local_model"))
     included = b.where("e.allowed").select("belief_id", F.sha2("body", 256).alias("payload_hash"))
     return packet.egress_audit(included, b.where("not e.allowed").select("belief_id", F.col("e.reason").alias("reason")), "local_model", "{}", "q", "t").select("n_included", "n_rejected", "target")
+
+
+@query("packet_handles", """WITH h AS (SELECT user_id AS q, event_id AS pos, event_type AS id, value AS v FROM events) SELECT q AS query_id, id, min(pos) AS pos, arg_max(v, pos) AS value FROM h GROUP BY ALL""")
+def packet_handles(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return packet.handles_by_id(e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("id"), "value"))
+
+
+@query("search_hit_scopes", """SELECT o_orderkey AS doc_id, coalesce(CASE WHEN o_orderkey%3=0 THEN 'workspace' END, CASE WHEN o_orderkey%4=0 THEN 'public' END) AS scope, CASE WHEN (o_orderkey%4=0 AND o_orderkey%8=0) OR (o_orderkey%3=0 AND o_orderkey%2=0 AND o_orderkey%5<>0 AND o_orderkey%7<>0) THEN 1 ELSE 0 END AS tier FROM orders""")
+def search_hit_scopes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    k = F.col("doc_id")
+    known = o.where(k % 3 == 0).select("doc_id", F.when(k % 2 == 0, "doc").otherwise("value").alias("type"), F.when(k % 5 == 0, "human").alias("origin"), (k % 7 == 0).alias("inject"), F.lit("workspace").alias("privacy_scope"))
+    evidence = o.where(k % 4 == 0).select("doc_id", F.when(k % 8 == 0, "some_history_file").otherwise("note").alias("source_type"), F.lit("public").alias("privacy_scope"))
+    return admin.search_scopes(o.withColumn("rank", F.lit(1)), known, evidence).select("doc_id", "scope", "tier")
+
+
+@query("linked_pairs", "SELECT l_orderkey AS knowledge_id, l_partkey AS evidence_id FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F' AND p_size < 10")
+def linked_pairs(spark, sf_dir):
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("knowledge_id"), F.col("l_partkey").alias("evidence_id")).distinct()
+    known = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("knowledge_id"))
+    evidence = table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("evidence_id"))
+    return admin.linked_rows(known, evidence, edges).select("knowledge_id", "evidence_id")
+
+
+@query("migration_rows", """WITH l AS (SELECT o_custkey AS c, list({'e': o_orderkey, 'r': o_orderstatus} ORDER BY o_orderkey, o_orderstatus) AS l FROM orders GROUP BY 1)
+    SELECT c_custkey AS knowledge_id, coalesce(len(l), 0)::BIGINT AS n_links, coalesce(array_to_string(list_transform(l, lambda x: x.e || x.r), ','), '') AS links FROM customer LEFT JOIN l ON c = c_custkey""")
+def migration_rows(spark, sf_dir):
+    links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("knowledge_id"), F.col("o_orderkey").alias("evidence_id"), F.col("o_orderstatus").alias("relation"))
+    found = admin.migration_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("knowledge_id"), "c_name"), links)
+    text = F.array_join(F.transform("links", lambda x: F.concat(x["evidence_id"].cast("string"), x["relation"])), ",")
+    return found.select("knowledge_id", F.size("links").cast("long").alias("n_links"), text.alias("links"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,3 +182,22 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, order: str, keep: t
             new = F.col(f"new.{c}")
             cols.append((F.coalesce(new, c) if c in keep else F.when(F.col("new").isNotNull(), new).otherwise(F.col(c))).alias(c))
     return joined.select(*cols)
+
+
+#: Files of a repository that are read as documents, how many, and how many bytes of each.
+REPO_FILES = ("README.md", "CHANGELOG.md", "NOTICE", "LICENSE")
+REPO_DOCUMENTS, REPO_BYTES = 1000, 512_000
+
+
+def repo_documents(spark: SparkSession, root: str, code: str = "src") -> DataFrame:
+    """path, text, content_hash of a repository's documents: its head files, the Markdown below docs, the Python files below `code`.
+
+    The first 1,000 by path, and of each the first 512,000 bytes.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = root.rstrip("/") + "/"
+    relative = F.regexp_replace("path", "^.*?" + re.escape(base.removeprefix("file:")), "")
+    wanted = relative.isin(*REPO_FILES) | (relative.startswith("docs/") & relative.endswith(".md")) | (relative.startswith(code + "/") & relative.endswith(".py"))
+    head = raw.select(relative.alias("path"), "content").where(wanted).orderBy("path").limit(REPO_DOCUMENTS)
+    text = F.decode(F.substring("content", 1, REPO_BYTES), "UTF-8")
+    return head.select("path", text.alias("text")).withColumn("content_hash", F.sha2(F.encode("text", "UTF-8"), 256))

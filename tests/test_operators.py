@@ -227,3 +227,12 @@ def test_sources(spark, tmp_path):
     assert [(r["title"], r["body"]) for r in files.note_files(spark, str(notes)).collect()] == [("Title", "# Title\npassword = [REDACTED]")]
     text = spark.createDataFrame([("a" * 50,)], "t string").select(files.history_window(F.col("t"), 20).alias("w")).first()["w"]
     assert text == "a" * 10 + "\n[... 30 bytes omitted ...]\n" + "a" * 10
+
+
+def test_repo_documents(spark, tmp_path):
+    for name, text in {"README.md": "readme", "docs/a/b.md": "deep", "docs/c.txt": "no", "src/x.py": "code", "src/y.md": "no", "other/README.md": "no", "LICENSE": "x" * 600_000}.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    got = {r["path"]: len(r["text"]) for r in files.repo_documents(spark, str(tmp_path)).collect()}
+    assert got == {"README.md": 6, "docs/a/b.md": 4, "src/x.py": 4, "LICENSE": 512_000}
