@@ -1,9 +1,10 @@
-"""Licence scans: sparse TF-IDF cosine of text lines to licence templates, and inheritance along directories.
+"""Licence scans: sparse TF-IDF cosine of headers, licence files and notices to templates, and inheritance along directories.
 
-Each line of a file, and each run of lines as a notice may be wrapped, is a sparse vector over the templates' words; every other word is a dimension of its own with the weight
-of an unseen word, so a long line about other things stays far from all templates. Document frequencies
-are counted over all lines of all files. A file's licence is that of its closest run of lines. A file without one inherits the licence
-of the nearest directory above it that holds a licence file, found by a join on paths.
+A text is a sparse vector over the templates' words; every other word is a dimension of its own with the weight of an unseen word, so what
+speaks of other things stays far from all templates. Document frequencies are counted over all lines of all files. Three kinds of text of a file are compared: each line, and each
+run of lines as a notice may be wrapped, with the notices; its header (the lines before the first blank one) and the whole of it, as a licence
+file is, with the full texts of short licences. The closest counts. A file without a licence inherits that of the nearest directory above it
+that holds a licence file, found by a join on paths.
 """
 
 from __future__ import annotations
@@ -34,6 +35,41 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
 }
 
+_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+    "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+)
+#: The full texts of licences that are short enough to stand in a file's header.
+FULL_TEXTS = {
+    "BSD-2-Clause": (_BSD + _WARRANTY,),
+    "BSD-3-Clause": (_BSD + _BSD_NAMES + _WARRANTY,),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+}
+
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
@@ -110,6 +146,11 @@ class Templates:
         return best
 
 
+def header_of(text: str) -> str:
+    """The lines before the first blank one, blank lines at the start left out."""
+    return re.split(r"\n[ \t\r]*\n", text.lstrip("\n\r \t"), maxsplit=1)[0]
+
+
 def line_frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
     """In how many lines each template word stands, and how many lines there are; over all files. One row a task and word."""
 
@@ -130,11 +171,11 @@ def line_frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[dict[str,
 
 
 def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", is_licence_file: Column | None = None,
-                  templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
+                  templates: dict[str, tuple[str, ...]] = TEMPLATES, full_texts: dict[str, tuple[str, ...]] = FULL_TEXTS, threshold: float = 0.6) -> DataFrame:
     """doc_id, path, own_license, own_score, license, inherited_from for every row.
 
-    own_license is the template closest to any line or run of lines of the whole text, from cosine `threshold` on; own_score is that
-    cosine (0 without one). license is it, or what the nearest directory above has: the licence of the licence file in it with the
+    own_license is the template closest to any line or run of lines, to the header or to the whole text, from cosine `threshold` on; own_score
+    is that cosine (0 without one); ties go to notices, then the header. license is it, or what the nearest directory above has: the licence of the licence file in it with the
     highest score (ties: the first licence by name). inherited_from is that directory, null where nothing is inherited; it is empty
     for the root of relative paths and "/" for that of absolute ones. A
     licence file is one that is_licence_file marks (by default its name says so) and that has a licence. Null texts are
@@ -143,8 +184,9 @@ def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_c
     """
     marked = F.coalesce(is_licence_file if is_licence_file is not None else path.rlike(LICENCE_FILE), F.lit(False))
     rows = files.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), marked.alias("is_file"), text_of(text_col).alias("text"))
-    vocabulary = Templates(templates, {}, 1, threshold).vocabulary
-    shapes = Templates(templates, *line_frequencies(rows, vocabulary), threshold)
+    vocabulary = Templates(templates, {}, 1, threshold).vocabulary | Templates(full_texts, {}, 1, threshold).vocabulary
+    counted = line_frequencies(rows, vocabulary)
+    shapes, whole = Templates(templates, *counted, threshold), Templates(full_texts, *counted, threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -153,6 +195,11 @@ def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_c
                 lower, best = text.lower(), (0.0, None)
                 if any(t in lower for t in shapes.needed):
                     best = shapes.closest_run(text) or best
+                if any(t in lower for t in whole.needed):
+                    for part in (header_of(text), text):
+                        found = whole.closest(part)
+                        if found and found[0] > best[0] + 1e-12:
+                            best = found
                 names.append(best[1])
                 scores.append(best[0])
             out = batch.drop(columns="text")

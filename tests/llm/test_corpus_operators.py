@@ -494,6 +494,36 @@ def test_licenses_at_the_root_and_over_lines(spark):
     }
 
 
+def test_full_licence_texts_of_headers_and_files(spark):
+    import math
+    import textwrap
+
+    wrap = lambda name, mark="": "\n".join(mark + line for line in textwrap.wrap(licenses.FULL_TEXTS[name][0], 70))
+    code = "\n\nimport os\n" + "def f(x):\n    return x + 1\n" * 50
+    files = [(1, "a/LICENSE", "Copyright 2020 Someone\n\n" + wrap("MIT")), (2, "a/x.py", "# Copyright Someone\n" + wrap("BSD-3-Clause", "# ") + code), (3, "b/LICENSE", wrap("BSD-2-Clause")), (4, "b/y.c", " * " + wrap("ISC", " * ") + code),
+             (5, "b/z.c", code), (6, "a/w.c", "merchantability of the goods " * 80), (7, "c/LICENSE", "x " * 70_000 + wrap("MIT"))]
+    rows = files + files[:1]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()
+    assert len(got) == len(rows)
+    found = {r["doc_id"]: (r["own_license"], r["license"]) for r in got}
+    assert {d: x[0] for d, x in found.items() if d < 7} == {1: "MIT", 2: "BSD-3-Clause", 3: "BSD-2-Clause", 4: "ISC", 5: None, 6: None}
+    assert found[5][1] == "BSD-2-Clause" and found[6][1] == "MIT"
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, path string, text string"), F.col("path")).count() == 0
+    # the same cosines by plain dictionaries over whole texts
+    frequency, n = {"the": 900, "software": 40, "copyright": 60, "x": 5}, 1000
+    shapes = licenses.Templates(licenses.FULL_TEXTS, frequency, n, 0.6)
+    weight = lambda t: math.log((1 + n) / (1 + (frequency.get(t, 0) if t in shapes.vocabulary else 0))) + 1
+    vector = lambda text: {t: k * weight(t) for t, k in licenses.terms(text).items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for _, _, text in files:
+        v = vector(text)
+        cosines = {name: sum(x * v.get(t, 0) for t, x in vector(full).items()) / (length(vector(full)) * length(v) or 1) for name, (full,) in licenses.FULL_TEXTS.items()}
+        best = max(sorted(cosines), key=lambda k: round(cosines[k], 9))
+        want = None if cosines[best] < 0.6 else best
+        closest = shapes.closest(text)
+        assert (closest and closest[1]) == want and (not closest or abs(closest[0] - cosines[best]) < 1e-9)
+
+
 def test_license_runs_by_brute_force():
     shapes = licenses.Templates(licenses.TEMPLATES, {"the": 50, "license": 5, "version": 9}, 100, 0.6)
     rnd = random.Random(2)
