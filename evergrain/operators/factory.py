@@ -5,6 +5,7 @@ turns: session_id, turn_idx, role, kind, text, ts, tool_error, n_tool_calls, aut
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -154,22 +155,33 @@ def preference_pairs(turns: DataFrame, threshold: float = 0.6, back: int = 4, re
         t = group.sort_values("turn_idx").to_dict("records")
         people = [k for k, x in enumerate(t) if x["role"] == "user" and x["kind"] != "injected"]
         answers = [k for k, x in enumerate(t) if x["role"] == "assistant" and x["clean"]]
-        after = lambda k: next((u for u in people if u > k), None)
-        before = lambda k: next((u for u in reversed(people) if u < k), None)
+        spoken = set(answers)
+
+        def after(k: int) -> int | None:
+            at = bisect_right(people, k)
+            return people[at] if at < len(people) else None
+
+        def before(k: int) -> int | None:
+            at = bisect_left(people, k)
+            return people[at - 1] if at else None
 
         def accepted(k: int) -> int | None:
-            while True:
+            """The answer that the chain of corrections from k on ends in; what each correction of the chain leads to is kept."""
+            chain = []
+            while k not in ends:
+                chain.append(k)
                 follow = after(k)
-                inside = [a for a in answers if k < a < (len(t) if follow is None else follow)]
-                if not inside:
-                    return None
-                if follow is None:
-                    return inside[-1]
-                if t[follow]["corrects"]:
+                at = bisect_left(answers, len(t) if follow is None else follow) - 1
+                last = answers[at] if at >= 0 and answers[at] > k else None
+                if last is not None and follow is not None and t[follow]["corrects"]:
                     k = follow
                     continue
-                return inside[-1] if t[follow]["affirms"] else None
+                ends[k] = last if last is None or follow is None or t[follow]["affirms"] else None
+            for link in chain:
+                ends[link] = ends[k]
+            return ends[k]
 
+        ends: dict[int, int | None] = {}
         out, seen = [], set()
 
         def add(gate: str, ask: int, first: int, fix: int, chosen: int) -> None:
@@ -187,7 +199,7 @@ def preference_pairs(turns: DataFrame, threshold: float = 0.6, back: int = 4, re
             if end is not None:
                 add("strict", ask, a, fix, end)
         for fix in people if relaxed else ():
-            a = next((k for k in range(fix - 1, max(0, fix - back) - 1, -1) if k in answers), None)
+            a = next((k for k in range(fix - 1, max(0, fix - back) - 1, -1) if k in spoken), None)
             ask = None if a is None else before(a)
             if not t[fix]["corrects"] or ask is None or not t[ask]["clean"] or t[ask]["corrects"]:
                 continue

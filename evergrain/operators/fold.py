@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from .log import body, scan
 
 STRICT = ("mark_wrong", "retract", "demote")
-BELIEF = (
-    "belief_id string, body string, status string, serve boolean, pinned boolean, confidence double, scope_type string, scope_id string, "
-    "visibility string, egress_policy string, evidence_ids array<string>, belief_type string, approved_event_id string, last_event_id string, last_compiled_at string"
-)
 SHREDDED = "[shredded by tombstone]"
 
 

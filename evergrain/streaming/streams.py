@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from evergrain.operators.fold import BELIEF, fold_events, routed
+from evergrain.operators.fold import fold_routed, routed
 
 
 def once(stream: DataFrame, id_col: str, ts_col: str, late: str = "1 day") -> DataFrame:
@@ -37,26 +37,17 @@ def idle_sessions(events: DataFrame, ts_col: str, by: str, gap: str = "30 minute
     return found.select(by, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n_events")
 
 
-def fold_batches(beliefs_of: Callable[[], DataFrame], save: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step: beliefs touched by the batch's events are folded on from their stored state, in event order.
+def fold_batches(history: Callable[[], DataFrame], save: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step: beliefs that an event of the batch touches are folded anew from their own histories, and only they are saved.
 
-    The log passed to the stream holds the events of a batch; beliefs_of() gives the stored beliefs, save() replaces them.
-    Approvals whose constraints lie in earlier batches need them in the batch: route whole histories of touched beliefs there.
+    history() gives the log with the batch's events in it; save() inserts or updates by belief_id. A batch that comes again
+    saves the same rows, so a restarted stream does no harm.
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        stored = beliefs_of()
-        names = [c.split(" ")[0] for c in BELIEF.split(", ")]
-
-        def run(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            state = None if old.empty else old[names].to_dict("records")[0]
-            if state is not None:
-                state["evidence_ids"] = list(state["evidence_ids"])
-            done = state if new.empty else fold_events(str(key[0]), new.to_dict("records"), state)
-            return pd.DataFrame([] if done is None else [done], columns=names)
-
-        events = routed(batch).where("canonical is not null")
-        save(stored.groupBy("belief_id").cogroup(events.groupBy("canonical")).applyInPandas(run, BELIEF))
+        events = routed(history())
+        touched = events.join(batch.select("id"), "id", "left_semi").where("canonical is not null").select("canonical").distinct()
+        save(fold_routed(events.join(touched, "canonical", "left_semi")))
 
     return step
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evergrain.functions.scope import ScopeContext
 from evergrain.operators import factory, feedback, fold, log, ops, retrieval
 from evergrain.sources import files, transcripts
+from evergrain.streaming import streams
 
 LOG = "event_seq long, id string, ts string, kind string, writer string, session_id string, body_json string, body_hash string, prev_hash string, event_hash string"
 
@@ -92,6 +93,17 @@ def test_native_fold_equals_the_step_by_step_fold(spark):
         assert {r["belief_id"]: r for r in fold.advance(df, stored, cursor).collect()} == {r["belief_id"]: r for r in fold.fold(df).collect()}
 
 
+def test_streamed_fold_saves_touched_beliefs(spark):
+    first, _ = make_log(spark, [proposal("b1", "v1"), proposal("b2", "v2")])
+    events = [proposal("b1", "v1"), proposal("b2", "v2"), decided(first, 0), decided(first, 1), ("correction_recorded", {"target_layer": "belief", "target_id": "b1", "op": "pin"})]
+    _, df = make_log(spark, events)
+    saved = []
+    step = streams.fold_batches(lambda: df, lambda rows: saved.append({r["belief_id"]: (r["body"], r["pinned"]) for r in rows.collect()}))
+    step(df.where("event_seq = 5"), 0)
+    step(df.where("event_seq = 4"), 1)
+    assert saved == [{"b1": ("v1", True)}, {"b2": ("v2", False)}]
+
+
 def test_imports_become_beliefs(spark):
     notes = spark.createDataFrame([("a.md", "first note"), ("b.md", "second note")], "path string, body string")
     made = sorted(files.import_events(notes).collect(), key=lambda r: (r["path"], r["step"]))
