@@ -26,18 +26,23 @@ def first_event_after(uses: DataFrame, log: DataFrame, now: str, hours: int = 24
     """retrieval_id, outcome, feedback_source inferred from what happens within `hours` after a serving.
 
     uses: retrieval_id, served_at, session_id, served_ids (array); log: event_seq, ts, kind, session_id, body_json. An event counts
-    in the same session, or where its body names a served id. Two equi-joins (session; id named in the body, by the
-    tokens of both) replace the range join's all-pairs; of the first `look` events the first that says something wins.
+    in the same session, or where its body names a served id. Two equi-joins (session and day; id named in the body, by the
+    tokens of both, and day) replace the range join's all-pairs; of the first `look` events the first that says something wins.
     """
     pending = uses.where("outcome = 'served' and feedback_source is null").withColumn("at", F.to_timestamp("served_at")).where(F.col("at") <= F.to_timestamp(F.lit(now)))
     until = F.least(F.col("at") + F.expr(f"interval {int(hours)} hours"), F.to_timestamp(F.lit(now)))
     pending = pending.withColumn("until", until).select("retrieval_id", "session_id", "served_ids", "at", "until")
     events = log.select("event_seq", "kind", F.col("session_id").alias("event_session"), "body_json", F.to_timestamp("ts").alias("event_at"))
     inside = (F.col("event_at") > F.col("at")) & (F.col("event_at") <= F.col("until"))
-    by_session = pending.join(events, pending.session_id == events.event_session).where(inside)
+    # a serving meets the events of the days of its window only
+    day = lambda c: F.floor(F.unix_seconds(c) / 86_400)
+    pending = pending.where("until > at").withColumn("day", F.explode(F.sequence(day(F.col("at")), day(F.col("until")))))
+    events = events.withColumn("day", day(F.col("event_at")))
+    by_session = pending.join(events.withColumn("session_id", F.col("event_session")), ["session_id", "day"]).where(inside)
     tokens = F.array_distinct(F.regexp_extract_all("body_json", F.lit(r"([A-Za-z0-9_.:-]+)"), 1))
-    named = events.withColumn("served_id", F.explode(tokens))
-    by_id = pending.withColumn("served_id", F.explode("served_ids")).join(named, "served_id").where(inside).drop("served_id")
+    asked = pending.select(F.explode("served_ids").alias("served_id")).distinct()
+    named = events.withColumn("served_id", F.explode(tokens)).join(asked, "served_id", "left_semi")
+    by_id = pending.withColumn("served_id", F.explode("served_ids")).join(named, ["served_id", "day"]).where(inside).drop("served_id")
     rows = by_session.select(by_id.columns).unionByName(by_id).dropDuplicates(["retrieval_id", "event_seq"])
     exact = F.exists("served_ids", lambda s: F.col("body_json").contains(s))
     wrong = (F.col("kind") == "correction_recorded") & (F.get_json_object("body_json", "$.op").isin("mark_wrong", "retract") | F.coalesce(F.get_json_object("body_json", "$.hard").isin("true", "1"), F.lit(False)))
