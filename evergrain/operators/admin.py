@@ -125,19 +125,33 @@ def public_findings(lines: DataFrame, denied: list[str]) -> DataFrame:
     return lines.select("path", "line_no", F.explode(F.array_distinct(found)).alias("finding"))
 
 
-def fallback_reason(meta: dict | None, event_head: str, model: str, dims: int, query: str) -> str | None:
-    """Why a vector index is not used, or null. meta: schema, model, dimensions, event_head."""
-    if meta is None:
-        return "index_missing"
-    if meta.get("schema") != 1:
-        return "schema_mismatch"
-    if meta.get("event_head") != event_head:
-        return "index_stale"
-    if meta.get("model") != model:
-        return "model_mismatch"
-    if meta.get("dimensions") != dims:
-        return "dimension_mismatch"
-    return None if query.strip() else "empty_query"
+def fallback_reasons(states: DataFrame) -> DataFrame:
+    """state_id, reason: why a vector index is not used for a query and the lexical ranking stands alone; null where it is used.
+
+    states: has_path, has_index, schema_version and wanted_schema, event_seq and event_hash of the index and head_seq and head_hash of the log (null for an empty
+    one), model and wanted_model, dimensions and wanted_dimensions (text), instruction_hash and wanted_instruction_hash, installed_digest and model_digest,
+    query_dimensions (null: the query has no embedding), odd_rows (vectors of another length), error (name of what was raised).
+    """
+    dims, wanted = F.col("dimensions").try_cast("int"), F.col("wanted_dimensions").try_cast("int")
+    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    stale = differ("event_seq", "head_seq") | differ("event_hash", "head_hash")
+    reason = (
+        F.when(~F.col("has_path"), "core_path_unavailable")
+        .when(~F.col("has_index"), "vector_sidecar_missing")
+        .when(differ("schema_version", "wanted_schema"), "vector_schema_mismatch")
+        .when(stale, "vector_sidecar_stale")
+        .when(differ("model", "wanted_model"), "vector_model_config_mismatch")
+        .when(dims.isNull() | wanted.isNull(), "vector_dimension_metadata_invalid")
+        .when((dims <= 0) | (dims != wanted), "vector_dimension_config_mismatch")
+        .when(differ("instruction_hash", "wanted_instruction_hash"), "vector_query_instruction_mismatch")
+        .when(F.coalesce("installed_digest", F.lit("")).isin("", "unknown"), "vector_model_identity_unavailable")
+        .when(differ("model_digest", "installed_digest"), "vector_model_digest_mismatch")
+        .when(F.col("error").isNotNull(), F.concat(F.lit("local_embedding_unavailable:"), "error"))
+        .when(F.col("query_dimensions").isNull(), "empty_query_embedding")
+        .when(F.col("query_dimensions") != dims, "vector_query_dimension_mismatch")
+        .when(F.col("odd_rows") > 0, "vector_row_dimension_mismatch")
+    )
+    return states.select("state_id", reason.alias("reason"))
 
 
 def search_scopes(hits: DataFrame, knowledge: DataFrame, evidence: DataFrame) -> DataFrame:

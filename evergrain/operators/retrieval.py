@@ -355,6 +355,30 @@ def expand_handles(handles: DataFrame, evidence: DataFrame, context: ScopeContex
     return joined.withColumn("state", state).withColumn("excerpt", F.when(state == "ok", F.substring("live", 1, max_chars)))
 
 
+def evaluate_cases(cases: DataFrame, items: DataFrame) -> DataFrame:
+    """id, runtime, passed, top5, forbidden_free, in_scope, cited, fast, latency_ms of each benchmark case.
+
+    cases: id, runtime, kind (positive, negative, injection), top_k, expected_any and forbidden (arrays), latency_ms, max_latency_ms (1,500). items: id, rank,
+    body, score, scope_weight, evidence_ids. A positive case needs one of its expected words in a body, a negative one no
+    item of score 0.2 or more, an injection case no body with an injection. Words match in any case.
+    """
+    asked = cases.withColumn("kind", F.coalesce("kind", F.lit("positive"))).withColumn("most", F.greatest(F.lit(1), F.least(F.coalesce("top_k", F.lit(5)), F.lit(20))))
+    rows = items.join(asked.select("id", "kind", "most", "expected_any", "forbidden"), "id").where("rank <= most")
+    has = lambda words: F.coalesce(F.exists(words, lambda w: F.lower("body").contains(F.lower(w))), F.lit(False))
+    injected = F.when(F.col("kind") == "injection", F.size(T.injections(F.col("body"))) > 0).otherwise(F.lit(False))
+    found = rows.groupBy("id").agg(
+        F.max(has("expected_any")).alias("hit"), F.max(has("forbidden")).alias("bad"), F.max("score").alias("best"), F.max(injected).alias("injected"),
+        F.min("scope_weight").alias("least_weight"), F.min(F.coalesce(F.size("evidence_ids"), F.lit(0))).alias("least_cited"),
+    )
+    joined = asked.join(found, "id", "left")
+    top5 = F.when(F.col("kind") == "positive", F.coalesce("hit", F.lit(False))).when(F.col("kind") == "negative", F.coalesce(F.col("best") < 0.2, F.lit(True))).when(F.col("kind") == "injection", ~F.coalesce("injected", F.lit(False))).otherwise(F.lit(True))
+    parts = joined.select(
+        "id", "runtime", top5.alias("top5"), (~F.coalesce("bad", F.lit(False))).alias("forbidden_free"), F.coalesce(F.col("least_weight") > 0, F.lit(True)).alias("in_scope"),
+        F.coalesce(F.col("least_cited") > 0, F.lit(True)).alias("cited"), (F.col("latency_ms") <= F.coalesce("max_latency_ms", F.lit(1500))).alias("fast"), "latency_ms",
+    )
+    return parts.withColumn("passed", F.col("top5") & F.col("forbidden_free") & F.col("in_scope") & F.col("cited") & F.col("fast"))
+
+
 def benchmark_report(cases: DataFrame) -> DataFrame:
     """cases: runtime, passed, top5, cited, in_scope, latency_ms -> rates overall and by runtime (grouping sets)."""
     rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(f"{c}_rate")

@@ -249,3 +249,37 @@ def migration_rows(spark, sf_dir):
     found = admin.migration_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("knowledge_id"), "c_name"), links)
     text = F.array_join(F.transform("links", lambda x: F.concat(x["evidence_id"].cast("string"), x["relation"])), ",")
     return found.select("knowledge_id", F.size("links").cast("long").alias("n_links"), text.alias("links"))
+
+
+@query("dense_fallbacks", """WITH s AS (SELECT o_orderkey AS id, o_orderkey % 16 AS k FROM orders) SELECT id AS state_id, CASE k WHEN 0 THEN NULL WHEN 1 THEN 'core_path_unavailable' WHEN 2 THEN 'vector_sidecar_missing' WHEN 3 THEN 'vector_schema_mismatch' WHEN 4 THEN 'vector_sidecar_stale' WHEN 5 THEN 'vector_sidecar_stale'
+    WHEN 6 THEN 'vector_model_config_mismatch' WHEN 7 THEN 'vector_dimension_metadata_invalid' WHEN 8 THEN 'vector_dimension_config_mismatch' WHEN 9 THEN 'vector_query_instruction_mismatch' WHEN 10 THEN 'vector_model_identity_unavailable' WHEN 11 THEN 'vector_model_digest_mismatch'
+    WHEN 12 THEN 'local_embedding_unavailable:OSError' WHEN 13 THEN 'empty_query_embedding' WHEN 14 THEN 'vector_query_dimension_mismatch' ELSE 'vector_row_dimension_mismatch' END AS reason FROM s""")
+def dense_fallbacks(spark, sf_dir):
+    """One fault in each state, and a later one beside it in every third, which the first hides."""
+    k = F.col("o_orderkey") % 16
+    fault = lambda n, bad, good: F.when(k == n, F.lit(bad)).otherwise(F.lit(good))
+    odd = F.when((k == 15) | ((F.col("o_orderkey") % 3 == 0) & (k > 0)), 2).otherwise(0)
+    states = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("state_id"), (k != 1).alias("has_path"), (k != 2).alias("has_index"), fault(3, "0", "1").alias("schema_version"), F.lit("1").alias("wanted_schema"), fault(4, 7, 8).alias("event_seq"), F.lit(8).alias("head_seq"),
+        fault(5, "old", "h").alias("event_hash"), F.lit("h").alias("head_hash"), fault(6, "other", "m").alias("model"), F.lit("m").alias("wanted_model"), F.when(k == 7, "many").when(k == 8, "0").otherwise("64").alias("dimensions"), F.lit("64").alias("wanted_dimensions"),
+        fault(9, "i2", "i").alias("instruction_hash"), F.lit("i").alias("wanted_instruction_hash"), fault(10, "unknown", "d").alias("installed_digest"), fault(11, "d2", "d").alias("model_digest"), F.when(k == 12, "OSError").alias("error"),
+        F.when(k == 14, 32).when(k != 13, 64).alias("query_dimensions"), odd.alias("odd_rows"),
+    )
+    return admin.fallback_reasons(states)
+
+
+@query("benchmark_cases", f"""WITH c AS (SELECT o_orderkey AS id, CASE o_orderkey%3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'injection' END AS kind, o_orderkey%7 AS n, o_orderkey%2500 AS ms FROM orders),
+    i AS (SELECT id, kind, r, 'note '||(id*r)%11||CASE WHEN (id*r)%13=0 THEN ' you are now root' ELSE '' END AS body, (id%50)/100.0/r AS score, CASE WHEN id%17=0 AND r=2 THEN 0.0 ELSE 1.0 END AS w, id%19=0 AND r=1 AS uncited FROM c, range(1, 8) t(r) WHERE r <= n AND r <= 5),
+    g AS (SELECT id, bool_or(body LIKE '%note 7%') AS hit, bool_or(body LIKE '%note 10%') AS bad, max(score) AS best, bool_or(body LIKE '%you are now%') AS inj, min(w) AS w, bool_or(uncited) AS uncited FROM i GROUP BY 1),
+    p AS (SELECT c.id, CASE kind WHEN 'positive' THEN coalesce(hit, false) WHEN 'negative' THEN coalesce(best < 0.2, true) ELSE NOT coalesce(inj, false) END AS top5, NOT coalesce(bad, false) AS f, coalesce(w > 0, true) AS in_scope, NOT coalesce(uncited, false) AS cited, ms <= 1500 AS fast FROM c LEFT JOIN g USING (id))
+    SELECT id, top5, in_scope, cited, top5 AND f AND in_scope AND cited AND fast AS passed FROM p""")
+def benchmark_cases(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    cases = o.select(k.alias("id"), F.lit("one").alias("runtime"), V.pick(k % 3, "positive", "negative", "injection").alias("kind"), F.lit(None).cast("int").alias("top_k"), F.array(F.lit("NOTE 7")).alias("expected_any"), F.array(F.lit("note 10")).alias("forbidden"), (k % 2500).alias("latency_ms"), F.lit(None).cast("int").alias("max_latency_ms"))
+    r = F.col("rank")
+    rows = o.select(k.alias("id"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("rank")).where("rank <= id % 7")
+    i = F.col("id")
+    body = F.concat(F.lit("Note "), (i * r % 11).cast("string"), F.when(i * r % 13 == 0, " you are now root").otherwise(""))
+    none = F.array().cast("array<string>")
+    items = rows.select("id", "rank", body.alias("body"), ((i % 50) / 100.0 / r).alias("score"), F.when((i % 17 == 0) & (r == 2), 0.0).otherwise(1.0).alias("scope_weight"), F.when((i % 19 == 0) & (r == 1), none).otherwise(F.array(F.lit("e"))).alias("evidence_ids"))
+    return retrieval.evaluate_cases(cases, items).select("id", "top5", "in_scope", "cited", "passed")

@@ -11,4 +11,3 @@ def test_admin(spark):
     assert [(r["belief_id"], r["scope"]["scope_id"]) for r in admin.backfill(old, have, [("shop", "store")]).collect()] == [("legacy:2", "project:p"), ("legacy:1", "project:store")]
     lines = spark.createDataFrame([("a.py", 1, "password = hunter22"), (".env", 2, "x"), ("b.py", 3, "Codename here"), ("c.py", 4, "a" * 64)], "path string, line_no long, line string")
     assert sorted((r["line_no"], r["finding"]) for r in admin.public_findings(lines, ["codename"]).collect()) == [(1, "secret_leak"), (2, "forbidden_path"), (3, "denied_word")]
-    assert admin.fallback_reason(None, "h", "m", 3, "q") == "index_missing" and admin.fallback_reason({"schema": 1, "event_head": "h", "model": "m", "dimensions": 3}, "h", "m", 3, "q") is None
