@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -38,10 +37,12 @@ SMALL = 200
 SPREAD = 2.5
 #: Sets in a block; clusters of more are searched in several blocks. First queries of such a cluster.
 BLOCK = 1000
+#: Entries of short lists that are merged on a heap; more are counted.
+MERGE = 2048
 HUBS = 8
-#: Shingles that a task holds before it sends them, and buckets for each shuffle partition.
+#: Shingles that a task holds before it sends them, and buckets of shingles for each shuffle partition.
 FLUSH = 1 << 19
-FINER = 4
+FINER = 2
 PLACE = np.dtype([("key", "u8"), ("doc", "i8")])
 KEY = np.dtype([("key", "u8")])
 COUNT = np.dtype([("doc", "i8"), ("n", "i8")])
@@ -71,7 +72,7 @@ def missing(n: int, similarity: tuple[int, int] = SIMILARITY) -> int:
     return n - -(-part * n // whole)
 
 
-def _evidence(n: int, words: int, similarity: tuple[int, int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _evidence(n: int, n_docs: int, words: int, similarity: tuple[int, int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Per task: shingles of the sets it met, one document for equal sets; links of the others to it; what each set needs.
 
     Kinds of rows: 0 shingles with their document, 1 shingles of documents that do not count them, 2 shingles that two
@@ -105,9 +106,9 @@ def _evidence(n: int, words: int, similarity: tuple[int, int]) -> Callable[[Iter
                 rows += _dealt(kind, bucket[chosen], _array(PLACE, keys[chosen] & key_bits, doc[chosen]))
             known = at[two[at]] if len(at) else at
             rows += _dealt(2, bucket[known], _array(KEY, keys[known] & key_bits))
-            rows += _dealt(3, doc_bucket(met, n), _array(COUNT, met, times))
+            rows += _dealt(3, doc_bucket(met, n_docs), _array(COUNT, met, times))
             pairs = np.array(links, np.int64).reshape(-1, 2)
-            rows += _dealt(5, doc_bucket(pairs[:, 0], n), _array(PAIR, pairs[:, 0], pairs[:, 1]))
+            rows += _dealt(5, doc_bucket(pairs[:, 0], n_docs), _array(PAIR, pairs[:, 0], pairs[:, 1]))
             return _frame(rows)
 
         for batch in batches:
@@ -129,7 +130,7 @@ def _evidence(n: int, words: int, similarity: tuple[int, int]) -> Callable[[Iter
                 tokens.append(sent)
                 size += len(sent)
             table = np.array(needs, np.int64).reshape(-1, 3)
-            yield _frame(_dealt(4, doc_bucket(table[:, 0], n), _array(NEED, *table.T)))
+            yield _frame(_dealt(4, doc_bucket(table[:, 0], n_docs), _array(NEED, *table.T)))
             if size >= FLUSH:
                 yield send()
                 first, tokens, owners, links, size = {}, [], [], [], 0
@@ -182,7 +183,7 @@ def _array(dtype: np.dtype, *columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _met(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _met(n_docs: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Shingles of a bucket that two documents have, as counts of their documents."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +200,7 @@ def _met(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         two |= np.isin(both["key"][at], known)
         chosen = np.repeat(two, np.diff(np.r_[at, len(both)])) & counts
         doc, times = np.unique(both["doc"][chosen], return_counts=True)
-        return _frame(_dealt(3, doc_bucket(doc, n), _array(COUNT, doc, times)))
+        return _frame(_dealt(3, doc_bucket(doc, n_docs), _array(COUNT, doc, times)))
 
     return run
 
@@ -220,7 +221,7 @@ class Index:
 
     def __init__(self, sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY):
         self.part, self.whole = similarity
-        self.sizes = [len(s) for s in sets]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         tokens = np.concatenate(sets) if sets else np.zeros(0, U64)
         order = np.lexsort((owner, tokens))
@@ -240,25 +241,37 @@ class Index:
         if len(place) < required:
             return []
         lengths = self.begin[place + 1] - self.begin[place]
-        place = place[np.argsort(lengths, kind="stable")]
-        lists = [self.owner[self.begin[p] : self.begin[p + 1]].tolist() for p in place]
-        longest = len(lists[-1])
-        n_long = min(required - 1, int(required / (0.01 * math.log2(max(2, longest)) + 1)))
+        order = np.argsort(lengths, kind="stable")
+        place, lengths = place[order], lengths[order]
+        lists = [self.owner[b:e] for b, e in zip(self.begin[place].tolist(), self.begin[place + 1].tolist(), strict=True)]
+        n_long = min(required - 1, int(required / (0.01 * math.log2(max(2, int(lengths[-1]))) + 1)))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        found = []
-        for k, run in groupby(heapq.merge(*short)):
-            count = sum(1 for _ in run)
-            if count < required - n_long or skip(k):
-                continue
-            need = -(-self.part * (n + self.sizes[k]) // (self.part + self.whole))
-            for left, members in zip(range(len(long), 0, -1), long, strict=True):
-                if count + left < need:
-                    break
-                at = bisect_left(members, k)
-                count += at < len(members) and members[at] == k
-            if count >= need:
-                found.append(k)
-        return found
+        found, count = _merge(short, int(lengths[: len(short)].sum()), len(self.sizes))
+        wanted = count >= required - n_long
+        found, count = found[wanted], count[wanted]
+        wanted = np.fromiter((not skip(k) for k in found.tolist()), bool, len(found))
+        found, count = found[wanted], count[wanted]
+        need = -(-self.part * (n + self.sizes[found]) // (self.part + self.whole))
+        for left, members in zip(range(len(long), 0, -1), long, strict=True):
+            wanted = count + left >= need
+            if not wanted.all():
+                found, count, need = found[wanted], count[wanted], need[wanted]
+            if not len(found):
+                break
+            at = np.minimum(np.searchsorted(members, found), len(members) - 1)
+            count = count + (members[at] == found)
+        return found[count >= need].tolist()
+
+
+def _merge(lists: list[np.ndarray], total: int, n_sets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets in short lists, in order, and in how many of them each is: on a heap, or by counting where the lists hold many."""
+    if total > MERGE:
+        count = np.bincount(np.concatenate(lists), minlength=n_sets)
+        found = np.flatnonzero(count)
+        return found, count[found]
+    runs = [(k, sum(1 for _ in run)) for k, run in groupby(heapq.merge(*[x.tolist() for x in lists]))]
+    table = np.array(runs, np.int64).reshape(-1, 2)
+    return table[:, 0], table[:, 1]
 
 
 def link_cluster(nodes: list[int], sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
@@ -384,10 +397,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id are one document with several texts: they share a component. A null id links with nothing and its component is null. Ids
     are whole numbers. An empty table gives an empty result.
     """
-    width = shuffle_width(docs.sparkSession) * FINER
+    width = shuffle_width(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
     known = named.where("doc is not null")
-    evidence = written(known.mapInPandas(_evidence(width, n, similarity), PACKED), "evidence")
+    evidence = written(known.mapInPandas(_evidence(width * FINER, width, n, similarity), PACKED), "evidence")
     met = evidence.where("kind < 3").groupBy("bucket").applyInPandas(_met(width), PACKED)
     judged = written(evidence.where("kind >= 3").unionByName(met).groupBy("bucket").applyInPandas(_left, ROWS), "judged", compression="zstd")
 
@@ -403,7 +416,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counted = clusters.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("n_sets")).withColumnRenamed("root", "cluster")
     members = members.join(counted, "cluster").withColumn("n_blocks", F.ceil(F.col("n_sets") / block).cast("int"))
     members = written(members, "members").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    members = members.withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(width)).cast("int"))
+    members = members.withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(width * FINER)).cast("int"))
     tokens = members.join(sets.select("node", "tokens"), "node")
     links = tokens.where("n_blocks = 1").groupBy("bucket").applyInPandas(_link_bucket(similarity), ROWS)
     links = written(links.unionByName(judged.where("kind = 1")), "links")

@@ -192,6 +192,29 @@ def test_link_cluster_asks_sets_of_an_overtaken_component():
         assert dict(ngram_join.link_cluster(list(range(len(chain))), chain)) == want
 
 
+@pytest.mark.parametrize("merge", [0, 2048])
+@pytest.mark.parametrize("similarity", [(9, 10), (4, 5)])
+def test_search_and_clusters_by_brute_force(monkeypatch, merge, similarity):
+    monkeypatch.setattr(ngram_join, "MERGE", merge)
+    rnd, (part, whole) = np.random.default_rng(5), similarity
+    for _ in range(800):
+        pool = np.unique(rnd.integers(0, 2**63, 90).astype(np.uint64))
+        sets = [pool[:40]]
+        for _ in range(13):
+            last = sets[int(rnd.integers(len(sets)))]
+            sets.append(np.unique(np.r_[rnd.permutation(last)[: len(last) - int(rnd.integers(0, 5))], rnd.choice(pool, int(rnd.integers(0, 5)))]))
+        plain = [set(x.tolist()) for x in sets]
+        near = lambda a, b: whole * len(a & b) >= part * len(a | b)
+        index = ngram_join.Index(sets, similarity)
+        assert index.search(sets[-1]) == [k for k, other in enumerate(plain) if near(plain[-1], other)]
+        groups = ngram_join.Groups()
+        for k, a in enumerate(plain):
+            for m, b in enumerate(plain[:k]):
+                if near(a, b):
+                    groups.join(k, m)
+        assert dict(ngram_join.link_cluster(list(range(len(sets))), sets, similarity)) == {k: groups.root(k) for k in range(len(sets)) if groups.root(k) != k}
+
+
 @pytest.mark.parametrize(("similarity", "block"), [((9, 10), 1000), ((4, 5), 1000), ((4, 5), 6), ((1, 2), 1000)])
 def test_ngram_components_at_the_edge(spark, similarity, block):
     """Sets of 1 to 900 shingles and copies of them whose similarity lies around the bound, among passages that many share."""
