@@ -214,7 +214,7 @@ def vocabulary(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 8_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 3_000_000) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), decoded, for every row.
 
     A null text is encoded as empty: no ids, decoded to the empty string. Added tokens in a text get their own ids. Rows

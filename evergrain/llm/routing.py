@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes hashed at a time, runs held by a task before it sends them, units in a block.
-SLICE = 1 << 21
+SLICE = 1 << 19
 FLUSH = 1 << 20
 BLOCK = 400_000
 OCCURRENCE = np.dtype([("key", "u8"), ("doc", "i8"), ("twin", "i8"), ("start", "u4"), ("count", "u4")])
@@ -49,7 +50,16 @@ Resolver = Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
 
 
 @lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _made_powers(2 * SLICE)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse at least; those for more than two slices are made for one call only."""
+    return _kept_powers() if n <= 2 * SLICE else _made_powers(n)
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, BASE, U64), np.full(n, BASE_INVERSE, U64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
@@ -71,9 +81,24 @@ def word_units(raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     return b" ".join(words), ends - lengths, ends
 
 
-def byte_units(raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-    starts = np.arange(len(raw), dtype=np.int64)
-    return raw, starts, starts + 1
+class _Places:
+    """Where each byte begins (plus 0) or ends (plus 1), without an array of them."""
+
+    def __init__(self, n: int, plus: int):
+        self.n, self.plus = n, plus
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at):
+        return at + self.plus
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return np.arange(self.plus, self.n + self.plus, dtype=dtype or np.int64)
+
+
+def byte_units(raw: bytes) -> tuple[bytes, _Places, _Places]:
+    return raw, _Places(len(raw), 0), _Places(len(raw), 1)
 
 
 class Units:
@@ -83,14 +108,25 @@ class Units:
         self.cut = {"words": word_units, "bytes": byte_units}[kind]
         self.kind, self.width, self.gram = kind, width, gram
 
+    def pieces(self, raw: bytes) -> Iterator[tuple[int, bytes]]:
+        """(first unit, piece): a long text in pieces of about SLICE bytes that overlap so that each window lies in one of them."""
+        if len(raw) <= 2 * SLICE:
+            yield 0, raw
+            return
+        units = raw if self.kind == "bytes" else raw.split()
+        step = SLICE if self.kind == "bytes" else SLICE // 8
+        for at in range(0, max(1, len(units) - self.width + 1), step):
+            piece = units[at : at + step + self.width - 1]
+            yield at, piece if isinstance(piece, bytes) else b" ".join(piece)
+
     def runs(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document number, anchor, first window, windows) of all runs."""
         parts, starts, ends, counts, at = [], [], [], [], 0
         for raw in raws:
             body, s, e = self.cut(raw)
             parts.append(body)
-            starts.append(s + at)
-            ends.append(e + at)
+            starts.append(np.asarray(s) + at)
+            ends.append(np.asarray(e) + at)
             counts.append(len(s))
             at += len(body)
         n_units, spans = sum(counts), self.width - self.gram + 1
@@ -98,7 +134,7 @@ class Units:
             return tuple(np.zeros(0, t) for t in (np.int64, U64, np.int64, np.int64))  # type: ignore[return-value]
         data = np.frombuffer(b"".join(parts), np.uint8)
         begin, end = np.concatenate(starts), np.concatenate(ends)
-        up, down = _powers(max(2 * SLICE, 1 << int(at).bit_length()))
+        up, down = _powers(1 << int(at).bit_length())
         sums = np.zeros(len(data) + 1, U64)
         np.cumsum(up[: len(data)] * (data + U64(1)), out=sums[1:])
         last = n_units - self.gram + 1
@@ -220,19 +256,22 @@ def _find_runs(units: Units, n: int) -> Callable[[Iterator[pd.DataFrame]], Itera
         held: list[np.ndarray] = []
         for batch in batches:
             ids, twins = batch["doc"].to_numpy(), batch["twin"].to_numpy()
-            raws = [t.encode("utf-8", "replace") for t in batch["text"]]
-            begin, size = 0, 0
-            for k, raw in enumerate(raws):
-                size += len(raw)
-                if size >= SLICE or k + 1 == len(raws):
-                    doc, anchor, first, count = units.runs(raws[begin : k + 1])
-                    occ = np.empty(len(doc), OCCURRENCE)
-                    occ["key"], occ["doc"], occ["twin"], occ["start"], occ["count"] = anchor, ids[begin + doc], twins[begin + doc], first, count
+            some: list[tuple[int, int, bytes]] = []
+            size = 0
+            cut = ((k, at, piece) for k, text in enumerate(batch["text"]) for at, piece in units.pieces(text.encode("utf-8", "replace")))
+            for k, at, piece in chain(cut, [(-1, 0, b"")]):
+                if some and (k < 0 or size >= SLICE):
+                    part, anchor, first, count = units.runs([p for _, _, p in some])
+                    row, before = np.array([r for r, _, _ in some]), np.array([b for _, b, _ in some])
+                    occ = np.empty(len(part), OCCURRENCE)
+                    occ["key"], occ["doc"], occ["twin"], occ["start"], occ["count"] = anchor, ids[row[part]], twins[row[part]], before[part] + first, count
                     held.append(occ)
-                    begin, size = k + 1, 0
+                    some, size = [], 0
                     if sum(map(len, held)) >= FLUSH:
                         yield send(held)
                         held = []
+                some.append((k, at, piece))
+                size += len(piece)
         if held:
             yield send(held)
 
@@ -353,6 +392,17 @@ def _resolve(units: Units, resolver: Resolver, n: int, block: int) -> Callable[[
     return run
 
 
+def _merged(spans: np.ndarray | None, width: int) -> np.ndarray:
+    """Beginnings and ends, in turn, of the stretches of units that runs of windows cover."""
+    if spans is None or not len(spans):
+        return np.zeros(0, np.int64)
+    spans = spans[np.argsort(spans["start"], kind="stable")]
+    begin = spans["start"].astype(np.int64)
+    end = np.maximum.accumulate(begin + spans["count"] + (width - 1))
+    new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
+    return np.stack([begin[new], end[np.r_[new[1:] - 1, len(end) - 1]]], axis=1).ravel()
+
+
 def _apply(units: Units) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(docs: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
         found = _unpack(packed, 1, SPAN)
@@ -360,21 +410,17 @@ def _apply(units: Units) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
         at = np.flatnonzero(np.r_[True, (found["doc"][1:] != found["doc"][:-1]) | (found["twin"][1:] != found["twin"][:-1])]) if len(found) else []
         own = {(int(found["doc"][a]), int(found["twin"][a])): found[a:b] for a, b in _ranges(at, len(found))}
         n_units, n_removed, n_spans, spans, kept = [], [], [], [], []
+        glue = b" " if units.kind == "words" else b""
         for doc, twin, text, known in zip(docs["doc"], docs["twin"], docs["text"], docs["known"], strict=True):
             body, starts, ends = units.cut(text.encode("utf-8", "replace"))
-            mark = np.zeros(len(starts) + 1, np.int64)
-            if known and (own_spans := own.get((doc, twin))) is not None:
-                np.add.at(mark, own_spans["start"].astype(np.int64), 1)
-                np.add.at(mark, own_spans["start"].astype(np.int64) + own_spans["count"] + units.width - 1, -1)
-            gone = np.cumsum(mark)[:-1] > 0
-            edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
-            n_units.append(len(starts))
-            n_removed.append(int(gone.sum()))
+            n = len(starts)
+            edge = _merged(own.get((doc, twin)) if known else None, units.width)
+            n_units.append(n)
+            n_removed.append(int((edge[1::2] - edge[::2]).sum()))
             n_spans.append(len(edge) // 2)
             spans.append(edge.tolist())
-            stay = np.flatnonzero(np.diff(np.r_[0, (~gone).astype(np.int8), 0]))
-            glue = b" " if units.kind == "words" else b""
-            kept.append(glue.join([body[starts[a] : ends[b - 1]] for a, b in zip(stay[::2], stay[1::2], strict=True)]))
+            stay = np.r_[0, edge, n].reshape(-1, 2)
+            kept.append(glue.join([body[starts[a] : ends[b - 1]] for a, b in stay.tolist() if a < b]))
         return pd.DataFrame({"doc_id": docs["doc"].where(docs["known"], None).astype("Int64"), "n_units": n_units, "n_removed": n_removed, "n_spans": n_spans, "spans": spans, "kept": kept})
 
     return run
