@@ -46,7 +46,7 @@ FINER = 2
 PLACE = np.dtype([("key", "u8"), ("doc", "i8")])
 KEY = np.dtype([("key", "u8")])
 COUNT = np.dtype([("doc", "i8"), ("n", "i8")])
-NEED = np.dtype([("doc", "i8"), ("size", "i8"), ("need", "i8")])
+NEED = np.dtype([("doc", "i8"), ("size", "i8"), ("need", "i8"), ("head", "i8"), ("tail", "i8")])
 PAIR = np.dtype([("a", "i8"), ("b", "i8")])
 #: Needed by a set that is no candidate: it is empty, or equal to another that stands for it.
 NEVER = 1 << 40
@@ -112,24 +112,25 @@ def _evidence(n: int, n_docs: int, words: int, similarity: tuple[int, int]) -> C
             return _frame(rows)
 
         for batch in batches:
-            needs: list[tuple[int, int, int]] = []
+            needs: list[tuple[int, int, int, int, int]] = []
             for doc, text in zip(batch["doc"].tolist(), batch["text"], strict=True):
                 own = shingles(text.encode("utf-8", "replace"), words)
                 k = len(own)
-                same = first.setdefault(own.tobytes() if k < 4 else _digest(own), doc) if k else doc
+                digest = _digest(own)
+                same = first.setdefault(digest, doc) if k else doc
                 if not k or same != doc:
-                    needs.append((doc, k, NEVER))
+                    needs.append((doc, k, NEVER, 0, 0))
                     if k:
                         links.append((doc, same))
                     continue
                 chosen = (own >> U64(8)) % U64(every) == 0
                 n_counted = k if k < SMALL else int(chosen.sum())
                 sent = own if k * part < SMALL * whole else own[chosen]
-                needs.append((doc, k, n_counted - missing(k, similarity)))
+                needs.append((doc, k, n_counted - missing(k, similarity), *np.frombuffer(digest, np.int64).tolist()))
                 owners.append((doc, len(sent), k < SMALL))
                 tokens.append(sent)
                 size += len(sent)
-            table = np.array(needs, np.int64).reshape(-1, 3)
+            table = np.array(needs, np.int64).reshape(-1, 5)
             yield _frame(_dealt(4, doc_bucket(table[:, 0], n_docs), _array(NEED, *table.T)))
             if size >= FLUSH:
                 yield send()
@@ -170,6 +171,7 @@ class Groups:
 
 
 ROWS = "kind int, a long, b long"
+JUDGED = ROWS + ", c long"
 
 
 def _rows(kind: int, a, b) -> pd.DataFrame:
@@ -206,14 +208,15 @@ def _met(n_docs: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def _left(group: pd.DataFrame) -> pd.DataFrame:
-    """Documents that may be linked (kind 0), links of equal sets (1), set sizes (2)."""
+    """Documents that may be linked, with the digest of their set (kind 0), links of equal sets (1), set sizes (2)."""
     need, met, links = _unpack(group, 4, NEED), _unpack(group, 3, COUNT), _unpack(group, 5, PAIR)
     need = need[np.argsort(need["doc"], kind="stable")]
     docs = np.unique(need["doc"])
     have = np.zeros(len(docs), np.int64)
     np.add.at(have, np.searchsorted(docs, met["doc"]), met["n"])
-    enough = np.unique(need["doc"][have[np.searchsorted(docs, need["doc"])] >= need["need"]])
-    return pd.concat([_rows(0, enough, enough), _rows(1, links["a"], links["b"]), _rows(2, need["doc"], need["size"])])
+    left = need[have[np.searchsorted(docs, need["doc"])] >= need["need"]]
+    parts = [_rows(0, left["doc"], left["head"]).assign(c=left["tail"]), _rows(1, links["a"], links["b"]).assign(c=0), _rows(2, need["doc"], need["size"]).assign(c=0)]
+    return pd.concat(parts)
 
 
 class Index:
@@ -402,10 +405,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = named.where("doc is not null")
     evidence = written(known.mapInPandas(_evidence(width * FINER, width, n, similarity), PACKED), "evidence")
     met = evidence.where("kind < 3").groupBy("bucket").applyInPandas(_met(width), PACKED)
-    judged = written(evidence.where("kind >= 3").unionByName(met).groupBy("bucket").applyInPandas(_left, ROWS), "judged", compression="zstd")
+    judged = written(evidence.where("kind >= 3").unionByName(met).groupBy("bucket").applyInPandas(_left, JUDGED), "judged", compression="zstd")
 
+    # of equal sets one goes on, and the others are linked with it
+    left = judged.where("kind = 0")
+    one_of = left.groupBy("b", "c").agg(F.min("a").alias("node"))
+    equal = left.join(one_of, ["b", "c"]).where("a <> node").select(F.lit(1).alias("kind"), "a", F.col("node").alias("b"))
     # a merge join at every size: the sets that are left grow with the input, and their shingles are made in one pass
-    texts = known.withColumnRenamed("doc", "node").join(judged.where("kind = 0").select(F.col("a").alias("node")).hint("merge"), "node")
+    texts = known.withColumnRenamed("doc", "node").join(one_of.select("node").distinct().hint("merge"), "node")
     sets = written(texts.mapInPandas(_sets_of(n), "node long, n long, tokens array<long>"), "sets")
     first = written(_first_shingles(sets, similarity), "first-shingles", compression="zstd")
     least = first.groupBy("token").agg(F.min("node").alias("least"))
@@ -419,7 +426,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = members.withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(width * FINER)).cast("int"))
     tokens = members.join(sets.select("node", "tokens"), "node")
     links = tokens.where("n_blocks = 1").groupBy("bucket").applyInPandas(_link_bucket(similarity), ROWS)
-    links = written(links.unionByName(judged.where("kind = 1")), "links")
+    links = written(links.unionByName(judged.where("kind = 1").drop("c")).unionByName(equal), "links")
     if not members.where("n_blocks > 1").isEmpty():
         large = written(tokens.where("n_blocks > 1"), "large-clusters")
         links = links.unionByName(_search_large(large, first, similarity))
