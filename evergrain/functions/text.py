@@ -1,10 +1,14 @@
 """Text scanners as Columns: redaction, leaks, injections, entropy, corrections, keys, sanitising and scrub rules.
 
-Patterns are Java regular expressions; (?U) makes word and space classes Unicode, as the rules mean them.
+Patterns are written once and mean what they mean in Python's `re` for str: \\w, \\s and \\b are Unicode (letters, numbers and the
+underscore; white space and the separators 1C to 1F), ignoring case folds beyond ASCII, and a line ends at a line feed only.
+_u() states that in Java's terms.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,8 +87,8 @@ TRACEBACK = r"Traceback \(most recent call last\)"
 STACK_LINE = r"(?m)^\s*File \".*\", line \d+"
 REPLY_PREFIX = r"(?i)\A(?:\s*\[\[\s*reply_to_current\s*\]\]\s*)+"
 UNTRUSTED_BLOCK = r"(?ims)^[ \t]*(?:Conversation info|Sender|Replied message)\s*\(untrusted(?: metadata)?(?:,\s*for context)?\):[ \t]*\n```(?:json)?[ \t]*\n.*?^```[ \t]*(?:\n|\z)"
-EMAIL = r"(?iU)(?<![\w.+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?![\w-])"
-PHONE = r"(?U)(?<![\w])(?:\+?1[ ./-]?)?\(?\d{3}\)?[ ./-]\d{3}[ ./-]\d{4}(?![\w])"
+EMAIL = r"(?i)(?<![\w.+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?![\w-])"
+PHONE = r"(?<![\w])(?:\+?1[ ./-]?)?\(?\d{3}\)?[ ./-]\d{3}[ ./-]\d{4}(?![\w])"
 LABELLED_ID = r"(?i)\b(sender[_ -]?id|message[_ -]?id|chat[_ -]?id|conversation[_ -]?id|context[_ -]?id|telegram[_ -]?id|broker(?:age)?[_ -]?(?:account|acct)(?:[_ -]?(?:id|number|no\.?))?|account[_ -]?(?:id|number|no\.?))([\"']?\s*[:=#-]\s*[\"']?)([A-Z0-9][A-Z0-9_.@+-]{3,})"
 ACCOUNT_VALUE = r"(?i)\b((?:broker(?:age)?\s+)?account)(\s+)`?((?=[A-Z0-9-]{0,24}\d)[A-Z0-9][A-Z0-9-]{5,})`?"
 BLOCKED = r"(?im)^\s*(?:#{1,6}\s*)?(?:\*\*)?BLOCKED\b"
@@ -110,27 +114,80 @@ MIN_TARGET, MAX_EXAMPLE = 40, 32000
 # ---- Scanners -----------------------------------------------------------------------------------------------------
 
 
+#: Python's classes in Java's terms: what stands inside brackets, and how each escape is said outside of them.
+_WORD, _SPACE = r"\p{L}\p{N}_", r"\s\x1c-\x1f"
+_ESCAPES = {
+    "w": f"[{_WORD}]", "W": f"[^{_WORD}]", "s": f"[{_SPACE}]", "S": f"[^{_SPACE}]",
+    "b": f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))",
+}
+_IN_BRACKETS = {"w": _WORD, "s": _SPACE}
+
+
+@cache
 def _u(pattern: str) -> str:
-    return "(?U)" + pattern
+    """The pattern for Java, with Python's classes, case folding and line ends."""
+    out, inside, i = ["(?Ud)"], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            known = _IN_BRACKETS if inside else _ESCAPES
+            out.append(known.get(pattern[i + 1], pattern[i : i + 2]))
+            i += 2
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
+#: The same for other modules' patterns.
+java_pattern = _u
 
 
 def _has(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(_u(pattern)), F.lit(False))
 
 
-#: What a text must hold for a slow pattern to match at all. Texts without it skip the pattern; no result changes.
-SECRET_WORD = r"(?i)key|token|secret|passw|credential|authorization"
+#: One of these words must be in a text for a slow pattern to match at all; a text without them skips the pattern. They are
+#: looked for in the folded text (lower case, with the four letters beyond ASCII that fold to ASCII ones), or where the
+#: pattern minds case, in the text as it is.
+SECRET_WORDS = ("key", "token", "secret", "passw", "credential", "authorization")
 NEEDED = {
-    "openai_key": r"sk-", "github_token": r"gh[pi]", "slack_token": r"xox", "bearer_token": r"(?i)bearer", "jwt": r"eyJ", "private_key": r"-----BEGIN ",
-    "json_quoted_secret": SECRET_WORD, "assigned_secret": SECRET_WORD, "ignore_previous": r"(?i)instruction|prompt|context|rule|direction",
-    "role_hijack": r"(?i)you are now|act as|pretend|from now|instruction|system|disregard", "tool_coax": r"(?i)following|execute this|tool|curl|-rf|send",
-    "exfil_link": r"(?i)https?://", "prompt_leak_probe": r"(?i)above|prompt|instruction|rule",
+    "bearer_token": ("bearer",), "json_quoted_secret": SECRET_WORDS, "assigned_secret": SECRET_WORDS,
+    "ignore_previous": ("instruction", "prompt", "context", "rule", "direction"),
+    "role_hijack": ("you are now", "act as", "pretend", "from now on you", "instruction", "system", "disregard your"),
+    "tool_coax": ("run the following", "execute th", " tool", "curl", "rm", "send "),
+    "exfil_link": ("http",), "prompt_leak_probe": ("above", "prompt", "instruction", "rule"),
 }
+NEEDED_AS_IS = {"openai_key": ("sk-",), "github_token": ("ghp_", "github_pat_"), "slack_token": ("xox",), "jwt": ("eyJ",), "private_key": ("-----BEGIN ",)}
+
+
+def folded(text: Column) -> Column:
+    """Lower case in which every letter that a pattern takes for an ASCII one is that letter."""
+    return F.lower(F.translate(text, "\u017f\u212a\u0131\u0130", "skii"))
+
+
+def _any_of(text: Column, words: tuple[str, ...]) -> Column:
+    found = text.contains(words[0])
+    for w in words[1:]:
+        found = found | text.contains(w)
+    return found
 
 
 def _names(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    found = lambda name, pattern: _has(text, pattern) if name not in NEEDED else F.coalesce(text.rlike(NEEDED[name]), F.lit(False)) & _has(text, pattern)
-    return F.array_compact(F.array(*[F.when(found(n, p), F.lit(n)) for n, p in rules]))
+    """Names of the patterns that fire; the text is folded once."""
+
+    def named(pair: Column) -> Column:
+        def fires(name: str, pattern: str) -> Column:
+            if name in NEEDED:
+                return _any_of(pair["low"], NEEDED[name]) & pair["raw"].rlike(_u(pattern))
+            if name in NEEDED_AS_IS:
+                return _any_of(pair["raw"], NEEDED_AS_IS[name]) & pair["raw"].rlike(_u(pattern))
+            return pair["raw"].rlike(_u(pattern))
+
+        return F.array_compact(F.array(*[F.when(F.coalesce(fires(n, p), F.lit(False)), F.lit(n)) for n, p in rules]))
+
+    return _once(F.struct(text.alias("raw"), folded(text).alias("low")), named)
 
 
 def _once(value: Column, rule) -> Column:
@@ -146,11 +203,11 @@ def _redacted(text: Column) -> Column:
     fixed, named = text, text
     for pattern, put in REDACTIONS:
         if SECRET_KEY not in pattern:
-            fixed = F.regexp_replace(fixed, pattern, put)
+            fixed = F.regexp_replace(fixed, _u(pattern), put)
     # the last three rules need a secret's name, which few texts hold
     for pattern, put in REDACTIONS:
-        named = F.regexp_replace(named, pattern, put)
-    return F.when(text.rlike(SECRET_WORD), named).otherwise(fixed)
+        named = F.regexp_replace(named, _u(pattern), put)
+    return F.when(_any_of(folded(text), SECRET_WORDS), named).otherwise(fixed)
 
 
 def secret_leaks(text: Column) -> Column:
@@ -172,7 +229,7 @@ def shannon_entropy(text: Column) -> Column:
 
 
 def entropy_spans(text: Column, min_length: int = 40, min_entropy: float = 3.5) -> Column:
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENTROPY_RUN), 1)
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_u(ENTROPY_RUN)), 1)
     return F.filter(found, lambda s: (F.length(s) >= min_length) & (shannon_entropy(s) >= min_entropy))
 
 
@@ -191,11 +248,11 @@ def correction_score(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(text, _u(r"\A\s+|\s+\z"), "")
 
 
 def compact_space(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(text, _u(r"\s+"), " "))
 
 
 def claim_key(text: Column, limit: int = 160) -> Column:
@@ -215,7 +272,7 @@ def summary_of(text: Column, limit: int = 600) -> Column:
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)([\w-]{2,})"), 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_u(r"([\w-]{2,})")), 1)
 
 
 def meaningful_terms(text: Column) -> Column:
@@ -235,7 +292,7 @@ def legacy_fts_terms(query: Column, most: int = 8) -> Column:
 
 
 def dedupe_text(text: Column) -> Column:
-    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)([\w-]+)"), 1), " ")
+    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_u(r"([\w-]+)")), 1), " ")
 
 
 def token_estimate(text: Column) -> Column:
@@ -252,12 +309,12 @@ def is_catalog_stub(text: Column) -> Column:
 
 def sanitize(text: Column) -> Column:
     """Training text without transport residue, secrets, e-mail addresses, phone numbers and private ids; idempotent."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), REPLY_PREFIX, "")
-    text = redact_secrets(F.regexp_replace(text, UNTRUSTED_BLOCK, ""))
-    text = F.regexp_replace(text, EMAIL, "[REDACTED_EMAIL]")
-    text = F.regexp_replace(text, PHONE, "[REDACTED_PHONE]")
-    text = F.regexp_replace(text, LABELLED_ID, "$1$2[REDACTED_ID]")
-    return strip(F.regexp_replace(text, ACCOUNT_VALUE, "$1$2[REDACTED_ID]"))
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), _u(REPLY_PREFIX), "")
+    text = redact_secrets(F.regexp_replace(text, _u(UNTRUSTED_BLOCK), ""))
+    text = F.regexp_replace(text, _u(EMAIL), "[REDACTED_EMAIL]")
+    text = F.regexp_replace(text, _u(PHONE), "[REDACTED_PHONE]")
+    text = F.regexp_replace(text, _u(LABELLED_ID), "$1$2[REDACTED_ID]")
+    return strip(F.regexp_replace(text, _u(ACCOUNT_VALUE), "$1$2[REDACTED_ID]"))
 
 
 def is_process_chatter(text: Column) -> Column:

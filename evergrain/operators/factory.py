@@ -113,7 +113,7 @@ def label_exchanges(found: DataFrame, turns: DataFrame, outcomes: DataFrame, thr
     judged = (
         F.when(bad, one("bad", F.lit(0.6), F.array(F.lit("retrieval_bad"))))
         .when(corrected, one("bad", F.least(F.lit(0.9), score), F.array(F.lit("correction_followup"))))
-        .when(F.col("target_text").rlike("(?U)" + T.REFUSAL), one("bad", F.lit(0.6), F.array(F.lit("refusal"))))
+        .when(F.col("target_text").rlike(T.java_pattern(T.REFUSAL)), one("bad", F.lit(0.6), F.array(F.lit("refusal"))))
         .when(F.col("trailing_tool_error"), one("bad", F.lit(0.6), F.array(F.lit("terminal_tool_failure"))))
         .when(affirmed, one("good", more(0.9), tag("affirmation")))
         .when(F.col("had_tool_error"), one("good", more(0.8), tag("error_recovery")))

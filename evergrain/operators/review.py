@@ -49,7 +49,7 @@ def turn_signals(turns: DataFrame, threshold: float = 0.6, author_weight: Column
     w = Window.partitionBy("session_id").orderBy("turn_idx")
     answered = F.coalesce(F.max(F.col("role") == "assistant").over(w.rowsBetween(-3, -1)), F.lit(False))
     rows = turns.withColumn("__answered", answered).withColumn("__before", F.lag("role").over(w)).where("text <> ''")
-    has = lambda p: F.col("text").rlike("(?U)" + p)
+    has = lambda p: F.col("text").rlike(T.java_pattern(p))
     user, tool = F.col("role") == "user", F.col("role") == "tool"
     times = F.lit(1.0) if author_weight is None else author_weight
     struct = lambda kind, polarity, weight: F.struct(F.lit(kind).alias("kind"), F.lit(polarity).alias("polarity"), weight.alias("weight"))

@@ -69,10 +69,10 @@ def classify_user(text: Column) -> Column:
         injected = injected | low.startswith(start.lower())
     made = lambda k, t: F.struct(F.lit(k).alias("kind"), t.alias("text"))
     return (
-        F.when(bare.rlike(AUTHOR_MARK) & message.rlike("(?U)" + T.MEDIA_ONLY), made("media", message))
+        F.when(bare.rlike(AUTHOR_MARK) & message.rlike(T.java_pattern(T.MEDIA_ONLY)), made("media", message))
         .when(bare.rlike(AUTHOR_MARK), made("envelope", message))
         .when(injected | bare.rlike(RUNTIME), made("injected", bare))
-        .when((bare == "") | bare.rlike("(?U)" + T.MEDIA_ONLY), made("media", bare))
+        .when((bare == "") | bare.rlike(T.java_pattern(T.MEDIA_ONLY)), made("media", bare))
         .otherwise(made("bare", bare))
     )
 
