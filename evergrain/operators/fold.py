@@ -23,7 +23,9 @@ def routed(log: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     proposed = log.where("kind = 'compilation_proposed'").select(
         F.col("id").alias("proposal_id"), F.col("event_seq").alias("proposal_seq"), F.col("body_json").alias("proposal"), body("belief_id").alias("proposed_belief")
     )
-    decided = log.where("kind = 'compilation_decided'").withColumn("proposal_id", body("proposal_event_id")).join(proposed, "proposal_id")
+    # other decisions change nothing, and a decision before its proposal has none
+    decided = log.where(F.col("kind") == "compilation_decided").where(body("decision").isin("approve", "edit")).withColumn("proposal_id", body("proposal_event_id"))
+    decided = decided.join(proposed, "proposal_id").where("proposal_seq < event_seq")
     decided = decided.select(F.col("proposed_belief").alias("target"), "event_seq", "id", "ts", "kind", F.col("body_json").alias("payload"), "proposal", "proposal_seq")
     targets = F.when(F.col("kind") == "correction_recorded", body("target_id")).when(F.col("kind") == "tombstone_recorded", body("target")).otherwise(body("belief_id"))
     others = log.where("kind in ('correction_recorded', 'tombstone_recorded', 'scope_promoted')").select(
