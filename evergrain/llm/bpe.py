@@ -3,7 +3,7 @@
 For BPE the last token of every prefix of a word is enough to encode it: the last token t of a prefix is the one
 token that ends there, follows a prefix whose own last token may stand before t, and so on back. The walk
 visits the distinct words of a batch as a trie, depth first, with one stack of last tokens; what words share
-as prefixes is worked out once. Encoded words are kept for later batches of the same worker.
+as prefixes is worked out once. Encoded words are kept for later batches of the same partition.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .common import text_of
 #: Fixed value: white space as Unicode defines it.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Encoded words that a worker keeps; beyond, it starts anew. Bounds memory, changes no result.
-KEPT_WORDS = 600_000
+#: Encoded words that a worker keeps during a partition; beyond, it starts anew. Bounds memory, changes no result.
+KEPT_WORDS = 250_000
 
 
 def _byte_signs() -> dict[str, int]:
@@ -203,6 +203,11 @@ class Bpe:
         kept.update(self.packed_added)
         return [b"".join(map(kept.__getitem__, row)) for row in rows]
 
+    def release(self) -> None:
+        """Gives back what was kept for later batches: workers outlive their partition."""
+        self.kept = {"": b""}
+        self.follows.clear()
+
     def decode(self, packed: bytes) -> str:
         ids = array("I")
         ids.frombytes(packed)
@@ -232,6 +237,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                     ids = bpe.encode_batch(texts[begin : k + 1])
                     yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[begin : k + 1].array, "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
                     begin, held = k + 1, 0
+        bpe.release()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
