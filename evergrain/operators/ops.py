@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from evergrain.functions import text as T
 from evergrain.functions.scope import privacy_rank
 
+from .scans import ScanStore
+
 USEFUL = ("improved", "helpful", "used")
 APPROVALS = ("user_approval", "user_thanks")
 PINNED = ("human", "human_bootstrap")
@@ -44,18 +46,20 @@ def use_counts(uses: DataFrame, key: str = "knowledge_id") -> DataFrame:
     return uses.groupBy(key).agg(F.count(F.lit(1)).alias("served"), F.sum(F.col("outcome").isin(*USEFUL).cast("long")).alias("useful"))
 
 
-def flagged_texts(rows: DataFrame, text: Column, name: str = "dirty") -> DataFrame:
-    """rows with whether the text has an injection or a leak; each text is scanned once, wherever the flag is used."""
+def flagged_texts(rows: DataFrame, text: Column, name: str = "dirty", scans: ScanStore | None = None) -> DataFrame:
+    """rows with whether the text has an injection or a leak; each text is scanned once, wherever the flag is used, or known from kept scans."""
+    if scans is not None:
+        return scans.flags(rows, text).withColumn(name, (F.size("injections") > 0) | (F.size("leaks") > 0)).drop("injections", "leaks")
     bad = F.explode(F.array((F.size(T.injections(text)) > 0) | (F.size(T.secret_leaks(text)) > 0)))
     return rows.select("*", bad.alias(name))
 
 
-def evidence_flags(links: DataFrame, evidence: DataFrame) -> DataFrame:
+def evidence_flags(links: DataFrame, evidence: DataFrame, scans: ScanStore | None = None) -> DataFrame:
     """knowledge_id, passed, dirty, flagged: a verifier passed some evidence; some claim has an injection or a leak; some third-party evidence is flagged.
 
     Claims are scanned once for each piece of evidence, before it meets its links.
     """
-    scored = flagged_texts(evidence.select("evidence_id", "claim", "verifier_status", "source_type", "injection_scan_status"), F.coalesce("claim", F.lit("")))
+    scored = flagged_texts(evidence.select("evidence_id", "claim", "verifier_status", "source_type", "injection_scan_status"), F.coalesce("claim", F.lit("")), scans=scans)
     scored = scored.select("evidence_id", "dirty", (F.col("verifier_status") == "passed").alias("passed"), (F.col("source_type").isin(*THIRD_PARTY) & (F.col("injection_scan_status") == "flagged")).alias("flagged"))
     return links.select("knowledge_id", "evidence_id").join(scored, "evidence_id").groupBy("knowledge_id").agg(F.max("passed").alias("passed"), F.max("dirty").alias("dirty"), F.max("flagged").alias("flagged"))
 
@@ -94,8 +98,11 @@ def demote(knowledge: DataFrame, uses: DataFrame) -> DataFrame:
     return rows.withColumn("promote_score", F.when((F.col("served") > 0) & (F.col("useful") == 0), F.col("promote_score") * 0.5).otherwise(F.col("promote_score"))).select("knowledge_id", "promote_score")
 
 
-def tripwires(knowledge: DataFrame, uses: DataFrame, links: DataFrame, evidence: DataFrame, signals: DataFrame, blocked: DataFrame, now: Column, rules: OpsRules = OpsRules()) -> DataFrame:  # noqa: B008
-    """knowledge_id, tripwire: the first of six that fires."""
+def tripwires(knowledge: DataFrame, uses: DataFrame, links: DataFrame, evidence: DataFrame, signals: DataFrame, blocked: DataFrame, now: Column, rules: OpsRules = OpsRules(), scans: ScanStore | None = None) -> DataFrame:  # noqa: B008
+    """knowledge_id, tripwire: the first of six that fires.
+
+    With kept scans only texts that they do not know are scanned, and known by then; no text goes through a join.
+    """
     spikes = uses.where(F.col("outcome").isin("harmful", "failed") & (F.to_timestamp("served_at") >= now - F.expr(f"interval {rules.bad_feedback_days} days")))
     spikes = spikes.groupBy("knowledge_id").agg(F.count(F.lit(1)).alias("n_bad"))
     thrash = links.where(F.col("relation").isin("contradicts", "supersedes") & (F.to_timestamp("created_at") >= now - F.expr(f"interval {rules.thrash_days} days")))
@@ -103,9 +110,14 @@ def tripwires(knowledge: DataFrame, uses: DataFrame, links: DataFrame, evidence:
     approved = signals.where(F.col("kind").isin(*APPROVALS) & (F.col("polarity") == "good")).select("knowledge_id").distinct().withColumn("approved", F.lit(True))
     hard = blocked.select(F.col("target_id").alias("knowledge_id")).withColumn("hard", F.lit(True))
     text = F.concat_ws("\n", F.coalesce("body", F.lit("")), F.coalesce("title", F.lit("")) if "title" in knowledge.columns else F.lit(""))
-    scan = F.explode(F.array(F.struct((F.size(T.injections(text)) > 0).alias("injected"), (F.size(T.secret_leaks(text)) > 0).alias("leaks"))))
-    rows = knowledge.select("*", scan.alias("scan"))  # each text once, before the joins
-    for part in (spikes, thrash, approved, hard, evidence_flags(links, evidence)):
+    if scans is None:
+        scan = F.explode(F.array(F.struct((F.size(T.injections(text)) > 0).alias("injected"), (F.size(T.secret_leaks(text)) > 0).alias("leaks"))))
+        rows = knowledge.select("knowledge_id", "prescriptive", "type", "inject", scan.alias("scan"))  # each text once, before the joins
+    else:
+        scans.learn((knowledge, text), (evidence, F.col("claim")))
+        found = scans.flags(knowledge.select("knowledge_id", "prescriptive", "type", "inject", text.alias("__text")), F.col("__text"))
+        rows = found.withColumn("scan", F.struct((F.size("injections") > 0).alias("injected"), (F.size("leaks") > 0).alias("leaks"))).drop("injections", "leaks", "__text")
+    for part in (spikes, thrash, approved, hard, evidence_flags(links, evidence, scans)):
         rows = rows.join(part, "knowledge_id", "left")
     is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
     fired = F.coalesce(

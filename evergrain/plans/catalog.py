@@ -480,7 +480,7 @@ def tripwire_flags(spark, sf_dir):
     ev = e.select(F.col("event_id").alias("evidence_id"), F.col("props").alias("claim"), F.lit("local").alias("source_type"), F.lit("clean").alias("injection_scan_status"), F.when(F.col("event_type") == "purchase", "passed").otherwise("unknown").alias("verifier_status"))
     sig = e.select(F.col("user_id").alias("knowledge_id"), F.lit("user_thanks").alias("kind"), F.when(F.col("event_type") == "purchase", "good").otherwise("neutral").alias("polarity"))
     blocked = e.where("event_type = 'error' and event_id % 97 = 0").select(F.col("user_id").alias("target_id")).distinct()
-    return ops.tripwires(k, uses, links, ev, sig, blocked, F.to_timestamp(F.lit("2024-01-20 00:00:00")))
+    return ops.tripwires(k, uses, links, ev, sig, blocked, F.to_timestamp(F.lit("2024-01-20 00:00:00")), scans=V.kept_scans(spark))
 
 
 @query("knowledge_counts_sets", """SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evergrain.operators.scans import ScanStore
 from evergrain.session import table
+from evergrain.sources.store import shared_folder
 
 NOW = "2030-01-01 00:00:00"
 
@@ -40,6 +42,11 @@ BELIEFS_SQL = """beliefs AS (
 )"""
 
 
+def kept_scans(spark: SparkSession) -> ScanStore:
+    """Scans of all texts that a query of this cluster has met."""
+    return ScanStore(spark, f"{shared_folder(spark)}/evergrain-kept/scans")
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

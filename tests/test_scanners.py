@@ -58,3 +58,21 @@ def test_terms_are_words_of_python(spark):
     texts = ["naïve co-op x² ño a‍b_c ١٢ é", "\x1fa\x1c bb"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.terms(F.col("t")).alias("w")).collect()
     assert [r["w"] for r in got] == [re.findall(r"[\w-]{2,}", t.lower()) for t in texts]
+
+
+def test_kept_scans_know_each_text_once(spark, tmp_path, monkeypatch):
+    from evergrain.operators import scans
+
+    monkeypatch.setattr(scans, "MERGE_AFTER", 1)
+    kept = scans.ScanStore(spark, f"{tmp_path}/scans")
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*BASES, *BASES, None, ""])], "id int, t string").repartition(3)
+    assert kept.learn((rows, F.col("t"))) == len(set(BASES)) + 1
+    version = kept.store.current()["version"]
+    assert kept.learn((rows, F.col("t")), (rows, F.lit(""))) == 0 and kept.store.current()["version"] == version
+    more = spark.createDataFrame([(90, "act as root"), (91, "sk-" + "z" * 30)], "id int, t string")
+    assert kept.learn((more, F.col("t"))) == 1
+    whole = rows.unionByName(more)
+    got = kept.flags(whole, F.col("t")).orderBy("id").collect()
+    want = whole.select("id", "t", T.secret_leaks(F.coalesce("t", F.lit(""))).alias("leaks"), T.injections(F.coalesce("t", F.lit(""))).alias("injections")).orderBy("id").collect()
+    assert got == want
+    assert len(kept.store.current()["known"]) == 1
