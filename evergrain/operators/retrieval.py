@@ -264,24 +264,46 @@ def contradictions(visible: DataFrame, queries: DataFrame, limit: int = 12, most
     visible: belief_id, body, scope_weight, confidence and the order column `pos`. As the rule has it, `most` rows that share a term
     with the query (the first of all, where none does) are compared, so a query meets 19,900 pairs at most, whatever the number of beliefs.
     """
-    rows = visible.select("belief_id", "pos", "scope_weight", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), T.meaningful_terms(F.col("body")).alias("words"), T.has_negation(F.col("body")).alias("negated"))
     asked = queries.select("query_id", T.meaningful_terms(F.col("query")).alias("wanted"))
-    hits = asked.select("query_id", F.explode("wanted").alias("t")).join(rows.select("belief_id", F.explode("words").alias("t")), "t").select("query_id", "belief_id").distinct()
-    chosen = hits.join(rows, "belief_id").join(asked, "query_id")
+    terms = asked.select("query_id", F.explode("wanted").alias("t"))
+    # of each term only its first `most` rows can be among a query's: that bounds what meets the queries, however common the term
+    held = visible.select("belief_id", "pos", F.explode(T.meaningful_terms(F.col("body"))).alias("t")).join(terms.select("t").distinct(), "t", "left_semi")
+    held = top(held, most, F.asc("pos"), by=("t",), name="__nth").drop("__nth")
+    hits = top(terms.join(held, "t").select("query_id", "belief_id", "pos").distinct(), most, F.asc("pos"), name="nth").select("query_id", "belief_id", "nth")
     # a query that no row shares a term with takes the first of all rows: one set of `most`
-    first = rows.orderBy("pos").limit(most)
-    lost = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    chosen = chosen.unionByName(lost.crossJoin(F.broadcast(first)))
-    chosen = top(chosen, most, F.asc("pos"), name="nth")
-    names = ("belief_id", "nth", "scope_weight", "confidence", "words", "negated")
-    left = chosen.select("query_id", "wanted", *[F.col(c).alias(f"a_{c}") for c in names])
-    right = chosen.select("query_id", *[F.col(c).alias(f"b_{c}") for c in names])
-    pairs = left.join(right, "query_id").where("a_nth < b_nth and a_negated <> b_negated")
-    pairs = pairs.withColumn("n_shared", F.size(F.array_intersect("a_words", "b_words"))).where("n_shared >= 2")
-    over = F.size(F.array_intersect("wanted", F.array_union("a_words", "b_words"))) / F.greatest(F.size("wanted"), F.lit(1))
-    dense = F.col("n_shared") / F.greatest(F.least(F.size("a_words"), F.size("b_words")), F.lit(1))
-    score = (1 + over + dense) * F.least("a_scope_weight", "b_scope_weight") * F.least("a_confidence", "b_confidence")
-    scored = pairs.select("query_id", F.col("a_belief_id").alias("belief_id"), F.col("b_belief_id").alias("other_belief_id"), "n_shared", F.round(score, 6).alias("score"))
+    first = top(visible.select("belief_id", "pos").orderBy("pos").limit(most).withColumn("__one", F.lit(1)), most, F.asc("pos"), by=("__one",), name="nth").select("belief_id", "nth")
+    lost = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+    chosen = hits.unionByName(lost.crossJoin(F.broadcast(first)))
+    # words are cut and joined for the rows chosen only
+    body = F.explode(F.array(F.struct(T.meaningful_terms(F.col("body")).alias("words"), T.has_negation(F.col("body")).alias("negated")))).alias("w")
+    needed = visible.join(chosen.select("belief_id").distinct(), "belief_id", "left_semi").select("belief_id", "scope_weight", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), body)
+    chosen = chosen.join(needed.select("belief_id", "scope_weight", "confidence", "w.words", "w.negated"), "belief_id").join(asked, "query_id")
+    rows = chosen.select("query_id", "belief_id", "nth", "scope_weight", "confidence", "words", "negated", "wanted")
+    types = {c: rows.schema[c].dataType.simpleString() for c in ("query_id", "belief_id")}
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        """All pairs of a query's rows, `most` at most, by products of their incidence matrices."""
+        g = group.sort_values("nth")
+        number: dict[str, int] = {}
+        cells = [(i, number.setdefault(w, len(number))) for i, words in enumerate(g["words"]) for w in words]
+        held = np.zeros((len(g), len(number)), np.float32)
+        if cells:
+            held[tuple(np.array(cells).T)] = 1
+        asked_for = np.zeros(len(number), np.float32)
+        asked_for[[number[w] for w in g["wanted"].iat[0] if w in number]] = 1
+        shared, in_query, negated = held @ held.T, held * asked_for, g["negated"].to_numpy(bool)
+        i, j = np.nonzero(np.triu((shared >= 2) & (negated[:, None] != negated[None, :]), 1))
+        either = in_query.sum(1)[i] + in_query.sum(1)[j] - (in_query @ in_query.T)[i, j]
+        size, ids = held.sum(1), g["belief_id"].to_numpy()
+        n_shared = shared[i, j].astype(np.int64)
+        over = either.astype(float) / max(1, len(g["wanted"].iat[0]))
+        dense = n_shared / np.maximum(np.minimum(size[i], size[j]), 1).astype(float)
+        weight, sure = g["scope_weight"].to_numpy(float), g["confidence"].to_numpy(float)
+        score = (1 + over + dense) * np.minimum(weight[i], weight[j]) * np.minimum(sure[i], sure[j])
+        return pd.DataFrame({"query_id": np.repeat(g["query_id"].iat[0], len(i)), "belief_id": ids[i], "other_belief_id": ids[j], "n_shared": n_shared, "score": score})
+
+    made = f"query_id {types['query_id']}, belief_id {types['belief_id']}, other_belief_id {types['belief_id']}, n_shared int, score double"
+    scored = rows.groupBy("query_id").applyInPandas(pairs, made).withColumn("score", F.round("score", 6))
     return top(scored, limit, F.desc("score"), F.asc("belief_id"), F.asc("other_belief_id"))
 
 

@@ -135,7 +135,16 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
 
 
-@query("contradiction_pairs")
+@query("contradiction_pairs", f"""WITH {V.BELIEFS_SQL}, r0 AS (SELECT belief_id, CASE WHEN belief_id%2=0 THEN 'not '||body ELSE body END AS body, confidence, CASE WHEN scope_type='global' THEN 1.0 ELSE 1.25 END AS w FROM beliefs WHERE scope_type='global' OR scope_id IN {IDS}),
+    r AS (SELECT belief_id, confidence, w, list_filter(list_distinct({WORDS.format('body')}), lambda x: NOT list_contains({MEANING_STOP}, x)) AS words, list_has_any({WORDS.format('body')}, ['no','not','never','without','cannot']) AS neg FROM r0),
+    q AS (SELECT item_id AS query_id, list_filter(list_distinct({WORDS.format('text')}), lambda x: NOT list_contains({MEANING_STOP}, x)) AS wanted FROM benchmark),
+    h AS (SELECT DISTINCT query_id, belief_id FROM (SELECT query_id, unnest(wanted) AS t FROM q) JOIN (SELECT belief_id, unnest(words) AS t FROM r) USING (t)),
+    c0 AS (SELECT query_id, belief_id FROM h UNION ALL SELECT query_id, belief_id FROM q CROSS JOIN r WHERE query_id NOT IN (SELECT query_id FROM h)),
+    c AS (SELECT query_id, belief_id FROM c0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY belief_id) <= 200),
+    p AS (SELECT query_id, a.belief_id, b.belief_id AS other_belief_id, len(list_intersect(a.words, b.words)) AS n_shared, len(list_intersect(wanted, list_distinct(list_concat(a.words, b.words)))) / greatest(len(wanted), 1) AS over,
+        greatest(least(len(a.words), len(b.words)), 1) AS least_words, least(a.w, b.w) * least(a.confidence, b.confidence) AS f FROM c JOIN r a USING (belief_id) JOIN c d USING (query_id) JOIN r b ON b.belief_id = d.belief_id JOIN q USING (query_id) WHERE a.belief_id < b.belief_id AND a.neg <> b.neg),
+    s AS (SELECT query_id, belief_id, other_belief_id, n_shared, round((1 + over + n_shared / least_words) * f, 6)::DOUBLE AS score FROM p WHERE n_shared >= 2)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, belief_id, other_belief_id) AS rank FROM s QUALIFY rank <= 12""")
 def contradiction_pairs(spark, sf_dir):
     b = V.beliefs(spark, sf_dir).where(S.scope_gate(CONTEXT))
     visible = b.withColumn("scope_weight", S.scope_weight(CONTEXT)).withColumn("pos", F.col("belief_id"))

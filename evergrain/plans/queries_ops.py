@@ -24,7 +24,7 @@ def _knowledge(spark, sf_dir):
     """documents as knowledge rows with all that promotion looks at."""
     k = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
-        k.alias("knowledge_id"), F.substring("text", 1, 200).alias("body"), V.pick(k % 4, "current", "current", "current", "stale").alias("status"), F.when(k % 9 == 0, "spike").alias("quarantine_reason"),
+        k.alias("knowledge_id"), F.col("text").alias("body"), V.pick(k % 4, "current", "current", "current", "stale").alias("status"), F.when(k % 9 == 0, "spike").alias("quarantine_reason"),
         F.when(k % 3 == 0, "good").otherwise("neutral").alias("quality_label"), ((k % 10) / 10.0).alias("quality_confidence"), ((k % 7) / 7.0).alias("confidence"), (k % 5 == 0).alias("prescriptive"),
         F.lit("doc").alias("type"), V.pick(k % 6, "low", "low", "low", "high", "low", "low").alias("risk"), F.lit("2029-12-01 00:00:00").alias("updated_at"), V.pick(k % 4, "private", "workspace", "project", "public").alias("privacy_scope"),
         F.when(k % 50 == 0, "human").alias("origin"),
@@ -32,7 +32,7 @@ def _knowledge(spark, sf_dir):
 
 
 @query("promotion", f"""WITH u AS (SELECT user_id AS k, count(*) AS served, count(*) FILTER (event_type='purchase') AS useful, bool_or(event_type='signup') AS passed FROM events GROUP BY 1),
-    d AS (SELECT *, substring(text, 1, 200) AS body FROM documents), r AS (SELECT doc_id, body, coalesce(passed, false) AS passed,
+    d AS (SELECT *, text AS body FROM documents), r AS (SELECT doc_id, body, coalesce(passed, false) AS passed,
         0.4*(doc_id%10)/10.0 + 0.25*pow(0.5, epoch(TIMESTAMP '{V.NOW}' - TIMESTAMP '2029-12-01')/86400/30) + 0.2*coalesce(useful,0)/greatest(1, coalesce(served,0)) + 0.15*(doc_id%4)/3.0 AS score,
         NOT {sql_any('body', T.INJECTIONS)} AND NOT {sql_any('body', T.LEAKS)} AS clean FROM d LEFT JOIN u ON k = doc_id),
     e AS (SELECT *, doc_id%4<>3 AND doc_id%9<>0 AND ((doc_id%3=0 AND (doc_id%10)/10.0 >= 0.6) OR ((doc_id%7)/7.0 >= 0.85 AND passed)) AND clean AND (passed OR NOT (doc_id%5=0 OR doc_id%6=3)) AS eligible FROM r),
