@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evergrain.functions import text as T
+
 from evergrain.functions.scope import conservative_scope
 
+from .patterns import distinct_hits
+
 #: File names that may not be tracked.
 FORBIDDEN_PATH = r"(?i)(^|/)(\.env[^/]*|[^/]*\.(sqlite3?|db|pem|key|p12|jsonl)|id_(?:rsa|ed25519)[^/]*)$"
 
@@ -115,10 +118,30 @@ def snippet(body: Column, terms: Column, words: int = 12) -> Column:
     return F.concat(F.when(begin > 0, "…").otherwise(""), F.array_join(cut, " "), F.when(begin + words < F.size(parts), "…").otherwise(""))
 
 
+def best_snippet(body: Column, terms: Column, words: int = 12) -> Column:
+    """The first of the windows of `words` words that hold most different terms; every term in it stands in brackets."""
+    parts = F.split(T.compact_space(body), " ")
+    bare = F.transform(parts, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}_-]", ""))
+
+    def cut(x: Column) -> Column:
+        at = F.filter(F.transform(x["bare"], lambda w, k: F.when(F.array_contains(terms, w), k)), lambda k: k.isNotNull())
+        scored = F.transform(at, lambda k: F.struct(F.size(F.array_intersect(F.slice(x["bare"], k + 1, words), terms)).alias("n"), (-k).alias("back")))
+        begin = F.coalesce(-F.array_max(scored)["back"], F.lit(0))
+        shown = F.transform(F.slice(F.arrays_zip(x["parts"].alias("w"), x["bare"].alias("b")), begin + 1, words), lambda p: F.when(F.array_contains(terms, p["b"]), F.concat(F.lit("["), p["w"], F.lit("]"))).otherwise(p["w"]))
+        return F.concat(F.when(begin > 0, "…").otherwise(""), F.array_join(shown, " "), F.when(begin + words < F.size(x["parts"]), "…").otherwise(""))
+
+    return F.element_at(F.transform(F.array(F.struct(parts.alias("parts"), bare.alias("bare"))), cut), 1)
+
+
+def denied_counts(texts: DataFrame, id_col: str, text_col: str, denied: DataFrame) -> DataFrame:
+    """id, n_patterns: how many entries of a denylist (pattern) occur in each text, in any case; all entries in one pass."""
+    return distinct_hits(texts, id_col, text_col, denied)
+
+
 def public_findings(lines: DataFrame, denied: list[str]) -> DataFrame:
     """path, line_no, finding for tracked lines: forbidden names, leaks, high-entropy runs that are no digests, links or names, and denied words.
 
-    denied is the operator's own short list."""
+    denied is the operator's own short list; denied_counts() is for long ones."""
     runs = F.filter(T.entropy_spans(F.col("line")), lambda s: ~s.rlike("^([0-9a-f]{40}|[0-9a-f]{64})$") & ~s.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$") & ~F.col("line").contains(F.concat(F.lit("/"), s)))
     hits = [F.when(F.lower("line").contains(w.lower()), F.lit("denied_word")) for w in denied]
     found = F.array_compact(F.array(F.when(F.col("path").rlike(FORBIDDEN_PATH), F.lit("forbidden_path")), F.when(F.size(T.secret_leaks(F.col("line"))) > 0, F.lit("secret_leak")), F.when(F.size(runs) > 0, F.lit("entropy_blob")), *hits))

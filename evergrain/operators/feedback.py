@@ -164,10 +164,10 @@ def served_ids(text: Column) -> Column:
     return F.filter(json_list(text), lambda s: F.trim(s) != "")
 
 
-def attribute(signals: DataFrame, hits: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """Signals without an object get the best search hit for their text that shares a word of three letters or more.
+def attribute(signals: DataFrame, hits: DataFrame, knowledge: DataFrame, prefix: str = "know") -> DataFrame:
+    """Signals without an object get the best search hit for their text, where its id has the prefix and it shares a word of three letters or more.
 
     hits: signal_id, knowledge_id, rank; knowledge: knowledge_id, text; signals: signal_id, text."""
     words = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: F.length(w) >= 3)
-    best = hits.where("rank = 1").join(signals.select("signal_id", F.col("text").alias("said")), "signal_id").join(knowledge.select("knowledge_id", "text"), "knowledge_id")
+    best = hits.where("rank = 1").where(F.col("knowledge_id").startswith(prefix)).join(signals.select("signal_id", F.col("text").alias("said")), "signal_id").join(knowledge.select("knowledge_id", "text"), "knowledge_id")
     return best.where(F.arrays_overlap(words(F.col("said")), words(F.col("text")))).select("signal_id", "knowledge_id")

@@ -135,16 +135,6 @@ def table_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("row_hash"))
 
 
-def ordered_digest(df: DataFrame, *keys: str) -> str:
-    """SHA-256 over rows as JSON in key order. Streams through the driver, one partition at a time."""
-    import hashlib
-
-    h = hashlib.sha256()
-    for row in df.orderBy(*keys).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
-        h.update(row["j"].encode() + b"\n")
-    return h.hexdigest()
-
-
 def chain_lag(log: DataFrame, bucket: Column, order: str, value: str) -> DataFrame:
     """Each row's value beside its predecessor's within a bucket."""
     w = Window.partitionBy(bucket).orderBy(order)

@@ -206,4 +206,4 @@ def attributed_signals(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 50)
     key = F.concat(F.lit("k"), F.col("k").cast("string"))
     known = o.select(key.alias("knowledge_id"), F.when(F.col("k") % 2 == 0, "an urgent note of 1").otherwise("high 2-4 notes").alias("text")).distinct()
-    return feedback.attribute(o.select(F.col("o_orderkey").alias("signal_id"), F.col("o_orderpriority").alias("text")), o.select(F.col("o_orderkey").alias("signal_id"), key.alias("knowledge_id"), F.lit(1).alias("rank")), known)
+    return feedback.attribute(o.select(F.col("o_orderkey").alias("signal_id"), F.col("o_orderpriority").alias("text")), o.select(F.col("o_orderkey").alias("signal_id"), key.alias("knowledge_id"), F.lit(1).alias("rank")), known, prefix="k")

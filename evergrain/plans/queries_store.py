@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evergrain.functions import scope as S
-from evergrain.operators import retrieval
+from evergrain.functions import text as T
+from evergrain.operators import admin, digests, patterns, retrieval
 from evergrain.operators.history import BeliefStore
 from evergrain.operators.index import SearchIndex
 from evergrain.operators.vectors import VectorStore
@@ -20,7 +21,7 @@ from . import views as V
 from .catalog import BM25_SQL
 from .queries_log import APPROVED, RICH
 from .queries_retrieval import HYBRID, _beliefs
-from .registry import CONTEXT, now, query
+from .registry import CONTEXT, WORDS, now, query
 
 GATE_COLUMNS = ("scope_type", "scope_id", "visibility", "egress_policy")
 
@@ -130,3 +131,65 @@ def hybrid_with_vectors(spark, sf_dir):
     eligible = beliefs.where(S.scope_gate(CONTEXT) & S.delivery_gate("local_model")).select("belief_id")
     dense = vector_cells(spark, sf_dir).neighbours(asked.select("query_id").join(vectors, "query_id"), 120, eligible, "belief_id", digits=6)
     return retrieval.hybrid(beliefs, asked, dense, CONTEXT, now(), digits=8).select("query_id", "belief_id", "score", "rank")
+
+
+# ---- many patterns, snippets, digests -------------------------------------------------------------------------------
+
+_PAIRS = f"""w AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark), p AS (SELECT DISTINCT pattern FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pattern FROM w))"""
+
+
+def _word_pairs(spark, sf_dir):
+    """All pairs of neighbouring words of the benchmark's texts as patterns."""
+    words = table(spark, sf_dir, "benchmark").select(T.terms(F.col("text")).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))
+    return words.where(F.size("w") > 1).select(F.explode(pairs).alias("pattern")).distinct()
+
+
+@query("denied_counts", f"WITH {_PAIRS} SELECT doc_id, count(*) AS n_patterns FROM documents JOIN p ON contains(lower(text), pattern) GROUP BY doc_id")
+def denied_counts(spark, sf_dir):
+    """How many of some thousand patterns, taken from a table, occur in each document."""
+    return admin.denied_counts(table(spark, sf_dir, "documents"), "doc_id", "text", _word_pairs(spark, sf_dir))
+
+
+@query("pattern_places", f"WITH {_PAIRS}, f AS (SELECT doc_id, pattern, lower(text) AS t FROM documents JOIN p ON contains(lower(text), pattern)) SELECT doc_id, pattern, instr(t, pattern) - 1 AS first_at FROM f")
+def pattern_places(spark, sf_dir):
+    """Every occurrence of the patterns, overlapping ones too; the first of each pattern in a document."""
+    found = patterns.matches(table(spark, sf_dir, "documents"), "doc_id", "text", _word_pairs(spark, sf_dir), longest=False)
+    return found.groupBy("doc_id", "pattern").agg(F.min("start").alias("first_at"))
+
+
+@query("ranked_snippets", BM25_SQL + f""", hit AS (SELECT query_id, belief_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, belief_id) AS rank FROM sc QUALIFY rank <= 3),
+    qw AS (SELECT query_id, list(term) AS terms FROM q GROUP BY 1), sb AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[\\s\\x0B\\x{{85}}\\x{{A0}}]+', ' ', 'g')), ' ') AS parts FROM documents),
+    sc2 AS (SELECT *, list_transform(parts, lambda w: regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}_-]', '', 'g')) AS bare FROM sb),
+    sh AS (SELECT query_id, belief_id, rank, terms, parts, bare, list_filter(range(1, len(bare) + 1), lambda i: list_contains(terms, bare[i])) AS places FROM hit JOIN qw USING (query_id) JOIN sc2 ON doc_id = belief_id),
+    sn AS (SELECT *, list_transform(places, lambda i: len(list_distinct(list_filter(list_slice(bare, i, i + 11), lambda x: list_contains(terms, x))))) AS n_terms FROM sh),
+    sg AS (SELECT *, coalesce(places[list_position(n_terms, list_max(n_terms))], 1) AS g FROM sn)
+    SELECT query_id, rank, belief_id, CASE WHEN g > 1 THEN '…' ELSE '' END || array_to_string(list_transform(range(g, least(g + 12, len(parts) + 1)), lambda i: CASE WHEN list_contains(terms, bare[i]) THEN '[' || parts[i] || ']' ELSE parts[i] END), ' ')
+        || CASE WHEN g + 11 < len(parts) THEN '…' ELSE '' END AS snippet FROM sg""")
+def ranked_snippets(spark, sf_dir):
+    """The three best beliefs of each question from the kept index, with the window that holds most of its terms."""
+    asked = V.benchmark_queries(spark, sf_dir)
+    found = belief_index(spark, sf_dir).search(asked, 3, S.scope_gate(CONTEXT), digits=6)
+    rows = found.join(asked.select("query_id", T.fts_terms(F.col("query")).alias("terms")), "query_id").join(V.beliefs(spark, sf_dir).select("belief_id", "body"), "belief_id")
+    return rows.select("query_id", "rank", "belief_id", admin.best_snippet(F.col("body"), F.col("terms")).alias("snippet"))
+
+
+@query("table_differences", """SELECT o_orderkey, CASE o_orderkey % 1000 WHEN 7 THEN 'changed' WHEN 33 THEN 'missing' ELSE 'added' END AS state FROM orders WHERE o_orderkey % 1000 IN (7, 33) UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 1000 = 66""")
+def table_differences(spark, sf_dir):
+    """Orders against a copy in which few rows have changed, gone or come, found through the ranges of their keys."""
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    copy = orders.where(k % 1000 != 33).withColumn("o_totalprice", F.when(k % 1000 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    copy = copy.unionByName(orders.where(k % 1000 == 66).withColumn("o_orderkey", -k))
+    return digests.differences(orders, copy, "o_orderkey")
+
+
+@query("table_digest_of_a_copy", "SELECT count(*) AS n_rows, true AS equal, false AS changed_equal FROM orders")
+def table_digest_of_a_copy(spark, sf_dir):
+    """The digest in key order of orders and of the same rows dealt anew, and of a copy with one row changed."""
+    orders = table(spark, sf_dir, "orders")
+    cuts = digests.bounds(orders, "o_orderkey")
+    last = lambda df: digests.tree(df, "o_orderkey", cuts).orderBy(F.desc("level")).limit(1).select("n_rows", "digest")
+    changed = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") == F.lit(1), -1.0).otherwise(F.col("o_totalprice")))
+    a, b, c = last(orders), last(orders.repartition(7, "o_custkey")), last(changed)
+    both = a.crossJoin(F.broadcast(b.select(F.col("digest").alias("x")))).crossJoin(F.broadcast(c.select(F.col("digest").alias("y"))))  # one row each
+    return both.select("n_rows", (F.col("digest") == F.col("x")).alias("equal"), (F.col("digest") == F.col("y")).alias("changed_equal"))
