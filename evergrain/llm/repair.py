@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,8 @@ REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 #: Letter of a row that has to go; other rows are their role's initial (o: another one), a capital where truncated.
 GONE = "x"
 FAR = 1 << 40
+#: Rows of a piece up to which workers keep what they have worked out: short conversations look alike.
+SHORT = 16
 
 
 def damage(turns: DataFrame) -> DataFrame:
@@ -63,14 +66,14 @@ ARCS = {c: _arcs(c) for c in GONE + "suaoSUAO"}
 INSERTS = [(s, "I", NEXT[s], INSERT) for s in STATES]
 
 
-def _inserted(costs: list[int]) -> list[int]:
+def _inserted(costs: list[int] | tuple[int, ...]) -> list[int]:
     """Costs of the states of a column after insertions in it."""
     for _ in STATES:
         costs = [min([costs[s], *[costs[a] + w for a, _, b, w in INSERTS if b == s]]) for s in STATES]
     return costs
 
 
-def forward(codes: str, start: list[int], last: bool) -> list[list[int]]:
+def forward(codes: str, start: list[int] | tuple[int, ...], last: bool) -> list[list[int]]:
     """Least costs from the start to every state of every column; the last column takes insertions only at a conversation's end."""
     columns = [_inserted(start) if codes or last else start]
     for i, code in enumerate(codes):
@@ -81,7 +84,7 @@ def forward(codes: str, start: list[int], last: bool) -> list[list[int]]:
     return columns
 
 
-def backward(codes: str, end: list[int], last: bool) -> list[list[int]]:
+def backward(codes: str, end: list[int] | tuple[int, ...], last: bool) -> list[list[int]]:
     """Least costs to the end from every state of every column."""
 
     def before(costs: list[int]) -> list[int]:
@@ -103,7 +106,7 @@ def transfer(codes: str, last: bool) -> list[int]:
     return [c for s in STATES for c in forward(codes, [0 if s == t else FAR for t in STATES], last)[-1]]
 
 
-def walk(codes: str, start: int, before: list[int], after: list[int], total: int, last: bool) -> tuple[str, int] | None:
+def walk(codes: str, start: int, before: tuple[int, ...], after: tuple[int, ...], total: int, last: bool) -> tuple[str, int] | None:
     """The least letters along tight arcs from a state before the rows to the state after them; None where no cheapest path enters there."""
     fore, back = forward(codes, before, last), backward(codes, after, last)
     if before[start] + back[0][start] != total:
@@ -128,6 +131,9 @@ def walk(codes: str, start: int, before: list[int], after: list[int], total: int
     return "".join(letters), state
 
 
+_kept_transfer, _kept_walk = lru_cache(1 << 15)(transfer), lru_cache(1 << 15)(walk)
+
+
 def edits(codes: str, start: int, letters: str) -> list[tuple[list[str], str, str | None, list[str]]]:
     """For each row: roles inserted before it, its letter, its new role if it gets one, and (at the last row) roles inserted after."""
     out, state, waiting, rows = [], start, [], iter(codes)
@@ -156,7 +162,7 @@ def _legal(initials: str) -> int:
 def _costs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         yield pd.DataFrame({
-            "ckey": f["ckey"], "piece": f["piece"], "costs": [transfer(c, False) for c in f["codes"]],
+            "ckey": f["ckey"], "piece": f["piece"], "costs": [(_kept_transfer if len(c) <= SHORT else transfer)(c, False) for c in f["codes"]],
             "broken": [_legal(s) for s in f["initials"]], "first": f["initials"].str[0], "last": f["initials"].str[-1],
         })
 
@@ -186,9 +192,9 @@ def _walks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for r in f.itertuples():
-            before, after = [int(c) for c in r.before], [int(c) for c in r.after]
+            before, after = tuple(int(c) for c in r.before), tuple(int(c) for c in r.after)
             for start in STATES:
-                found = walk(r.codes, start, before, after, int(r.total), bool(r.ends)) if before[start] < FAR else None
+                found = (_kept_walk if len(r.codes) <= SHORT else walk)(r.codes, start, before, after, int(r.total), bool(r.ends)) if before[start] < FAR else None
                 if found:
                     out.append((r.ckey, r.piece, start, found[1], found[0]))
         yield pd.DataFrame(out, columns=["ckey", "piece", "start", "end", "letters"])
