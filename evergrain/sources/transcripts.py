@@ -7,6 +7,7 @@ broken or no objects are skipped. Turn numbers follow the order of lines in a fi
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -103,8 +104,8 @@ def _turn(record: dict, form: str) -> list[dict]:
     out = []
     if form == "c":
         item = record.get("payload") or {}
-        kind = item.get("type")
-        if record.get("type") != "response_item" or kind == "reasoning":
+        kind = item.get("type") if isinstance(item, dict) else None
+        if not isinstance(item, dict) or record.get("type") != "response_item" or kind == "reasoning":
             return out
         if kind in ("function_call_output", "custom_tool_call_output"):
             return [{"role": "tool", "text": str(item.get("output") or "")[:TOOL_TEXT], "error": None, "calls": 0}]
@@ -115,6 +116,8 @@ def _turn(record: dict, form: str) -> list[dict]:
         forced = role in ("developer", "system")
         return [{"role": "user" if forced else role, "text": text, "error": None, "calls": calls, "injected": forced}] if role in ("user", "assistant", "developer", "system") else out
     message = record.get("message") or {}
+    if not isinstance(message, dict):
+        return out
     if form == "a" and record.get("type") not in ("message", None):
         return out
     role = message.get("role") or (record.get("type") if form == "b" else None)
@@ -128,33 +131,48 @@ def _turn(record: dict, form: str) -> list[dict]:
     return out
 
 
-def read_turns(spark: SparkSession, path: str, author_ids: tuple[str, ...] = ()) -> DataFrame:
-    """Turns of all transcripts below path. A session is a file; its id is the header's, else the file's name."""
-    lines = json_lines(spark, path)
+_RAW = "array<struct<role:string,text:string,name:string,error:boolean,calls:bigint,forced:boolean>>"
+_PARSED = f"source_uri string, block long, nth long, kind string, session string, ts string, a {_RAW}, b {_RAW}, c {_RAW}"
 
-    def parse(group: pd.DataFrame) -> pd.DataFrame:
-        rows, session, form = [], None, None
-        for _, line in group.sort_values("line_no", key=lambda c: c.map(lambda r: (r["block"], r["nth"]))).iterrows():
+
+def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each line by itself: its record's type, the session it may name, and the turns that it is in each of the forms. Lines that are no objects are left out."""
+    for f in frames:
+        out = []
+        for uri, block, nth, line in zip(f["source_uri"], f["block"], f["nth"], f["line"]):
             try:
-                record = json.loads(line["line"])
+                record = json.loads(line)
             except ValueError:
                 continue
             if not isinstance(record, dict):
                 continue
-            if form is None:
-                kind = record.get("type")
-                form = "c" if kind in ("session_meta", "response_item") else "b" if kind in ("user", "assistant", "summary") else "a"
-            session = session or (record.get("id") if record.get("type") == "session" else None) or record.get("sessionId") or ((record.get("payload") or {}).get("id") if record.get("type") == "session_meta" else None)
-            for t in _turn(record, form):
-                rows.append({"turn_idx": len(rows), "role": t["role"], "text": t["text"], "ts": record.get("timestamp"), "tool_name": t.get("name"), "error": t["error"], "n_tool_calls": t["calls"], "forced": bool(t.get("injected"))})
-        uri = group["source_uri"].iloc[0]
-        frame = pd.DataFrame(rows, columns=["turn_idx", "role", "text", "ts", "tool_name", "error", "n_tool_calls", "forced"])
-        frame.insert(0, "session_id", session or uri.rsplit("/", 1)[-1].removesuffix(".jsonl"))
-        frame.insert(1, "source_uri", uri)
-        frame.insert(2, "format", form)
-        return frame.astype({"error": "boolean", "forced": "boolean"})
-
-    raw = lines.groupBy("source_uri").applyInPandas(parse, "session_id string, source_uri string, format string, turn_idx long, role string, text string, ts string, tool_name string, error boolean, n_tool_calls long, forced boolean")
+            kind, payload = record.get("type"), record.get("payload")
+            session = (record.get("id") if kind == "session" else None) or record.get("sessionId") or (payload.get("id") if kind == "session_meta" and isinstance(payload, dict) else None)
+            turns = {form: [(t["role"], t["text"], t.get("name"), None if t["error"] is None else bool(t["error"]), t["calls"], bool(t.get("injected"))) for t in _turn(record, form)] for form in "abc"}
+            stamp = record.get("timestamp")
+            out.append((uri, block, nth, kind if isinstance(kind, str) else None, None if session is None else str(session), None if stamp is None else str(stamp), turns["a"], turns["b"], turns["c"]))
+        yield pd.DataFrame(out, columns=["source_uri", "block", "nth", "kind", "session", "ts", "a", "b", "c"])
+
+
+def read_turns(spark: SparkSession, path: str, author_ids: tuple[str, ...] = ()) -> DataFrame:
+    """Turns of all transcripts below path. A session is a file; its id is the first that a line names, else the file's name.
+
+    Lines are parsed each by itself, wherever they are; the form of a file (its first record's) and its id are aggregates, and turns are numbered in order.
+    """
+    lines = json_lines(spark, path).select("source_uri", F.col("line_no.block").alias("block"), F.col("line_no.nth").alias("nth"), "line")
+    parsed = lines.mapInPandas(_parsed, _PARSED)
+    at = F.struct("block", "nth")
+    heads = parsed.groupBy("source_uri").agg(F.min_by(F.struct("kind"), at).alias("first"), F.min_by("session", F.when(F.col("session").isNotNull(), at)).alias("session"))
+    kind = F.col("first.kind")
+    form = F.when(kind.isin("session_meta", "response_item"), "c").when(kind.isin("user", "assistant", "summary"), "b").otherwise("a")
+    named = F.coalesce(F.when(F.col("session") != "", F.col("session")), F.regexp_replace(F.element_at(F.split("source_uri", "/"), -1), r"\.jsonl$", ""))
+    heads = heads.select("source_uri", form.alias("format"), named.alias("session_id"))
+    rows = parsed.join(heads, "source_uri")
+    rows = rows.select("session_id", "source_uri", "format", "block", "nth", "ts", F.posexplode(F.when(F.col("format") == "c", F.col("c")).when(F.col("format") == "b", F.col("b")).otherwise(F.col("a"))).alias("k", "t"))
+    turn_idx = F.row_number().over(Window.partitionBy("source_uri").orderBy("block", "nth", "k")).cast("long") - 1
+    raw = rows.select(
+        "session_id", "source_uri", "format", turn_idx.alias("turn_idx"), "t.role", "t.text", "ts", F.col("t.name").alias("tool_name"), "t.error", F.col("t.calls").alias("n_tool_calls"), "t.forced"
+    )
     user = F.col("role") == "user"
     said = classify_user(F.col("text"))
     sender = F.regexp_extract("text", r"\"(?:sender_id|id)\"\s*:\s*\"?([^\",}\s]+)", 1)
