@@ -247,6 +247,51 @@ def event_pairs(log: DataFrame) -> DataFrame:
     return decided.where("chosen is not null").join(proposed, "proposal_id").where("chosen <> rejected").withColumn("confidence", F.lit(0.85))
 
 
+def event_gate(pairs: DataFrame, low: int = 40, high: int = 8000) -> DataFrame:
+    """Pairs that an event states (rejected, chosen): cleaned, of allowed length, without leaks and injections, about something, and different
+    in more than order or punctuation. Their direction is known, so no wording is looked at."""
+    rows = pairs.withColumn("rejected", T.sanitize(F.col("rejected"))).withColumn("chosen", T.sanitize(F.col("chosen")))
+    c, r = topic_tokens(F.col("chosen")), topic_tokens(F.col("rejected"))
+    shared, union = F.size(F.array_intersect(c, r)), F.size(F.array_union(c, r))
+    ok = F.length("rejected").between(low, high) & F.length("chosen").between(low, high) & (T.claim_key(F.col("chosen")) != T.claim_key(F.col("rejected")))
+    for side in ("chosen", "rejected"):
+        ok = ok & (F.size(T.secret_leaks(F.col(side))) == 0) & (F.size(T.injections(F.col(side))) == 0)
+    return rows.where(ok & (F.size(c) > 0) & (F.size(r) > 0) & (union - shared >= 2) & (shared / F.greatest(union, F.lit(1)) < 0.9))
+
+
+def _about(subject: Column, predicate: Column) -> Column:
+    return F.trim(F.concat(F.coalesce(subject, F.lit("")), F.lit(" "), F.coalesce(predicate, F.lit(""))))
+
+
+def correction_pairs(log: DataFrame, knowledge: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs from corrections that state another text for a row that has evidence: what it said is rejected, the correction chosen.
+
+    knowledge: knowledge_id, value_text, title, subject, predicate; links: knowledge_id. Hard corrections count 0.95, others 0.85.
+    """
+    from .log import body
+
+    fixes = log.where("kind = 'correction_recorded'").where(body("op").isin("edit", "reframe") & (body("target_layer") == "knowledge"))
+    fixes = fixes.select(F.col("id").alias("event_id"), body("target_id").alias("knowledge_id"), body("body").alias("chosen"), body("hard").isin("true", "1").alias("hard"), F.col("ts").alias("occurred_at")).where("chosen <> ''")
+    rows = fixes.join(knowledge, "knowledge_id").join(links.select("knowledge_id").distinct(), "knowledge_id", "left_semi")
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    about = F.coalesce(F.when(_about(F.col("subject"), F.col("predicate")) != "", _about(F.col("subject"), F.col("predicate"))), given("title"), F.lit("this belief"))
+    rows = rows.select("event_id", "knowledge_id", F.concat(F.lit("State the correct value for: "), about).alias("prompt"), F.coalesce(given("value_text"), F.col("title"), F.lit("")).alias("rejected"), "chosen", F.coalesce("hard", F.lit(False)).alias("hard"), "occurred_at")
+    return event_gate(rows).withColumn("confidence", F.when(F.col("hard"), 0.95).otherwise(0.85))
+
+
+def superseded_pairs(knowledge: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs from values that others superseded, where the winner has evidence; they count 0.7.
+
+    knowledge: knowledge_id, type, value_text, subject, predicate, superseded_by.
+    """
+    values = knowledge.where("type = 'value'")
+    losers = values.where("superseded_by is not null").select(F.col("knowledge_id").alias("loser_id"), F.col("superseded_by").alias("knowledge_id"), F.coalesce("value_text", F.lit("")).alias("rejected"), "subject", "predicate")
+    rows = losers.join(values.select("knowledge_id", F.coalesce("value_text", F.lit("")).alias("chosen")), "knowledge_id").join(links.select("knowledge_id").distinct(), "knowledge_id", "left_semi")
+    about = F.coalesce(F.when(_about(F.col("subject"), F.col("predicate")) != "", _about(F.col("subject"), F.col("predicate"))), F.lit("this belief"))
+    rows = rows.select("loser_id", "knowledge_id", F.concat(F.lit("State the current value for: "), about).alias("prompt"), "rejected", "chosen")
+    return event_gate(rows).withColumn("confidence", F.lit(0.7))
+
+
 def persona_pairs(turns: DataFrame, most: int = 4000) -> DataFrame:
     """Turns by verified authors in prose, with the answer before them."""
     said = F.when(F.col("role") == "assistant", F.substring("text", 1, most))

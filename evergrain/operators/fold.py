@@ -71,7 +71,7 @@ def fold_events(belief_id: str, events: Iterable[dict], state: dict | None = Non
             state = {
                 "belief_id": belief_id, "body": str(payload.get("edited_body") or proposal.get("body") or ""), "status": "current", "serve": True,
                 "pinned": False, "confidence": proposal.get("confidence"), "evidence_ids": [str(x) for x in proposal.get("evidence_ids") or []],
-                "belief_type": proposal.get("belief_type"), "approved_event_id": event["id"], "last_event_id": event["id"], "last_compiled_at": event["ts"],
+                "belief_type": proposal.get("belief_type"), "attributes": json.dumps(proposal["attributes"], separators=(",", ":")) if proposal.get("attributes") is not None else None, "approved_event_id": event["id"], "last_event_id": event["id"], "last_compiled_at": event["ts"],
             } | {k: scope.get(k) for k in ("scope_type", "scope_id", "visibility", "egress_policy")}
             for before, held in past if replay else ():
                 if before["kind"] == "tombstone_recorded":
@@ -94,7 +94,7 @@ def fold_events(belief_id: str, events: Iterable[dict], state: dict | None = Non
 
 SCOPE = "scope_type string, scope_id string, visibility string, egress_policy string"
 PAYLOAD = f"decision string, edited_body string, target_layer string, op string, body string, hard string, mode string, approved_by string, scope struct<{SCOPE.replace(' string', ': string')}>"
-PROPOSAL = f"body string, confidence double, evidence_ids array<string>, belief_type string, scope struct<{SCOPE.replace(' string', ': string')}>"
+PROPOSAL = f"body string, confidence double, evidence_ids array<string>, belief_type string, attributes string, scope struct<{SCOPE.replace(' string', ': string')}>"
 
 
 def fold(log: DataFrame, at_ts: str | None = None, aliases: DataFrame | None = None, replay: bool = True) -> DataFrame:
@@ -155,7 +155,7 @@ def fold_routed(events: DataFrame, replay: bool = True) -> DataFrame:
         F.col("canonical").alias("belief_id"), F.coalesce("text", given("a.edited_body"), given("q.body"), F.lit("")).alias("body"),
         F.coalesce("ended", F.lit("current")).alias("status"), F.col("ended").isNull().alias("serve"), F.coalesce("pinned", F.lit(False)).alias("pinned"),
         F.when(F.col("demoted"), F.least(unset, F.lit(0.4))).otherwise(F.col("q.confidence")).alias("confidence"), *[scope(c.split(" ")[0]) for c in SCOPE.split(", ")],
-        F.when(F.col("shredded") | F.col("q.evidence_ids").isNull(), F.array().cast("array<string>")).otherwise(F.col("q.evidence_ids")).alias("evidence_ids"), F.col("q.belief_type").alias("belief_type"),
+        F.when(F.col("shredded") | F.col("q.evidence_ids").isNull(), F.array().cast("array<string>")).otherwise(F.col("q.evidence_ids")).alias("evidence_ids"), F.col("q.belief_type").alias("belief_type"), F.col("q.attributes").alias("attributes"),
         F.col("a.id").alias("approved_event_id"), F.coalesce("last_id", "a.id").alias("last_event_id"), F.col("a.ts").alias("last_compiled_at"),
     )
 
@@ -180,9 +180,11 @@ def support_edges(beliefs: DataFrame) -> DataFrame:
 
 
 def search_rows(beliefs: DataFrame) -> DataFrame:
-    """The search documents: only what is served and current."""
+    """The search documents: only what is served and current. The title is the attributes' title or subject, where there are attributes with one, else the id."""
+    said = lambda name: F.when(F.get_json_object("attributes", f"$.{name}") != "", F.get_json_object("attributes", f"$.{name}"))
+    title = F.coalesce(said("title"), said("subject"), "belief_id") if "attributes" in beliefs.columns else F.col("belief_id")
     return beliefs.where("serve and status = 'current'").select(
-        F.col("belief_id").alias("doc_id"), F.concat(F.lit("belief:"), F.coalesce("belief_type", F.lit("compiled"))).alias("kind"), F.col("belief_id").alias("title"), "body"
+        F.col("belief_id").alias("doc_id"), F.concat(F.lit("belief:"), F.coalesce("belief_type", F.lit("compiled"))).alias("kind"), title.alias("title"), "body"
     )
 
 

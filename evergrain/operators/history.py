@@ -23,7 +23,7 @@ EVENTS = "canonical string, event_seq long, id string, ts string, kind string, p
 PROPOSALS = "id string, event_seq long, ts string, kind string, body_json string, bucket int"
 BELIEFS = (
     "belief_id string, body string, status string, serve boolean, pinned boolean, confidence double, scope_type string, scope_id string, visibility string, "
-    "egress_policy string, evidence_ids array<string>, belief_type string, approved_event_id string, last_event_id string, last_compiled_at string, bucket int"
+    "egress_policy string, evidence_ids array<string>, belief_type string, attributes string, approved_event_id string, last_event_id string, last_compiled_at string, bucket int"
 )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evergrain.functions import text as T
-from evergrain.functions.scope import privacy_rank
+from evergrain.functions.scope import ScopeContext, egress, privacy_rank
 
 from .scans import ScanStore
 
@@ -167,6 +167,19 @@ def heal_conflicts(values: DataFrame, threshold: float = 0.0) -> DataFrame:
     return joined.join(winners, key).where("knowledge_id <> winner").select("knowledge_id", F.col("winner").alias("superseded_by"), *key)
 
 
+#: What a healed conflict says of its loser and its winner.
+HEALED = (("loser", "knowledge_id", "bad", 0.4), ("winner", "superseded_by", "good", 0.3))
+
+
+def heal_signals(healed: DataFrame, at: Column) -> DataFrame:
+    """Two signals for each superseded row (heal_conflicts): one against it and one for what it gave way to."""
+    from .feedback import signal, union_signals
+
+    pair = F.concat(F.col("superseded_by").cast("string"), F.lit(":"), F.col("knowledge_id").cast("string"))
+    parts = [signal(healed, F.lit("heal_superseded"), F.lit(polarity), F.lit(weight), "maintenance", F.concat(F.lit(f"{role}:"), pair), F.col(c), at) for role, c, polarity, weight in HEALED]
+    return union_signals(*parts)
+
+
 def family_summary(results: DataFrame) -> DataFrame:
     """Per experiment family: attempts, decisions, failure classes, explorations, guardrails, mean delta, status.
 
@@ -262,6 +275,42 @@ def judge_targets(knowledge: DataFrame, uses: DataFrame, limit: int = 100) -> Da
     return rows.where(worth & ~((F.col("doc_kind") == "catalog") & ~F.col("touched"))).orderBy(F.asc_nulls_first("quality_updated_at"), "knowledge_id").limit(limit)
 
 
+def judge_rows(knowledge: DataFrame, signals: DataFrame, now: Column, cap: int = 50) -> DataFrame:
+    """Rows that a judge should see: neutral ones whose votes still weigh 0.3 or more, and unlabelled ones without a vote; best first.
+
+    knowledge: knowledge_id, status, quarantine_reason, quality_label, promote_score, confidence; signals: knowledge_id, polarity, weight, occurred_at.
+    """
+    from .feedback import fold_labels
+
+    mass = fold_labels(signals, now).select("knowledge_id", "mass")
+    rows = knowledge.where(F.col("quarantine_reason").isNull() & F.col("status").isin("candidate", "current")).join(mass, "knowledge_id", "left")
+    torn = (F.col("quality_label") == "neutral") & (F.coalesce("mass", F.lit(0.0)) >= 0.3)
+    worth = F.coalesce(torn, F.lit(False)) | (F.col("quality_label").isNull() & F.col("mass").isNull())
+    return rows.where(worth).orderBy(F.desc(F.coalesce("promote_score", F.lit(-1.0))), F.desc(F.coalesce("confidence", F.lit(0.0))), F.asc("knowledge_id")).limit(cap)
+
+
+#: Fixed value: what a judge's verdict weighs, which is too little to decide alone.
+JUDGE_WEIGHT = 0.4
+
+
+def judge_signals(verdicts: DataFrame, at: Column) -> DataFrame:
+    """Verdicts (knowledge_id, label: good, bad or neutral, request_hash) as signals, which fold_labels() takes with all others; other labels say nothing."""
+    from .feedback import signal
+
+    rows = verdicts.where(F.col("label").isin("good", "bad", "neutral") & F.col("knowledge_id").isNotNull())
+    return signal(rows, F.lit("llm_judge"), F.col("label"), F.lit(JUDGE_WEIGHT), "judge", F.col("request_hash"), F.col("knowledge_id"), at)
+
+
+def hosted_batch(rows: DataFrame, context: ScopeContext, text: Column, target: str = "hosted_teacher") -> DataFrame:
+    """knowledge_id, included, reason, text: what of a batch may go to a host, redacted, and why the rest may not.
+
+    rows: knowledge_id, privacy_scope and the columns of a scope. Text of rows that stay is null.
+    """
+    decided = F.when(F.col("privacy_scope") == "private", F.struct(F.lit(False).alias("allowed"), F.lit("private_scope").alias("reason"))).otherwise(egress(context, target))
+    rows = rows.select("knowledge_id", decided.alias("e"), text.alias("__text"))
+    return rows.select("knowledge_id", F.col("e.allowed").alias("included"), F.col("e.reason").alias("reason"), F.when(F.col("e.allowed"), T.redact_secrets(F.col("__text"))).alias("text"))
+
+
 def embed_candidates(knowledge: DataFrame, limit: int) -> DataFrame:
     """Rows whose vector is missing or older than the row, by tier: injected, served values, the rest."""
     stale = F.col("embedded_at").isNull() | (F.col("embedded_at") < F.col("updated_at"))
