@@ -544,4 +544,4 @@ def rel_window_frames(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.rank().over(w).cast("long").alias("r"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("moving"))
 
 
-from . import queries_apply, queries_factory, queries_log, queries_ops, queries_retrieval, queries_sources, queries_store, queries_text  # noqa: E402, F401  they register themselves
+from . import queries_apply, queries_cases, queries_factory, queries_log, queries_ops, queries_retrieval, queries_sources, queries_store, queries_text  # noqa: E402, F401  they register themselves
