@@ -3,7 +3,7 @@
 For BPE the last token of every prefix of a word is enough to encode it: the last token t of a prefix is the one
 token that ends there, follows a prefix whose own last token may stand before t, and so on back. The walk
 visits the distinct words of a batch as a trie, depth first, with one stack of last tokens; what words share
-as prefixes is worked out once. Encoded words are kept for later batches of the same partition.
+as prefixes is worked out once. Encoded words are kept for later batches of the same worker.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from threading import Timer
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,8 +25,10 @@ from .common import text_of
 #: Fixed value: white space as Unicode defines it.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Encoded words that a worker keeps during a partition; beyond, it starts anew. Bounds memory, changes no result.
-KEPT_WORDS = 250_000
+#: Encoded words that a worker keeps; beyond, it starts anew. Seconds without a partition after which it gives them back, since
+#: workers outlive a stage. Both bound memory and change no result.
+KEPT_WORDS = 500_000
+IDLE_SECONDS = 5.0
 
 
 def _byte_signs() -> dict[str, int]:
@@ -89,6 +92,7 @@ class Bpe:
         self.packed_added = {t: array("I", [i]).tobytes() for t, i in self.added.items()}
         self.follows: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
+        self.waiting: Timer | None = None
 
     def step(self, state: int, byte: int) -> tuple[int, int]:
         """The longest token beginning that ends the path after one more byte, and the longest token that does."""
@@ -204,9 +208,20 @@ class Bpe:
         return [b"".join(map(kept.__getitem__, row)) for row in rows]
 
     def release(self) -> None:
-        """Gives back what was kept for later batches: workers outlive their partition."""
+        """Gives back what was kept for later batches; a batch under way goes on with what it holds."""
         self.kept = {"": b""}
-        self.follows.clear()
+        self.follows = {}
+
+    def busy(self) -> None:
+        """A partition begins: what is kept stays."""
+        if self.waiting is not None:
+            self.waiting.cancel()
+
+    def idle(self) -> None:
+        """A partition has ended: what is kept goes, unless another one begins soon."""
+        self.waiting = Timer(IDLE_SECONDS, self.release)
+        self.waiting.daemon = True
+        self.waiting.start()
 
     def decode(self, packed: bytes) -> str:
         ids = array("I")
@@ -229,6 +244,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = vocabulary(vocabulary_path)
+        bpe.busy()
         for batch in batches:
             texts, begin, held = batch["text"].tolist(), 0, 0
             for k, text in enumerate(texts):
@@ -237,7 +253,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                     ids = bpe.encode_batch(texts[begin : k + 1])
                     yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[begin : k + 1].array, "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
                     begin, held = k + 1, 0
-        bpe.release()
+        bpe.idle()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
