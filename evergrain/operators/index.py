@@ -1,15 +1,15 @@
-"""A kept inverted index for BM25: postings in blocks by bucket of their term, changes as segments, top-k that skips blocks.
+"""A kept inverted index for BM25: postings in blocks by bucket of their term, changes as segments, exact top-k by document shard.
 
 A segment holds the postings of the documents that came with one change, the documents themselves (length, terms and the
 columns that gates need) by bucket of their id, and what the change does to each term's document frequency. A change or
 deletion marks the (document, segment) that it replaces; postings of marked pairs count no more and go when segments are
 merged. Statistics are sums over segments, so an index after any changes scores as one built anew.
 
-Postings of a term stand in blocks of up to BLOCK documents, from high to low share of the score, and each block keeps its
-greatest term frequency and least length, which bound what any document in it can get. A search takes the best blocks of every
-term, whose partial scores give each query a score that its k-th answer reaches at least (its bar). Terms that together cannot
-reach the bar bring no candidates of their own, and blocks whose bound with all other terms' bounds stays below it are
-skipped. All that reaches the bar is scored in full, so the answer is exact.
+Postings of a term stand in blocks of up to BLOCK documents of one shard, from high to low share of the score, and each block
+keeps its greatest term frequency and least length, which bound what any document in it can get. A search reads the buckets
+of its terms only and sends their blocks, as arrays, to the shards of their documents. A shard adds up the terms of a query
+from the highest bound down; once what is left cannot lift a new document over the k-th best sum (the bar), only documents that
+can still reach the bar are added to, and blocks whose bound shows that none of theirs can are skipped. Each shard gives its best k.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,6 +31,8 @@ from .retrieval import K1, B, top
 BLOCK = 128
 #: Segments are merged into one beyond this number.
 MERGE_AFTER = 8
+#: Documents that a shard holds about; queries that go to a shard together.
+SHARD_DOCS, SLICE_QUERIES = 50_000, 2_000
 #: Summation orders may move a score by less than this.
 SLACK = 1e-6
 
@@ -61,37 +63,38 @@ class SearchIndex:
         every = F.concat(*[weighted(f, w) for f, w in self.fields.items()])
         return cut.select("doc", *self.keep, length.alias("len"), every.alias("every"))
 
-    def _blocks(self, postings: DataFrame, mean: float) -> DataFrame:
-        """Postings (term, doc, segment, tf, len) as blocks. Rows are dealt to ranges of (bucket, term, share), so a term in very many documents lies in many."""
+    def _blocks(self, postings: DataFrame, mean: float, shards: int) -> DataFrame:
+        """Postings (term, doc, segment, tf, len) as blocks. Rows are dealt to ranges of (bucket, term, shard, share), so a term in very many documents lies in many."""
         doc_type = postings.schema["doc"].dataType.simpleString()
         share = _share(F.col("tf"), F.col("len"), F.lit(mean))
-        rows = postings.select(self._bucket("term"), "term", "doc", "segment", "tf", "len", share.alias("share"))
-        order = ["bucket", "term", F.desc("share"), "doc"]
+        rows = postings.select(self._bucket("term"), "term", _shard("doc", shards), "doc", "segment", "tf", "len", share.alias("share"))
+        order = ["bucket", "term", "shard", F.desc("share"), "doc"]
         rows = rows.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                term = f["term"].to_numpy()
-                starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(f) else np.array([], int)
+                term, shard = f["term"].to_numpy(), f["shard"].to_numpy()
+                starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (shard[1:] != shard[:-1])]) if len(f) else np.array([], int)
                 cuts = np.unique(np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(starts, np.r_[starts[1:], len(f)])])) if len(f) else starts
                 out = []
                 for a, b in zip(cuts, np.r_[cuts[1:], len(f)]):
                     part = f.iloc[a:b]
-                    out.append((part["bucket"].iat[0], term[a], part["tf"].max(), part["len"].min(), part["doc"].tolist(), part["segment"].tolist(), part["tf"].tolist(), part["len"].tolist()))
-                yield pd.DataFrame(out, columns=["bucket", "term", "max_tf", "min_len", "docs", "segments", "tfs", "lens"])
+                    out.append((part["bucket"].iat[0], term[a], shard[a], part["tf"].max(), part["len"].min(), part["doc"].tolist(), part["segment"].tolist(), part["tf"].tolist(), part["len"].tolist()))
+                yield pd.DataFrame(out, columns=["bucket", "term", "shard", "max_tf", "min_len", "docs", "segments", "tfs", "lens"])
 
-        return rows.drop("share").mapInPandas(run, f"bucket int, term string, max_tf double, min_len double, docs array<{doc_type}>, segments array<int>, tfs array<double>, lens array<double>")
+        return rows.drop("share").mapInPandas(run, f"bucket int, term string, shard int, max_tf double, min_len double, docs array<{doc_type}>, segments array<int>, tfs array<double>, lens array<double>")
 
-    def _segment(self, docs: DataFrame, number: int) -> dict:
-        """Stages a segment of new documents; what it replaces is not known here."""
+    def _segment(self, docs: DataFrame, number: int, shards: int | None = None) -> dict:
+        """Stages a segment of new documents; what it replaces is not known here. The first segment settles the number of shards."""
         measured = self._measured(docs)
         counted = measured.select("doc", "len", F.explode("every").alias("t")).groupBy("doc", "len", "t.term").agg(F.sum("t.w").alias("tf"))
         kept = measured.select("doc", *self.keep, "len", F.array_distinct(F.transform("every", lambda t: t["term"])).alias("terms"), self._bucket("doc"))
         made = {"docs": self.store.stage(kept, "docs", "bucket"), "doc_schema": kept.schema.json()}
         stats = self.store.read(made["docs"], kept.schema).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0.0))).first()
         mean = (stats[1] / stats[0] if stats[0] else 0.0) or 1.0
-        blocks = self._blocks(counted.withColumn("segment", F.lit(number)), mean)
-        return made | {"number": number, "postings": self.store.stage(blocks, "postings", "bucket"), "block_schema": blocks.schema.json(), "n_docs": stats[0], "sum_len": stats[1]}
+        shards = shards or max(1, -(-stats[0] // SHARD_DOCS))
+        blocks = self._blocks(counted.withColumn("segment", F.lit(number)), mean, shards)
+        return made | {"shards": shards, "number": number, "postings": self.store.stage(blocks, "postings", "bucket"), "block_schema": blocks.schema.json(), "n_docs": stats[0], "sum_len": stats[1]}
 
     def _docs(self, m: dict, buckets: list[int] | None = None) -> DataFrame:
         """Documents of all segments with their segment's number, marked ones too."""
@@ -122,14 +125,14 @@ class SearchIndex:
         """The index of all documents, anew. note: what the caller wants to find in the manifest again."""
         segment = self._segment(docs, 0)
         terms = self._docs({"segments": [segment]}).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).select("term", "n", self._bucket("term"))
-        made = {"segments": [segment], "dead": [], "terms": [self.store.stage(terms, "terms", "bucket")], "next": 1, "n_docs": segment["n_docs"], "sum_len": segment["sum_len"]}
+        made = {"segments": [segment], "dead": [], "terms": [self.store.stage(terms, "terms", "bucket")], "next": 1, "shards": segment["shards"], "n_docs": segment["n_docs"], "sum_len": segment["sum_len"]}
         return self.store.publish(made | note, self.store.current())
 
     def update(self, changed: DataFrame, deleted: DataFrame | None = None) -> dict:
         """Documents that are new or changed, and ids (id_col) that go. Costs follow the change: old rows are looked up in the buckets of the ids."""
         now = self.store.current()
         number = now["next"]
-        segment = self._segment(changed, number)
+        segment = self._segment(changed, number, now["shards"])
         new = self._docs({"segments": [segment]})
         gone = new.select("doc", "bucket")
         if deleted is not None:
@@ -152,11 +155,12 @@ class SearchIndex:
         number = m["next"]
         live = self._live_docs(m)
         postings = self._exploded(m, None).drop("segment").withColumn("segment", F.lit(number))
-        blocks = self._blocks(postings, (m["sum_len"] / m["n_docs"] if m["n_docs"] else 0.0) or 1.0)
+        shards = max(1, -(-m["n_docs"] // SHARD_DOCS))
+        blocks = self._blocks(postings, (m["sum_len"] / m["n_docs"] if m["n_docs"] else 0.0) or 1.0, shards)
         kept = live.drop("segment")
         segment = {"docs": self.store.stage(kept, "docs", "bucket"), "doc_schema": kept.schema.json(), "number": number, "postings": self.store.stage(blocks, "postings", "bucket"), "block_schema": blocks.schema.json(), "n_docs": m["n_docs"], "sum_len": m["sum_len"]}
         counts = self._terms(m, None).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0").select("term", "n", self._bucket("term"))
-        return m | {"segments": [segment], "dead": [], "terms": [self.store.stage(counts, "terms", "bucket")], "next": number + 1}
+        return m | {"segments": [segment], "dead": [], "shards": shards, "terms": [self.store.stage(counts, "terms", "bucket")], "next": number + 1}
 
     # ---- reading ---------------------------------------------------------------------------------------------------
 
@@ -177,12 +181,10 @@ class SearchIndex:
             out = rows if out is None else out.unionByName(rows)
         return out
 
-    def _exploded(self, m: dict, buckets: list[int] | None, blocks: DataFrame | None = None) -> DataFrame:
-        """Live postings of blocks: term (and other columns of theirs), doc, segment, tf, len."""
-        blocks = self.blocks(m, buckets).select("term", "docs", "segments", "tfs", "lens") if blocks is None else blocks
-        others = [c for c in blocks.columns if c not in ("docs", "segments", "tfs", "lens")]
+    def _exploded(self, m: dict, buckets: list[int] | None) -> DataFrame:
+        """Live postings: term, doc, segment, tf, len."""
         each = F.explode(F.arrays_zip("docs", "segments", "tfs", "lens")).alias("p")
-        rows = blocks.select(*others, each).select(*others, F.col("p.docs").alias("doc"), F.col("p.segments").alias("segment"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("len"))
+        rows = self.blocks(m, buckets).select("term", each).select("term", F.col("p.docs").alias("doc"), F.col("p.segments").alias("segment"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("len"))
         dead = self._dead(m)
         return rows if dead is None else rows.join(dead, ["doc", "segment"], "left_anti")
 
@@ -197,42 +199,93 @@ class SearchIndex:
         n, mean = float(m["n_docs"]), (m["sum_len"] / m["n_docs"] if m["n_docs"] else 0.0) or 1.0
         df = self._terms(m, buckets).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
         idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-        terms = df.select("term", idf.alias("idf"))
-        slack = SLACK + (0.0 if digits is None else 10.0**-digits)
-
-        bound = F.col("idf") * _share(F.col("max_tf"), F.col("min_len"), F.lit(mean))
-        held = self.blocks(m, buckets).join(terms, "term").withColumn("bound", bound).drop("bucket", "max_tf", "min_len")
-        scored = lambda rows: rows.withColumn("part", F.col("idf") * _share(F.col("tf"), F.col("len"), F.lit(mean)))
-        allowed = self._docs(m).where(gate).select("doc", "segment") if gate is not None else None
-        pass_ = lambda rows: rows if allowed is None else rows.join(allowed, ["doc", "segment"], "left_semi")
-
-        # the bar: the k-th best of the sums over each term's best blocks
-        tops = held.groupBy("term", "idf").agg(F.max("bound").alias("most"))
-        first = top(held, -(-k // BLOCK) + 1, F.desc("bound"), by=("term",), name="__nth").drop("__nth", "bound")
-        some = asked.select("query_id", "term").join(scored(pass_(self._exploded(m, None, first))), "term").groupBy("query_id", "doc").agg(F.sum("part").alias("sum"))
-        bars = top(some, k, F.desc("sum"), name="__nth").groupBy("query_id").agg(F.min("sum").alias("sum"), F.count(F.lit(1)).alias("n"))
-        bars = bars.select("query_id", F.when(F.col("n") >= k, F.col("sum") - slack).otherwise(F.lit(0.0)).alias("bar"))
-
-        # terms from the least bound up: those that together stay below the bar bring no candidates
-        up = Window.partitionBy("query_id").orderBy("most", "term")
-        plan = asked.select("query_id", "term").join(tops, "term").join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
-        plan = plan.withColumn("upto", F.sum("most").over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("most").over(Window.partitionBy("query_id")))
-        plan = plan.select("query_id", "term", (F.col("upto") >= F.col("bar")).alias("leads"), "bar", (F.col("bar") - (F.col("all") - F.col("most"))).alias("need"), F.when(F.col("upto") < F.col("bar"), F.col("most")).alias("minor"))
-        leads = plan.where("leads").groupBy("term").agg(F.min("need").alias("least"))
-        wide = held.join(leads, "term").where("bound >= least").drop("least")
-        rows = scored(pass_(self._exploded(m, None, wide))).select("term", "doc", "bound", "part")
-        rest = plan.groupBy("query_id").agg(F.first("bar").alias("bar"), F.coalesce(F.sum("minor"), F.lit(0.0)).alias("rest"))
-        near = plan.where("leads").select("query_id", "term", "need").join(rows, "term").where("bound >= need").groupBy("query_id", "doc").agg(F.sum("part").alias("sum"))
-        near = near.join(rest, "query_id").where("sum + rest >= bar").select("query_id", "doc", "sum")
-
-        # what the other terms add to the candidates
-        minors = plan.where("not leads").select("query_id", "term")
-        low = held.join(minors.select("term").distinct(), "term", "left_semi").drop("bound")
-        low = scored(pass_(self._exploded(m, None, low).join(near.select("doc").distinct(), "doc", "left_semi"))).select("term", "doc", "part")
-        more = minors.join(low, "term").join(near.select("query_id", "doc"), ["query_id", "doc"]).groupBy("query_id", "doc").agg(F.sum("part").alias("more"))
-        full = near.join(more, ["query_id", "doc"], "left").select("query_id", F.col("doc").alias(self.id_col), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("score"))
-        full = full if digits is None else full.withColumn("score", F.round("score", digits))
-        return top(full, k, F.desc("score"), F.asc(self.id_col))
+        asked = asked.join(df.select("term", idf.alias("idf")), "term").select("query_id", "term", "idf")
+        slices = max(1, -(-queries.count() // SLICE_QUERIES))
+        part_of = F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int").alias("part")
+        every_part = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("part")
+
+        # a shard's frame: blocks of the terms asked for, and in chunks the documents that count
+        held = self.blocks(m, buckets).join(asked.select("term").distinct(), "term", "left_semi").select("shard", "term", "max_tf", "min_len", "docs", "segments", "tfs", "lens")
+        live = self._docs(m)
+        live = (live if gate is None else live.where(gate)).select("doc", "segment")
+        dead = self._dead(m)
+        live = live if dead is None else live.join(dead, ["doc", "segment"], "left_anti")
+        chunk = F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(16))
+        live = live.groupBy(_shard("doc", m["shards"]), chunk.alias("chunk")).agg(F.collect_list(F.struct("doc", "segment")).alias("d"))
+        live = live.select("shard", F.lit(None).cast("string").alias("term"), F.transform("d", lambda x: x["doc"]).alias("docs"), F.transform("d", lambda x: x["segment"]).alias("segments"))
+        rows = held.unionByName(live, allowMissingColumns=True).select("*", every_part)
+        wanted = asked.select("query_id", "term", "idf", part_of, F.explode(F.sequence(F.lit(0), F.lit(m["shards"] - 1))).alias("shard"))
+        types = asked.schema["query_id"].dataType.simpleString(), self._doc_type(m)
+
+        def run(postings: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            out = [found for _, group in asked.groupby("query_id", sort=False) if (found := answers.best(group))] if (answers := _Shard(postings, mean, k, digits)).any and len(asked) else []
+            return pd.DataFrame([r for rows in out for r in rows], columns=["query_id", "doc", "score"])
+
+        keys = ["shard", "part"]
+        found = rows.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(run, f"query_id {types[0]}, doc {types[1]}, score double")
+        return top(found.withColumnRenamed("doc", self.id_col), k, F.desc("score"), F.asc(self.id_col))
+
+
+class _Shard:
+    """The documents of a shard that count, and the postings of the terms asked for among them."""
+
+    def __init__(self, frame: pd.DataFrame, mean: float, k: int, digits: int | None):
+        self.mean, self.k, self.digits = mean, k, digits
+        is_live = frame["term"].isna().to_numpy()
+        docs = [x for x in frame["docs"][is_live]]
+        self.any = bool(docs)
+        if not docs:
+            return
+        docs, segments = np.concatenate(docs), np.concatenate(list(frame["segments"][is_live]))
+        order = np.argsort(docs, kind="stable")
+        self.docs, self.segments = docs[order], segments[order]
+        self.terms: dict[str, list[tuple[float, np.ndarray, np.ndarray]]] = {}
+        blocks = frame[~is_live]
+        for term, max_tf, min_len, d, s, tf, length in zip(*(blocks[c] for c in ("term", "max_tf", "min_len", "docs", "segments", "tfs", "lens"))):
+            at = np.minimum(np.searchsorted(self.docs, d), len(self.docs) - 1)
+            counts = (self.docs[at] == d) & (self.segments[at] == s)
+            if counts.any():
+                self.terms.setdefault(term, []).append((self._share(max_tf, min_len), at[counts], self._share(np.asarray(tf)[counts], np.asarray(length)[counts])))
+
+    def _share(self, tf, length):
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+
+    def best(self, asked: pd.DataFrame) -> list[tuple]:
+        """(query_id, doc, score) of a query's k best documents here; asked: its terms with their idf."""
+        lists = [(idf * max(b for b, _, _ in self.terms[t]), idf, self.terms[t]) for t, idf in zip(asked["term"], asked["idf"]) if t in self.terms]
+        if not lists:
+            return []
+        lists.sort(key=lambda x: -x[0])
+        room = SLACK + (0.0 if self.digits is None else 10.0**-self.digits)
+        left = sum(bound for bound, _, _ in lists)
+        sums, bar = np.zeros(len(self.docs)), 0.0
+        for bound, idf, blocks in lists:
+            if bar > 0 and left < bar:  # no new document can come in
+                able = sums + left >= bar
+                top_sum = sums.max()
+                for most, at, share in blocks:
+                    if top_sum + left - bound + idf * most < bar:  # none of the block's can reach the bar
+                        continue
+                    chosen = able[at] & (sums[at] > 0)
+                    sums[at[chosen]] += idf * share[chosen]
+            else:
+                for _, at, share in blocks:
+                    sums[at] += idf * share
+            left -= bound
+            if len(sums) >= self.k:
+                bar = max(bar, float(np.partition(sums, -self.k)[-self.k]) - room)
+        scores = sums if self.digits is None else np.round(sums, self.digits)
+        some = np.flatnonzero(sums > 0)
+        if len(some) > self.k:
+            least = np.partition(scores[some], -self.k)[-self.k]
+            some = some[scores[some] >= least]
+        some = sorted(some.tolist(), key=lambda i: (-scores[i], i))[: self.k]  # docs are in order
+        query = asked["query_id"].iat[0]
+        return [(query, self.docs[i], float(scores[i])) for i in some]
+
+
+def _shard(doc: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(shards)).cast("int").alias("shard")
 
 
 def _schema(text: str) -> StructType:

@@ -42,6 +42,8 @@ def plain(spark, rows, queries, k, gate=None):
 @pytest.mark.parametrize(("block", "k", "gated"), [(4, 3, False), (4, 1, True), (128, 10, False)])
 def test_equals_bm25(spark, tmp_path, queries, monkeypatch, block, k, gated):
     monkeypatch.setattr(I, "BLOCK", block)
+    monkeypatch.setattr(I, "SHARD_DOCS", 80)
+    monkeypatch.setattr(I, "SLICE_QUERIES", 10)
     rows = make(range(300), 1)
     kept = I.SearchIndex(spark, f"{tmp_path}/i{uuid.uuid4().hex}", FIELDS, keep=("open",), buckets=8)
     kept.build(frame(spark, rows))
