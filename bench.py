@@ -17,6 +17,7 @@ from evergrain.session import local_session
 HEADLINE = (
     "bm25_topk", "cosine_topk", "rrf_fusion", "content_dedupe_topk", "legacy_relevance_topk", "serving_inventory", "belief_fold", "belief_fold_asof", "writer_health",
     "sft_segments", "near_dup_first_wins", "pack_select", "decayed_label_fold", "first_event_24h", "tripwire_flags", "ttl_prune", "promote_score_topk", "heal_conflicts", "rel_pricing_summary",
+    "indexed_bm25_topk", "cell_neighbours",
 )
 RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
