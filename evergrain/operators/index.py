@@ -218,8 +218,12 @@ class SearchIndex:
         types = asked.schema["query_id"].dataType.simpleString(), self._doc_type(m)
 
         def run(postings: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            out = [found for _, group in asked.groupby("query_id", sort=False) if (found := answers.best(group))] if (answers := _Shard(postings, mean, k, digits)).any and len(asked) else []
-            return pd.DataFrame([r for rows in out for r in rows], columns=["query_id", "doc", "score"])
+            out = []
+            answers = _Shard(postings, mean, k, digits)
+            if answers.any:
+                for _, group in asked.groupby("query_id", sort=False):
+                    out += answers.best(group)
+            return pd.DataFrame(out, columns=["query_id", "doc", "score"])
 
         keys = ["shard", "part"]
         found = rows.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(run, f"query_id {types[0]}, doc {types[1]}, score double")
@@ -232,7 +236,7 @@ class _Shard:
     def __init__(self, frame: pd.DataFrame, mean: float, k: int, digits: int | None):
         self.mean, self.k, self.digits = mean, k, digits
         is_live = frame["term"].isna().to_numpy()
-        docs = [x for x in frame["docs"][is_live]]
+        docs = list(frame["docs"][is_live])
         self.any = bool(docs)
         if not docs:
             return
