@@ -250,13 +250,17 @@ def event_pairs(log: DataFrame) -> DataFrame:
 def event_gate(pairs: DataFrame, low: int = 40, high: int = 8000) -> DataFrame:
     """Pairs that an event states (rejected, chosen): cleaned, of allowed length, without leaks and injections, about something, and different
     in more than order or punctuation. Their direction is known, so no wording is looked at."""
-    rows = pairs.withColumn("rejected", T.sanitize(F.col("rejected"))).withColumn("chosen", T.sanitize(F.col("chosen")))
-    c, r = topic_tokens(F.col("chosen")), topic_tokens(F.col("rejected"))
+    # worked out once below an explode, which the filter does not pass
+    clean = F.explode(F.array(F.struct(T.sanitize(F.col("rejected")).alias("rejected"), T.sanitize(F.col("chosen")).alias("chosen")))).alias("clean")
+    kept = [c for c in pairs.columns if c not in ("rejected", "chosen")]
+    rows = pairs.select(*kept, clean).select(*kept, "clean.rejected", "clean.chosen")
+    rows = rows.select("*", F.explode(F.array(F.struct(topic_tokens(F.col("chosen")).alias("c"), topic_tokens(F.col("rejected")).alias("r")))).alias("topics"))
+    c, r = F.col("topics.c"), F.col("topics.r")
     shared, union = F.size(F.array_intersect(c, r)), F.size(F.array_union(c, r))
     ok = F.length("rejected").between(low, high) & F.length("chosen").between(low, high) & (T.claim_key(F.col("chosen")) != T.claim_key(F.col("rejected")))
     for side in ("chosen", "rejected"):
         ok = ok & (F.size(T.secret_leaks(F.col(side))) == 0) & (F.size(T.injections(F.col(side))) == 0)
-    return rows.where(ok & (F.size(c) > 0) & (F.size(r) > 0) & (union - shared >= 2) & (shared / F.greatest(union, F.lit(1)) < 0.9))
+    return rows.where((F.size(c) > 0) & (F.size(r) > 0) & (union - shared >= 2) & (shared / F.greatest(union, F.lit(1)) < 0.9) & ok).select(pairs.columns)
 
 
 def _about(subject: Column, predicate: Column) -> Column:

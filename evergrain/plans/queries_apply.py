@@ -132,7 +132,7 @@ def _said(head: str, *parts):
 @query("correction_pairs", f"""SELECT 'evt_'||event_id AS event_id, 'k'||user_id AS knowledge_id, 'State the correct value for: subject '||user_id AS prompt, {_OLD.format('user_id')} AS rejected, {_NEW.format('user_id', 'event_id')} AS chosen, CASE WHEN event_id % 4 = 0 THEN 0.95 ELSE 0.85 END::DOUBLE AS confidence
     FROM events WHERE event_type = 'error' AND event_id % 3 <> 0 AND user_id % 2 = 0""")
 def correction_pairs(spark, sf_dir):
-    e, k, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    e, k, u = V.dealt(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")), F.col("event_id"), F.col("user_id")
     key = _said("k#", u)
     body = F.to_json(F.struct(F.lit("knowledge").alias("target_layer"), key.alias("target_id"), V.pick(k % 3, "retract", "edit", "reframe").alias("op"), _said("the plan for part # names the northern bridge # instead of any ferry", u, k).alias("body"), (k % 4 == 0).alias("hard")))
     log = e.where("event_type = 'error'").select(_said("evt_#", k).alias("id"), F.lit("correction_recorded").alias("kind"), body.alias("body_json"), F.col("ts").cast("string").alias("ts"))
