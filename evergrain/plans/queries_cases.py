@@ -62,7 +62,7 @@ SCRUBBED = (
 
 @query("scrub_cases", f"SELECT o_orderkey, {_cases('o_orderkey', [_sql(why, '') for _, why in SCRUBBED])} AS reasons FROM orders")
 def scrub_cases(spark, sf_dir):
-    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    o, k = V.dealt(table(spark, sf_dir, "orders").select("o_orderkey")), F.col("o_orderkey")
     target = V.pick(k % len(SCRUBBED), *[_text(t, k) for t, _ in SCRUBBED])
     return o.select("o_orderkey", F.array_join(T.scrub_reasons(target, F.lit("example"), F.lit("sft")), ",").alias("reasons"))
 
