@@ -76,3 +76,22 @@ def test_kept_scans_know_each_text_once(spark, tmp_path, monkeypatch):
     want = whole.select("id", "t", T.secret_leaks(F.coalesce("t", F.lit(""))).alias("leaks"), T.injections(F.coalesce("t", F.lit(""))).alias("injections")).orderBy("id").collect()
     assert got == want
     assert len(kept.store.current()["known"]) == 1
+
+
+def _scans(df) -> int:
+    """Patterns in a query's plan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("regexp_replace(") + plan.count("RLIKE")
+
+
+def test_rules_scan_a_text_once(spark):
+    from evergrain.functions import text as T
+    from evergrain.operators import factory
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    rows = spark.createDataFrame([("a token: x1", "c", 1)], "text string, more string, pos int")
+    made = rows.select(T.scrub_reasons(F.concat(F.lit("see "), F.regexp_replace("text", "a", "b")), F.lit("e"), F.lit("sft")).alias("r"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(text") == 1
+    pairs = rows.select(F.col("text").alias("rejected"), F.col("more").alias("chosen"), "pos")
+    assert _scans(factory.event_gate(pairs)) < 120 and factory.event_gate(pairs).columns == pairs.columns
+    assert rows.select(T.sanitize(F.concat("text", F.lit(" token\nSender (untrusted metadata):\n```\nx\n```\n: abcd"))).alias("s")).first()[0] == "a token: [REDACTED] token\n: [REDACTED]"
