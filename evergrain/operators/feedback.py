@@ -38,11 +38,12 @@ def first_event_after(uses: DataFrame, log: DataFrame, now: str, hours: int = 24
     day = lambda c: F.floor(F.unix_seconds(c) / 86_400)
     pending = pending.where("until > at").withColumn("day", F.explode(F.sequence(day(F.col("at")), day(F.col("until")))))
     events = events.withColumn("day", day(F.col("event_at")))
-    by_session = pending.join(events.withColumn("session_id", F.col("event_session")), ["session_id", "day"]).where(inside)
+    # what no event names would bring all its servings to one task, so it goes before the joins
+    by_session = _met(pending, "session_id", events.select(F.col("event_session").alias("session_id"))).join(events.withColumn("session_id", F.col("event_session")), ["session_id", "day"]).where(inside)
     tokens = F.array_distinct(F.regexp_extract_all("body_json", F.lit(r"([A-Za-z0-9_.:-]+)"), 1))
     asked = pending.select(F.explode("served_ids").alias("served_id")).distinct()
     named = events.withColumn("served_id", F.explode(tokens)).join(asked, "served_id", "left_semi")
-    by_id = pending.withColumn("served_id", F.explode("served_ids")).join(named, ["served_id", "day"]).where(inside).drop("served_id")
+    by_id = _met(pending.withColumn("served_id", F.explode("served_ids")), "served_id", named.select("served_id")).join(named, ["served_id", "day"]).where(inside).drop("served_id")
     rows = by_session.select(by_id.columns).unionByName(by_id).dropDuplicates(["retrieval_id", "event_seq"])
     exact = F.exists("served_ids", lambda s: F.col("body_json").contains(s))
     wrong = (F.col("kind") == "correction_recorded") & (F.get_json_object("body_json", "$.op").isin("mark_wrong", "retract") | F.coalesce(F.get_json_object("body_json", "$.hard").isin("true", "1"), F.lit(False)))
@@ -54,6 +55,12 @@ def first_event_after(uses: DataFrame, log: DataFrame, now: str, hours: int = 24
     return first.select("retrieval_id", outcome.alias("outcome"), F.col("f.feedback_source").alias("feedback_source"), F.col("f.event_seq").alias("event_seq"))
 
 
+def _met(rows: DataFrame, key: str, there: DataFrame, salts: int = 16) -> DataFrame:
+    """The rows whose key is there; rows of one key are dealt over as many tasks as salts, and only distinct keys are repeated for them."""
+    each = there.distinct().withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("retrieval_id", "day"), F.lit(salts)).cast("int")).join(each, [key, "__salt"], "left_semi").drop("__salt")
+
+
 def coverage(uses: DataFrame) -> DataFrame:
     """One row: servings, pending, explicit and inferred outcomes, and the share covered."""
     n = lambda c, name: F.sum(c.cast("long")).alias(name)
