@@ -22,6 +22,8 @@ RESULTS = "result_id string, loop_id string, experiment_family string, decision
 TABLES = {"evidence": EVIDENCE, "metrics": METRICS, "lessons": LESSONS, "tripwires": TRIPWIRES, "results": RESULTS}
 #: As many folders of a table are read together before they are merged.
 MERGE_AFTER = 16
+#: Envelopes of a batch whose rows of a table are sorted in a task.
+PART_ROWS = 100_000
 
 
 def rows_of(envelopes: DataFrame) -> dict[str, DataFrame]:
@@ -71,9 +73,11 @@ class LoopTables:
         staged = batch.select("path", "data", "errors")
         staged = self.store.read(self.store.stage(staged, "batch"), staged.schema)
         tables = (now or {}).get("tables") or {}
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-staged.count() // PART_ROWS))
         for name, rows in rows_of(staged).items():
             key = TABLES[name].split(" ")[0]
-            once = rows.groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("r")).select(key, "r.*")
+            # dealt by key before they are sorted, so a task sorts its part only
+            once = rows.repartition(parts, key).groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("r")).select(key, "r.*")
             paths = tables.get(name, [])
             new = once.join(self._read(name, paths).select(key), key, "left_anti").select([c.split(" ")[0] for c in TABLES[name].split(", ")])
             tables = tables | {name: paths + [self.store.stage(new, name)]}
