@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PATTERNS, MAX_CHARS = 1_000_000, 64_000_000
+#: Occurrences that go on together, but for those of the text that reaches the number.
+SLICE_HITS = 50_000
 #: Automata that a worker keeps.
 _held: dict[str, ahocorasick.Automaton] = {}
 
@@ -70,6 +72,9 @@ def matches(rows: DataFrame, id_col: str, text_col: str, patterns: DataFrame, pa
                 if found is None or not text:
                     continue
                 low, origin = _lowered(text) if ignore_case else (text, None)
+                if len(out) >= SLICE_HITS:
+                    yield pd.DataFrame(out, columns=["id", "pattern", "start", "end"])
+                    out = []
                 for end, word in found.iter_long(low) if longest else found.iter(low):
                     a, b = end - len(word) + 1, end + 1
                     out.append((key, word, a, b) if origin is None else (key, word, origin[a], origin[b - 1] + 1))
