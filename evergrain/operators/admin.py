@@ -126,8 +126,10 @@ def best_snippet(body: Column, terms: Column, words: int = 12) -> Column:
     def cut(x: Column) -> Column:
         at = F.filter(F.transform(x["bare"], lambda w, k: F.when(F.array_contains(terms, w), k)), lambda k: k.isNotNull())
         scored = F.transform(at, lambda k: F.struct(F.size(F.array_intersect(F.slice(x["bare"], k + 1, words), terms)).alias("n"), (-k).alias("back")))
-        begin = F.coalesce(-F.array_max(scored)["back"], F.lit(0))
-        shown = F.transform(F.slice(F.arrays_zip(x["parts"].alias("w"), x["bare"].alias("b")), begin + 1, words), lambda p: F.when(F.array_contains(terms, p["b"]), F.concat(F.lit("["), p["w"], F.lit("]"))).otherwise(p["w"]))
+        return F.element_at(F.transform(F.array(F.coalesce(-F.array_max(scored)["back"], F.lit(0))), lambda begin: window(x, begin)), 1)
+
+    def window(x: Column, begin: Column) -> Column:
+        shown = F.transform(F.arrays_zip(F.slice(x["parts"], begin + 1, words).alias("w"), F.slice(x["bare"], begin + 1, words).alias("b")), lambda p: F.when(F.array_contains(terms, p["b"]), F.concat(F.lit("["), p["w"], F.lit("]"))).otherwise(p["w"]))
         return F.concat(F.when(begin > 0, "…").otherwise(""), F.array_join(shown, " "), F.when(begin + words < F.size(x["parts"]), "…").otherwise(""))
 
     return F.element_at(F.transform(F.array(F.struct(parts.alias("parts"), bare.alias("bare"))), cut), 1)

@@ -171,6 +171,7 @@ def ranked_snippets(spark, sf_dir):
     asked = V.benchmark_queries(spark, sf_dir)
     found = belief_index(spark, sf_dir).search(asked, 3, S.scope_gate(CONTEXT), digits=6)
     rows = found.join(asked.select("query_id", T.fts_terms(F.col("query")).alias("terms")), "query_id").join(V.beliefs(spark, sf_dir).select("belief_id", "body"), "belief_id")
+    rows = V.dealt(rows.select("query_id", "rank", "belief_id", "body", "terms"))  # long texts, few of them
     return rows.select("query_id", "rank", "belief_id", admin.best_snippet(F.col("body"), F.col("terms")).alias("snippet"))
 
 
