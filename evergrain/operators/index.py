@@ -1,11 +1,16 @@
 """A kept inverted index for BM25: postings in blocks by bucket of their term, changes as segments, exact top-k by document shard.
 
-A segment holds the postings of the documents that came with one change, the documents themselves (length, terms and the
-columns that gates need) by bucket of their id, and what the change does to each term's document frequency. A change or
+A segment holds the postings of the documents that came with one change by bucket of their term, and the documents themselves
+(length, terms and the columns that gates need) by bucket of their id. A term's document frequency is what its blocks hold less
+what changes took away, which is kept beside the marks. A change or
 deletion marks the (document, segment) that it replaces; postings of marked pairs count no more and go when segments are
 merged. Statistics are sums over segments, so an index after any changes scores as one built anew.
 
-Postings of a term stand in blocks of up to BLOCK documents of one shard, from high to low share of the score, and each block
+Texts are dealt once, by shard of their document; there they are cut into terms, and documents and blocks are written from the
+same task into the folders of their buckets. Postings are not moved one by one, and those of documents that a change replaces,
+or of terms that nobody asks for, leave by a bitmap of what is wanted before anything is joined.
+
+Postings of a term stand in blocks of up to BLOCK documents of one shard and chunk, from high to low share of the score, and each block
 keeps its greatest term frequency and least length, which bound what any document in it can get. A search reads the buckets
 of its terms only and sends their blocks, as arrays, to the shards of their documents. A shard adds up the terms of a query
 from the highest bound down; once what is left cannot lift a new document over the k-th best sum (the bar), only documents that
@@ -15,13 +20,16 @@ can still reach the bar are added to, and blocks whose bound shows that none of
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from evergrain.functions import text as T
 from evergrain.sources.store import Store
@@ -33,14 +41,27 @@ BLOCK = 128
 MERGE_AFTER = 8
 #: Documents that a shard holds about; queries that go to a shard together.
 SHARD_DOCS, SLICE_QUERIES = 50_000, 2_000
+#: Documents that a task cuts, and from which another task is worth its files; terms that are made into blocks together.
+TASK_DOCS, LEAST_TASK_DOCS, CHUNK_TERMS = 25_000, 1_000, 4_000_000
+#: Bits of a bitmap of wanted keys; it is sent to all tasks in this / 64 rows.
+SLOTS = 1 << 23
 #: Summation orders may move a score by less than this.
 SLACK = 1e-6
 
 
-def _share(tf: Column, length: Column, mean: Column) -> Column:
+def _share(tf, length, mean):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is, by its hash, among the wanted keys (a column of that name): all that are, and few others. Null keys go."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    word, bit = F.floor(slot / 64).alias("__word"), (slot % 64).cast("int")
+    bits = wanted.where(F.col(key).isNotNull()).select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+    found = rows.where(F.col(key).isNotNull()).select("*", word).join(F.broadcast(bits), "__word")  # SLOTS / 64 rows at most
+    return found.where(F.getbit("__bits", bit) == 1).select(*rows.columns)
+
+
 class SearchIndex:
     """An index of documents by weighted fields.
 
@@ -55,46 +76,52 @@ class SearchIndex:
 
     # ---- writing ---------------------------------------------------------------------------------------------------
 
-    def _measured(self, docs: DataFrame) -> DataFrame:
-        """Documents with their length and distinct terms with weighted frequencies; each field is cut into terms once."""
-        cut = docs.select(F.col(self.id_col).alias("doc"), *self.keep, *[T.terms(F.col(f)).alias(f"__{f}") for f in self.fields])
-        length = sum((F.size(f"__{f}") * F.lit(float(w)) for f, w in self.fields.items()), F.lit(0.0))
-        weighted = lambda f, w: F.transform(f"__{f}", lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-        every = F.concat(*[weighted(f, w) for f, w in self.fields.items()])
-        return cut.select("doc", *self.keep, length.alias("len"), every.alias("every"))
-
-    def _blocks(self, postings: DataFrame, mean: float, shards: int) -> DataFrame:
-        """Postings (term, doc, segment, tf, len) as blocks. Rows are dealt to ranges of (bucket, term, shard, share), so a term in very many documents lies in many."""
-        doc_type = postings.schema["doc"].dataType.simpleString()
-        share = _share(F.col("tf"), F.col("len"), F.lit(mean))
-        rows = postings.select(self._bucket("term"), "term", _shard("doc", shards), "doc", "segment", "tf", "len", share.alias("share"))
-        order = ["bucket", "term", "shard", F.desc("share"), "doc"]
-        rows = rows.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                term, shard = f["term"].to_numpy(), f["shard"].to_numpy()
-                starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (shard[1:] != shard[:-1])]) if len(f) else np.array([], int)
-                cuts = np.unique(np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(starts, np.r_[starts[1:], len(f)])])) if len(f) else starts
-                out = []
-                for a, b in zip(cuts, np.r_[cuts[1:], len(f)]):
-                    part = f.iloc[a:b]
-                    out.append((part["bucket"].iat[0], term[a], shard[a], part["tf"].max(), part["len"].min(), part["doc"].tolist(), part["segment"].tolist(), part["tf"].tolist(), part["len"].tolist()))
-                yield pd.DataFrame(out, columns=["bucket", "term", "shard", "max_tf", "min_len", "docs", "segments", "tfs", "lens"])
-
-        return rows.drop("share").mapInPandas(run, f"bucket int, term string, shard int, max_tf double, min_len double, docs array<{doc_type}>, segments array<int>, tfs array<double>, lens array<double>")
+    def _dealt(self, rows: DataFrame, n_docs: int, shards: int) -> DataFrame:
+        """Rows (doc, ...) of n_docs documents dealt to tasks by shard; a large shard lies in several, a task of a small change has several shards."""
+        tasks = max(-(-n_docs // TASK_DOCS), min(self.spark.sparkContext.defaultParallelism, -(-n_docs // LEAST_TASK_DOCS)), 1)
+        parts = shards * -(-tasks // shards)
+        tasks = parts if tasks >= shards else tasks
+        return rows.repartitionById(tasks, (F.pmod(F.xxhash64("doc"), F.lit(parts)) % tasks).cast("int"))
 
     def _segment(self, docs: DataFrame, number: int, shards: int | None = None) -> dict:
         """Stages a segment of new documents; what it replaces is not known here. The first segment settles the number of shards."""
-        measured = self._measured(docs)
-        counted = measured.select("doc", "len", F.explode("every").alias("t")).groupBy("doc", "len", "t.term").agg(F.sum("t.w").alias("tf"))
-        kept = measured.select("doc", *self.keep, "len", F.array_distinct(F.transform("every", lambda t: t["term"])).alias("terms"), self._bucket("doc"))
-        made = {"docs": self.store.stage(kept, "docs", "bucket"), "doc_schema": kept.schema.json()}
-        stats = self.store.read(made["docs"], kept.schema).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0.0))).first()
-        mean = (stats[1] / stats[0] if stats[0] else 0.0) or 1.0
-        shards = shards or max(1, -(-stats[0] // SHARD_DOCS))
-        blocks = self._blocks(counted.withColumn("segment", F.lit(number)), mean, shards)
-        return made | {"shards": shards, "number": number, "postings": self.store.stage(blocks, "postings", "bucket"), "block_schema": blocks.schema.json(), "n_docs": stats[0], "sum_len": stats[1]}
+        n_docs = docs.count()
+        shards = shards or max(1, -(-n_docs // SHARD_DOCS))
+        texts, weights = [f"__{k}" for k in range(len(self.fields))], [float(w) for w in self.fields.values()]
+        dealt = self._dealt(docs.select(F.col(self.id_col).alias("doc"), *self.keep, *[F.col(f).alias(t) for t, f in zip(texts, self.fields)]), n_docs, shards)
+        cut = dealt.select("doc", *self.keep, _shard("doc", shards), *[T.terms(F.col(t)).alias(t) for t in texts])
+        length = sum((F.size(t) * F.lit(w) for t, w in zip(texts, weights)), F.lit(0.0))
+        cut = cut.select("doc", *self.keep, length.alias("len"), "shard", *texts)
+        kept = cut.select("doc", *self.keep, "len", F.lit("").alias("terms"))
+        doc_schema, block_schema = kept.schema, _block_schema(cut)
+        both = StructType([StructField(f.name, f.dataType) for f in (*kept.select(F.lit("").alias("kind"), "*").schema, *block_schema)])
+        arrow, named, block, most = to_arrow_schema(both), [*self.keep, "len"], BLOCK, CHUNK_TERMS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for col in _chunks(batches, most, lambda b: sum(len(b.column(t).flatten()) for t in texts)):
+                n = len(col("doc"))
+                rows, terms, weight = [], [], []
+                for t, w in zip(texts, weights):
+                    each = col(t)
+                    rows.append(np.repeat(np.arange(n), pc.list_value_length(each).to_numpy(zero_copy_only=False)))
+                    terms.append(each.flatten())
+                    weight.append(np.full(len(terms[-1]), w))
+                coded = pa.concat_arrays(terms).dictionary_encode()
+                base = max(1, len(coded.dictionary))
+                pairs, at = np.unique(np.concatenate(rows) * base + coded.indices.to_numpy(), return_inverse=True)
+                tf, row, code = np.bincount(at, np.concatenate(weight), len(pairs)), pairs // base, pairs % base
+                words = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), coded.dictionary.take(pa.array(code)))
+                yield from _rows(arrow, "docs", n, {"doc": col("doc"), "terms": pc.binary_join(words, " ")} | {c: col(c) for c in named})
+                if len(row):
+                    made = _packed(col("shard").to_numpy()[row], code, coded.dictionary, col("doc"), row, tf, col("len").to_numpy()[row], number, block)
+                    yield from _rows(arrow, "postings", len(made["term"]), made)
+
+        made = cut.mapInArrow(run, both)
+        bucket = F.when(F.col("kind") == "docs", self._bucket("doc")).otherwise(self._bucket("term"))
+        path = self.store.stage(made.withColumn("bucket", bucket), "segment", ["kind", "bucket"], dealt=True)
+        segment = {"number": number, "docs": self.store.folder(f"{path}/kind=docs"), "doc_schema": doc_schema.add("bucket", "integer").json(), "postings": self.store.folder(f"{path}/kind=postings"), "block_schema": block_schema.add("bucket", "integer").json()}
+        stats = self.store.read(segment["docs"], doc_schema).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0.0))).first()
+        return segment | {"shards": shards, "n_docs": stats[0], "sum_len": stats[1]}
 
     def _docs(self, m: dict, buckets: list[int] | None = None) -> DataFrame:
         """Documents of all segments with their segment's number, marked ones too."""
@@ -117,15 +144,17 @@ class SearchIndex:
             out = rows if out is None else out.unionByName(rows)
         return out
 
-    def _live_docs(self, m: dict, buckets: list[int] | None = None) -> DataFrame:
+    def _live_docs(self, m: dict, buckets: list[int] | None = None, among: DataFrame | None = None) -> DataFrame:
+        """among: a column `doc` of distinct ids; only they come, and what is left of other documents is not moved."""
         docs, dead = self._docs(m, buckets), self._dead(m)
-        return docs if dead is None else docs.join(dead, ["doc", "segment"], "left_anti")
+        # inner and outer joins: Spark would take a semi or an anti join to the scan, before the bitmap
+        docs = docs if among is None else _sifted(docs, "doc", among).join(among, "doc")
+        return docs if dead is None else docs.join(dead.withColumn("__dead", F.lit(True)), ["doc", "segment"], "left").where("__dead IS NULL").drop("__dead")
 
     def build(self, docs: DataFrame, **note) -> dict:
         """The index of all documents, anew. note: what the caller wants to find in the manifest again."""
         segment = self._segment(docs, 0)
-        terms = self._docs({"segments": [segment]}).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).select("term", "n", self._bucket("term"))
-        made = {"segments": [segment], "dead": [], "terms": [self.store.stage(terms, "terms", "bucket")], "next": 1, "shards": segment["shards"], "n_docs": segment["n_docs"], "sum_len": segment["sum_len"]}
+        made = {"segments": [segment], "dead": [], "lost": [], "next": 1, "shards": segment["shards"], "n_docs": segment["n_docs"], "sum_len": segment["sum_len"]}
         return self.store.publish(made | note, self.store.current())
 
     def update(self, changed: DataFrame, deleted: DataFrame | None = None) -> dict:
@@ -136,16 +165,16 @@ class SearchIndex:
         new = self._docs({"segments": [segment]})
         gone = new.select("doc", "bucket")
         if deleted is not None:
-            gone = gone.unionByName(deleted.select(F.col(self.id_col).alias("doc"), self._bucket(self.id_col))).distinct()
+            gone = gone.unionByName(deleted.select(F.col(self.id_col).alias("doc"), self._bucket(self.id_col)))
+        gone = gone.distinct()
         buckets = [r["bucket"] for r in gone.select("bucket").distinct().collect()]  # no more than buckets
-        old = self._live_docs(now, buckets).join(gone.select("doc"), "doc", "left_semi")
+        old = self._live_docs(now, buckets, gone.select("doc"))
         dead = self.store.stage(old.select("doc", "segment", "len", "terms"), "dead")
         old = self.store.read(dead, old.select("doc", "segment", "len", "terms").schema)
         lost = old.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0.0))).first()
-        each = new.select(F.explode("terms").alias("term"), F.lit(1).alias("n")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("n")))
-        terms = each.groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0").select("term", "n", self._bucket("term"))
+        lost_terms = old.select(F.explode(F.split("terms", " ")).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n")).select("term", "n", self._bucket("term"))
         made = now | {
-            "segments": now["segments"] + [segment], "dead": now["dead"] + [dead], "terms": now["terms"] + [self.store.stage(terms, "terms", "bucket")], "next": number + 1,
+            "segments": now["segments"] + [segment], "dead": now["dead"] + [dead], "lost": now["lost"] + [self.store.stage(lost_terms, "lost", "bucket")], "next": number + 1,
             "n_docs": now["n_docs"] + segment["n_docs"] - lost[0], "sum_len": now["sum_len"] + segment["sum_len"] - lost[1],
         }
         return self.store.publish(self._merged(made) if len(made["segments"]) > MERGE_AFTER else made, now)
@@ -153,24 +182,31 @@ class SearchIndex:
     def _merged(self, m: dict) -> dict:
         """One segment of what is live."""
         number = m["next"]
-        live = self._live_docs(m)
-        postings = self._exploded(m, None).drop("segment").withColumn("segment", F.lit(number))
         shards = max(1, -(-m["n_docs"] // SHARD_DOCS))
-        blocks = self._blocks(postings, (m["sum_len"] / m["n_docs"] if m["n_docs"] else 0.0) or 1.0, shards)
-        kept = live.drop("segment")
-        segment = {"docs": self.store.stage(kept, "docs", "bucket"), "doc_schema": kept.schema.json(), "number": number, "postings": self.store.stage(blocks, "postings", "bucket"), "block_schema": blocks.schema.json(), "n_docs": m["n_docs"], "sum_len": m["sum_len"]}
-        counts = self._terms(m, None).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0").select("term", "n", self._bucket("term"))
-        return m | {"segments": [segment], "dead": [], "shards": shards, "terms": [self.store.stage(counts, "terms", "bucket")], "next": number + 1}
+        rows = self._dealt(self._exploded(m, None).select("doc", "term", "tf", "len"), m["n_docs"], shards).select("doc", "term", "tf", "len", _shard("doc", shards))
+        block_schema = _block_schema(rows)
+        arrow, block, most = to_arrow_schema(block_schema), BLOCK, CHUNK_TERMS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for col in _chunks(batches, most, len):
+                coded = col("term").dictionary_encode()
+                n = len(coded)
+                made = _packed(col("shard").to_numpy(), coded.indices.to_numpy(), coded.dictionary, col("doc"), np.arange(n), col("tf").to_numpy(), col("len").to_numpy(), number, block)
+                yield from _rows(arrow, None, len(made["term"]), made)
+
+        blocks = rows.mapInArrow(run, block_schema).withColumn("bucket", self._bucket("term"))
+        kept = self._live_docs(m).drop("segment")
+        segment = {"docs": self.store.stage(kept, "docs", "bucket"), "doc_schema": kept.schema.json(), "number": number, "postings": self.store.stage(blocks, "postings", ["bucket"], dealt=True), "block_schema": blocks.schema.json(), "shards": shards, "n_docs": m["n_docs"], "sum_len": m["sum_len"]}
+        return m | {"segments": [segment], "dead": [], "lost": [], "shards": shards, "next": number + 1}
 
     # ---- reading ---------------------------------------------------------------------------------------------------
 
-    def _terms(self, m: dict, buckets: list[int] | None) -> DataFrame:
-        out = None
-        for path in m["terms"]:
-            rows = self.store.read(path, "term string, n long, bucket int")
-            rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
-            out = rows if out is None else out.unionByName(rows)
-        return out.select("term", "n")
+    def _frequencies(self, m: dict, buckets: list[int], held: DataFrame) -> DataFrame:
+        """term, df of the terms of some blocks: their documents, less those that changes took away."""
+        each = held.select("term", F.size("docs").cast("long").alias("n"))
+        for path in m["lost"]:
+            each = each.unionByName(self.store.read(path, "term string, n long, bucket int").where(F.col("bucket").isin(buckets)).select("term", (-F.col("n")).alias("n")))
+        return each.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
 
     def blocks(self, m: dict, buckets: list[int] | None) -> DataFrame:
         """Blocks of the postings in some buckets; only their folders are read."""
@@ -197,7 +233,9 @@ class SearchIndex:
         asked = queries.select("query_id", F.explode(T.fts_terms(F.col("query"), most_terms)).alias("term")).withColumn("bucket", self._bucket("term"))
         buckets = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())  # no more than buckets
         n, mean = float(m["n_docs"]), (m["sum_len"] / m["n_docs"] if m["n_docs"] else 0.0) or 1.0
-        df = self._terms(m, buckets).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
+        # blocks of a term that nobody asked for may be among them; they do no harm
+        held = _sifted(self.blocks(m, buckets), "term", asked.select("term"))
+        df = self._frequencies(m, buckets, held)
         idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
         asked = asked.join(df.select("term", idf.alias("idf")), "term").select("query_id", "term", "idf")
         slices = max(1, -(-queries.count() // SLICE_QUERIES))
@@ -205,7 +243,7 @@ class SearchIndex:
         every_part = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("part")
 
         # a shard's frame: blocks of the terms asked for, and in chunks the documents that count
-        held = self.blocks(m, buckets).join(asked.select("term").distinct(), "term", "left_semi").select("shard", "term", "max_tf", "min_len", "docs", "segments", "tfs", "lens")
+        held = held.select("shard", "term", "max_tf", "min_len", "docs", "segments", "tfs", "lens")
         live = self._docs(m)
         live = (live if gate is None else live.where(gate)).select("doc", "segment")
         dead = self._dead(m)
@@ -249,10 +287,7 @@ class _Shard:
             at = np.minimum(np.searchsorted(self.docs, d), len(self.docs) - 1)
             counts = (self.docs[at] == d) & (self.segments[at] == s)
             if counts.any():
-                self.terms.setdefault(term, []).append((self._share(max_tf, min_len), at[counts], self._share(np.asarray(tf)[counts], np.asarray(length)[counts])))
-
-    def _share(self, tf, length):
-        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+                self.terms.setdefault(term, []).append((_share(max_tf, min_len, self.mean), at[counts], _share(np.asarray(tf)[counts], np.asarray(length)[counts], self.mean)))
 
     def best(self, asked: pd.DataFrame) -> list[tuple]:
         """(query_id, doc, score) of a query's k best documents here; asked: its terms with their idf."""
@@ -288,6 +323,47 @@ class _Shard:
         return [(query, self.docs[i], float(scores[i])) for i in some]
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], most: int, size: Callable[[pa.RecordBatch], int]) -> Iterator[Callable[[str], pa.Array]]:
+    """Batches put together until they hold `most` terms: a function from a column's name to its values."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if b.num_rows:
+            held, n = [*held, b], n + size(b)
+        if n >= most:
+            yield lambda name, held=held: pa.concat_arrays([b.column(name) for b in held])
+            held, n = [], 0
+    if held:
+        yield lambda name, held=held: pa.concat_arrays([b.column(name) for b in held])
+
+
+def _packed(shard: np.ndarray, code: np.ndarray, names: pa.Array, docs: pa.Array, row: np.ndarray, tf: np.ndarray, length: np.ndarray, segment: int, block: int) -> dict:
+    """Columns of the blocks of some postings: of docs[row], with names[code]."""
+    order = np.lexsort((-_share(tf, length, length.mean() or 1.0), code, shard))
+    shard, code, row, tf, length = shard[order], code[order], row[order], tf[order], length[order]
+    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])])
+    place = np.arange(len(code)) - np.repeat(starts, np.diff(np.r_[starts, len(code)]))
+    cuts = np.flatnonzero(place % block == 0)
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(code)], pa.int32()), values)
+    return {
+        "term": names.take(pa.array(code[cuts])), "shard": pa.array(shard[cuts], pa.int32()), "max_tf": pa.array(np.maximum.reduceat(tf, cuts)), "min_len": pa.array(np.minimum.reduceat(length, cuts)),
+        "docs": lists(docs.take(pa.array(row))), "segments": lists(pa.array(np.full(len(code), segment, np.int32))), "tfs": lists(pa.array(tf)), "lens": lists(pa.array(length)),
+    }
+
+
+def _rows(schema: pa.Schema, kind: str | None, n: int, columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """n rows of a schema, with nulls in the columns that are not given."""
+    columns = columns if kind is None else columns | {"kind": pa.array([kind] * n, pa.string())}
+    made = pa.Table.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], names=schema.names)
+    yield from made.to_batches(max_chunksize=20_000)
+
+
+def _block_schema(rows: DataFrame) -> StructType:
+    """Of blocks of the documents `doc` of rows, without the bucket."""
+    doc = rows.schema["doc"].dataType.simpleString()
+    return StructType.fromDDL(f"term string, shard int, max_tf double, min_len double, docs array<{doc}>, segments array<int>, tfs array<double>, lens array<double>")
+
+
 def _shard(doc: str, shards: int) -> Column:
     return F.pmod(F.xxhash64(doc), F.lit(shards)).cast("int").alias("shard")
 

@@ -48,7 +48,7 @@ def _fresh_root(spark: SparkSession, name: str) -> str:
 
 def belief_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     """The index over the bodies of all beliefs, built where none is kept of the table's present state."""
-    kept = SearchIndex(spark, _kept_root(spark, "bm25-by-shard", f"{sf_dir}/documents.parquet"), {"body": 1.0}, "belief_id", GATE_COLUMNS)
+    kept = SearchIndex(spark, _kept_root(spark, "bm25-cut-by-shard", f"{sf_dir}/documents.parquet"), {"body": 1.0}, "belief_id", GATE_COLUMNS)
     if kept.store.current() is None:
         kept.build(V.beliefs(spark, sf_dir))
     return kept

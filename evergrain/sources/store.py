@@ -43,11 +43,19 @@ class Store:
     def _fs(self):
         return self._path("versions").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def stage(self, df: DataFrame, name: str, by: str | None = None) -> str:
-        """Writes df to a folder of its own, of which no manifest knows yet. by: a column whose values become folders, few files each."""
-        path = f"data/{name}-{uuid.uuid4().hex}"
-        writer = (df.hint("rebalance", F.col(by)) if by else df).write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/{path}")
+    def stage(self, df: DataFrame, name: str, by: str | list[str] | None = None, dealt: bool = False) -> str:
+        """Writes df to a folder of its own, of which no manifest knows yet. by: columns whose values become folders, few files each.
+
+        dealt: rows lie in few large partitions, and each writes its own files.
+        """
+        path, by = f"data/{name}-{uuid.uuid4().hex}", [by] if isinstance(by, str) else by
+        writer = (df.hint("rebalance", *map(F.col, by)) if by and not dealt else df).write.option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{path}")
+        return path
+
+    def folder(self, path: str) -> str:
+        """A folder of staged data, which is made if no row has come there."""
+        self._fs().mkdirs(self._path(path))
         return path
 
     def read(self, path: str, schema) -> DataFrame:

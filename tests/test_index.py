@@ -82,3 +82,55 @@ def test_empty(spark, tmp_path, queries):
     kept = I.SearchIndex(spark, f"{tmp_path}/i", FIELDS, buckets=2)
     kept.build(frame(spark, []))
     assert kept.search(queries, 3).count() == 0
+
+
+def shuffled_rows(spark, act):
+    """Rows that the stages of act() write for other tasks."""
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = written()
+    act()
+    return sum(n for k, n in written().items() if k not in before)
+
+
+def test_texts_move_and_not_their_postings(spark, tmp_path):
+    kept = I.SearchIndex(spark, f"{tmp_path}/i", FIELDS, keep=("open",), buckets=4)
+    docs = frame(spark, make(range(2000), 1)).cache()
+    n_postings = docs.count() * 10
+    # each document goes to its shard once; the other rows are counts of tasks
+    assert shuffled_rows(spark, lambda: kept.build(docs)) < 2000 + 100 < n_postings
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for ids in (range(10), range(5, 15)):  # the second one with marks of the first
+        changed = frame(spark, make(ids, 2)).cache()
+        changed.count()
+        # documents that the change does not name stay where they are
+        assert shuffled_rows(spark, lambda rows=changed: kept.update(rows)) < 1000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_rows_of_wanted_keys(spark):
+    rows = spark.createDataFrame([(k, str(k)) for k in range(5000)] + [(None, "none")], "doc long, word string").repartition(3)
+    for key, wanted in (("doc", [7, 63, 64, 4999, -1, None]), ("word", ["7", "63", "64", "4999", "other", None])):
+        found = I._sifted(rows, key, spark.createDataFrame([(w,) for w in wanted], rows.select(key).schema))
+        assert found.columns == ["doc", "word"] and {7, 63, 64, 4999} <= (got := {r["doc"] for r in found.collect()}) and len(got) < 10
+
+
+def test_chunks_and_tasks(spark, tmp_path, queries, monkeypatch):
+    """Terms whose blocks come from several chunks and tasks, in a build, in changes of few and many shards, and in a merge."""
+    for name, n in (("BLOCK", 4), ("CHUNK_TERMS", 200), ("SHARD_DOCS", 60), ("TASK_DOCS", 40), ("LEAST_TASK_DOCS", 20), ("MERGE_AFTER", 3)):
+        monkeypatch.setattr(I, name, n)
+    rows = {r[0]: r for r in make(range(300), 1)}
+    kept = I.SearchIndex(spark, f"{tmp_path}/i", FIELDS, keep=("open",), buckets=4)
+    kept.build(frame(spark, list(rows.values())))
+    for n, ids in enumerate([range(3), range(1, 200), range(250, 260)]):
+        new = make(ids, 20 + n)
+        rows |= {r[0]: r for r in new}
+        made = kept.update(frame(spark, new))
+        assert best(kept.search(queries, 5, digits=6)) == plain(spark, list(rows.values()), queries, 5)
+    assert len(made["segments"]) == 1 and made["shards"] == 5
