@@ -41,8 +41,10 @@ BLOCK = 128
 MERGE_AFTER = 8
 #: Documents that a shard holds about; queries that go to a shard together.
 SHARD_DOCS, SLICE_QUERIES = 50_000, 2_000
-#: Documents that a task cuts, and from which another task is worth its files; terms that are made into blocks together.
-TASK_DOCS, LEAST_TASK_DOCS, CHUNK_TERMS = 25_000, 1_000, 4_000_000
+#: Documents that a task cuts, and from which another task is worth its files.
+TASK_DOCS, LEAST_TASK_DOCS = 8_000, 1_000
+#: Bytes of terms, and postings, that are made into blocks together; rows that a chunk grows by.
+CHUNK_BYTES, CHUNK_POSTINGS, STEP = 8_000_000, 1_000_000, 200
 #: Bits of a bitmap of wanted keys; it is sent to all tasks in this / 64 rows.
 SLOTS = 1 << 23
 #: Summation orders may move a score by less than this.
@@ -89,31 +91,34 @@ class SearchIndex:
         shards = shards or max(1, -(-n_docs // SHARD_DOCS))
         texts, weights = [f"__{k}" for k in range(len(self.fields))], [float(w) for w in self.fields.values()]
         dealt = self._dealt(docs.select(F.col(self.id_col).alias("doc"), *self.keep, *[F.col(f).alias(t) for t, f in zip(texts, self.fields)]), n_docs, shards)
-        cut = dealt.select("doc", *self.keep, _shard("doc", shards), *[T.terms(F.col(t)).alias(t) for t in texts])
-        length = sum((F.size(t) * F.lit(w) for t, w in zip(texts, weights)), F.lit(0.0))
-        cut = cut.select("doc", *self.keep, length.alias("len"), "shard", *texts)
-        kept = cut.select("doc", *self.keep, "len", F.lit("").alias("terms"))
+        # no term has a space; one string for a text takes less of a worker than its list of terms
+        cut = dealt.select("doc", *self.keep, _shard("doc", shards), *[F.array_join(T.terms(F.col(t)), " ").alias(t) for t in texts])
+        kept = cut.select("doc", *self.keep, F.lit(0.0).alias("len"), F.lit("").alias("terms"))
         doc_schema, block_schema = kept.schema, _block_schema(cut)
         both = StructType([StructField(f.name, f.dataType) for f in (*kept.select(F.lit("").alias("kind"), "*").schema, *block_schema)])
-        arrow, named, block, most = to_arrow_schema(both), [*self.keep, "len"], BLOCK, CHUNK_TERMS
+        arrow, named, block, most, step = to_arrow_schema(both), [*self.keep], BLOCK, CHUNK_BYTES, STEP
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for col in _chunks(batches, most, lambda b: sum(len(b.column(t).flatten()) for t in texts)):
+            for col in _chunks(batches, most, lambda b: sum(pc.sum(pc.binary_length(b.column(t))).as_py() for t in texts), step):
                 n = len(col("doc"))
-                rows, terms, weight = [], [], []
+                rows, terms, weight, length = [], [], [], np.zeros(n)
                 for t, w in zip(texts, weights):
-                    each = col(t)
-                    rows.append(np.repeat(np.arange(n), pc.list_value_length(each).to_numpy(zero_copy_only=False)))
-                    terms.append(each.flatten())
+                    text = col(t)
+                    each = pc.split_pattern(text, " ")
+                    sizes = np.where(pc.binary_length(text).to_numpy() == 0, 0, pc.list_value_length(each).to_numpy())
+                    rows.append(np.repeat(np.arange(n), sizes))
+                    values = each.flatten()
+                    terms.append(values.filter(pc.greater(pc.binary_length(values), 0)))  # an empty text is split into an empty term
                     weight.append(np.full(len(terms[-1]), w))
+                    length += sizes * w
                 coded = pa.concat_arrays(terms).dictionary_encode()
                 base = max(1, len(coded.dictionary))
                 pairs, at = np.unique(np.concatenate(rows) * base + coded.indices.to_numpy(), return_inverse=True)
                 tf, row, code = np.bincount(at, np.concatenate(weight), len(pairs)), pairs // base, pairs % base
                 words = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), coded.dictionary.take(pa.array(code)))
-                yield from _rows(arrow, "docs", n, {"doc": col("doc"), "terms": pc.binary_join(words, " ")} | {c: col(c) for c in named})
+                yield from _rows(arrow, "docs", n, {"doc": col("doc"), "len": pa.array(length), "terms": pc.binary_join(words, " ")} | {c: col(c) for c in named})
                 if len(row):
-                    made = _packed(col("shard").to_numpy()[row], code, coded.dictionary, col("doc"), row, tf, col("len").to_numpy()[row], number, block)
+                    made = _packed(col("shard").to_numpy()[row], code, coded.dictionary, col("doc"), row, tf, length[row], number, block)
                     yield from _rows(arrow, "postings", len(made["term"]), made)
 
         made = cut.mapInArrow(run, both)
@@ -185,10 +190,10 @@ class SearchIndex:
         shards = max(1, -(-m["n_docs"] // SHARD_DOCS))
         rows = self._dealt(self._exploded(m, None).select("doc", "term", "tf", "len"), m["n_docs"], shards).select("doc", "term", "tf", "len", _shard("doc", shards))
         block_schema = _block_schema(rows)
-        arrow, block, most = to_arrow_schema(block_schema), BLOCK, CHUNK_TERMS
+        arrow, block, most, step = to_arrow_schema(block_schema), BLOCK, CHUNK_POSTINGS, STEP
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for col in _chunks(batches, most, len):
+            for col in _chunks(batches, most, len, step):
                 coded = col("term").dictionary_encode()
                 n = len(coded)
                 made = _packed(col("shard").to_numpy(), coded.indices.to_numpy(), coded.dictionary, col("doc"), np.arange(n), col("tf").to_numpy(), col("len").to_numpy(), number, block)
@@ -323,13 +328,12 @@ class _Shard:
         return [(query, self.docs[i], float(scores[i])) for i in some]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int, size: Callable[[pa.RecordBatch], int]) -> Iterator[Callable[[str], pa.Array]]:
-    """Batches put together until they hold `most` terms: a function from a column's name to its values."""
+def _chunks(batches: Iterator[pa.RecordBatch], most: int, size: Callable[[pa.RecordBatch], int], step: int) -> Iterator[Callable[[str], pa.Array]]:
+    """Slices of `step` rows put together until their size is `most`: a function from a column's name to its values."""
     held: list[pa.RecordBatch] = []
     n = 0
-    for b in batches:
-        if b.num_rows:
-            held, n = [*held, b], n + size(b)
+    for part in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+        held, n = [*held, part], n + size(part)
         if n >= most:
             yield lambda name, held=held: pa.concat_arrays([b.column(name) for b in held])
             held, n = [], 0

@@ -123,7 +123,7 @@ def test_rows_of_wanted_keys(spark):
 
 def test_chunks_and_tasks(spark, tmp_path, queries, monkeypatch):
     """Terms whose blocks come from several chunks and tasks, in a build, in changes of few and many shards, and in a merge."""
-    for name, n in (("BLOCK", 4), ("CHUNK_TERMS", 200), ("SHARD_DOCS", 60), ("TASK_DOCS", 40), ("LEAST_TASK_DOCS", 20), ("MERGE_AFTER", 3)):
+    for name, n in (("BLOCK", 4), ("CHUNK_BYTES", 800), ("CHUNK_POSTINGS", 200), ("STEP", 7), ("SHARD_DOCS", 60), ("TASK_DOCS", 40), ("LEAST_TASK_DOCS", 20), ("MERGE_AFTER", 3)):
         monkeypatch.setattr(I, name, n)
     rows = {r[0]: r for r in make(range(300), 1)}
     kept = I.SearchIndex(spark, f"{tmp_path}/i", FIELDS, keep=("open",), buckets=4)
